@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lines, pieces, warc
+from . import decontam, jaccard, lines, pieces, warc
 
 
 def model_path() -> str:
@@ -20,6 +20,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_read(spark, sf_dir, "documents"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(_read(spark, sf_dir, "documents"), model_path())
 
@@ -37,7 +41,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_sentencepiece, op8_line_dedup, op9_benchmark_decontamination, op10_warc)
+    f.__name__: f for f in (op1_ngram_jaccard, op4_sentencepiece, op8_line_dedup, op9_benchmark_decontamination, op10_warc)
 }
 
 ORACLE: dict[str, str] = {
