@@ -268,6 +268,9 @@ def _pairs(percent: int):
             if not held:
                 return
             rows = np.concatenate(held, 1)
+            if not rows.shape[1]:
+                held, room = [], 0
+                return
             order = np.lexsort((rows[1], rows[0]))
             rows = rows[:, order]
             head = np.flatnonzero(np.concatenate(([True], (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1]))))
