@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, lines, pieces, warc
+from . import decontam, jaccard, langid, lines, pieces, secrets, topk, warc
 
 
 def model_path() -> str:
@@ -28,6 +28,18 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(_read(spark, sf_dir, "documents"), model_path())
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_read(spark, sf_dir, "documents"))
+
+
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_read(spark, sf_dir, "embeddings"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_read(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(_read(spark, sf_dir, "documents"))
 
@@ -41,10 +53,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard, op4_sentencepiece, op8_line_dedup, op9_benchmark_decontamination, op10_warc)
+    f.__name__: f for f in (op1_ngram_jaccard, op4_sentencepiece, op5_secret_scan, op6_exact_topk, op7_language_id, op8_line_dedup, op9_benchmark_decontamination, op10_warc)
 }
 
 ORACLE: dict[str, str] = {
+    "op6_exact_topk": """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256.0 * x::double)::bigint) as w from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.w, c.w), lambda z: z[1] * z[2]))::bigint as score
+  from v q, v c where q.vec_id % 50 = 0 and c.vec_id <> q.vec_id)
+select query_id, rank::integer as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored) where rank <= 5""",
     "op8_line_dedup": r"""
 with lines as (
   select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
