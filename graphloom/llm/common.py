@@ -207,9 +207,10 @@ def unpack(b: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zlib.decompress(b), dtype)
 
 
-def pack_sorted(h: np.ndarray) -> bytes:
-    """Sorted 64-bit hashes, cut to 56 bits: bytes of the differences, low planes first; high planes are mostly zero."""
-    d = np.diff(h >> np.uint64(8), prepend=np.uint64(0))
+def pack_sorted(h: np.ndarray, drop: int = 8) -> bytes:
+    """Sorted 64-bit hashes without their drop lowest bits: the differences' bytes, low planes first (the high ones are
+    mostly zero)."""
+    d = np.diff(h >> np.uint64(drop), prepend=np.uint64(0))
     planes = d.view(np.uint8).reshape(-1, 8)
     used = int(planes.any(0).nonzero()[0][-1]) + 1 if len(d) and d.any() else 1
     low = min(4, used)

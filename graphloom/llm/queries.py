@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, langid, lines, pieces, secrets, topk, warc
+from . import decontam, jaccard, langid, lines, lm, pieces, secrets, topk, toxicity, warc
 
 
 def model_path() -> str:
@@ -24,6 +24,15 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_read(spark, sf_dir, "documents"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_read(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.fit(documents, _read(spark, sf_dir, "labels")))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(_read(spark, sf_dir, "documents"), model_path())
 
@@ -53,7 +62,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard, op4_sentencepiece, op5_secret_scan, op6_exact_topk, op7_language_id, op8_line_dedup, op9_benchmark_decontamination, op10_warc)
+    f.__name__: f for f in (op1_ngram_jaccard, op2_lm_score, op3_toxicity, op4_sentencepiece, op5_secret_scan, op6_exact_topk, op7_language_id, op8_line_dedup, op9_benchmark_decontamination, op10_warc)
 }
 
 ORACLE: dict[str, str] = {
