@@ -64,7 +64,7 @@ def node_size(importance: Column) -> Column:
 
 def summary(path: Column, score_pct: Column, weak: Column, strong: Column) -> Column:
     """The text that goes with a recommendation; weak and strong are arrays of names."""
-    score = F.format_string("%.0f", score_pct.cast("double"))
+    score = F.bround(score_pct.cast("double"), 0).cast("long").cast("string")  # half to even
 
     def names(c: Column, n: int, other: str) -> Column:
         joined = F.array_join(F.slice(c, 1, n), ", ")
