@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICE_BYTES = 1 << 20
 _OWN_DIR: dict[str, str] = {}
@@ -68,6 +69,12 @@ def need(docs: DataFrame, **kinds: str) -> DataFrame:
     return docs.select(*[F.col(f"`{k}`").cast(v).alias(k) for k, v in kinds.items()])
 
 
+def map_rows(df: DataFrame, run, columns: list[str]) -> DataFrame:
+    """mapInArrow(run) for a function that keeps the first len(columns) columns of df; their names may hold anything."""
+    kept = T.StructType([T.StructField(f"c{i}", df.schema.fields[i].dataType) for i in range(len(columns))])
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, kept).toDF(*columns)
+
+
 def fold_of(column: str, parts: int):
     """crc32 of the id as text, modulo parts (null ids: -1)."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % parts, F.lit(-1)).cast("int")

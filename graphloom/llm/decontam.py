@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NONWORD, need, slices, table, text_bytes, word_ends, words
+from .common import NONWORD, map_rows, need, slices, table, text_bytes, word_ends, words
 
 #: Item words in one automaton, and so in one broadcast (some 100 bytes a word).
 SHARD_WORDS = 60_000
@@ -221,11 +221,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage:
     the last word of each span.  All columns stay; n_chars is left to the caller.
     """
     shared = docs.sparkSession.sparkContext.broadcast(shards(benchmark, "item_id", "text", window))
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(shared.value)
         for batch in batches:
-            at = batch.schema.get_field_index("text")
             texts, stay = batch.column(at).to_pylist(), np.ones(batch.num_rows, bool)
             for lo, _, part, own, h, starts, first in _slices(batch.column(at)):
                 found = scanner.scan(h, first)
@@ -242,7 +242,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage:
             columns = [pa.array(texts, c.type) if i == at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(stay))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run, docs.columns)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:

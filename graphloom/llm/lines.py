@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fanout, need, slices, table, text_bytes
+from .common import cut, fanout, map_rows, need, slices, table, text_bytes
 
 _TRIM = b" \t\n\x0b\x0c\r"
 _OFFERS = "kind int, high long, low long, doc_id long, row_id long, positions binary"
@@ -157,12 +157,12 @@ def digest(docs: DataFrame, min_chars: int = 10) -> DataFrame:
 def deduplicate(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """docs with the kept lines as text; all columns stay as they are, n_chars follows the text."""
 
+    at, n = docs.columns.index("text"), len(docs.columns)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            texts = [t if m is None else keep(t, m) for t, m in zip(batch.column(at).to_pylist(), batch.column(batch.schema.get_field_index("_dropped")).to_pylist())]
-            columns = [pa.array(texts, c.type) if i == at else c for i, c in enumerate(batch.columns[:-1])]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+            texts = [t if m is None else keep(t, m) for t, m in zip(batch.column(at).to_pylist(), batch.column(n).to_pylist())]
+            columns = [pa.array(texts, c.type) if i == at else c for i, c in enumerate(batch.columns[:n])]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:n])
 
-    marked = with_bitmaps(docs, min_chars=min_chars).drop("_n_dropped")
-    return marked.mapInArrow(run, docs.schema)
+    return map_rows(with_bitmaps(docs, min_chars=min_chars).drop("_n_dropped"), run, docs.columns)

@@ -231,7 +231,7 @@ def mixture(total: np.ndarray, types: int, rounds: int = 60) -> np.ndarray:
     """Weights (bigram, unigram, uniform) of each context bucket by EM on deleted counts (BUCKETS x STEPS x STEPS)."""
     p = np.concatenate(([0.0], 10.0 ** (-PER_STEP * np.arange(STEPS - 1))))
     uniform = 1 / (types + 1)
-    out = np.tile([0.0, 0.5, 0.5], (BUCKETS, 1))
+    out = np.tile([0.0, 0.5, 0.5] if types else [0.0, 0.0, 1.0], (BUCKETS, 1))
     for k in range(BUCKETS):
         n = total[k].astype(np.float64)
         if not n.any():

@@ -57,9 +57,15 @@ def count(samples: list[str]) -> np.ndarray:
     return out
 
 
-def ratios(random: np.ndarray, ordinary: np.ndarray, smoothing: float = 0.5) -> np.ndarray:
-    """Log-likelihood ratio of each character after each other, of the two models with these counts."""
-    logs = [np.log((c + smoothing) / (c + smoothing).sum(1, keepdims=True)) for c in (random, ordinary)]
+def ratios(random: np.ndarray, ordinary: np.ndarray, weight: float = 20.0) -> np.ndarray:
+    """Log-likelihood ratio of each character after each other, of the two models with these counts.
+
+    A rare context leans on how frequent the next character is at all, with the weight of so many observations.
+    """
+    logs = []
+    for c in (random, ordinary):
+        alone = (c.sum(0) + 0.5) / (c.sum() + 0.5 * _N)
+        logs.append(np.log((c + weight * alone) / (c.sum(1, keepdims=True) + weight)))
     return logs[0] - logs[1]
 
 
@@ -71,7 +77,8 @@ def generated(n: int = 2000, seed: int = 17) -> list[str]:
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts from this partition's labelled strings: values of pattern spans (kind 1), all words (kind 0)."""
+    """Counts from this partition's labelled strings: values of pattern spans (kind 1), all words that are no
+    candidates (kind 0)."""
     total = np.zeros((2, _N, _N), np.int64)
     for batch in batches:
         buf, offs = text_bytes(batch.column(0))
@@ -83,7 +90,10 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for kind, begin, end in base_spans(text or ""):
                     value = re.split(r"[:=\s\"']", text[begin:end])[-1] if kind == "assign" else text[begin:end]
                     total[1] += count([value])
+                # what the scan will ask about is no sample of ordinary strings
+                total[0] -= count([m.group() for m in _CANDIDATE.finditer(text or "") if any(c.isdigit() for c in m.group())])
     total[0, 0, 0] = 0
+    total[0] = np.maximum(total[0], 0)
     yield table("kind int,counts binary", kind=[0, 1], counts=[x.tobytes() for x in total])
 
 
@@ -100,7 +110,7 @@ def learn(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return ratios(found.get(1, none) + count(generated()), found.get(0, none))
 
 
-def scan(docs: DataFrame, threshold: float = 1.2) -> DataFrame:
+def scan(docs: DataFrame, threshold: float = 2.0) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov.
 
     The models are counted over all documents in a pass of its own, before every text is scanned.

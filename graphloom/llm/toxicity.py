@@ -249,13 +249,14 @@ class Scorer:
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **limits) -> DataFrame:
     """docs without the rows that are scored toxic, all columns as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **limits))
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
-            for lo, hi, s in scorer.slices(batch.column(batch.schema.get_field_index("text"))):
+            for lo, hi, s in scorer.slices(batch.column(at)):
                 keep[lo:hi] = s < threshold
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.map_rows(docs, run, docs.columns)

@@ -58,9 +58,9 @@ def zip_members(read: Callable[[int, int], bytes], size: int) -> dict[str, tuple
     """(offset, length) of the bytes of every stored member; read(offset, length) gives a range of the archive."""
     tail_at = max(0, size - 65557)
     tail = read(tail_at, size - tail_at)
-    end = tail.rfind(_END)
+    end = tail.rfind(_END, 0, max(0, len(tail) - 18))
     while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):
-        end = tail.rfind(_END, 0, end)
+        end = tail.rfind(_END, 0, end + 3)
     if end < 0:
         raise ValueError("no end of a central directory")
     n, length, start = struct.unpack_from("<HII", tail, end + 10)

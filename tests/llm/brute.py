@@ -35,3 +35,58 @@ def jaccard_components(rows, width=5, percent=80):
     for doc, s in sets:
         out.setdefault(doc, []).append((len(s), find(doc)))
     return out
+
+
+def keep_lines(rows, min_chars=10):
+    """[(doc_id, kept text, dropped)] in the order of rows."""
+    strip = " \t\n\x0b\x0c\r"
+    key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(strip))
+    holder = {}
+    for doc, text in rows:
+        if doc is not None:
+            for line in (text or "").split("\n"):
+                if len(key(line)) >= min_chars:
+                    holder[key(line)] = min(doc, holder.get(key(line), doc))
+    out = []
+    for doc, text in rows:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if doc is None or len(key(x)) < min_chars or holder[key(x)] == doc]
+        out.append((doc, "\n".join(kept), len(lines) - len(kept)))
+    return out
+
+
+def words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def hits(rows, items, window=10):
+    """[(doc_id, n_words, n_hit, sorted item ids)]."""
+    wins = []
+    for item, text in items:
+        w = words(text)
+        if w and item is not None:
+            n = min(window, len(w))
+            wins += [(item, tuple(w[i : i + n])) for i in range(len(w) - n + 1)]
+    out = []
+    for doc, text in rows:
+        w, hit, found = words(text), set(), set()
+        for item, x in wins:
+            for i in range(len(w) - len(x) + 1):
+                if tuple(w[i : i + len(x)]) == x:
+                    hit |= set(range(i, i + len(x)))
+                    found.add(item)
+        out.append((doc, len(w), len(hit), sorted(found)))
+    return out
+
+
+def secrets(text):
+    """Base spans by the letter of the definition."""
+    out = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        if len(m[2]) >= 12:
+            out.append((m.start(), 0, f"assign:{m.start()}:{m.end()}"))
+    for k, (name, pattern, least) in enumerate((("access", r"AKIA[A-Z0-9]+", 18), ("hex", r"[0-9a-f]+", 16)), 1):
+        for m in re.finditer(pattern, text):
+            if len(m[0]) >= least:
+                out.append((m.start(), k, f"{name}:{m.start()}:{m.end()}"))
+    return ",".join(x[2] for x in sorted(out))

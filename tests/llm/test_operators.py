@@ -1,0 +1,420 @@
+"""The operators against plain versions, with nulls, empty and long texts, ties, repeated rows, empty tables and
+columns of clashing names."""
+
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import brute
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from graphloom.llm import common, decontam, jaccard, langid, lines, lm, pieces, secrets, topk, toxicity, warc
+from graphloom.llm.components import components
+from graphloom.llm.queries import model_path
+
+DOCS = "doc_id long, text string"
+
+
+def docs(spark, rows):
+    """Documents with further columns whose names the operators use themselves."""
+    df = spark.createDataFrame(rows, DOCS)
+    return df.withColumns({"node": F.lit("x"), "row_id": F.lit(1), "n": F.lit(None).cast("string"), "score": F.lit(0), "_row": F.lit(2), "kept": F.lit("k"), "a.b": F.lit(1)})
+
+
+def by_doc(rows, *names):
+    out = defaultdict(list)
+    for r in rows:
+        out[r.doc_id].append(tuple(r[n] for n in names))
+    return {k: sorted(v, key=repr) for k, v in out.items()}
+
+
+def odd_texts():
+    return [None, "", " ", "\n", "a", "A", "a b c d", "é É ß 你好", "x" * 5000, "word " * 4000, "tab\tand\x0bmore\r\nlines", "\x00nul"]
+
+
+# --------------------------------------------------------------------------- kernels
+
+
+def test_words_and_shingles_are_whole():
+    import pyarrow as pa
+
+    texts = odd_texts() + ["one two three four five six", "ONE two\nthree four five six"]
+    buf, offs = common.text_bytes(pa.array(texts, pa.string()))
+    h, starts, first = common.words(buf, offs, common.SPACE)
+    ends = common.word_ends(buf, offs, common.SPACE)
+    for i, t in enumerate(texts):
+        want = (t or "").encode().lower().split()
+        assert [bytes(common.LOWER[buf[starts[k] : ends[k]]]) for k in range(first[i], first[i + 1])] == want
+    s, to = common.shingles(h, first)
+    assert list(s[to[-3] : to[-2]]) == list(s[to[-2] : to[-1]]) and to[-1] - to[-2] == 2
+
+
+def test_packing():
+    h = np.sort(np.random.default_rng(1).integers(0, 2**63, 500, dtype=np.uint64))
+    assert (common.unpack_sorted(common.pack_sorted(h), 500) == h >> np.uint64(8)).all()
+    assert (common.unpack_sorted(common.pack_sorted(h, 0), 500) == h).all()
+    assert len(common.unpack_sorted(common.pack_sorted(h[:0]), 0)) == 0
+    assert (jaccard.unpack_prefix(jaccard.pack_prefix(h)) == h >> np.uint64(16) << np.uint64(16)).all()
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 400)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    up = {x: x for e in edges for x in e}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        up[y] = x
+    assert {r.node: r.component for r in components(df).collect()} == {x: find(x) for x in up}
+
+
+# --------------------------------------------------------------------------- 1
+
+
+def near_copies(seed=5):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(300)]
+
+    def text(n):
+        return [rng.choice(vocabulary) for _ in range(n)]
+
+    rows, base, hot = [], text(90), text(40)
+    for i in range(160):
+        t = list(base)
+        for _ in range(rng.randrange(0, 5)):
+            t[rng.randrange(len(t))] = rng.choice(vocabulary)
+        rows.append((i, " ".join(t)))
+    rows += [(i, " ".join(text(rng.randrange(1, 60)) + (hot if rng.random() < 0.5 else []))) for i in range(200, 280)]
+    at = text(60)
+    for i in range(300, 340):  # a chain of small changes
+        at = list(at)
+        at[rng.randrange(len(at))] = rng.choice(vocabulary)
+        rows.append((i, " ".join(at)))
+    rows += [(400 + i, t) for i, t in enumerate(odd_texts())] + [(400, "a b c d"), (3, rows[3][1]), (500, rows[0][1].upper())]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("block_rows", [16, 128])
+def test_jaccard_against_brute_force(spark, block_rows):
+    rows = near_copies()
+    got = by_doc(jaccard.join(docs(spark, rows), block_rows=block_rows).collect(), "n_shingles", "component_id")
+    assert got == {k: sorted(v) for k, v in brute.jaccard_components(rows).items()}
+
+
+def test_jaccard_edges(spark):
+    got = by_doc(jaccard.join(docs(spark, [(None, "a b c d e f"), (2, "a b c d e f"), (1, None)])).collect(), "n_shingles", "component_id")
+    assert got == {None: [(2, None)], 2: [(2, 2)], 1: [(0, 1)]}
+    assert jaccard.join(docs(spark, [])).count() == 0
+    kept = jaccard.representatives(docs(spark, near_copies()))
+    assert kept.columns == docs(spark, []).columns
+    want = brute.jaccard_components(near_copies())
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(d for d, v in want.items() if v[0][1] == d)
+
+
+def test_signature_tree_bound_never_drops_a_link():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 80, dtype=np.uint64)
+    sets = []
+    for _ in range(60):
+        s = base.copy()
+        at = rng.integers(0, 80, int(rng.integers(0, 20)))
+        s[at] = rng.integers(0, 2**63, len(at), dtype=np.uint64)
+        sets.append(np.unique(s[: int(rng.integers(40, 81))]))
+    tree = jaccard.SignatureTree(sets)
+    found = set()
+    label = np.arange(len(sets))
+    for i, j in jaccard.link_trees(tree, tree, label, label, 80):  # labels stay apart, so every link must come
+        found.add(frozenset((tree.order[i], tree.order[j])))
+    want = {frozenset((i, j)) for i in range(60) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    assert found == want and want
+
+
+# --------------------------------------------------------------------------- 2
+
+
+def test_lm_counts_are_exact_and_model_is_better(spark):
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice(["the cat", "sat on", "a mat", "dogs bark", f"u{rng.randrange(500)}"]) for _ in range(rng.randrange(0, 40)))) for i in range(300)]
+    rows += [(1000 + i, t) for i, t in enumerate(odd_texts())] + [(1, rows[1][1]), (None, "the cat")]
+    got = by_doc(lm.score(docs(spark, rows).repartition(3, "doc_id")).collect(), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    tokens = lambda t: [*(t or "").encode().lower().split(), None]
+    fold = lambda d: zlib.crc32(str(d).encode()) % 7
+    counts = Counter(w for d, t in rows if d is not None and fold(d) != 2 for w in tokens(t))
+    n, v = sum(counts.values()), len(counts)
+    want = defaultdict(list)
+    for d, t in rows:
+        base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens(t))
+        want[d].append((d is not None and fold(d) == 2, len(tokens(t)), sum(counts[w] > 0 for w in tokens(t)), n, base))
+    assert got.keys() == want.keys()
+    held = [0.0, 0.0]
+    for d, own in want.items():
+        own.sort(key=repr)
+        for a, b in zip(got[d], own):
+            assert a[:4] == b[:4] and a[4] == pytest.approx(b[4], abs=1e-6) and a[5] < 0
+            if a[0]:
+                held[0] += a[4]
+                held[1] += a[5]
+    assert held[1] > held[0]
+
+
+def test_lm_mixture_is_a_distribution():
+    total = np.zeros((lm.BUCKETS, lm.STEPS, lm.STEPS), np.int64)
+    total[3, 5, 10], total[3, 0, 20] = 90, 10
+    weights = lm.mixture(total, 1000)
+    assert weights.sum(1) == pytest.approx(1) and (weights >= 0).all() and weights[3, 0] > 0.5
+
+
+def test_lm_empty(spark):
+    assert lm.score(docs(spark, [])).count() == 0
+    held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
+    row = lm.score(docs(spark, [(held, "a b")])).first()  # nothing to learn from
+    assert (row.train_tokens, row.n_known, row.n_tokens) == (0, 0, 3) and row.score == pytest.approx(0)
+
+
+# --------------------------------------------------------------------------- 3
+
+
+def test_toxicity_on_held_out_rows(spark):
+    rng = random.Random(2)
+    mild = [f"word{i}" for i in range(400)]
+    rows, labels = [], []
+    for i in range(1500):
+        bad = i % 5 < 2
+        w = [rng.choice(mild) for _ in range(rng.randrange(20, 80))]
+        if bad:
+            for _ in range(3):
+                w[rng.randrange(len(w))] = rng.choice(["vilething", "vilest", "nastybit", "gruff"])
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(bad), "x"))
+    df = docs(spark, rows)
+    truth = spark.createDataFrame([*labels, (None, 1, "x"), (0, None, "x")], "doc_id long, toxic int, text string")
+    model = toxicity.fit(df, truth)
+    got = {r.doc_id: r for r in toxicity.score(df, model).collect()}
+    held = [(got[i].predicted, bad) for i, bad, _ in labels if got[i].held_out]
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r.score <= 1 for i, r in got.items())
+    assert sum(p == b for p, b in held) / len(held) > 0.97
+    assert toxicity.score(docs(spark, list(enumerate(odd_texts()))), model).where("predicted = 0").count() == len(odd_texts())
+    kept = toxicity.reject(df, truth)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.select("doc_id").collect()} == {i for i, r in got.items() if not r.predicted}
+
+
+def test_toxicity_edges(spark):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    model = toxicity.fit(docs(spark, [(1, "a")]), none)
+    assert toxicity.score(docs(spark, [(1, "a"), (None, None)]), model).where("predicted = 0").count() == 2
+    assert toxicity.score(docs(spark, []), model).count() == 0
+    votes = np.array([[1, 1, 0], [1, 1, 0], [0, 0, 0], [0, 0, 1]] * 20, bool)
+    post = toxicity.label_model(votes, np.array([[0.1, 0.8]] * 3), 0.4)
+    assert post[0] > 0.5 > post[2]
+
+
+# --------------------------------------------------------------------------- 4
+
+
+def test_pieces_equal_the_library(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=model_path())
+    rng = random.Random(1)
+    codec = pieces.Codec(pieces.read_model(model_path()))
+    vocabulary = [p.replace(pieces.MARK, " ") for p in codec.pieces]
+    texts = [t or "" for t in odd_texts()] + ["  a  b ", "▁x", "<0x0A> <s>", "ab" * 700 + " x", "🎉 é"]
+    texts += ["".join(rng.choice("abcdeé ▁你\n🎉thing.AB0<>") for _ in range(rng.randrange(40))) for _ in range(500)]
+    texts += ["".join(rng.choice(vocabulary) for _ in range(rng.randrange(12))) for _ in range(500)]
+    for t in texts:
+        ids = sp.encode(t)
+        assert codec.encode(t) == ids
+        assert codec.decode(ids) == sp.decode(ids)
+    for _ in range(500):
+        ids = [rng.randrange(3, 259) if rng.random() < 0.5 else rng.randrange(259, 32000) for _ in range(rng.randrange(9))]
+        assert codec.decode(ids) == sp.decode(ids)
+    rows = list(enumerate(odd_texts())) + [(1, "again"), (1, "again")]
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = defaultdict(list)
+    for d, t in rows:
+        ids = sp.encode(t or "")
+        want[d].append((len(ids), sha(",".join(map(str, ids))), sha(sp.decode(ids))))
+    assert by_doc(pieces.digest(docs(spark, rows), model_path()).collect(), "n_tokens", "ids_sha256", "decoded_sha256") == {k: sorted(v, key=repr) for k, v in want.items()}
+    got = pieces.encode(docs(spark, rows), model_path()).where("doc_id = 1").first()
+    assert got.decoded in ("", "again")
+    assert pieces.digest(docs(spark, []), model_path()).count() == 0
+
+
+def test_long_units_take_the_same_merges():
+    codec = pieces.Codec(pieces.read_model(model_path()))
+    unit = "internationalisation" * 30
+    assert codec.heap(unit) == codec.rounds([unit])[0]
+
+
+# --------------------------------------------------------------------------- 5
+
+
+def test_secrets_base_is_the_definition(spark):
+    rng = random.Random(3)
+    parts = ["password", "PASSWD", "secret", "ToKeN", "api_key", "apikey", '"', "'", " ", ":", "=", "abc", "0123456789abcdef", "AKIA", "ABCDEFGHIJKLMN", "Xy.z-", "é", "\n", "ſecret", "deadbeef"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(25)))) for i in range(800)] + [(900 + i, t) for i, t in enumerate(odd_texts())]
+    found = secrets.scan(docs(spark, rows)).collect()
+    text = dict(rows)
+    for r in found:
+        want = brute.secrets(text[r.doc_id] or "")
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert ",".join(s for s in r.spans.split(",") if not s.startswith("markov")) == want
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(want.count(k + ":") for k in ("assign", "access", "hex"))
+    assert secrets.scan(docs(spark, [])).count() == 0
+
+
+def test_secrets_models_tell_keys_from_names(spark):
+    rows = [(i, "ordinary words and identifiers like get_user_account or international_organisation in a sentence") for i in range(50)]
+    rows += [(100, "key ghq_16C7e42F292c6912E7710c838347Ae178B4a here"), (101, "see internationalization_of_the_things_2 here")]
+    got = {r.doc_id: r.n_markov for r in secrets.scan(docs(spark, rows)).collect()}
+    assert got[100] == 1 and got[101] == 0 and got[0] == 0
+
+
+# --------------------------------------------------------------------------- 6
+
+
+def test_topk_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) if rng.random() < 0.7 else 0.0 for x in rng.normal(size=8)]) for i in range(400)]
+    rows += [(401, [float("nan")] * 8), (402, None), (403, [None] * 8), (404, []), (None, [1.0] * 8), (405, [1.0] * 5), (406, rows[0][1]), (407, rows[0][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"label": F.lit(1), "rank": F.lit(2), "score": F.lit(0)})
+    ok = {i: [math.floor(256 * x) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    want = set()
+    for q in (i for i in ok if i % 50 == 0):
+        ranked = sorted(((-sum(a * b for a, b in zip(ok[q], ok[i])), i) for i in ok if i != q))[:5]
+        want |= {(q, k, i, -s) for k, (s, i) in enumerate(ranked, 1)}
+    assert {tuple(r) for r in topk.search(df).collect()} == want
+    few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.search(few).collect()] == [(0, 1, 1, 256 * 512)]
+    assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+# --------------------------------------------------------------------------- 7
+
+
+def test_language_id(spark):
+    rng = random.Random(6)
+    words = {"xx": ["alpha", "bravo", "gamma", "delta"], "yy": ["jota", "queso", "lluvia", "nino"], "zz": ["schloss", "burg", "stadt", "wasser"]}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(20)), k) for i in range(900) for k in [("xx", "yy", "zz")[i % 3]]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit("s"))
+    got = {r.doc_id: r for r in langid.identify(df, 300).collect()}
+    held = [got[i].lang_pred == k for i, _, k in rows if got[i].held_out]
+    assert sum(held) / len(held) > 0.98 and all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
+    model = langid.fit(df, 300)
+    odd = {r.doc_id: r for r in langid.predict(docs(spark, [(1, None), (2, ""), (3, "12 ! 34"), (4, "wasser burg"), (None, "queso")]), model).collect()}
+    assert [odd[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and odd[4].lang_pred == "zz" and odd[None].lang_pred == "yy"
+    assert all(0 <= r.score <= 1 for r in odd.values())
+    empty = df.limit(0)
+    assert langid.identify(empty).count() == 0
+    assert langid.identify(df.where("doc_id < 9").withColumn("lang", F.lit(None).cast("string"))).where("lang_pred = 'und'").count() == 9
+
+
+# --------------------------------------------------------------------------- 8
+
+
+def test_lines_against_brute_force(spark):
+    rng = random.Random(7)
+    pool = ["a common line here", " A COMMON LINE HERE\t", "short", "another longer line", "ünïcödé line ø", "nine char", "tencharsxx", "", "é" * 9, "é" * 10]
+    rows = [(rng.randrange(120), "\n".join(rng.choice(pool) + (f" {rng.randrange(60)}" if rng.random() < 0.4 else "") for _ in range(rng.randrange(0, 9)))) for _ in range(150)]
+    rows += [(None, "a common line here"), (3, None), (4, "")] + [(500 + i, t) for i, t in enumerate(odd_texts())]
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = defaultdict(list)
+    for (d, kept, n), (_, t) in zip(brute.keep_lines(rows), rows):
+        want[d].append(((t or "").count("\n") + 1, n, sha(kept)))
+    got = by_doc(lines.digest(docs(spark, rows).repartition(5)).collect(), "n_lines", "n_dropped", "kept_sha256")
+    assert got == {k: sorted(v, key=repr) for k, v in want.items()}
+    assert lines.digest(docs(spark, [])).count() == 0
+    kept = lines.deduplicate(docs(spark, rows))
+    assert kept.columns == docs(spark, []).columns
+    assert Counter((r.doc_id, r.text or "") for r in kept.select("doc_id", "text").collect()) == Counter((d, k) for d, k, _ in brute.keep_lines(rows))
+
+
+# --------------------------------------------------------------------------- 9
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcde") for _ in range(rng.randrange(0, 60))) for _ in range(150)]
+    items = [(i, " ".join(rng.choice("abcde") for _ in range(rng.randrange(0, 14)))) for i in range(25)] + [(3, "B, a! c"), (None, "a b"), (99, None), (98, "zz zz")]
+    rows = list(enumerate(texts)) + [(200 + i, t) for i, t in enumerate(odd_texts())] + [(None, texts[0]), (5, texts[5])]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
+    want = defaultdict(list)
+    for d, n, hit, found in brute.hits(rows, items):
+        want[d].append((n, hit, len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), hit > 0))
+    got = by_doc(decontam.digest(docs(spark, rows), bench).collect(), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert got == {k: sorted(v, key=repr) for k, v in want.items()}
+    assert decontam.digest(docs(spark, rows), bench.limit(0)).where("contaminated").count() == 0
+    assert decontam.digest(docs(spark, []), bench).count() == 0
+
+
+def test_decontamination_cuts_spans(spark, monkeypatch):
+    item = "one two three four five six seven eight nine ten"
+    clean = "Nothing to see here, move along."
+    rows = [(1, f"Before. {item.upper()}! After it come many more words than the item had, so that it stays."), (2, item), (3, clean), (4, None)]
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    for size in (60_000, 3):  # one shard or more
+        monkeypatch.setattr(decontam, "SHARD_WORDS", size)
+        got = {r.doc_id: r.text for r in decontam.clean(docs(spark, rows), bench).select("doc_id", "text").collect()}
+        assert got == {1: "Before. ! After it come many more words than the item had, so that it stays.", 3: clean, 4: None}
+    spans = {r.doc_id: (r.spans[0].begin, r.spans[0].end, r["items"]) for r in decontam.report(docs(spark, rows), bench).collect()}
+    assert spans == {1: (1, 11, [7]), 2: (0, 10, [7])}
+
+
+# --------------------------------------------------------------------------- 10
+
+
+@pytest.mark.parametrize("zip64", [False, True])
+def test_zip_directories(zip64, tmp_path):
+    import io
+    import zipfile
+
+    members = [("a.txt", b"alpha"), ("dir/é.bin", bytes(range(256)) * 10), ("empty", b"")]
+    raw = warc.zip_stored(members, zip64)
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:  # another reader agrees
+        assert [(i.filename, z.read(i)) for i in z.infolist()] == members and z.testzip() is None
+    found = warc.zip_members(lambda at, n: raw[at : at + n], len(raw))
+    assert {k: raw[a : a + n] for k, (a, n) in found.items()} == dict(members)
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:  # and we read others' archives
+        z.writestr("x", "stored")
+        z.writestr("y", "packed" * 100, zipfile.ZIP_DEFLATED)
+        z.comment = b"PK\x05\x06 in a comment"
+    raw = buffer.getvalue()
+    assert set(warc.zip_members(lambda at, n: raw[at : at + n], len(raw))) == {"x"}
+    with pytest.raises(ValueError):
+        warc.zip_members(lambda at, n: b"nothing"[at : at + n], 7)
+
+
+def test_warc_round_trip(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 3000)
+    big, other = "é" * 600, "\r\n\r\nWARC/1.1\r\n" * 90
+    rows = [(1, "http://a", big), (2, None, big), (3, "u\nv", other), (4, "x", "small"), (5, "x", "small"), (6, "x", None), (7, "", ""), (2, None, big), (None, "n", big), (8, "h", other)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"target": F.lit(1), "digest": F.lit("d")})
+    want = []
+    for p, _, h in rows:
+        data = (h or "").encode()
+        top = max((q for q, _, x in rows if x == h and q is not None), default=None) if len(data) >= 1000 else None
+        revisit = p is not None and top is not None and top != p
+        want.append((p, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", top if revisit else None))
+    got = [tuple(r) for r in warc.round_trip(df).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    full = warc.read_archives(common.cut(warc.write_archives(df))).where("record_type = 'response'")
+    assert {(r.page_id, bytes(r.payload)) for r in full.collect()} == {(p, (h or "").encode()) for (p, _, h), w in zip(rows, want) if w[3] == "response"}
+    assert warc.round_trip(df.limit(0)).count() == 0
+
+
+def test_warc_reads_files(spark, tmp_path):
+    (tmp_path / "one.wacz").write_bytes(warc.archive([warc.record(1, "http://a", b"hello", hashlib.sha1(b"hello").hexdigest(), None)]))
+    files = spark.read.format("binaryFile").load(str(tmp_path / "*.wacz"))
+    assert [(r.page_id, bytes(r.payload)) for r in warc.read_archives(files, "content").collect()] == [(1, b"hello")]
