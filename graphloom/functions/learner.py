@@ -74,3 +74,8 @@ def summary(path: Column, score_pct: Column, weak: Column, strong: Column) -> Co
     advance = F.concat(F.lit("Excellent! You scored "), score, F.lit("%. You've demonstrated strong mastery of "), names(strong, 3, "the quiz topics"), F.lit(". Explore the advanced topics below to deepen your understanding."))
     mixed = F.concat(F.lit("You scored "), score, F.lit("%. You're doing well on "), names(strong, 2, "other areas"), F.lit(", but could strengthen "), names(weak, 2, "some areas"), F.lit(". See targeted recommendations below."))
     return F.when(path == "remediation", remedy).when(path == "advancement", advance).otherwise(mixed)
+
+
+def mastery_band(mastery: Column) -> Column:
+    """Colour band of a mastery level."""
+    return F.when(mastery >= 0.7, "green").when(mastery >= 0.4, "yellow").otherwise("red")

@@ -157,3 +157,35 @@ def precision(judged: DataFrame, by: str = "query_id") -> DataFrame:
 
 def collection_info(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("doc_count")).withColumn("exists", F.lit(True))
+
+
+#: Columns of a hit, and what stands in for missing ones.
+HIT = {"id": "", "text": "", "module_id": "", "module_title": "", "section": "", "attribution": ""}
+
+
+def standard_hits(hits: DataFrame, mode: str = "hybrid") -> DataFrame:
+    """Hits with the standard columns: missing ones get their defaults."""
+    out = {k: F.coalesce(F.col(k).cast("string"), F.lit(v)) if k in hits.columns else F.lit(v) for k, v in HIT.items()}
+    terms = F.coalesce("key_terms", F.array().cast("array<string>")) if "key_terms" in hits.columns else F.array().cast("array<string>")
+    return hits.select(*[c.alias(k) for k, c in out.items()], terms.alias("key_terms"), F.col("score").cast("double").alias("score"), F.lit(mode).alias("retrieval_mode"))
+
+
+def hit_key(text: Column, key: Column) -> Column:
+    """The id of a hit, or a hash of the text's first 50 characters where it has none."""
+    return F.coalesce(key.cast("string"), F.xxhash64(F.substring(text, 1, 50)).cast("string"))
+
+
+def search_terms(text: Column) -> Column:
+    """Words of more than three characters."""
+    return F.filter(F.split(text, r"\s+"), lambda w: F.length(w) > 3)
+
+
+def retrieve(vectors: DataFrame, query: Sequence[float], docs: DataFrame, text: DataFrame, k: int = SETTINGS.top_k, mode: str = SETTINGS.retrieval_mode, backend: str = SETTINGS.vector_backend, fields: dict[str, float] | None = None) -> DataFrame:
+    """id, score, rank by mode (knn or hybrid) and backend: the graph store only searches vectors, hybrid fuses both."""
+    near = knn(vectors, query, k, "id", "vector")
+    if backend == "neo4j" or (backend == "opensearch" and mode == "knn"):
+        return near.select("id", "score", "rank")
+    both = hybrid(vectors, query, docs, text, k, fields or {"text": 3.0})
+    if backend == "hybrid":
+        both = rrf([near, both], top_k=k)
+    return both.select("id", F.col("rrf_score").alias("score"), "rank")

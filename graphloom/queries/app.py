@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import learner as L
 from ..functions import text as X
 from ..operators import learner as O
+from ..operators import retrieve as R
 from ..plans import ask as A
 from ..plans import build_kg as B
 from ..plans import quiz as Z
+from ..plans import recommend as P
+from ..sources import web as W
 from ..streaming import learners as T
-from . import query, read, text
+from . import graphs, query, read, retrieval, text
 
 
 @query("select time_bucket(interval 1 minute, ts) as window_start, event_type as key, count(*) as n from events group by all")
@@ -97,3 +101,66 @@ def stream_mastery(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select time_bucket(interval 1 minute, ts) as window_start, event_type as key, count(*) as n from events group by all")
 def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.rates_to_end(spark, sf_dir)
+
+
+@query("select doc_id::varchar as id, text, source as module_id, '' as module_title, lang as section, '' as attribution, 0 as n_terms, n_chars::double as score, 'knn' as retrieval_mode from documents")
+def standard_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("module_id"), F.col("lang").alias("section"), F.col("n_chars").alias("score"))
+    return R.standard_hits(hits, "knn").withColumn("n_terms", F.size("key_terms")).drop("key_terms")
+
+
+@query("select item_id, array_to_string(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda w: length(w) > 3), ' ') as terms from benchmark")
+def search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "benchmark").select("item_id", F.array_join(R.search_terms(F.col("text")), " ").alias("terms"))
+
+
+@query(retrieval._rrf_sql([retrieval._knn_sql(0, 20), retrieval._hybrid_sql().replace("select id, rrf_score, row_number", "select id, row_number")], 20).replace("select id, rrf_score, row_number", "select id, rrf_score as score, row_number"))
+def cross_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector list fused with the hybrid list."""
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = read(spark, sf_dir, "benchmark").where("item_id = 0").select(F.col("item_id").alias("query_id"), "text")
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return R.retrieve(vectors, R.vector_of(vectors, 0, "id", "vector"), docs, asked, backend="hybrid")
+
+
+@query(f"select item_id as query_id, id, score, rank, case when length(text) > 200 then left(text, 200) || '...' else text end as preview from ({retrieval._top_sql(retrieval._bm25_sql('text'), 2)}) h join benchmark b on b.item_id = h.query_id join (select doc_id, text as t from documents) d on d.doc_id = h.id".replace("case when length(text) > 200 then left(text, 200) || '...' else text end", "case when length(t) > 200 then left(t, 200) || '...' else t end"))
+def reading_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return P.readings(asked, read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+_RES = "res as (select o.o_custkey as quiz, o.o_custkey as student, i.name as concept, i.n >= 4 as correct, o.o_orderkey * 10 + i.n as place from orders o join i on i.g = o.o_orderkey)"
+
+
+@query(
+    f"""with {graphs._E}, {_RES}, sides as (select distinct quiz, student, concept, case when correct then 'strong' else 'weak' end as side from res), starts as (select distinct concept as name from sides),
+p as (select distinct s.name as start, p.source as node from starts s join pre p on p.target = s.name), d as (select distinct s.name as start, p.target as node from starts s join pre p on p.source = s.name),
+r as (select distinct s.name as start, case when r.source = s.name then r.target else r.source end as node from starts s join rel r on s.name in (r.source, r.target)),
+f as (select 'weak' as side, start, node from p union all select 'weak', start, node from r where start not in (select start from p) union all select 'strong', start, node from d union all select 'strong', start, node from r where start not in (select start from d)),
+k as (select f.side, f.start, n.name, n.importance, row_number() over (partition by f.side, f.start order by n.importance desc nulls first, n.name) as rank from f join nodes n on n.name = f.node)
+select s.quiz, s.side, count(*) as n, round(sum(k.importance), 4) as importance, 0.3::double as least_mastery from sides s join k on k.start = s.concept and k.side = s.side where k.rank <= 5 group by s.quiz, s.side"""
+)
+def recommendation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as quizzes of their customers; nobody's mastery is known yet, so all have the default."""
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("g"), F.col("o_custkey").alias("quiz"))
+    results = orders.join(graphs.items(spark, sf_dir), "g").select("quiz", F.col("quiz").alias("student"), F.col("name").alias("concept"), (F.col("n") >= 4).alias("correct"), (F.col("g") * 10 + F.col("n")).alias("place"))
+    state = spark.createDataFrame([], "student long, concept string, mastery_level double")
+    found = P.blocks(results, graphs.edges(spark, sf_dir), graphs.nodes(spark, sf_dir), state)
+    return found.groupBy("quiz", "side").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("importance"), 4).alias("importance"), F.min("mastery_level").alias("least_mastery"))
+
+
+@query("select p_partkey, 25 + 45 * (p_size / 50.0::double) as node_size, case when p_size >= 35 then 'green' when p_size >= 20 then 'yellow' else 'red' end as band from part")
+def node_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    share = F.col("p_size") / 50.0
+    return read(spark, sf_dir, "part").select("p_partkey", L.node_size(share).alias("node_size"), L.mastery_band(share).alias("band"))
+
+
+@query("select n_name as concept, round(0.1 + (n_nationkey % 9) / 10.0, 2)::double as mastery_level, 3 + n_nationkey % 5 as attempts, timestamp '2024-01-31 12:00:00' - n_nationkey * interval 1 hour as last_assessed from nation")
+def seeded_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    concepts = read(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("place"))
+    return P.seed(concepts, F.lit("2024-01-31 12:00:00").cast("timestamp_ntz"))
+
+
+@query()
+def page_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.bodies(read(spark, sf_dir, "pages")).select("id", F.length("text").alias("n"))
