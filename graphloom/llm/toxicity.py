@@ -138,7 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_docs: int = 1500, other_docs:
         return none
     chance = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("toxic") == 1, F.lit(toxic_docs / there[1])).otherwise(F.lit(other_docs / max(1, there.get(0, 0))))
-    chosen = truth.where(chance < share).withColumnRenamed("doc_id", "chosen")
+    room = 2 * (toxic_docs + other_docs)  # the expected number is half of it; so the broadcast is bounded
+    chosen = F.broadcast(truth.where(chance < share).withColumnRenamed("doc_id", "chosen").limit(room))
     rows = need(docs, doc_id="long", text="string")
     sample = common.cut(rows.join(chosen, rows["doc_id"] == chosen["chosen"]).select("text", F.xxhash64("doc_id", F.lit(6)).alias("by"), "toxic").mapInArrow(_distinct, "by long, toxic int, features binary, votes binary"))
 
