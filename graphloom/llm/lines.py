@@ -129,7 +129,8 @@ def with_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """docs with _n_dropped and _dropped (null where nothing goes)."""
     maps = cut(keep_bitmaps(docs, id_col, text_col, min_chars)).select(F.col("row_id").alias("__row_id"), F.col("n_dropped").alias("_n_dropped"), F.col("dropped").alias("_dropped"))
     keyed = docs.withColumn("__row", F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")))
-    return keyed.join(maps, keyed["__row"] == maps["__row_id"], "left").drop("__row", "__row_id")
+    # always merged: texts move once at any size, and a hot half is split
+    return keyed.join(maps.hint("merge"), keyed["__row"] == maps["__row_id"], "left").drop("__row", "__row_id")
 
 
 def keep(text: str | None, dropped: bytes | None) -> str:
