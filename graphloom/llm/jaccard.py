@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, cut, fanout, mix, need, pack, pack_sorted, scrap, shingles, slices, table, text_bytes, unpack, unpack_sorted, words
@@ -552,11 +552,12 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, block_rows: int = 1
 def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs whose doc_id names their component (one document of each group), all columns as they are.
 
-    Of rows that repeat a doc_id one stays; rows without doc_id all stay.
+    Of rows that repeat a doc_id the one whose text has the smallest hash stays; rows without doc_id all stay.
     """
-    kept = cut(join(docs, width, percent).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")).withColumnRenamed("doc_id", "_kept"))
-    once = docs.join(kept.where("_rows = 1"), docs["doc_id"] == kept["_kept"], "left_semi")
-    twice = docs.join(kept.where("_rows > 1"), docs["doc_id"] == kept["_kept"], "left_semi")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    twice = twice.withColumn("_row", F.row_number().over(first)).where("_row = 1").drop("_row")
-    return once.unionByName(twice).unionByName(docs.where("doc_id is null"))
+    kept = cut(join(docs, width, percent).where("doc_id = component_id").select("doc_id").distinct())
+    rows = docs.where("doc_id is not null").withColumn("__text", F.xxhash64("text"))
+    first = rows.groupBy("doc_id").agg(F.min("__text").alias("__first"))
+    kept = cut(kept.join(first, "doc_id").select(F.col("doc_id").alias("__kept"), "__first"))
+    same = (rows["doc_id"] == kept["__kept"]) & (rows["__text"] == kept["__first"])
+    once = rows.join(kept.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", "__text"]).drop("__text")
+    return once.unionByName(docs.where("doc_id is null"))
