@@ -327,10 +327,13 @@ class SignatureTree:
         self.order = sorted(range(len(sets)), key=lambda i: (int(sets[i][0]), len(sets[i])))
         self.sets = [sets[i] for i in self.order]
         self.sizes = np.array([len(s) for s in self.sets], np.int64)
+        self.built: tuple | None = None
         self.bits = 1 << int(np.clip(int(4 * self.sizes.max()) - 1, 255, (1 << 16) - 1)).bit_length()
 
     def build(self, bits: int) -> list:
         """bits: the bitmaps' width, the same for both trees of a traversal.  Returns the root."""
+        if self.built and self.built[0] == bits:
+            return self.built[1]
         maps = np.zeros((len(self.sets), bits), bool)
         for i, s in enumerate(self.sets):
             maps[i, (s >> np.uint64(24)).astype(np.int64) & (bits - 1)] = True
@@ -344,6 +347,7 @@ class SignatureTree:
         while len(level) > 1:
             level = [(c[0][0], c[-1][1], np.bitwise_or.reduce([x[2] for x in c]), min(x[3] for x in c), max(x[4] for x in c), max(x[5] for x in c), c) for c in (level[i : i + FAN] for i in range(0, len(level), FAN))]
         self.maps, self.excess = maps, excess
+        self.built = (bits, level[0])
         return level[0]
 
 
@@ -428,23 +432,51 @@ def _first_round(percent: int):
     return run
 
 
-def _second_round(percent: int):
-    """Rows (block, part, visitor, node, set, label): visitors against the part's own documents."""
+def _second_round(percent: int, guests_at_once: int = 256):
+    """Rows (block, part, visitor, node, set, label), a part's own documents first: visitors against those.
+
+    Visitors stream by in small groups, so a part holds no more than its own documents.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups(batches, 2):
-            guests, own = [r[1:] for r in rows if r[0]], [r[1:] for r in rows if not r[0]]
-            a, b = [], []
+        part, own, tree, label = None, [], None, None
+        guests: list = []
+        a: list[int] = []
+        b: list[int] = []
+
+        def meet() -> None:
+            nonlocal tree, label
             if guests and own:
-                x, y = (SignatureTree([np.frombuffer(s, np.uint64) for _, s, _ in side]) for side in (guests, own))
-                label_x, label_y = (np.array([side[i][2] for i in tree.order], np.int64) for side, tree in ((guests, x), (own, y)))
-                for i, j in link_trees(x, y, label_x, label_y, percent):
+                if tree is None:
+                    tree = SignatureTree([s for _, s, _ in own])
+                    label = np.array([own[i][2] for i in tree.order], np.int64)
+                x = SignatureTree([s for _, s, _ in guests])
+                label_x = np.array([guests[i][2] for i in x.order], np.int64)
+                for i, j in link_trees(x, tree, label_x, label, percent):
                     a.append(guests[x.order[i]][0])
-                    b.append(own[y.order[j]][0])
-                    old, new = label_x[i], label_y[j]
+                    b.append(own[tree.order[j]][0])
+                    old, new = label_x[i], label[j]
                     label_x[label_x == old] = new
-                    label_y[label_y == old] = new
+                    label[label == old] = new
+            guests.clear()
+
+        for batch in batches:
+            for block, place, visitor, node, elements, mark in zip(*(c.to_pylist() for c in batch.columns)):
+                if (block, place) != part:
+                    meet()
+                    part, own, tree = (block, place), [], None
+                row = (node, np.frombuffer(elements, np.uint64), mark)
+                if not visitor:
+                    own.append(row)
+                    continue
+                guests.append(row)
+                if len(guests) >= guests_at_once or sum(len(s) for _, s, _ in guests[-1:]) > 1 << 19:
+                    meet()
             yield table("a long,b long", a=a, b=b)
+            a.clear()
+            b.clear()
+        meet()
+        yield table("a long,b long", a=a, b=b)
 
     return run
 
@@ -508,7 +540,7 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, block_rows: int = 1
 
     plan = cut(nodes.select("node", "mark1", "n").join(blocks, "node").select("node", "mark1", "n", F.col("component").alias("block")))
     room = F.greatest(F.lit(block_rows), F.least(F.lit(4096), F.ceil(F.col("rows") / (4 * parts))))
-    sizes = cut(plan.groupBy("block").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("elements")).select("block", F.greatest(F.ceil(F.col("rows") / room), F.ceil(F.col("elements") / (2000 * room))).cast("int").alias("deal")))
+    sizes = cut(plan.groupBy("block").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("elements")).select("block", F.greatest(F.ceil(F.col("rows") / room), F.ceil(F.col("elements") / (8000 * room))).cast("int").alias("deal")))
     wanted = spark.sparkContext.broadcast(_wanted(plan))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -540,7 +572,7 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, block_rows: int = 1
         marked = large.join(cut(held), "node").select("block", "part", "deal", "outside", "node", "elements", "label")
         guests = marked.where("outside").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("deal") - 1))).withColumn("visitor", F.lit(True))
         second = marked.withColumn("visitor", F.lit(False)).unionByName(guests).select("block", "part", "visitor", "node", "elements", "label")
-        second = second.repartition(parts, "block", "part").sortWithinPartitions("block", "part")
+        second = second.repartition(parts, "block", "part").sortWithinPartitions("block", "part", "visitor")
         found = cut(found.unionByName(second.mapInArrow(_second_round(percent), "a long, b long")))
     linked = components(found)
 
