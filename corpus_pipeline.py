@@ -60,9 +60,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        with common.scratch(spark) as keep:
+            docs = stage(spark, docs, sf_dir) if i == len(STAGES) - 1 else keep(common.cut(stage(spark, docs, sf_dir)))
         if i < len(STAGES) - 1:
-            docs = common.cut(docs)
+            if last:
+                common.scrap(spark, last)
+            last = docs._table_path
     return docs

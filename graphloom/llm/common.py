@@ -6,9 +6,10 @@ once, so the cost is a few numpy passes over the bytes and not a Python loop ove
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,23 +36,48 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR["own"]
 
 
+_OPEN: list[list[str]] = []
+
+
 def cut(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends there, and a lost executor costs
     a re-read only."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
 
 
-def scrap(df: DataFrame) -> None:
-    """Deletes the files of a table made by cut() that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        if "/graphloom-" in f:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def scrap(spark: SparkSession, path: str) -> None:
+    """Deletes a table made by cut() that no later plan reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """The tables that cut() makes inside go at the end, but those given to the function that it yields."""
+    made: list[str] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._table_path)
+        return df
+
+    _OPEN.append(made)
+    try:
+        yield keep
+    finally:
+        _OPEN.remove(made)
+        for path in made:
+            if path not in kept:
+                scrap(spark, path)
+            elif _OPEN:
+                _OPEN[-1].append(path)
 
 
 def fanout(df: DataFrame, target: int = 16 << 20) -> int:

@@ -1,7 +1,7 @@
 """Benchmark decontamination with a generalised suffix automaton of the test items' words.
 
-The automaton covers all items of one shard (shards have a bounded number of words, and further items make further
-shards, so that what is broadcast has a fixed bound).  Runs of document words that occur in any item at all are found
+The automaton covers all items of one shard, of a bounded number of words; a bounded group of shards goes to the tasks
+at once.  A benchmark of more words takes a scan for each group, and the spans that these find are joined by row.  Runs of document words that occur in any item at all are found
 with numpy; only those runs pass through the automaton, which tracks the longest match ending at each word.
 
 Edge cases: null and empty texts have no words; an item without words has no window; an item shorter than the window
@@ -12,6 +12,7 @@ nothing; an empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NONWORD, map_rows, need, slices, table, text_bytes, word_ends, words
+from .common import NONWORD, cut, map_rows, need, slices, table, text_bytes, word_ends, words
 
 #: Item words in one automaton, and so in one broadcast (some 100 bytes a word).
 SHARD_WORDS = 60_000
+#: Shards in one broadcast.
+GROUP = 8
 
 
 class Automaton:
@@ -129,14 +132,15 @@ def _sequences(texts: list[str | None]) -> list[np.ndarray]:
     return [h[first[i] : first[i + 1]] for i in range(len(texts))]
 
 
-def shards(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> list[tuple[np.ndarray, Automaton, int]]:
+def shards(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> Iterator[tuple[np.ndarray, Automaton, int]]:
     """For each shard: the sorted hashes of its words, its automaton over places in them, its shortest window."""
-    out, part, size = [], [], 0
+    part: list = []
+    size = 0
 
-    def close() -> None:
+    def close() -> tuple[np.ndarray, Automaton, int]:
         vocabulary = np.unique(np.concatenate([s for _, s in part]))
         auto = Automaton([(i, np.searchsorted(vocabulary, s).tolist()) for i, s in part], window)
-        out.append((vocabulary, auto, min(window, *(len(s) for _, s in part))))
+        return vocabulary, auto, min(window, *(len(s) for _, s in part))
 
     rows = need(benchmark, **{id_col: "long", text_col: "string"}).where(f"{id_col} is not null").toLocalIterator()
     for item, text in rows:
@@ -144,13 +148,12 @@ def shards(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> lis
         if not len(seq):
             continue
         if part and size + len(seq) > SHARD_WORDS:
-            close()
+            yield close()
             part, size = [], 0
         part.append((item, seq))
         size += len(seq)
     if part:
-        close()
-    return out
+        yield close()
 
 
 class Scanner:
@@ -179,39 +182,93 @@ class Scanner:
                     own[0].extend((s + b - int(first[row]), t + b - int(first[row])) for s, t in spans)
                     own[1].update(items)
         for row, (spans, items) in out.items():
-            merged: list[tuple[int, int]] = []
-            for s, t in sorted(spans):
-                if merged and s <= merged[-1][1]:
-                    merged[-1] = (merged[-1][0], max(t, merged[-1][1]))
-                else:
-                    merged.append((s, t))
-            out[row] = (merged, items)
+            out[row] = (_merged(spans), items)
         return out
 
 
-def _slices(column: pa.Array):
-    buf, offs = text_bytes(column)
-    for lo, hi in slices(offs):
-        part, own = buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
-        yield lo, hi, part, own, *words(part, own, NONWORD)
+_SPANS = "array<struct<begin:long,end:long>>"
+_PAIRS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+
+
+def _found(docs: DataFrame, group: list) -> DataFrame:
+    """row_id (of doc_id and text), spans, items of the rows with windows of this group of shards."""
+    shared = docs.sparkSession.sparkContext.broadcast(group)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(shared.value)
+        for batch in batches:
+            buf, offs = text_bytes(batch.column(0))
+            for lo, hi in slices(offs):
+                h, _, first = words(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], NONWORD)
+                found = sorted(scanner.scan(h, first).items())
+                pairs = pa.array([[{"begin": s, "end": t} for s, t in spans] for _, (spans, _) in found], _PAIRS)
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array([lo + i for i, _ in found], pa.int64())), pairs, pa.array([sorted(x) for _, (_, x) in found], pa.list_(pa.int64()))], ["row_id", "spans", "items"])
+
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("row_id"))
+    return rows.mapInArrow(run, f"row_id long, spans {_SPANS}, items array<long>")
+
+
+class _Finder:
+    """Spans and items of a batch's rows, by a scanner or from columns."""
+
+    def __init__(self, group: list | None):
+        self.scanner = Scanner(group) if group is not None else None
+
+    def rows(self, batch: pa.RecordBatch, text: int, extra: int) -> Iterator[tuple]:
+        """lo, hi, bytes, offsets, word starts, first words, {row: (spans, items)} of each slice."""
+        buf, offs = text_bytes(batch.column(text))
+        for lo, hi in slices(offs):
+            part, own = buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
+            h, starts, first = words(part, own, NONWORD)
+            if self.scanner:
+                found = self.scanner.scan(h, first)
+            else:
+                columns = (batch.column(extra)[lo:hi].to_pylist(), batch.column(extra + 1)[lo:hi].to_pylist())
+                found = {i: (_merged([(x["begin"], x["end"]) for x in spans]), set(items)) for i, (spans, items) in enumerate(zip(*columns)) if spans}
+            yield lo, hi, part, own, starts, first, found
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for s, t in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(t, out[-1][1]))
+        else:
+            out.append((s, t))
+    return out
+
+
+def _prepared(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, list | None]:
+    """docs and a group of shards, where one group holds the benchmark; else docs with the columns __spans and __items,
+    found group by group, and None."""
+    found = shards(benchmark, "item_id", "text", window)
+    group, more = list(itertools.islice(found, GROUP)), list(itertools.islice(found, GROUP))
+    if not more:
+        return docs, group
+    parts = cut(_found(docs, group))
+    while more:
+        parts = parts.unionByName(cut(_found(docs, more)))
+        more = list(itertools.islice(found, GROUP))
+    whole = parts.groupBy(F.col("row_id").alias("__row_id")).agg(F.flatten(F.collect_list("spans")).alias("__spans"), F.flatten(F.collect_list("items")).alias("__items"))
+    keyed = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    return keyed.join(whole, keyed["__row"] == whole["__row_id"], "left").drop("__row", "__row_id"), None
 
 
 def digest(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    shared = docs.sparkSession.sparkContext.broadcast(shards(benchmark, "item_id", "text", window))
+    rows, group = _prepared(need(docs, doc_id="long", text="string"), benchmark, window)
+    shared = docs.sparkSession.sparkContext.broadcast(group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(shared.value)
+        finder = _Finder(shared.value)
         for batch in batches:
-            for lo, hi, _, _, h, _, first in _slices(batch.column(1)):
-                found = scanner.scan(h, first)
-                n = np.diff(first)
+            for lo, hi, _, _, _, first, found in finder.rows(batch, 1, 2):
                 hit = [sum(t - s for s, t in found[i][0]) if i in found else 0 for i in range(hi - lo)]
                 items = [sorted(map(str, found[i][1])) if i in found else [] for i in range(hi - lo)]
-                yield table(schema, doc_id=batch.column(0)[lo:hi], n_words=n, n_hit=hit, n_items=[len(x) for x in items], items_sha256=[hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], contaminated=[x > 0 for x in hit])
+                yield table(schema, doc_id=batch.column(0)[lo:hi], n_words=np.diff(first), n_hit=hit, n_items=[len(x) for x in items], items_sha256=[hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], contaminated=[x > 0 for x in hit])
 
-    return need(docs, doc_id="long", text="string").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5) -> DataFrame:
@@ -220,15 +277,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage:
     A document of which more than max_coverage of the words are hit goes; the others lose the bytes from the first to
     the last word of each span.  All columns stay; n_chars is left to the caller.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(shards(benchmark, "item_id", "text", window))
-    at = docs.columns.index("text")
+    rows, group = _prepared(docs, benchmark, window)
+    shared = docs.sparkSession.sparkContext.broadcast(group)
+    at, n = docs.columns.index("text"), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(shared.value)
+        finder = _Finder(shared.value)
         for batch in batches:
             texts, stay = batch.column(at).to_pylist(), np.ones(batch.num_rows, bool)
-            for lo, _, part, own, h, starts, first in _slices(batch.column(at)):
-                found = scanner.scan(h, first)
+            for lo, _, part, own, starts, first, found in finder.rows(batch, at, n):
                 ends = word_ends(part, own, NONWORD) if found else None
                 for i, (spans, _) in found.items():
                     if sum(t - s for s, t in spans) > max_coverage * (first[i + 1] - first[i]):
@@ -239,22 +296,23 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage:
                         out.append(raw[last : starts[first[i] + s] - own[i]])
                         last = ends[first[i] + t - 1] - own[i]
                     texts[lo + i] = b"".join([*out, raw[last:]]).decode()
-            columns = [pa.array(texts, c.type) if i == at else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(stay))
+            columns = [pa.array(texts, c.type) if i == at else c for i, c in enumerate(batch.columns[:n])]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:n]).filter(pa.array(stay))
 
-    return map_rows(docs, run, docs.columns)
+    return map_rows(rows, run, docs.columns)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """doc_id, spans (array of begin and end word), items (array of item_id), for documents with hits."""
-    shared = docs.sparkSession.sparkContext.broadcast(shards(benchmark, "item_id", "text", window))
+    rows, group = _prepared(need(docs, doc_id="long", text="string"), benchmark, window)
+    shared = docs.sparkSession.sparkContext.broadcast(group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(shared.value)
+        finder = _Finder(shared.value)
         for batch in batches:
-            for lo, _, _, _, h, _, first in _slices(batch.column(1)):
-                found = sorted(scanner.scan(h, first).items())
-                pairs = pa.array([[{"begin": s, "end": t} for s, t in spans] for _, (spans, _) in found], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[lo + i].as_py() for i, _ in found], pa.int64()), pairs, pa.array([sorted(x) for _, (_, x) in found], pa.list_(pa.int64()))], ["doc_id", "spans", "items"])
+            for lo, _, _, _, _, _, found in finder.rows(batch, 1, 2):
+                hits = sorted(found.items())
+                pairs = pa.array([[{"begin": s, "end": t} for s, t in spans] for _, (spans, _) in hits], _PAIRS)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([lo + i for i, _ in hits], pa.int64())), pairs, pa.array([sorted(x) for _, (_, x) in hits], pa.list_(pa.int64()))], ["doc_id", "spans", "items"])
 
-    return need(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, spans array<struct<begin:long,end:long>>, items array<long>")
+    return rows.mapInArrow(run, f"doc_id long, spans {_SPANS}, items array<long>")

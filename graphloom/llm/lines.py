@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fanout, map_rows, need, slices, table, text_bytes
+from .common import cut, fanout, map_rows, need, scratch, slices, table, text_bytes
 
 _TRIM = b" \t\n\x0b\x0c\r"
 _OFFERS = "kind int, high long, low long, doc_id long, row_id long, positions binary"
@@ -127,7 +127,9 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def with_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
     """docs with _n_dropped and _dropped (null where nothing goes)."""
-    maps = cut(keep_bitmaps(docs, id_col, text_col, min_chars)).select(F.col("row_id").alias("__row_id"), F.col("n_dropped").alias("_n_dropped"), F.col("dropped").alias("_dropped"))
+    with scratch(docs.sparkSession) as hold:
+        maps = hold(cut(keep_bitmaps(docs, id_col, text_col, min_chars)))
+    maps = maps.select(F.col("row_id").alias("__row_id"), F.col("n_dropped").alias("_n_dropped"), F.col("dropped").alias("_dropped"))
     keyed = docs.withColumn("__row", F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")))
     # always merged: texts move once at any size, and a hot half is split
     return keyed.join(maps.hint("merge"), keyed["__row"] == maps["__row_id"], "left").drop("__row", "__row_id")

@@ -130,6 +130,11 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_docs: int = 1500, other_docs:
 
     toxic_docs and other_docs bound the labelled documents that it is fitted on, size its features.
     """
+    with common.scratch(docs.sparkSession):
+        return _fit(docs, labels, toxic_docs, other_docs, parts, held, size)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, toxic_docs: int, other_docs: int, parts: int, held: int, size: int) -> dict:
     none = {"hashes": np.zeros(0, np.uint64), "weights": np.zeros(0), "intercept": -50.0}
     truth = need(labels, doc_id="long", toxic="int").where("toxic in (0, 1) and doc_id is not null").where(fold_of("doc_id", parts) != held)
     truth = truth.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, need, table
+from .common import cut, need, scratch, table
 
 RECORDS_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdx"
 #: Payload bytes in one archive; a larger record has an archive of its own.
@@ -219,4 +219,6 @@ def read_archives(archives: DataFrame, column: str = "archive") -> DataFrame:
 
 def round_trip(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     """Writes archives, stores them in the shared folder, and reads them back without the payloads."""
-    return read_archives(cut(write_archives(pages, min_bytes))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    with scratch(pages.sparkSession) as keep:
+        archives = keep(cut(write_archives(pages, min_bytes)))
+    return read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -61,6 +61,16 @@ def test_packing():
     assert (jaccard.unpack_prefix(jaccard.pack_prefix(h)) == h >> np.uint64(16) << np.uint64(16)).all()
 
 
+def test_scratch_tables_go(spark):
+    made = []
+    with common.scratch(spark) as keep:
+        a, b = common.cut(spark.range(3)), keep(common.cut(spark.range(4)))
+        made += [a._table_path, b._table_path]
+    assert b.count() == 4
+    there = spark._jvm.org.apache.hadoop.fs.Path(made[0])
+    assert not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 400)]
@@ -343,7 +353,7 @@ def test_lines_against_brute_force(spark):
 # --------------------------------------------------------------------------- 9
 
 
-def test_decontamination_against_brute_force(spark):
+def test_decontamination_against_brute_force(spark, monkeypatch):
     rng = random.Random(8)
     texts = [" ".join(rng.choice("abcde") for _ in range(rng.randrange(0, 60))) for _ in range(150)]
     items = [(i, " ".join(rng.choice("abcde") for _ in range(rng.randrange(0, 14)))) for i in range(25)] + [(3, "B, a! c"), (None, "a b"), (99, None), (98, "zz zz")]
@@ -354,6 +364,9 @@ def test_decontamination_against_brute_force(spark):
         want[d].append((n, hit, len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), hit > 0))
     got = by_doc(decontam.digest(docs(spark, rows), bench).collect(), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert got == {k: sorted(v, key=repr) for k, v in want.items()}
+    monkeypatch.setattr(decontam, "SHARD_WORDS", 40)
+    monkeypatch.setattr(decontam, "GROUP", 2)
+    assert by_doc(decontam.digest(docs(spark, rows), bench).collect(), "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == got
     assert decontam.digest(docs(spark, rows), bench.limit(0)).where("contaminated").count() == 0
     assert decontam.digest(docs(spark, []), bench).count() == 0
 
@@ -363,12 +376,14 @@ def test_decontamination_cuts_spans(spark, monkeypatch):
     clean = "Nothing to see here, move along."
     rows = [(1, f"Before. {item.upper()}! After it come many more words than the item had, so that it stays."), (2, item), (3, clean), (4, None)]
     bench = spark.createDataFrame([(7, item)], "item_id long, text string")
-    for size in (60_000, 3):  # one shard or more
+    bench = bench.union(spark.createDataFrame([(8, "unseen words here"), (9, "five six seven eight nine ten")], bench.schema))
+    for size, group in ((60_000, 8), (3, 8), (3, 1)):  # one shard, one group, more groups
         monkeypatch.setattr(decontam, "SHARD_WORDS", size)
+        monkeypatch.setattr(decontam, "GROUP", group)
         got = {r.doc_id: r.text for r in decontam.clean(docs(spark, rows), bench).select("doc_id", "text").collect()}
         assert got == {1: "Before. ! After it come many more words than the item had, so that it stays.", 3: clean, 4: None}
     spans = {r.doc_id: (r.spans[0].begin, r.spans[0].end, r["items"]) for r in decontam.report(docs(spark, rows), bench).collect()}
-    assert spans == {1: (1, 11, [7]), 2: (0, 10, [7])}
+    assert spans == {1: (1, 11, [7, 9]), 2: (0, 10, [7, 9])}
 
 
 # --------------------------------------------------------------------------- 10
