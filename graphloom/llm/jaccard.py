@@ -12,9 +12,10 @@ percent / 100 must end up together:
 3. blocks: families joined by those pairs.  In a block every pair is settled by a signature tree: nodes hold the OR of
    their documents' bitmaps and the range of their sizes, and a traversal of node pairs drops those whose largest
    possible overlap is too small and those that are linked already; what is left is compared exactly;
-4. a block beyond block_rows documents is dealt over many tasks.  Eight pivots visit every part; then the documents
-   outside the block's largest component visit every part.  Inside the largest component nothing is left to find,
-   so no pair is lost and no part grows with the block.
+4. a block beyond block_rows documents is dealt over many tasks, by classes of set sizes and then by hash.  Eight
+   pivots visit every part; then the documents outside the block's largest component visit the parts of their own and
+   the neighbouring size classes.  Inside the largest component nothing is left to find, and sets further apart in
+   size can't link, so no pair is lost and no part grows with the block.
 
 Edge cases: null, empty and word-less texts have an empty set and link with nothing; texts shorter than the width are
 one shingle; rows with the same doc_id are one node; rows without doc_id have no component (null) and link nothing;
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, fanout, mix, need, pack, pack_sorted, scrap, shingles, slices, table, text_bytes, unpack, unpack_sorted, words
+from .common import SPACE, cut, fanout, mix, need, pack, pack_sorted, scratch, shingles, slices, table, text_bytes, unpack, unpack_sorted, words
 from .components import Forest, components
 
 _BANDS, _ROWS = 8, 3
@@ -418,7 +419,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
 def _first_round(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
-        for _, rows in _groups(batches, 2):
+        for _, rows in _groups(batches, 3):
             own = list(dict.fromkeys(rows))  # a pivot visits its own part too
             if len(own) > 1:
                 for x, y in _self_links([x for x, _ in own], [np.frombuffer(s, np.uint64) for _, s in own], percent):
@@ -433,7 +434,7 @@ def _first_round(percent: int):
 
 
 def _second_round(percent: int, guests_at_once: int = 256):
-    """Rows (block, part, visitor, node, set, label), a part's own documents first: visitors against those.
+    """Rows (block, sort, part, visitor, node, set, label), a part's own documents first: visitors against those.
 
     Visitors stream by in small groups, so a part holds no more than its own documents.
     """
@@ -461,10 +462,10 @@ def _second_round(percent: int, guests_at_once: int = 256):
             guests.clear()
 
         for batch in batches:
-            for block, place, visitor, node, elements, mark in zip(*(c.to_pylist() for c in batch.columns)):
-                if (block, place) != part:
+            for block, sort, place, visitor, node, elements, mark in zip(*(c.to_pylist() for c in batch.columns)):
+                if (block, sort, place) != part:
                     meet()
-                    part, own, tree = (block, place), [], None
+                    part, own, tree = (block, sort, place), [], None
                 row = (node, np.frombuffer(elements, np.uint64), mark)
                 if not visitor:
                     own.append(row)
@@ -511,10 +512,15 @@ def _wanted(nodes: DataFrame) -> bytes:
 
 def join(docs: DataFrame, width: int = 5, percent: int = 80, block_rows: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (smallest doc_id with the same set; null for empty sets)."""
+    with scratch(docs.sparkSession) as keep:
+        return _join(docs, width, percent, block_rows, id_col, text_col, keep)
+
+
+def _join(docs: DataFrame, width: int, percent: int, block_rows: int, id_col: str, text_col: str, keep) -> DataFrame:
     spark = docs.sparkSession
     texts = need(docs, **{id_col: "long", text_col: "string"}).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     parts = fanout(texts)
-    profile = cut(texts.mapInArrow(_profile(width), _PROFILE.replace(",", ", ")))
+    profile = keep(cut(texts.mapInArrow(_profile(width), _PROFILE.replace(",", ", "))))
     rows = profile.where("part is null").select("doc_id", "n", "mark1", "mark2", "bands")
     sketch = profile.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(_add_counts, "part int, counts binary").collect()
     total = np.zeros((_BLOCKS, _CELLS // _BLOCKS), np.uint32)  # of fixed size
@@ -540,7 +546,14 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, block_rows: int = 1
 
     plan = cut(nodes.select("node", "mark1", "n").join(blocks, "node").select("node", "mark1", "n", F.col("component").alias("block")))
     room = F.greatest(F.lit(block_rows), F.least(F.lit(4096), F.ceil(F.col("rows") / (4 * parts))))
-    sizes = cut(plan.groupBy("block").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("elements")).select("block", F.greatest(F.ceil(F.col("rows") / room), F.ceil(F.col("elements") / (8000 * room))).cast("int").alias("deal")))
+    deal = F.greatest(F.ceil(F.col("rows") / room), F.ceil(F.col("elements") / (8000 * room))).cast("int")
+    amount = (F.count(F.lit(1)).alias("rows"), F.sum("n").alias("elements"))
+    sizes = cut(plan.groupBy("block").agg(*amount).select("block", (deal > 1).alias("large")))
+    # a large block is dealt by size first: sets that link are in one class of sizes or in neighbouring ones
+    step = np.log(max(100 / percent, 1.01) * (1 + 1e-6))
+    plan = cut(plan.join(sizes, "block").withColumn("sort", F.when(F.col("large"), F.floor(F.log("n") / F.lit(float(step)))).otherwise(F.lit(0)).cast("int")))
+    shares = cut(plan.groupBy("block", "large", "sort").agg(*amount).select("block", "large", "sort", F.when(F.col("large"), deal).otherwise(F.lit(1)).alias("deal")))
+    places = shares.where("large").select(F.col("block").alias("in_block"), F.col("sort").alias("in_sort"), F.explode(F.sequence(F.lit(0), F.col("deal") - 1)).alias("in_part"))
     wanted = spark.sparkContext.broadcast(_wanted(plan))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -553,30 +566,32 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, block_rows: int = 1
                 yield table("doc_id long,mark1 long,elements binary", doc_id=batch.column(0)[lo:hi].take(pa.array(some)), mark1=_marks(flat, to)[0][some], elements=[flat[to[i] : to[i + 1]].tobytes() for i in some])
 
     sets = texts.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(_FILTER_BITS)).alias("at")).mapInArrow(extract, "doc_id long, mark1 long, elements binary")
-    dealt = plan.join(sizes, "block").select(F.col("node"), F.col("mark1").alias("mark"), "block", "deal")
-    full = sets.join(dealt, (sets["doc_id"] == dealt["node"]) & (sets["mark1"] == dealt["mark"])).select("block", "deal", F.pmod(F.xxhash64("node", F.lit(1)), F.col("deal")).cast("int").alias("part"), "node", "elements")
+    dealt = plan.join(shares, ["block", "large", "sort"]).select("node", F.col("mark1").alias("mark"), "block", "large", "sort", "deal")
+    full = sets.join(dealt, (sets["doc_id"] == dealt["node"]) & (sets["mark1"] == dealt["mark"])).select("block", "large", "sort", F.pmod(F.xxhash64("node", F.lit(1)), F.col("deal")).cast("int").alias("part"), "node", "elements")
     full = cut(full)
-    pivots = full.where("deal > 1").groupBy("block", F.pmod(F.xxhash64("node"), F.lit(8)).alias("slot")).agg(F.min(F.struct(F.xxhash64("node", F.lit(2)).alias("by"), "node")).alias("p"))
+    pivots = full.where("large").groupBy("block", F.pmod(F.xxhash64("node"), F.lit(8)).alias("slot")).agg(F.min(F.struct(F.xxhash64("node", F.lit(2)).alias("by"), "node")).alias("p"))
     pivots = cut(pivots.select(F.col("block").alias("of"), F.col("p.node").alias("pivot")))
-    visiting = full.where("deal > 1").join(pivots, (F.col("block") == F.col("of")) & (F.col("node") == F.col("pivot")), "left_semi")
-    visiting = visiting.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("deal") - 1)))
-    first = full.unionByName(visiting).select("block", "part", "node", "elements").repartition(parts, "block", "part").sortWithinPartitions("block", "part")
+    visiting = full.where("large").join(pivots, (F.col("block") == F.col("of")) & (F.col("node") == F.col("pivot")), "left_semi").select("block", "node", "elements")
+    visiting = visiting.join(places, visiting["block"] == places["in_block"]).select("block", F.col("in_sort").alias("sort"), F.col("in_part").alias("part"), "node", "elements")
+    first = full.select("block", "sort", "part", "node", "elements").unionByName(visiting).repartition(parts, "block", "sort", "part").sortWithinPartitions("block", "sort", "part")
     found = cut(first.mapInArrow(_first_round(percent), "a long, b long"))
 
-    if not sizes.where("deal > 1").isEmpty():
+    if not sizes.where("large").isEmpty():
         label = components(found)
-        large = full.where("deal > 1")
+        large = full.where("large")
         held = cut(large.select("block", "node").join(label, "node", "left").select("block", "node", F.coalesce("component", "node").alias("label")))
         most = held.groupBy("block", "label").agg(F.count(F.lit(1)).alias("rows")).groupBy("block").agg(F.max(F.struct("rows", "label")).alias("top"))
         held = held.join(most.select("block", F.col("top.label").alias("top")), "block").select("node", "label", (F.col("label") != F.col("top")).alias("outside"))
-        marked = large.join(cut(held), "node").select("block", "part", "deal", "outside", "node", "elements", "label")
-        guests = marked.where("outside").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("deal") - 1))).withColumn("visitor", F.lit(True))
-        second = marked.withColumn("visitor", F.lit(False)).unionByName(guests).select("block", "part", "visitor", "node", "elements", "label")
-        second = second.repartition(parts, "block", "part").sortWithinPartitions("block", "part", "visitor")
+        marked = cut(large.join(cut(held), "node").select("block", "sort", "part", "outside", "node", "elements", "label"))
+        outside = marked.where("outside")
+        near = (outside["block"] == places["in_block"]) & (F.abs(outside["sort"] - places["in_sort"]) <= 1) & ((outside["sort"] != places["in_sort"]) | (outside["part"] != places["in_part"]))
+        guests = outside.join(places, near).select("block", F.col("in_sort").alias("sort"), F.col("in_part").alias("part"), F.lit(True).alias("visitor"), "node", "elements", "label")
+        second = marked.select("block", "sort", "part", F.lit(False).alias("visitor"), "node", "elements", "label").unionByName(guests)
+        second = second.repartition(parts, "block", "sort", "part").sortWithinPartitions("block", "sort", "part", "visitor")
         found = cut(found.unionByName(second.mapInArrow(_second_round(percent), "a long, b long")))
     linked = components(found)
 
-    named = cut(classes.select("mark1", "mark2", "n", "node").join(linked, "node", "left").select("mark1", "mark2", F.col("n").alias("m"), F.col("node").alias("class_id"), F.coalesce("component", "node").alias("component")))
+    named = keep(cut(classes.select("mark1", "mark2", "n", "node").join(linked, "node", "left").select("mark1", "mark2", F.col("n").alias("m"), F.col("node").alias("class_id"), F.coalesce("component", "node").alias("component"))))
     same = (rows["mark1"] == named["mark1"]) & (rows["mark2"] == named["mark2"]) & (rows["n"] == named["m"])
     return rows.join(named, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
 
@@ -586,10 +601,11 @@ def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     Of rows that repeat a doc_id the one whose text has the smallest hash stays; rows without doc_id all stay.
     """
-    kept = cut(join(docs, width, percent).where("doc_id = component_id").select("doc_id").distinct())
     rows = docs.where("doc_id is not null").withColumn("__text", F.xxhash64("text"))
     first = rows.groupBy("doc_id").agg(F.min("__text").alias("__first"))
-    kept = cut(kept.join(first, "doc_id").select(F.col("doc_id").alias("__kept"), "__first"))
+    with scratch(docs.sparkSession) as keep:
+        kept = join(docs, width, percent).where("doc_id = component_id").select("doc_id").distinct()
+        kept = keep(cut(kept.join(first, "doc_id").select(F.col("doc_id").alias("__kept"), "__first")))
     same = (rows["doc_id"] == kept["__kept"]) & (rows["__text"] == kept["__first"])
     once = rows.join(kept.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", "__text"]).drop("__text")
     return once.unionByName(docs.where("doc_id is null"))
