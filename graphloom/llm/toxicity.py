@@ -34,6 +34,7 @@ from .common import LOWER, NONWORD, fold_of, need, pack, slices, table, text_byt
 BEGINNINGS = (4, 5, 6, 7)
 KINDS = 1 + len(BEGINNINGS)
 PATTERNS = 4
+_SKETCH = np.random.default_rng(29).integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALT = np.random.default_rng(23).integers(1, 2**63, KINDS, dtype=np.uint64)
 
 
@@ -84,7 +85,27 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fresh[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
             h, row = h[fresh], row[fresh]
             ends = np.searchsorted(row, np.arange(hi - lo + 1))
-            yield table("by long,toxic int,features binary,votes binary", by=batch.column(1)[lo:hi], toxic=batch.column(2)[lo:hi], features=[h[ends[i] : ends[i + 1]].tobytes() for i in range(hi - lo)], votes=[v.tobytes() for v in votes])
+            own = [h[ends[i] : ends[i + 1]] for i in range(hi - lo)]
+            least = [np.array([(x * k).min() if len(x) else 0 for k in _SKETCH], np.uint64).tobytes() for x in own]
+            yield table("by long,toxic int,features binary,votes binary,least binary", by=batch.column(1)[lo:hi], toxic=batch.column(2)[lo:hi], features=[x.tobytes() for x in own], votes=[v.tobytes() for v in votes], least=least)
+
+
+def one_of_each(sketches: list[tuple[int, bytes]]) -> set[int]:
+    """Names of the documents (name, minimum hashes) of which no earlier one has half of the hashes: copies, near ones
+    too, teach nothing and would make any of their words look like a sign."""
+    index: dict[tuple[int, int], list[int]] = {}
+    kept: set[int] = set()
+    for name, blob in sorted(sketches):
+        least = list(enumerate(np.frombuffer(blob, np.uint64).tolist()))
+        alike: dict[int, int] = {}
+        for key in least:
+            for other in index.get(key, ()):
+                alike[other] = alike.get(other, 0) + 1
+        if max(alike.values(), default=0) < len(_SKETCH) // 2:
+            kept.add(name)
+            for key in least:
+                index.setdefault(key, []).append(name)
+    return kept
 
 
 def label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds: int = 15) -> np.ndarray:
@@ -111,7 +132,7 @@ def label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds: int
     return post
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, rounds: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:
+def fit_linear(x: np.ndarray, y: np.ndarray, l2: float = 5e-5, rounds: int = 500, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights and intercept of a logistic regression on soft labels (Adam on all rows)."""
     w, b = np.zeros(x.shape[1], np.float32), 0.0
     m, s = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
@@ -146,13 +167,12 @@ def _fit(docs: DataFrame, labels: DataFrame, toxic_docs: int, other_docs: int, p
     room = 2 * (toxic_docs + other_docs)  # the expected number is half of it; so the broadcast is bounded
     chosen = F.broadcast(truth.where(chance < share).withColumnRenamed("doc_id", "chosen").limit(room))
     rows = need(docs, doc_id="long", text="string")
-    sample = common.cut(rows.join(chosen, rows["doc_id"] == chosen["chosen"]).select("text", F.xxhash64("doc_id", F.lit(6)).alias("by"), "toxic").mapInArrow(_distinct, "by long, toxic int, features binary, votes binary"))
+    sample = common.cut(rows.join(chosen, rows["doc_id"] == chosen["chosen"]).select("text", F.xxhash64("doc_id", F.lit(6)).alias("by"), "toxic").mapInArrow(_distinct, "by long, toxic int, features binary, votes binary, least binary"))
+    kept = {t: one_of_each([(r.by, r.least) for r in sample.where(F.col("toxic") == t).select("by", "least").collect()]) for t in (0, 1)}
 
-    seen = set()
     hashes, tally = [], []
     for r in sample.where("toxic = 1").select("by", "features").toLocalIterator():
-        if (mark := hash(r.features)) not in seen:  # copies teach nothing
-            seen.add(mark)
+        if r.by in kept[1]:
             hashes.append(np.frombuffer(r.features, np.uint64))
             if len(hashes) >= 300:
                 tally.append(np.unique(np.concatenate(hashes), return_counts=True))
@@ -162,7 +182,7 @@ def _fit(docs: DataFrame, labels: DataFrame, toxic_docs: int, other_docs: int, p
     keys, which = np.unique(np.concatenate([k for k, _ in tally]), return_inverse=True)
     n1 = np.zeros(len(keys), np.int64)
     np.add.at(n1, which, np.concatenate([c for _, c in tally]))
-    few = max(3, min(5, len(seen) // 20))
+    few = max(3, min(5, len(kept[1]) // 20))
     keys, n1 = keys[n1 >= few], n1[n1 >= few]
     if not len(keys):
         return none
@@ -176,10 +196,10 @@ def _fit(docs: DataFrame, labels: DataFrame, toxic_docs: int, other_docs: int, p
                 own = np.frombuffer(b, np.uint64)
                 i = np.minimum(np.searchsorted(known, own), len(known) - 1)
                 at.append(pack(i[known[i] == own].astype(np.uint32)))
-            yield table("by long,toxic int,mark long,votes binary,at binary", by=batch.column(0), toxic=batch.column(1), mark=[int(np.bitwise_xor.reduce(np.frombuffer(b, np.uint64)).astype(np.int64)) if b else 0 for b in batch.column(2).to_pylist()], votes=batch.column(3), at=at)
+            yield table("by long,toxic int,votes binary,at binary", by=batch.column(0), toxic=batch.column(1), votes=batch.column(3), at=at)
 
-    data = sample.mapInArrow(places, "by long, toxic int, mark long, votes binary, at binary").collect()
-    data = list({r.mark: r for r in sorted(data, key=lambda r: (r.by, r.mark))}.values())
+    data = sample.mapInArrow(places, "by long, toxic int, votes binary, at binary").collect()
+    data = [r for _, r in sorted({(r.toxic, r.by): r for r in data if r.by in kept[r.toxic]}.items())]
     toxic = np.array([r.toxic for r in data])
     at = [unpack(r.at, np.uint32) for r in data]
     every = np.zeros((2, len(keys)))
@@ -188,7 +208,8 @@ def _fit(docs: DataFrame, labels: DataFrame, toxic_docs: int, other_docs: int, p
     total = np.array([(toxic == 0).sum(), (toxic == 1).sum()])
     odds = np.log((every[1] + 0.5) / (total[1] + 1)) - np.log((every[0] + 0.5) / (total[0] + 1))
     strength = odds * np.sqrt(every[1])
-    good = np.flatnonzero((odds > 1.5) & (every[1] >= few))
+    sure = odds - 1.64 * np.sqrt(1 / (every[1] + 0.5) + 1 / (every[0] + 0.5))  # what chance leaves of it
+    good = np.flatnonzero((sure > 1.5) & (every[1] >= few))
     good = good[np.argsort(-strength[good], kind="stable")][:size]
     good = np.sort(good)
     if not len(good):
