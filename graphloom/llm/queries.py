@@ -66,6 +66,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_ngram_jaccard": r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents),
+sh as (select distinct doc_id, array_to_string(w[i : i + 4], ' ') as s from (select doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) as i from w where len(w) > 0)),
+n as (select doc_id, count(*) as n, md5(string_agg(s, chr(10) order by s)) as mark from sh group by doc_id),
+pairs as (select a.doc_id as x, b.doc_id as y, count(*) as c from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by all),
+links as (select x, y from pairs join n p on p.doc_id = x join n q on q.doc_id = y where 100 * c >= 80 * (p.n + q.n - c)),
+both_ways as (select x, y from links union all select y, x from links),
+reach as (select doc_id as x, doc_id as y from w union select r.x, b.y from reach r join both_ways b on b.x = r.y),
+least as (select x, min(y) as component_id from reach group by x),
+classes as (select mark, min(doc_id) as class_id from n group by mark)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, l.component_id, c.class_id
+from w left join n on n.doc_id = w.doc_id left join classes c on c.mark = n.mark join least l on l.x = w.doc_id""",
     "op6_exact_topk": """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(256.0 * x::double)::bigint) as w from embeddings
