@@ -7,6 +7,7 @@ once, so the cost is a few numpy passes over the bytes and not a Python loop ove
 from __future__ import annotations
 
 import contextlib
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -25,11 +26,13 @@ _OWN_DIR: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode an own one where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
     if "own" not in _OWN_DIR:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         _OWN_DIR["own"] = "file://" + tempfile.mkdtemp(prefix="graphloom-")
