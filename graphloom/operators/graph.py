@@ -178,11 +178,13 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping:
 
 
 def reliable(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the folder that the session names; an own folder only where none is set."""
+    """df.checkpoint() in the folder that the session names; in local mode an own folder where none is set."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         own = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if own is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             import tempfile
 
             own = "file://" + tempfile.mkdtemp(prefix="graphloom-")
