@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, cut, fanout, fold_of, mix, need, pack, pack_sorted, slices, table, text_bytes, unpack, unpack_sorted, words
 
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 4 << 20
 _END, _START = np.uint64(0x517CC1B727220A95), np.uint64(0x2545F4914F6CDD1D)
 _PREV, _NEXT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 #: Frequency buckets of contexts (powers of two; 0: unseen) and steps of the logarithms in the table that EM reads.
