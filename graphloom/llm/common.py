@@ -7,6 +7,8 @@ once, so the cost is a few numpy passes over the bytes and not a Python loop ove
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
 import re
 import uuid
 import zlib
@@ -104,6 +106,30 @@ def map_rows(df: DataFrame, run, columns: list[str]) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, kept).toDF(*columns)
 
 
+def tidy(run):
+    """run, and at its end free memory goes back to the system: workers are used again, and several wait side by side."""
+
+    @functools.wraps(run)
+    def each(data):
+        if isinstance(data, pa.Table):
+            return _freed(run(data))
+        return _streamed(run, data)
+
+    return each
+
+
+def _streamed(run, batches):
+    yield from run(batches)
+    _freed()
+
+
+def _freed(value=None):
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries lack it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    return value
+
+
 def fold_of(column: str, parts: int):
     """crc32 of the id as text, modulo parts (null ids: -1)."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % parts, F.lit(-1)).cast("int")

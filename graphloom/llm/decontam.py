@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NONWORD, cut, map_rows, need, slices, table, text_bytes, word_ends, words
+from .common import NONWORD, cut, map_rows, need, slices, table, text_bytes, tidy, word_ends, words
 
 #: Item words in one automaton, and so in one broadcast (some 100 bytes a word).
 SHARD_WORDS = 60_000
@@ -268,7 +268,7 @@ def digest(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame
                 items = [sorted(map(str, found[i][1])) if i in found else [] for i in range(hi - lo)]
                 yield table(schema, doc_id=batch.column(0)[lo:hi], n_words=np.diff(first), n_hit=hit, n_items=[len(x) for x in items], items_sha256=[hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], contaminated=[x > 0 for x in hit])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5) -> DataFrame:
@@ -299,7 +299,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage:
             columns = [pa.array(texts, c.type) if i == at else c for i, c in enumerate(batch.columns[:n])]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:n]).filter(pa.array(stay))
 
-    return map_rows(rows, run, docs.columns)
+    return map_rows(rows, tidy(run), docs.columns)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, fanout, mix, need, pack, pack_sorted, scratch, shingles, slices, table, text_bytes, unpack, unpack_sorted, words
+from .common import SPACE, cut, fanout, mix, need, pack, pack_sorted, scratch, shingles, slices, table, text_bytes, tidy, unpack, unpack_sorted, words
 from .components import Forest, components
 
 _BANDS, _ROWS = 8, 3
@@ -520,9 +520,9 @@ def _join(docs: DataFrame, width: int, percent: int, block_rows: int, id_col: st
     spark = docs.sparkSession
     texts = need(docs, **{id_col: "long", text_col: "string"}).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     parts = fanout(texts)
-    profile = keep(cut(texts.mapInArrow(_profile(width), _PROFILE.replace(",", ", "))))
+    profile = keep(cut(texts.mapInArrow(tidy(_profile(width)), _PROFILE.replace(",", ", "))))
     rows = profile.where("part is null").select("doc_id", "n", "mark1", "mark2", "bands")
-    sketch = profile.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(_add_counts, "part int, counts binary").collect()
+    sketch = profile.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(tidy(_add_counts), "part int, counts binary").collect()
     total = np.zeros((_BLOCKS, _CELLS // _BLOCKS), np.uint32)  # of fixed size
     for part, blob in sketch:
         total[part] = unpack(blob, np.uint32)
@@ -531,15 +531,15 @@ def _join(docs: DataFrame, width: int, percent: int, block_rows: int, id_col: st
     classes = cut(rows.where("n > 0 and doc_id is not null").groupBy("mark1", "mark2", "n").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
     nodes = classes.where(F.col("n") >= _least(percent)).select("node", "mark1", "n", "bands")
 
-    postings = cut(nodes.select("node", "bands").mapInArrow(lambda batches: _band_postings(batches, parts), "bucket int, keys binary, nodes binary"))
-    across = postings.where("bucket >= 0").groupBy("bucket").applyInArrow(_band_links, "a long, b long")
+    postings = cut(nodes.select("node", "bands").mapInArrow(tidy(lambda batches: _band_postings(batches, parts)), "bucket int, keys binary, nodes binary"))
+    across = postings.where("bucket >= 0").groupBy("bucket").applyInArrow(tidy(_band_links), "a long, b long")
     links = cut(across.unionByName(postings.where("bucket < 0").select("keys", "nodes").mapInArrow(_plain_links, "a long, b long")))
     families = components(links)
     members = cut(nodes.drop("bands").join(families, "node", "left").select("node", "mark1", "n", F.coalesce("component", "node").alias("family")))
 
-    prefixes = texts.where("doc_id is not null").mapInArrow(_prefixes(counts, width, percent), "doc_id long, mark1 long, n long, keys binary")
+    prefixes = texts.where("doc_id is not null").mapInArrow(tidy(_prefixes(counts, width, percent)), "doc_id long, mark1 long, n long, keys binary")
     keyed = prefixes.drop("n").join(members, (prefixes["doc_id"] == members["node"]) & (prefixes["mark1"] == members["mark1"])).select("family", "n", "keys")
-    shared = keyed.mapInArrow(_postings(parts), _POSTINGS.replace(",", ", ")).groupBy("bucket").applyInArrow(_pairs(percent), _PAIRS.replace(",", ", "))
+    shared = keyed.mapInArrow(tidy(_postings(parts)), _POSTINGS.replace(",", ", ")).groupBy("bucket").applyInArrow(tidy(_pairs(percent)), _PAIRS.replace(",", ", "))
     close = shared.groupBy("a", "b").agg(F.sum("shared").alias("shared"), *(f(c).alias(c) for c, f in (("least_a", F.min), ("most_a", F.max), ("least_b", F.min), ("most_b", F.max))))
     close = close.where(F.col("shared") >= _pair_bound(percent)).select("a", "b")
     blocks = components(cut(links.unionByName(close)))  # a family's name is a node
@@ -565,7 +565,7 @@ def _join(docs: DataFrame, width: int, percent: int, block_rows: int, id_col: st
                 some = np.flatnonzero(np.diff(to) >= _least(percent))
                 yield table("doc_id long,mark1 long,elements binary", doc_id=batch.column(0)[lo:hi].take(pa.array(some)), mark1=_marks(flat, to)[0][some], elements=[flat[to[i] : to[i + 1]].tobytes() for i in some])
 
-    sets = texts.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(_FILTER_BITS)).alias("at")).mapInArrow(extract, "doc_id long, mark1 long, elements binary")
+    sets = texts.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(_FILTER_BITS)).alias("at")).mapInArrow(tidy(extract), "doc_id long, mark1 long, elements binary")
     dealt = plan.join(shares, ["block", "large", "sort"]).select("node", F.col("mark1").alias("mark"), "block", "large", "sort", "deal")
     full = sets.join(dealt, (sets["doc_id"] == dealt["node"]) & (sets["mark1"] == dealt["mark"])).select("block", "large", "sort", F.pmod(F.xxhash64("node", F.lit(1)), F.col("deal")).cast("int").alias("part"), "node", "elements")
     full = cut(full)
@@ -574,7 +574,7 @@ def _join(docs: DataFrame, width: int, percent: int, block_rows: int, id_col: st
     visiting = full.where("large").join(pivots, (F.col("block") == F.col("of")) & (F.col("node") == F.col("pivot")), "left_semi").select("block", "node", "elements")
     visiting = visiting.join(places, visiting["block"] == places["in_block"]).select("block", F.col("in_sort").alias("sort"), F.col("in_part").alias("part"), "node", "elements")
     first = full.select("block", "sort", "part", "node", "elements").unionByName(visiting).repartition(parts, "block", "sort", "part").sortWithinPartitions("block", "sort", "part")
-    found = cut(first.mapInArrow(_first_round(percent), "a long, b long"))
+    found = cut(first.mapInArrow(tidy(_first_round(percent)), "a long, b long"))
 
     if not sizes.where("large").isEmpty():
         label = components(found)
@@ -588,7 +588,7 @@ def _join(docs: DataFrame, width: int, percent: int, block_rows: int, id_col: st
         guests = outside.join(places, near).select("block", F.col("in_sort").alias("sort"), F.col("in_part").alias("part"), F.lit(True).alias("visitor"), "node", "elements", "label")
         second = marked.select("block", "sort", "part", F.lit(False).alias("visitor"), "node", "elements", "label").unionByName(guests)
         second = second.repartition(parts, "block", "sort", "part").sortWithinPartitions("block", "sort", "part", "visitor")
-        found = cut(found.unionByName(second.mapInArrow(_second_round(percent), "a long, b long")))
+        found = cut(found.unionByName(second.mapInArrow(tidy(_second_round(percent)), "a long, b long")))
     linked = components(found)
 
     named = keep(cut(classes.select("mark1", "mark2", "n", "node").join(linked, "node", "left").select("mark1", "mark2", F.col("n").alias("m"), F.col("node").alias("class_id"), F.coalesce("component", "node").alias("component"))))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fanout, map_rows, need, scratch, slices, table, text_bytes
+from .common import cut, fanout, map_rows, need, scratch, slices, table, text_bytes, tidy
 
 _TRIM = b" \t\n\x0b\x0c\r"
 _OFFERS = "kind int, high long, low long, doc_id long, row_id long, positions binary"
@@ -118,7 +118,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     xxhash64 of doc_id and text, so that a result can be joined with the rows it belongs to (see with_bitmaps).
     """
     rows = need(docs, **{id_col: "long", text_col: "string"}).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    offers = cut(rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_id")).mapInArrow(_offers(min_chars), _OFFERS))
+    offers = cut(rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_id")).mapInArrow(tidy(_offers(min_chars)), _OFFERS))
     contest = offers.where("kind = 0").select("high", "low", "doc_id", "row_id", "positions")
     contest = contest.repartitionByRange(fanout(docs), "high", "low").sortWithinPartitions("high", "low", "doc_id")
     lost = contest.mapInArrow(_losers, "row_id long, positions binary").unionByName(offers.where("kind = 1").select("row_id", "positions"))
@@ -168,4 +168,4 @@ def deduplicate(docs: DataFrame, min_chars: int = 10) -> DataFrame:
             columns = [pa.array(texts, c.type) if i == at else c for i, c in enumerate(batch.columns[:n])]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:n])
 
-    return map_rows(with_bitmaps(docs, min_chars=min_chars).drop("_n_dropped"), run, docs.columns)
+    return map_rows(with_bitmaps(docs, min_chars=min_chars).drop("_n_dropped"), tidy(run), docs.columns)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, fanout, fold_of, mix, need, pack, pack_sorted, slices, table, text_bytes, unpack, unpack_sorted, words
+from .common import SPACE, cut, fanout, fold_of, mix, need, pack, pack_sorted, slices, table, text_bytes, tidy, unpack, unpack_sorted, words
 
 BATCH_BYTES = 4 << 20
 _END, _START = np.uint64(0x517CC1B727220A95), np.uint64(0x2545F4914F6CDD1D)
@@ -278,8 +278,8 @@ def score(docs: DataFrame, parts: int = 7, held: int = 2, fold: int = 3) -> Data
     own = fold_of("doc_id", parts)
     rows = need(docs, doc_id="long", text="string").select("doc_id", "text", F.when(own == held, -2).otherwise(own).cast("int").alias("fold"))
     buckets = fanout(rows)
-    asked = rows.mapInArrow(_ask(buckets, fold), _ASKED.replace(",", ", "))
-    answers = cut(asked.groupBy("bucket").applyInArrow(_answer(buckets), _ANSWER.replace(",", ", ")))
+    asked = rows.mapInArrow(tidy(_ask(buckets, fold)), _ASKED.replace(",", ", "))
+    answers = cut(asked.groupBy("bucket").applyInArrow(tidy(_answer(buckets)), _ANSWER.replace(",", ", ")))
     found = answers.where("batch is null").agg(F.sum(F.when(F.col("bucket") < buckets, F.col("n"))).alias("tokens"), F.sum(F.when(F.col("bucket") < buckets, F.col("types"))).alias("types"), F.sum("docs").alias("docs")).first()
     tokens, types, ends = found.tokens or 0, found.types or 0, found.docs or 0
     answers = answers.where("batch is not null").select("batch", "bucket", "counts")
@@ -289,8 +289,8 @@ def score(docs: DataFrame, parts: int = 7, held: int = 2, fold: int = 3) -> Data
         return both.repartition(buckets, "batch").sortWithinPartitions("batch", "bucket")
 
     total = np.zeros((BUCKETS, STEPS * STEPS), np.int64)  # of fixed size
-    parts_ = together(True).mapInArrow(_deleted(buckets, ends, tokens), "part int, total binary").groupBy("part").applyInArrow(_add, "part int, total binary")
+    parts_ = together(True).mapInArrow(tidy(_deleted(buckets, ends, tokens)), "part int, total binary").groupBy("part").applyInArrow(_add, "part int, total binary")
     for part, blob in parts_.collect():
         total[part] = unpack(blob, np.int64)
     weights = mixture(total.reshape(BUCKETS, STEPS, STEPS), types)
-    return together(False).mapInArrow(_score(buckets, ends, tokens, types, weights), _SCORES)
+    return together(False).mapInArrow(tidy(_score(buckets, ends, tokens, types, weights)), _SCORES)

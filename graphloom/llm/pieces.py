@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import need, slices, table, text_bytes
+from .common import need, slices, table, text_bytes, tidy
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -315,7 +315,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             ids = [[int(x) for u in codec.units(t) for x in codec.cache[u][0].split(",")] if t else [] for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([codec.decode(i) for i in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
-    return need(docs, **{id_col: "long", text_col: "string"}).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return need(docs, **{id_col: "long", text_col: "string"}).mapInArrow(tidy(run), "doc_id long, ids array<int>, decoded string")
 
 
 def digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -329,4 +329,4 @@ def digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             n, a, b = zip(*map(codec.digests, texts)) if texts else ((), (), ())
             yield table(schema, doc_id=keys, n_tokens=n, ids_sha256=a, decoded_sha256=b)
 
-    return need(docs, **{id_col: "long", text_col: "string"}).mapInArrow(run, schema)
+    return need(docs, **{id_col: "long", text_col: "string"}).mapInArrow(tidy(run), schema)

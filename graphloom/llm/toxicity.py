@@ -167,7 +167,7 @@ def _fit(docs: DataFrame, labels: DataFrame, toxic_docs: int, other_docs: int, p
     room = 2 * (toxic_docs + other_docs)  # the expected number is half of it; so the broadcast is bounded
     chosen = F.broadcast(truth.where(chance < share).withColumnRenamed("doc_id", "chosen").limit(room))
     rows = need(docs, doc_id="long", text="string")
-    sample = common.cut(rows.join(chosen, rows["doc_id"] == chosen["chosen"]).select("text", F.xxhash64("doc_id", F.lit(6)).alias("by"), "toxic").mapInArrow(_distinct, "by long, toxic int, features binary, votes binary, least binary"))
+    sample = common.cut(rows.join(chosen, rows["doc_id"] == chosen["chosen"]).select("text", F.xxhash64("doc_id", F.lit(6)).alias("by"), "toxic").mapInArrow(common.tidy(_distinct), "by long, toxic int, features binary, votes binary, least binary"))
     kept = {t: one_of_each([(r.by, r.least) for r in sample.where(F.col("toxic") == t).select("by", "least").collect()]) for t in (0, 1)}
 
     hashes, tally = [], []
@@ -249,7 +249,7 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.5, parts: int = 5,
                 yield table(schema, doc_id=batch.column(0)[lo:hi], held_out=batch.column(2)[lo:hi], score=s, predicted=(s >= threshold).astype(np.int32))
 
     rows = need(docs, doc_id="long", text="string").select("doc_id", "text", (fold_of("doc_id", parts) == held).alias("held_out"))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(common.tidy(run), schema)
 
 
 class Scorer:
@@ -286,4 +286,4 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **limits)
                 keep[lo:hi] = s < threshold
             yield batch.filter(pa.array(keep))
 
-    return common.map_rows(docs, run, docs.columns)
+    return common.map_rows(docs, common.tidy(run), docs.columns)
