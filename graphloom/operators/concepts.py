@@ -60,7 +60,9 @@ def mentions(texts: DataFrame, concepts: DataFrame, id_col: str, text_col: str =
     shuffled and no pair is formed for a name that isn't there.
     """
     names = [r.name for r in concepts.select("name").limit(10_000).collect()]
-    found = F.filter(F.array(*[F.lit(n) for n in names]).cast("array<string>"), lambda n: F.contains(F.lower(F.col(text_col)), F.lower(n)))
+    known = F.array(*[F.struct(F.lower(F.lit(n)).alias("low"), F.lit(n).alias("name")) for n in names]) if names else F.array().cast("array<struct<low: string, name: string>>")
+    # the text is bound to a variable, so that it is lowered once and not for every name
+    found = F.flatten(F.transform(F.array(F.lower(F.col(text_col))), lambda t: F.transform(F.filter(known, lambda n: F.contains(t, n["low"])), lambda n: n["name"])))
     return texts.select(F.col(id_col).alias("id"), F.explode(found).alias("name"))
 
 
