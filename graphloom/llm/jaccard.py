@@ -17,6 +17,11 @@ percent / 100 must end up together:
    the neighbouring size classes.  Inside the largest component nothing is left to find, and sets further apart in
    size can't link, so no pair is lost and no part grows with the block.
 
+join() needs only the components, so it leaves out pairs that are linked already.  links() and pairs() settle every
+pair of classes instead: a block is dealt into tiles (two parts of the same or neighbouring size classes), the trees
+drop leaves by sizes and overlap alone, and what is left of a tile is compared exactly at once by a matrix of overlaps.
+Their work grows with the square of a group of different near copies, by definition.
+
 Edge cases: null, empty and word-less texts have an empty set and link with nothing; texts shorter than the width are
 one shingle; rows with the same doc_id are one node; rows without doc_id have no component (null) and link nothing;
 an empty table gives an empty result; further columns are ignored.
@@ -482,6 +487,170 @@ def _second_round(percent: int, guests_at_once: int = 256):
     return run
 
 
+# --------------------------------------------------------------------------- all pairs
+
+
+def near_leaves(x: SignatureTree, y: SignatureTree, percent: int) -> Iterator[tuple[slice, slice]]:
+    """Leaves (ranges of x's and y's order) whose sizes and overlap let a pair link, whatever is linked already.
+
+    For x is y, each pair of leaves comes once.
+    """
+    bits = max(x.bits, y.bits)
+    root_x = x.build(bits)
+    stack = [(root_x, root_x if y is x else y.build(bits))]
+    while stack:
+        a, b = stack.pop()
+        if a is not b:
+            most = int(np.bitwise_count(a[2] & b[2]).sum()) + min(a[5], b[5])
+            if not _may_link(a[3], a[4], b[3], b[4], most, percent):
+                continue
+        if a[6] or b[6]:
+            left, right = a[6] or (a,), b[6] or (b,)
+            stack += [(c, d) for i, c in enumerate(left) for d in (right[i:] if a is b else right)]
+            continue
+        yield slice(a[0], a[1]), slice(b[0], b[1])
+
+
+def overlaps(x: list[np.ndarray], y: list[np.ndarray], at_once: int = 1 << 21) -> np.ndarray:
+    """Number of shared elements of each set of x with each of y.
+
+    Elements of many sets are multiplied as columns of two matrices, those of few are counted pair by pair.
+    """
+    nx, ny = len(x), len(y)
+    flat = np.concatenate([*x, *y])
+    owner = np.concatenate((np.repeat(np.arange(nx), [len(s) for s in x]), np.repeat(np.arange(ny), [len(s) for s in y])))
+    first = sum(len(s) for s in x)
+    keys, at = np.unique(flat, return_inverse=True)
+    in_x, in_y = np.bincount(at[:first], minlength=len(keys)), np.bincount(at[first:], minlength=len(keys))
+    amount = in_x * in_y
+    out = np.zeros((nx, ny), np.int64)
+
+    dense = amount * 64 > nx * ny
+    column = np.cumsum(dense) - 1
+    sides = []
+    for part in (slice(0, first), slice(first, None)):
+        own = dense[at[part]]
+        col, row = column[at[part][own]], owner[part][own]
+        order = np.argsort(col, kind="stable")
+        sides.append((col[order], row[order]))
+    step = max(64, at_once // (nx + ny))
+    for lo in range(0, int(dense.sum()), step):
+        maps = []
+        for n, (col, row) in zip((nx, ny), sides):
+            b, e = np.searchsorted(col, (lo, lo + step))
+            one = np.zeros((n, step), np.float32)
+            one[row[b:e], col[b:e] - lo] = 1
+            maps.append(one)
+        out += (maps[0] @ maps[1].T).astype(np.int64)
+
+    sparse = np.flatnonzero((amount > 0) & ~dense)
+    if len(sparse):
+        order_x, order_y = np.argsort(at[:first], kind="stable"), np.argsort(at[first:], kind="stable")
+        owner_x, owner_y = owner[:first][order_x], owner[first:][order_y]
+        begin_x, begin_y = np.cumsum(in_x) - in_x, np.cumsum(in_y) - in_y
+        share = np.cumsum(amount[sparse]) // at_once
+        for k in np.split(sparse, np.flatnonzero(np.diff(share)) + 1):
+            n = amount[k]
+            place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            wide = np.repeat(in_y[k], n)
+            i = owner_x[np.repeat(begin_x[k], n) + place // wide]
+            j = owner_y[np.repeat(begin_y[k], n) + place % wide]
+            out += np.bincount(i * ny + j, minlength=nx * ny).reshape(nx, ny)
+    return out
+
+
+def tile_links(x: list[np.ndarray], y: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All links of x's sets with y's (None: among themselves, each pair once): place in x, place in y, shared elements."""
+    alone = y is None
+    y = x if alone else y
+    own, other = np.arange(len(x)), np.arange(len(y))
+    if max(len(x), len(y)) > LEAF:
+        tree_x = SignatureTree(x)
+        tree_y = tree_x if alone else SignatureTree(y)
+        keep_x, keep_y = np.zeros(len(x), bool), np.zeros(len(y), bool)
+        for a, b in near_leaves(tree_x, tree_y, percent):
+            keep_x[tree_x.order[a]] = True
+            keep_y[tree_y.order[b]] = True
+        own, other = np.flatnonzero(keep_x), np.flatnonzero(keep_y)
+        if alone:
+            own = other = np.flatnonzero(keep_x | keep_y)
+    if not len(own) or not len(other):
+        return own[:0], other[:0], own[:0]
+    both = overlaps([x[i] for i in own], [y[j] for j in other])
+    n, m = np.array([len(x[i]) for i in own]), np.array([len(y[j]) for j in other])
+    linked = 100 * both >= percent * (n[:, None] + m[None, :] - both)
+    if alone:
+        linked = np.triu(linked, 1)
+    i, j = np.nonzero(linked)
+    return own[i], other[j], both[i, j]
+
+
+_SETTLED = "a long,b long,node long,mark long,links long"
+_LINKED = "a long,b long,n_a long,n_b long,shared long"
+
+
+def _tiles(percent: int, listed: bool):
+    """Rows (block, sort, part, sort, part, visitor, node, mark, weight, set) of tiles: every pair is settled.
+
+    Gives the pairs themselves if listed, else each class's number of linked documents and links that join components.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _groups(batches, 5):
+            sides = [[], []]
+            for row in dict.fromkeys(rows):
+                sides[row[0]].append(row[1:])
+            own, other = sides
+            alone = not other
+            if not own or (alone and len(own) < 2):
+                continue
+            sets = [[np.frombuffer(r[3], np.uint64) for r in side] for side in sides]
+            i, j, shared = tile_links(sets[0], None if alone else sets[1], percent)
+            if not len(i):
+                continue
+            other = own if alone else other
+            nodes = [np.array([r[0] for r in side], np.int64) for side in (own, other)]
+            if listed:
+                size = [np.array([len(s) for s in side], np.int64) for side in (sets[0], sets[0] if alone else sets[1])]
+                for b in range(0, len(i), 100_000):
+                    p, q = i[b : b + 100_000], j[b : b + 100_000]
+                    yield table(_LINKED, a=nodes[0][p], b=nodes[1][q], n_a=size[0][p], n_b=size[1][q], shared=shared[b : b + 100_000])
+                continue
+            weights = [np.array([r[2] for r in side], np.int64) for side in (own, other)]
+            totals = [np.bincount(i, weights[1][j], len(own)), np.bincount(j, weights[0][i], len(other))]
+            if alone:
+                totals = [totals[0] + totals[1]]
+            forest = Forest()
+            for a, b in set(_spanning(i, j, len(own), 0 if alone else len(own))):
+                every = (nodes[0], nodes[0] if alone else nodes[1])
+                forest.union(int(every[0][a]) if a < len(own) else int(every[1][a - len(own)]), int(every[0][b]) if b < len(own) else int(every[1][b - len(own)]))
+            ends = list(forest.up)
+            yield table(_SETTLED, a=ends, b=[forest.find(x) for x in ends], node=pa.nulls(len(ends), pa.int64()), mark=pa.nulls(len(ends), pa.int64()), links=pa.nulls(len(ends), pa.int64()))
+            for side, total in zip((own, other), totals):
+                some = np.flatnonzero(total)
+                none = pa.nulls(len(some), pa.int64())
+                yield table(_SETTLED, a=none, b=none, node=[side[k][0] for k in some], mark=[side[k][1] for k in some], links=total[some].astype(np.int64))
+
+    return run
+
+
+def _spanning(i: np.ndarray, j: np.ndarray, n: int, shift: int) -> Iterator[tuple[int, int]]:
+    """Few of the pairs (i, j + shift) that join the same components: each place with the least one of its component."""
+    j = j + shift
+    size = max(n, int(j.max()) + 1)
+    label = np.arange(size)
+    while True:
+        before = label.copy()
+        least = np.minimum(label[i], label[j])
+        np.minimum.at(label, i, least)
+        np.minimum.at(label, j, least)
+        label = label[label]
+        if (label == before).all():
+            break
+    for k in np.flatnonzero(label != np.arange(size)).tolist():
+        yield k, int(label[k])
+
+
 # --------------------------------------------------------------------------- the join
 
 
@@ -516,7 +685,23 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, block_rows: int = 1
         return _join(docs, width, percent, block_rows, id_col, text_col, keep)
 
 
-def _join(docs: DataFrame, width: int, percent: int, block_rows: int, id_col: str, text_col: str, keep) -> DataFrame:
+def links(docs: DataFrame, width: int = 5, percent: int = 80, block_rows: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of join() and n_links: the number of other rows with a doc_id whose set links with this row's, exact
+    copies included (null without doc_id)."""
+    with scratch(docs.sparkSession) as keep:
+        return _join(docs, width, percent, block_rows, id_col, text_col, keep, "counts")
+
+
+def pairs(docs: DataFrame, width: int = 5, percent: int = 80, block_rows: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """a, b, n_a, n_b, shared: every linked pair of different sets, each set by its class_id (a < b), with the sizes.
+
+    A doc_id whose rows hold different sets may name several of them.
+    """
+    with scratch(docs.sparkSession) as keep:
+        return _join(docs, width, percent, block_rows, id_col, text_col, keep, "pairs")
+
+
+def _join(docs: DataFrame, width: int, percent: int, block_rows: int, id_col: str, text_col: str, keep, every: str = "") -> DataFrame:
     spark = docs.sparkSession
     texts = need(docs, **{id_col: "long", text_col: "string"}).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     parts = fanout(texts)
@@ -528,14 +713,14 @@ def _join(docs: DataFrame, width: int, percent: int, block_rows: int, id_col: st
         total[part] = unpack(blob, np.uint32)
     counts = spark.sparkContext.broadcast(total.tobytes())
 
-    classes = cut(rows.where("n > 0 and doc_id is not null").groupBy("mark1", "mark2", "n").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
-    nodes = classes.where(F.col("n") >= _least(percent)).select("node", "mark1", "n", "bands")
+    classes = cut(rows.where("n > 0 and doc_id is not null").groupBy("mark1", "mark2", "n").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("weight")))
+    nodes = classes.where(F.col("n") >= _least(percent)).select("node", "mark1", "n", "bands", "weight")
 
     postings = cut(nodes.select("node", "bands").mapInArrow(tidy(lambda batches: _band_postings(batches, parts)), "bucket int, keys binary, nodes binary"))
     across = postings.where("bucket >= 0").groupBy("bucket").applyInArrow(tidy(_band_links), "a long, b long")
     links = cut(across.unionByName(postings.where("bucket < 0").select("keys", "nodes").mapInArrow(_plain_links, "a long, b long")))
     families = components(links)
-    members = cut(nodes.drop("bands").join(families, "node", "left").select("node", "mark1", "n", F.coalesce("component", "node").alias("family")))
+    members = cut(nodes.drop("bands", "weight").join(families, "node", "left").select("node", "mark1", "n", F.coalesce("component", "node").alias("family")))
 
     prefixes = texts.where("doc_id is not null").mapInArrow(tidy(_prefixes(counts, width, percent)), "doc_id long, mark1 long, n long, keys binary")
     keyed = prefixes.drop("n").join(members, (prefixes["doc_id"] == members["node"]) & (prefixes["mark1"] == members["mark1"])).select("family", "n", "keys")
@@ -544,9 +729,11 @@ def _join(docs: DataFrame, width: int, percent: int, block_rows: int, id_col: st
     close = close.where(F.col("shared") >= _pair_bound(percent)).select("a", "b")
     blocks = components(cut(links.unionByName(close)))  # a family's name is a node
 
-    plan = cut(nodes.select("node", "mark1", "n").join(blocks, "node").select("node", "mark1", "n", F.col("component").alias("block")))
+    plan = cut(nodes.select("node", "mark1", "n", "weight").join(blocks, "node").select("node", "mark1", "n", "weight", F.col("component").alias("block")))
     room = F.greatest(F.lit(block_rows), F.least(F.lit(4096), F.ceil(F.col("rows") / (4 * parts))))
-    deal = F.greatest(F.ceil(F.col("rows") / room), F.ceil(F.col("elements") / (8000 * room))).cast("int")
+    if every:  # tiles: as many as tasks, and each fits into one
+        room = F.greatest(F.lit(block_rows), F.least(F.lit(1024), F.ceil(F.col("rows") / F.lit((2 * parts) ** 0.5))))
+    deal = F.greatest(F.ceil(F.col("rows") / room), F.ceil(F.col("elements") / ((2000 if every else 8000) * room))).cast("int")
     amount = (F.count(F.lit(1)).alias("rows"), F.sum("n").alias("elements"))
     sizes = cut(plan.groupBy("block").agg(*amount).select("block", (deal > 1).alias("large")))
     # a large block is dealt by size first: sets that link are in one class of sizes or in neighbouring ones
@@ -566,6 +753,29 @@ def _join(docs: DataFrame, width: int, percent: int, block_rows: int, id_col: st
                 yield table("doc_id long,mark1 long,elements binary", doc_id=batch.column(0)[lo:hi].take(pa.array(some)), mark1=_marks(flat, to)[0][some], elements=[flat[to[i] : to[i + 1]].tobytes() for i in some])
 
     sets = texts.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(_FILTER_BITS)).alias("at")).mapInArrow(tidy(extract), "doc_id long, mark1 long, elements binary")
+    if every:
+        found = _settled(plan, shares, sets, percent, parts, every == "pairs")
+        if every == "pairs":
+            swapped = F.col("a") > F.col("b")
+            n_a, n_b = (F.when(swapped, F.col(x)).otherwise(F.col(y)).alias(y) for x, y in (("n_b", "n_a"), ("n_a", "n_b")))
+            return keep(cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), n_a, n_b, "shared")))
+        found = cut(found)
+        counted = found.where("node is not null").groupBy("node", "mark").agg(F.sum("links").alias("links"))
+        classes = classes.join(counted.withColumnsRenamed({"node": "of", "mark": "by"}), (F.col("node") == F.col("of")) & (F.col("mark1") == F.col("by")), "left")
+        classes = cut(classes.withColumn("n_links", F.col("weight") - 1 + F.coalesce("links", F.lit(0))).drop("of", "by", "links"))
+        found = found.where("a is not null").select("a", "b")
+    else:
+        found = _linking(plan, shares, sizes, places, sets, percent, parts)
+    linked = components(found)
+
+    named = keep(cut(classes.drop("bands", "weight").join(linked, "node", "left").select("mark1", "mark2", F.col("n").alias("m"), F.col("node").alias("class_id"), F.coalesce("component", "node").alias("component"), *(["n_links"] if every else []))))
+    same = (rows["mark1"] == named["mark1"]) & (rows["mark2"] == named["mark2"]) & (rows["n"] == named["m"])
+    more = [F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links")] if every else []
+    return rows.join(named, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), *more)
+
+
+def _linking(plan: DataFrame, shares: DataFrame, sizes: DataFrame, places: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Links (a, b) that join the components of every block."""
     dealt = plan.join(shares, ["block", "large", "sort"]).select("node", F.col("mark1").alias("mark"), "block", "large", "sort", "deal")
     full = sets.join(dealt, (sets["doc_id"] == dealt["node"]) & (sets["mark1"] == dealt["mark"])).select("block", "large", "sort", F.pmod(F.xxhash64("node", F.lit(1)), F.col("deal")).cast("int").alias("part"), "node", "elements")
     full = cut(full)
@@ -589,11 +799,22 @@ def _join(docs: DataFrame, width: int, percent: int, block_rows: int, id_col: st
         second = marked.select("block", "sort", "part", F.lit(False).alias("visitor"), "node", "elements", "label").unionByName(guests)
         second = second.repartition(parts, "block", "sort", "part").sortWithinPartitions("block", "sort", "part", "visitor")
         found = cut(found.unionByName(second.mapInArrow(tidy(_second_round(percent)), "a long, b long")))
-    linked = components(found)
-
-    named = keep(cut(classes.select("mark1", "mark2", "n", "node").join(linked, "node", "left").select("mark1", "mark2", F.col("n").alias("m"), F.col("node").alias("class_id"), F.coalesce("component", "node").alias("component"))))
-    same = (rows["mark1"] == named["mark1"]) & (rows["mark2"] == named["mark2"]) & (rows["n"] == named["m"])
-    return rows.join(named, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
+    return found
+
+
+def _settled(plan: DataFrame, shares: DataFrame, sets: DataFrame, percent: int, parts: int, listed: bool) -> DataFrame:
+    """What _tiles() gives for all pairs of every block; a set goes to each tile of its part."""
+    places = shares.select(F.col("block").alias("in_block"), F.col("sort").alias("in_sort"), F.explode(F.sequence(F.lit(0), F.col("deal") - 1)).alias("in_part"))
+    near = shares.join(places, (F.col("block") == F.col("in_block")) & (F.abs(F.col("sort") - F.col("in_sort")) <= 1))
+    near = near.groupBy("block", "sort", "deal").agg(F.collect_list(F.struct("in_sort", "in_part")).alias("near"))
+    dealt = plan.join(near, ["block", "sort"]).select("node", F.col("mark1").alias("mark"), "weight", "block", "sort", F.pmod(F.xxhash64("node", F.lit(1)), F.col("deal")).cast("int").alias("part"), "near")
+    full = sets.join(dealt, (sets["doc_id"] == dealt["node"]) & (sets["mark1"] == dealt["mark"])).select("block", "sort", "part", "node", "mark", "weight", "elements", F.explode("near").alias("to"))
+    own, other = F.struct("sort", "part"), F.struct(F.col("to.in_sort").alias("sort"), F.col("to.in_part").alias("part"))
+    tile = ["block", "sort1", "part1", "sort2", "part2"]
+    rows = full.withColumns({"lo": F.least(own, other), "hi": F.greatest(own, other), "visitor": (own > other).cast("int")})
+    rows = rows.select("block", F.col("lo.sort").alias("sort1"), F.col("lo.part").alias("part1"), F.col("hi.sort").alias("sort2"), F.col("hi.part").alias("part2"), "visitor", "node", "mark", "weight", "elements")
+    rows = rows.repartition(parts, *tile).sortWithinPartitions(*tile)
+    return rows.mapInArrow(tidy(_tiles(percent, listed)), (_LINKED if listed else _SETTLED).replace(",", ", "))
 
 
 def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -24,6 +24,11 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_read(spark, sf_dir, "documents"))
 
 
+def op1_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1 with the number of links of each document: every pair of different sets is settled."""
+    return jaccard.links(_read(spark, sf_dir, "documents"))
+
+
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_read(spark, sf_dir, "documents"))
 
@@ -62,7 +67,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard, op2_lm_score, op3_toxicity, op4_sentencepiece, op5_secret_scan, op6_exact_topk, op7_language_id, op8_line_dedup, op9_benchmark_decontamination, op10_warc)
+    f.__name__: f for f in (op1_ngram_jaccard, op2_lm_score, op3_toxicity, op4_sentencepiece, op5_secret_scan, op6_exact_topk, op7_language_id, op8_line_dedup, op9_benchmark_decontamination, op10_warc, op1_ngram_jaccard_links)
 }
 
 ORACLE: dict[str, str] = {
@@ -130,3 +135,8 @@ select page_id, n::bigint as payload_bytes, p.digest as payload_digest,
        case when t.target <> page_id then t.target end as refers_to
 from p left join t on p.digest = t.digest""",
 }
+
+_LINKS = "select doc_id, n_shingles, component_id, class_id, coalesce(k, 0)::bigint as n_links"
+ORACLE["op1_ngram_jaccard_links"] = (
+    ORACLE["op1_ngram_jaccard"].replace("select w.doc_id, coalesce(n.n, 0)", _LINKS + " from (select w.doc_id, coalesce(n.n, 0)") + ") left join (select x, count(*) as k from both_ways group by x) on x = doc_id"
+)

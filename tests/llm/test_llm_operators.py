@@ -150,6 +150,27 @@ def test_signature_tree_bound_never_drops_a_link():
     assert found == want and want
 
 
+@pytest.mark.parametrize("block_rows", [16, 128])
+def test_jaccard_links_and_pairs_are_whole(spark, block_rows):
+    rows = [(d, t) for d, t in near_copies() if d not in (3, 400)]  # ids that come once
+    rows += [(3, near_copies()[0][1]), (None, "a b c d e f")]
+    sets = {}
+    for d, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+    known = [d for d in sets if d is not None]
+    linked = {(a, b) for a in known for b in known if a != b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    degree = Counter(a for a, _ in linked)
+    found = jaccard.links(docs(spark, rows), block_rows=block_rows).collect()
+    assert {r.doc_id: r.n_links for r in found} == {d: None if d is None else degree[d] for d in sets} and len(found) == len(rows)
+    same = lambda df: by_doc(df.collect(), "n_shingles", "component_id", "class_id")
+    assert by_doc(found, "n_shingles", "component_id", "class_id") == same(jaccard.join(docs(spark, rows), block_rows=block_rows))
+    first = {r.doc_id: r.class_id for r in found}
+    want = {(a, b): (len(sets[a]), len(sets[b]), len(sets[a] & sets[b])) for a, b in linked if a < b and first[a] == a and first[b] == b}
+    got = jaccard.pairs(docs(spark, rows), block_rows=block_rows).collect()
+    assert {(r.a, r.b): (r.n_a, r.n_b, r.shared) for r in got} == want and len(got) == len(want) > 200
+
+
 # --------------------------------------------------------------------------- 2
 
 
