@@ -1,8 +1,10 @@
 """Language-model scoring by deleted interpolation.
 
 The model mixes the maximum-likelihood bigram, the maximum-likelihood unigram and a uniform share, with weights by
-buckets of the context's frequency.  The weights are learned by expectation-maximisation on deleted counts: over a fold
-of the training documents, every token is predicted from the counts without itself.
+buckets of the context's frequency; each higher order up to the given one (trigrams by default) is mixed with the model
+below it, with weights by buckets of its own context's frequency.  The weights are learned by expectation-maximisation
+on deleted counts, one order after the other: over a fold of the training documents, every token is predicted from the
+counts without itself.
 
 All counts are exact and cover all training documents.  A batch of documents sends each hash bucket its distinct
 n-grams once, sorted and packed, with its own counts, and gets their totals back; so a frequent word costs one number a
@@ -62,8 +64,8 @@ class Batch:
         ids, offs, nulls, folds, buf = out
         return Batch(ids, nulls, folds, buf, offs)
 
-    def grams(self) -> None:
-        """Fills: end (of each document's tokens), unigrams and bigrams (sorted), which (of each token)."""
+    def grams(self, order: int) -> None:
+        """Fills: end (of each document's tokens), and of each order up to this one n-grams (sorted) and which (of each token)."""
         hashes, sizes = [], []
         for lo, hi in slices(self.offs):
             h, _, first = words(self.buf[self.offs[lo] : self.offs[hi]], self.offs[lo : hi + 1] - self.offs[lo], SPACE)
@@ -75,11 +77,13 @@ class Batch:
         inner = np.ones(len(token), bool)
         inner[self.end - 1] = False
         token[inner] = np.concatenate(hashes)
-        before = np.concatenate(([_START], token[:-1]))
-        before[self.end[:-1]] = _START
         self.size = n + 1
-        self.unigrams, self.which1 = np.unique(token, return_inverse=True)
-        self.bigrams, self.which2 = np.unique(mix(before * _PREV + token * _NEXT), return_inverse=True)
+        found = [token]
+        for _ in range(order - 1):  # an n-gram is the one before it, shorter by a token, and the token
+            before = np.concatenate(([_START], found[-1][:-1]))
+            before[self.end[:-1]] = _START
+            found.append(mix(before * _PREV + token * _NEXT))
+        self.ngrams, self.which = zip(*(np.unique(h, return_inverse=True) for h in found))
         self.train = np.repeat(self.folds >= 0, self.size)
 
 
@@ -103,24 +107,25 @@ def _split(h: np.ndarray, parts: int) -> np.ndarray:
     return np.searchsorted(((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32), np.arange(parts + 1).astype(np.uint64))
 
 
-_ASKED = "bucket int,batch long,n int,grams binary,counts binary"
-_ANSWER = "batch long,bucket int,n long,counts binary,types long,docs long"
+_ASKED = "bucket int,batch long,teaches boolean,n int,grams binary,counts binary"
+_ANSWER = "batch long,teaches boolean,bucket int,n long,counts binary,types long,docs long"
 
 
-def _ask(parts: int, fold: int):
-    """A row for each batch, order and bucket; buckets of bigrams come after those of unigrams."""
+def _ask(parts: int, fold: int, order: int):
+    """A row for each batch, order and bucket; buckets of a higher order come after those of the lower one.  Batches of
+    the fold for EM teach the weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _batches(batches, fold):
-            b.grams()
+            b.grams(order)
             key, out = b.key(), []
-            for order, grams, which in ((0, b.unigrams, b.which1), (1, b.bigrams, b.which2)):
+            for k, (grams, which) in enumerate(zip(b.ngrams, b.which)):
                 counts = np.bincount(which[b.train], minlength=len(grams)).astype(np.uint32)
                 ends = _split(grams, parts)
                 for i in np.flatnonzero(np.diff(ends)):
                     own = slice(ends[i], ends[i + 1])
-                    out.append((order * parts + i, key, ends[i + 1] - ends[i], pack_sorted(grams[own], 8 * order), pack(counts[own])))
-            yield table(_ASKED, **dict(zip(("bucket", "batch", "n", "grams", "counts"), zip(*out))))
+                    out.append((k * parts + i, key, bool(b.folds[0] == fold), ends[i + 1] - ends[i], pack_sorted(grams[own], 8 * min(k, 1)), pack(counts[own])))
+            yield table(_ASKED, **dict(zip(("bucket", "batch", "teaches", "n", "grams", "counts"), zip(*out))))
 
     return run
 
@@ -143,7 +148,7 @@ def _answer(parts: int):
         found = [pack(np.minimum(total[which[at[i] : at[i + 1]]], 2**32 - 1).astype(np.uint32)) for i in range(len(rows))]
         ends = int(total[keys == _END].sum()) if bucket < parts else 0
         none = [None]
-        return pa.Table.from_batches([table(_ANSWER, batch=[*(r["batch"] for r in rows), *none], bucket=[bucket] * (len(rows) + 1), n=[*(r["n"] for r in rows), int(total.sum())], counts=[*found, *none], types=[0] * len(rows) + [int((total > 0).sum())], docs=[0] * len(rows) + [ends])])
+        return pa.Table.from_batches([table(_ANSWER, batch=[*(r["batch"] for r in rows), *none], teaches=[*(r["teaches"] for r in rows), *none], bucket=[bucket] * (len(rows) + 1), n=[*(r["n"] for r in rows), int(total.sum())], counts=[*found, *none], types=[0] * len(rows) + [int((total > 0).sum())], docs=[0] * len(rows) + [ends])])
 
     return run
 
@@ -160,25 +165,38 @@ def _carry(fold: int, only: bool):
 
 
 class Counted:
-    """A batch with the totals of its n-grams: for each token c(v), c(w), c(v, w)."""
+    """A batch with the totals of its n-grams: for each token those that end in it (counts: c(w), c(v, w), ...) and, from
+    bigrams on, those of their contexts (contexts: c(v), c(u, v), ...)."""
 
-    def __init__(self, rows: list[tuple[int, bytes]], parts: int, docs: int):
+    def __init__(self, rows: list[tuple[int, bytes]], parts: int, docs: int, order: int):
         own = [b for bucket, b in rows if bucket < 0]
         batch = self.batch = Batch.unpack(own[0])
         self.times = len(own)
-        batch.grams()
+        batch.grams(order)
         by = {bucket: b for bucket, b in rows if bucket >= 0}
-        totals = []
-        for order, grams in ((0, batch.unigrams), (1, batch.bigrams)):
+        self.counts, self.contexts = [], []
+        for k, (grams, which) in enumerate(zip(batch.ngrams, batch.which)):
             ends, total = _split(grams, parts), np.zeros(len(grams), np.int64)
             for i in np.flatnonzero(np.diff(ends)):
-                if (blob := by.get(order * parts + int(i))) is None:
+                if (blob := by.get(k * parts + int(i))) is None:
                     raise ValueError("the documents differ between two passes over them; cut() them first")
                 total[ends[i] : ends[i + 1]] = unpack(blob, np.uint32)
-            totals.append(total)
-        self.word, self.pair = totals[0][batch.which1], totals[1][batch.which2]
-        self.context = np.concatenate(([docs], self.word[:-1]))
-        self.context[batch.end[:-1]] = docs
+            self.counts.append(total[which])
+        for below in self.counts[:-1]:
+            context = np.concatenate(([docs], below[:-1]))
+            context[batch.end[:-1]] = docs
+            self.contexts.append(context)
+
+    def mixed(self, weights: list[np.ndarray], tokens: int, types: int, gone: int = 0) -> np.ndarray:
+        """Probability of each token by the orders that have weights; gone: 1 if it is deleted from the counts."""
+        context = self.contexts[0] - gone
+        w = weights[0][_bucket_of(context)]
+        out = w[:, 0] * (self.counts[1] - gone) / np.maximum(context, 1) + w[:, 1] * (self.counts[0] - gone) / max(1, tokens - gone) + w[:, 2] / (types + 1)
+        for k, own in enumerate(weights[1:], 1):
+            context = self.contexts[k] - gone
+            share = own[_bucket_of(context)]
+            out = share * (self.counts[k + 1] - gone) / np.maximum(context, 1) + (1 - share) * out
+        return out
 
 
 def _bucket_of(context: np.ndarray) -> np.ndarray:
@@ -203,17 +221,20 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, byte
         yield held
 
 
-def _deleted(parts: int, docs: int, tokens: int):
-    """Counts of (context bucket, step of the bigram, step of the unigram), every token deleted from the counts."""
+def _deleted(parts: int, docs: int, tokens: int, types: int, order: int, weights: list[np.ndarray]):
+    """Counts of (context bucket, step of the n-gram, step of what is below), every token deleted from the counts, for
+    the first order without weights; below bigrams is the unigram, below others the model of the lower orders."""
+    k = len(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS * STEPS * STEPS, np.int64)
         for rows in _grouped(batches):
             if not any(bucket < 0 for bucket, _ in rows):
                 continue
-            c = Counted(rows, parts, docs)
-            context = c.context - 1
-            place = (_bucket_of(context) * STEPS + _step((c.pair - 1) / np.maximum(context, 1))) * STEPS + _step((c.word - 1) / max(1, tokens - 1))
+            c = Counted(rows, parts, docs, order)
+            context = c.contexts[k] - 1
+            below = c.mixed(weights, tokens, types, 1) if k else (c.counts[0] - 1) / max(1, tokens - 1)
+            place = (_bucket_of(context) * STEPS + _step((c.counts[k + 1] - 1) / np.maximum(context, 1))) * STEPS + _step(below)
             total += np.bincount(place, minlength=len(total)) * c.times
         by = total.reshape(BUCKETS, -1)
         used = np.flatnonzero(by.any(1))
@@ -249,19 +270,36 @@ def mixture(total: np.ndarray, types: int, rounds: int = 60) -> np.ndarray:
     return out
 
 
+def blend(total: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Weight of an order against the model below it in each context bucket, by EM on deleted counts."""
+    p = np.concatenate(([0.0], 10.0 ** (-PER_STEP * np.arange(STEPS - 1))))
+    out = np.zeros(BUCKETS)
+    for k in range(1, BUCKETS):  # an unseen context has no n-grams
+        n = total[k].astype(np.float64)
+        n[:, 0] = 0
+        if not n.any():
+            out[k] = out[k - 1]
+            continue
+        w = 0.5
+        for _ in range(rounds):
+            own = w * p[:, None] + 0 * n
+            w = (n * own / np.maximum(own + (1 - w) * p[None, :], 1e-300)).sum() / n.sum()
+        out[k] = min(w, 1 - 1e-6)
+    return out
+
+
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(parts: int, docs: int, tokens: int, types: int, weights: np.ndarray):
+def _score(parts: int, docs: int, tokens: int, types: int, order: int, weights: list[np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches):
-            c = Counted(rows, parts, docs)
-            b = c.batch
-            w = weights[_bucket_of(c.context)]
-            mixed = w[:, 0] * c.pair / np.maximum(c.context, 1) + w[:, 1] * c.word / max(1, tokens) + w[:, 2] / (types + 1)
+            c = Counted(rows, parts, docs, order)
+            b, word = c.batch, c.counts[0]
+            mixed = c.mixed(weights, tokens, types)
             begin = b.end - b.size
-            base = np.add.reduceat(np.log10((c.word + 1) / (tokens + types + 1)), begin)
-            score, known = np.add.reduceat(np.log10(mixed), begin), np.add.reduceat((c.word > 0).astype(np.int64), begin)
+            base = np.add.reduceat(np.log10((word + 1) / (tokens + types + 1)), begin)
+            score, known = np.add.reduceat(np.log10(mixed), begin), np.add.reduceat((word > 0).astype(np.int64), begin)
             ids = pa.array(b.ids, mask=b.nulls)
             for _ in range(c.times):
                 yield table(_SCORES, doc_id=ids, held_out=b.folds == -2, n_tokens=b.size, n_known=known, train_tokens=np.full(len(b.ids), tokens), base_score=base, score=score)
@@ -269,28 +307,33 @@ def _score(parts: int, docs: int, tokens: int, types: int, weights: np.ndarray):
     return run
 
 
-def score(docs: DataFrame, parts: int = 7, held: int = 2, fold: int = 3) -> DataFrame:
+def score(docs: DataFrame, parts: int = 7, held: int = 2, fold: int = 3, order: int = 3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows whose crc32 of doc_id modulo parts is held teach nothing; those where it is fold teach the mixture weights
-    (and count, with each token deleted while it is predicted).
+    (and count, with each token deleted while it is predicted).  order is the length of the longest n-grams, 2 at least.
     """
+    if order < 2:
+        raise ValueError("order must be 2 or more")
     own = fold_of("doc_id", parts)
     rows = need(docs, doc_id="long", text="string").select("doc_id", "text", F.when(own == held, -2).otherwise(own).cast("int").alias("fold"))
     buckets = fanout(rows)
-    asked = rows.mapInArrow(tidy(_ask(buckets, fold)), _ASKED.replace(",", ", "))
+    asked = rows.mapInArrow(tidy(_ask(buckets, fold, order)), _ASKED.replace(",", ", "))
     answers = cut(asked.groupBy("bucket").applyInArrow(tidy(_answer(buckets)), _ANSWER.replace(",", ", ")))
     found = answers.where("batch is null").agg(F.sum(F.when(F.col("bucket") < buckets, F.col("n"))).alias("tokens"), F.sum(F.when(F.col("bucket") < buckets, F.col("types"))).alias("types"), F.sum("docs").alias("docs")).first()
     tokens, types, ends = found.tokens or 0, found.types or 0, found.docs or 0
-    answers = answers.where("batch is not null").select("batch", "bucket", "counts")
+    answers = answers.where("batch is not null")
 
     def together(only: bool) -> DataFrame:
-        both = rows.mapInArrow(_carry(fold, only), "batch long, bucket int, counts binary").unionByName(answers)
+        both = rows.mapInArrow(_carry(fold, only), "batch long, bucket int, counts binary").unionByName((answers.where("teaches") if only else answers).select("batch", "bucket", "counts"))
         return both.repartition(buckets, "batch").sortWithinPartitions("batch", "bucket")
 
-    total = np.zeros((BUCKETS, STEPS * STEPS), np.int64)  # of fixed size
-    parts_ = together(True).mapInArrow(tidy(_deleted(buckets, ends, tokens)), "part int, total binary").groupBy("part").applyInArrow(_add, "part int, total binary")
-    for part, blob in parts_.collect():
-        total[part] = unpack(blob, np.int64)
-    weights = mixture(total.reshape(BUCKETS, STEPS, STEPS), types)
-    return together(False).mapInArrow(tidy(_score(buckets, ends, tokens, types, weights)), _SCORES)
+    weights: list[np.ndarray] = []
+    for _ in range(order - 1):
+        total = np.zeros((BUCKETS, STEPS * STEPS), np.int64)  # of fixed size
+        parts_ = together(True).mapInArrow(tidy(_deleted(buckets, ends, tokens, types, order, weights)), "part int, total binary").groupBy("part").applyInArrow(_add, "part int, total binary")
+        for part, blob in parts_.collect():
+            total[part] = unpack(blob, np.int64)
+        total = total.reshape(BUCKETS, STEPS, STEPS)
+        weights = [*weights, blend(total) if weights else mixture(total, types)]
+    return together(False).mapInArrow(tidy(_score(buckets, ends, tokens, types, order, weights)), _SCORES)

@@ -206,6 +206,22 @@ def test_lm_mixture_is_a_distribution():
     assert weights.sum(1) == pytest.approx(1) and (weights >= 0).all() and weights[3, 0] > 0.5
 
 
+def test_lm_trigrams_tell_what_bigrams_cannot(spark):
+    rng = random.Random(2)
+    phrases = ["a x b", "c x d", "e x f", "g x h"]  # only the word before x tells the word after it
+    rows = [(i, " ".join(rng.choice(phrases) for _ in range(30))) for i in range(300)]
+    held = {}
+    for order in (2, 3, 4):
+        found = lm.score(docs(spark, rows), order=order).where("held_out").agg(F.sum("score"), F.sum("n_tokens")).first()
+        held[order] = found[0] / found[1]
+    # of three words one is free; bigrams take the word after x as free as well
+    assert held[3] > held[2] + 0.15 and held[3] == pytest.approx(math.log10(1 / 4) / 3, abs=0.05) and held[4] == pytest.approx(held[3], abs=0.05)
+    default = lm.score(docs(spark, rows)).where("held_out").agg(F.sum("score"), F.sum("n_tokens")).first()
+    assert default[0] / default[1] == pytest.approx(held[3])
+    with pytest.raises(ValueError):
+        lm.score(docs(spark, rows), order=1)
+
+
 def test_lm_empty(spark):
     assert lm.score(docs(spark, [])).count() == 0
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
