@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_ci
 from ..params import SETTINGS, STOP_CONCEPTS
 
+#: Concepts that one scan of texts looks for.
+BLOCK = 10_000
+
 
 def clean_names(df: DataFrame, name: str = "name") -> DataFrame:
     """Title case, trimmed, 3 characters and at most 4 words, no structural term."""
@@ -56,10 +61,14 @@ def most_common(names: DataFrame, n: int = SETTINGS.max_concepts) -> DataFrame:
 def mentions(texts: DataFrame, concepts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """id, name for each concept (name) that a text contains, case aside.
 
-    concepts is a top list of at most max_concepts names, so it goes to every task as an array; texts are not
-    shuffled and no pair is formed for a name that isn't there.
+    concepts is a top list, so it goes to every task as an array; texts are not shuffled and no pair is formed for a
+    name that isn't there.  A list of more than BLOCK names takes a scan of the texts for each block of them.
     """
-    names = [r.name for r in concepts.select("name").limit(10_000).collect()]
+    names = [r.name for r in concepts.select("name").collect()]
+    return reduce(DataFrame.unionByName, (_mentions(texts, names[i : i + BLOCK], id_col, text_col) for i in range(0, max(len(names), 1), BLOCK)))
+
+
+def _mentions(texts: DataFrame, names: list[str], id_col: str, text_col: str) -> DataFrame:
     known = F.array(*[F.struct(F.lower(F.lit(n)).alias("low"), F.lit(n).alias("name")) for n in names]) if names else F.array().cast("array<struct<low: string, name: string>>")
     # the text is bound to a variable, so that it is lowered once and not for every name
     found = F.flatten(F.transform(F.array(F.lower(F.col(text_col))), lambda t: F.transform(F.filter(known, lambda n: F.contains(t, n["low"])), lambda n: n["name"])))
@@ -77,7 +86,7 @@ def known_match(texts: DataFrame, concepts: DataFrame) -> DataFrame:
     """text, name: the known concept that a text is, else the first by name that contains it or is contained in it."""
     low, name = F.lower("text"), F.lower("name")
     kind = F.when(low == name, 0).when(F.contains(low, name) | F.contains(name, low), 1)
-    pairs = texts.join(F.broadcast(concepts.select("name").limit(10_000)), contains_ci(F.col("text"), F.col("name")) | contains_ci(F.col("name"), F.col("text")))
+    pairs = texts.join(F.broadcast(concepts.select("name")), contains_ci(F.col("text"), F.col("name")) | contains_ci(F.col("name"), F.col("text")))
     return pairs.groupBy("text").agg(F.min_by("name", F.struct(kind, "name")).alias("name"))
 
 

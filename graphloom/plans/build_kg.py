@@ -40,7 +40,7 @@ def prerequisites(records: DataFrame, concepts: DataFrame) -> DataFrame:
     """
     import re
 
-    names = [r.name for r in concepts.select("name").limit(10_000).collect()]
+    names = [r.name for r in concepts.select("name").collect()]
     patterns = [re.compile(p, re.IGNORECASE) for p in PREREQ_PATTERNS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -49,7 +49,7 @@ def vector_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One query a label (there are ten)."""
     vectors = read(spark, sf_dir, "embeddings")
     asked = vectors.groupBy("label").agg(F.min("vec_id").alias("query_id")).select("query_id")
-    asked = asked.join(vectors, asked["query_id"] == vectors["vec_id"]).select("query_id", F.col("embedding").alias("q")).limit(1000)
+    asked = asked.join(vectors, asked["query_id"] == vectors["vec_id"]).select("query_id", F.col("embedding").alias("q"))
     scores = vectors.join(F.broadcast(asked)).select("query_id", F.col("vec_id").alias("id"), cosine(F.col("embedding"), F.col("q")).alias("score"))
     return R.top_per_query(scores, 3).select("query_id", "id", "score", "rank")
 
@@ -78,7 +78,7 @@ select concept, count(*) as n, round(max(score), 6) as best from s where score >
 )
 def concept_embedding_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
-    names = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("c")).withColumnRenamed("label", "concept").limit(1000)
+    names = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("c")).withColumnRenamed("label", "concept")
     score = cosine(F.col("embedding"), F.col("c"), 1e-8)
     return vectors.join(F.broadcast(names)).select("concept", score.alias("score")).where("score >= 0.5").groupBy("concept").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 6).alias("best"))
 

@@ -151,3 +151,28 @@ def test_guards(spark):
     rows = [("MATCH (n) RETURN n", True), ("match (n) set n.x = 1", False), ("RETURN 'delete SET'", True), ("CALL { x }", False), ("RETURN offset", True)]
     df = spark.createDataFrame(rows, "q string, ok boolean")
     assert all(r.got == r.ok for r in df.withColumn("got", X.read_only(F.col("q"))).collect())
+
+
+def test_long_lists_of_concepts_are_used_whole(spark, monkeypatch):
+    from graphloom.plans import build_kg
+
+    names = spark.range(10_050).select(F.format_string("c%06d", "id").alias("name"))
+    last = [f"c{i:06d}" for i in range(10_000, 10_050)]
+    texts = spark.createDataFrame([(n,) for n in last], "text string")
+    assert {(r.text, r.name) for r in concepts.known_match(texts, names).collect()} == {(n, n) for n in last}
+    said = spark.createDataFrame([("1", f"{last[0]} builds on {last[-1]}.")], "id string, text string")
+    assert [(r.source, r.target) for r in build_kg.prerequisites(said, names).collect()] == [(last[0], last[-1])]
+    monkeypatch.setattr(concepts, "BLOCK", 4)
+    few = spark.createDataFrame([(w,) for w in "Ab cd ef gh ij kl mn op qr".split()], "name string")
+    rows = spark.createDataFrame([(1, "ab ef qr"), (2, "kl"), (3, "none"), (4, None)], "id int, text string")
+    assert sorted(map(tuple, concepts.mentions(rows, few, "id").collect())) == [(1, "Ab"), (1, "ef"), (1, "qr"), (2, "kl")]
+    assert concepts.mentions(rows, few.where("false"), "id").count() == 0
+
+
+def test_every_label_has_its_neighbours(spark, tmp_path):
+    from graphloom.queries import retrieval
+
+    angle = F.col("id") * 0.001
+    spark.range(1100).select(F.col("id").alias("vec_id"), F.format_string("l%d", "id").alias("label"), F.array(F.cos(angle), F.sin(angle)).cast("array<float>").alias("embedding")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert retrieval.vector_neighbors(spark, str(tmp_path)).select("query_id").distinct().count() == 1100
+    assert retrieval.concept_embedding_match(spark, str(tmp_path)).count() == 1100
