@@ -100,6 +100,17 @@ def need(docs: DataFrame, **kinds: str) -> DataFrame:
     return docs.select(*[F.col(f"`{k}`").cast(v).alias(k) for k, v in kinds.items()])
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df doesn't have, case aside."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def map_rows(df: DataFrame, run, columns: list[str]) -> DataFrame:
     """mapInArrow(run) for a function that keeps the first len(columns) columns of df; their names may hold anything."""
     kept = T.StructType([T.StructField(f"c{i}", df.schema.fields[i].dataType) for i in range(len(columns))])

@@ -1,24 +1,26 @@
 """Language-model scoring by deleted interpolation.
 
-The model mixes the maximum-likelihood bigram, the maximum-likelihood unigram and a uniform share, with weights by
-buckets of the context's frequency; each higher order up to the given one (trigrams by default) is mixed with the model
-below it, with weights by buckets of its own context's frequency.  The weights are learned by expectation-maximisation
-on deleted counts, one order after the other: over a fold of the training documents, every token is predicted from the
-counts without itself.
+Maximum-likelihood n-grams of every order up to the given one (trigrams by default) are mixed from below: a uniform
+share, then unigrams, then each higher order with the model below it, with weights by buckets of the context's
+frequency.  The weights are learned by expectation-maximisation on deleted counts, one order after the other: over a
+fold of the training documents, every token is predicted from the counts without itself.  The likelihood of a weight
+depends on a token only by the ratio of its n-gram's share to the share below, so a histogram of that ratio for each
+bucket (of fixed size, 200 steps a decade) is all that the maximisation has to see.
 
 All counts are exact and cover all training documents.  A batch of documents sends each hash bucket its distinct
 n-grams once, sorted and packed, with its own counts, and gets their totals back; so a frequent word costs one number a
 batch, no table of n-grams is broadcast, and what is gathered grows with the input.  Batches are told apart by a hash
-of what they hold.
+of what they hold; words by 64 bits of a hash, longer n-grams by 56.
 
 Edge cases: null and empty texts are one end token; unknown words have the uniform share; rows without doc_id are
-scored and not learned from; repeated rows each count and each get their row; with no training text the counts are 0
-and the uniform share is 1; an empty table gives an empty result; further columns are ignored.  docs must give the
-same rows each time it is read (cut it first if it doesn't).
+scored and not learned from; repeated rows each count and each get their row; very long texts are batches of their own;
+with no training text the counts are 0 and the uniform share is 1; an empty table gives an empty result; further columns
+are ignored.  docs must give the same rows each time it is read (cut it first if it doesn't).
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +29,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, fanout, fold_of, mix, need, pack, pack_sorted, slices, table, text_bytes, tidy, unpack, unpack_sorted, words
+from .common import SPACE, cut, fanout, fold_of, mix, need, pack, pack_sorted, scratch, slices, table, text_bytes, tidy, unpack, unpack_sorted, words
 
 BATCH_BYTES = 4 << 20
 _END, _START = np.uint64(0x517CC1B727220A95), np.uint64(0x2545F4914F6CDD1D)
 _PREV, _NEXT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
-#: Frequency buckets of contexts (powers of two; 0: unseen) and steps of the logarithms in the table that EM reads.
-BUCKETS, STEPS, PER_STEP = 40, 96, 0.1
+#: Frequency buckets of contexts (powers of two; 0: unseen).
+BUCKETS = 48
+#: Decades and steps a decade of the ratios that EM reads; their first place is for a ratio of 0.
+DECADES, STEPS = 15, 200
+PLACES = 2 * DECADES * STEPS + 2
 
 
 class Batch:
@@ -145,7 +150,8 @@ def _answer(parts: int):
         keys, which = np.unique(np.concatenate(grams), return_inverse=True)
         total = np.bincount(which, np.concatenate(counts), len(keys)).astype(np.int64)
         at = np.cumsum([0, *(len(g) for g in grams)])
-        found = [pack(np.minimum(total[which[at[i] : at[i + 1]]], 2**32 - 1).astype(np.uint32)) for i in range(len(rows))]
+        kind = np.uint32 if total.max(initial=0) < 1 << 32 else np.int64
+        found = [pack(total[which[at[i] : at[i + 1]]].astype(kind)) for i in range(len(rows))]
         ends = int(total[keys == _END].sum()) if bucket < parts else 0
         none = [None]
         return pa.Table.from_batches([table(_ANSWER, batch=[*(r["batch"] for r in rows), *none], teaches=[*(r["teaches"] for r in rows), *none], bucket=[bucket] * (len(rows) + 1), n=[*(r["n"] for r in rows), int(total.sum())], counts=[*found, *none], types=[0] * len(rows) + [int((total > 0).sum())], docs=[0] * len(rows) + [ends])])
@@ -164,38 +170,54 @@ def _carry(fold: int, only: bool):
     return run
 
 
+def _totals(blob: bytes, n: int) -> np.ndarray:
+    """n numbers of 32 or 64 bits."""
+    raw = zlib.decompress(blob)
+    return np.frombuffer(raw, np.uint32 if len(raw) == 4 * n else np.int64).astype(np.int64)
+
+
 class Counted:
-    """A batch with the totals of its n-grams: for each token those that end in it (counts: c(w), c(v, w), ...) and, from
-    bigrams on, those of their contexts (contexts: c(v), c(u, v), ...)."""
+    """Tokens with the totals of the n-grams that end in them (counts: c(w), c(v, w), ...) and those of the contexts
+    before them (contexts: all tokens, c(v), c(u, v), ...)."""
 
-    def __init__(self, rows: list[tuple[int, bytes]], parts: int, docs: int, order: int):
+    def __init__(self, counts: list[np.ndarray], end: np.ndarray, docs: int, tokens: int):
+        self.counts, self.end = counts, end
+        self.contexts = [np.full(len(counts[0]), tokens)]
+        for below in counts[:-1]:
+            context = np.concatenate(([docs], below[:-1]))
+            context[end[:-1]] = docs
+            self.contexts.append(context)
+
+    @staticmethod
+    def of(rows: list[tuple[int, bytes]], parts: int, docs: int, tokens: int, order: int) -> tuple[Counted, Batch, int]:
+        """From a packed batch and its answers; with the batch and how many equal ones there are."""
         own = [b for bucket, b in rows if bucket < 0]
-        batch = self.batch = Batch.unpack(own[0])
-        self.times = len(own)
+        batch = Batch.unpack(own[0])
         batch.grams(order)
         by = {bucket: b for bucket, b in rows if bucket >= 0}
-        self.counts, self.contexts = [], []
+        counts = []
         for k, (grams, which) in enumerate(zip(batch.ngrams, batch.which)):
             ends, total = _split(grams, parts), np.zeros(len(grams), np.int64)
             for i in np.flatnonzero(np.diff(ends)):
                 if (blob := by.get(k * parts + int(i))) is None:
                     raise ValueError("the documents differ between two passes over them; cut() them first")
-                total[ends[i] : ends[i + 1]] = unpack(blob, np.uint32)
-            self.counts.append(total[which])
-        for below in self.counts[:-1]:
-            context = np.concatenate(([docs], below[:-1]))
-            context[batch.end[:-1]] = docs
-            self.contexts.append(context)
-
-    def mixed(self, weights: list[np.ndarray], tokens: int, types: int, gone: int = 0) -> np.ndarray:
-        """Probability of each token by the orders that have weights; gone: 1 if it is deleted from the counts."""
-        context = self.contexts[0] - gone
-        w = weights[0][_bucket_of(context)]
-        out = w[:, 0] * (self.counts[1] - gone) / np.maximum(context, 1) + w[:, 1] * (self.counts[0] - gone) / max(1, tokens - gone) + w[:, 2] / (types + 1)
-        for k, own in enumerate(weights[1:], 1):
-            context = self.contexts[k] - gone
-            share = own[_bucket_of(context)]
-            out = share * (self.counts[k + 1] - gone) / np.maximum(context, 1) + (1 - share) * out
+                total[ends[i] : ends[i + 1]] = _totals(blob, ends[i + 1] - ends[i])
+            counts.append(total[which])
+        return Counted(counts, batch.end, docs, tokens), batch, len(own)
+
+    def share(self, k: int, gone: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Maximum-likelihood share of each token in order k + 1, and its context's frequency; gone: 1 if the token is
+        deleted from the counts."""
+        context = self.contexts[k] - gone
+        return (self.counts[k] - gone) / np.maximum(context, 1), context
+
+    def mixed(self, weights: list[np.ndarray], types: int, gone: int = 0) -> np.ndarray:
+        """Probability of each token by the orders that have weights."""
+        out = np.full(len(self.counts[0]), 1 / (types + 1))
+        for k, weight in enumerate(weights):
+            own, context = self.share(k, gone)
+            w = weight[_bucket_of(context)]
+            out = w * own + (1 - w) * out
         return out
 
 
@@ -203,9 +225,10 @@ def _bucket_of(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.where(context > 0, np.floor(np.log2(np.maximum(context, 1))) + 1, 0), BUCKETS - 1).astype(np.int64)
 
 
-def _step(p: np.ndarray) -> np.ndarray:
-    """Place of a probability on the logarithmic scale; 0 for none."""
-    return np.where(p > 0, np.clip(np.round(-np.log10(np.maximum(p, 1e-30)) / PER_STEP), 0, STEPS - 2) + 1, 0).astype(np.int64)
+def _place(ratio: np.ndarray) -> np.ndarray:
+    """Place of a ratio on the logarithmic scale; 0 for none."""
+    step = np.round((np.log10(np.maximum(ratio, 1e-300)) + DECADES) * STEPS)
+    return np.where(ratio > 0, np.clip(step, 0, PLACES - 2) + 1, 0).astype(np.int64)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes]]]:
@@ -221,21 +244,31 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, byte
         yield held
 
 
-def _deleted(parts: int, docs: int, tokens: int, types: int, order: int, weights: list[np.ndarray]):
-    """Counts of (context bucket, step of the n-gram, step of what is below), every token deleted from the counts, for
-    the first order without weights; below bigrams is the unigram, below others the model of the lower orders."""
-    k = len(weights)
+def _deleted(parts: int, docs: int, tokens: int, order: int):
+    """A row for each batch of the fold for EM: how often it comes, its documents' ends, and all counts of its tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS * STEPS * STEPS, np.int64)
         for rows in _grouped(batches):
-            if not any(bucket < 0 for bucket, _ in rows):
-                continue
-            c = Counted(rows, parts, docs, order)
-            context = c.contexts[k] - 1
-            below = c.mixed(weights, tokens, types, 1) if k else (c.counts[0] - 1) / max(1, tokens - 1)
-            place = (_bucket_of(context) * STEPS + _step((c.counts[k + 1] - 1) / np.maximum(context, 1))) * STEPS + _step(below)
-            total += np.bincount(place, minlength=len(total)) * c.times
+            if any(bucket < 0 for bucket, _ in rows):
+                c, _, times = Counted.of(rows, parts, docs, tokens, order)
+                yield table("times long,ends binary,counts binary", times=[times], ends=[pack(c.end.astype(np.int64))], counts=[pack(np.concatenate(c.counts))])
+
+    return run
+
+
+def _ratios(docs: int, tokens: int, types: int, order: int, weights: list[np.ndarray]):
+    """Histogram of the ratios (n-gram's share over the share below) by context bucket, every token deleted from the
+    counts, for the first order without weights."""
+    k = len(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS * PLACES, np.int64)
+        for batch in batches:
+            for times, ends, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                c = Counted(list(unpack(counts, np.int64).reshape(order, -1)), unpack(ends, np.int64), docs, tokens)
+                own, context = c.share(k, 1)
+                place = _bucket_of(context) * PLACES + _place(own / c.mixed(weights, types, 1))
+                total += np.bincount(place, minlength=len(total)) * times
         by = total.reshape(BUCKETS, -1)
         used = np.flatnonzero(by.any(1))
         yield table("part int,total binary", part=used, total=[pack(by[i]) for i in used])
@@ -248,42 +281,19 @@ def _add(group: pa.Table) -> pa.Table:
     return pa.Table.from_batches([table("part int,total binary", part=[group.column("part")[0].as_py()], total=[pack(total)])])
 
 
-def mixture(total: np.ndarray, types: int, rounds: int = 60) -> np.ndarray:
-    """Weights (bigram, unigram, uniform) of each context bucket by EM on deleted counts (BUCKETS x STEPS x STEPS)."""
-    p = np.concatenate(([0.0], 10.0 ** (-PER_STEP * np.arange(STEPS - 1))))
-    uniform = 1 / (types + 1)
-    out = np.tile([0.0, 0.5, 0.5] if types else [0.0, 0.0, 1.0], (BUCKETS, 1))
-    for k in range(BUCKETS):
-        n = total[k].astype(np.float64)
-        if not n.any():
-            if k and out[k - 1, 0]:
-                out[k] = out[k - 1]
-            continue
-        w = np.array([0.4, 0.4, 0.2]) if k else np.array([0.0, 0.6, 0.4])
-        shares = (p[:, None] + 0 * n, p[None, :] + 0 * n, np.full_like(n, uniform))
-        for _ in range(rounds):
-            mixed = w[0] * shares[0] + w[1] * shares[1] + w[2] * shares[2]
-            w = np.array([(n * w[i] * shares[i] / mixed).sum() for i in range(3)])
-            w /= w.sum()
-        w = np.maximum(w, [0, 1e-6, 1e-6])
-        out[k] = w / w.sum()
-    return out
-
-
-def blend(total: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Weight of an order against the model below it in each context bucket, by EM on deleted counts."""
-    p = np.concatenate(([0.0], 10.0 ** (-PER_STEP * np.arange(STEPS - 1))))
+def blend(total: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """Weight of an order against the model below it in each context bucket, by EM on histograms (BUCKETS x PLACES)."""
+    ratio = np.concatenate(([0.0], 10.0 ** (np.arange(PLACES - 1) / STEPS - DECADES)))
     out = np.zeros(BUCKETS)
     for k in range(1, BUCKETS):  # an unseen context has no n-grams
         n = total[k].astype(np.float64)
-        n[:, 0] = 0
         if not n.any():
             out[k] = out[k - 1]
             continue
-        w = 0.5
+        used, w = np.flatnonzero(n), 0.5
+        r, n = ratio[used], n[used]
         for _ in range(rounds):
-            own = w * p[:, None] + 0 * n
-            w = (n * own / np.maximum(own + (1 - w) * p[None, :], 1e-300)).sum() / n.sum()
+            w = float((n * w * r / (w * r + 1 - w)).sum() / n.sum())
         out[k] = min(w, 1 - 1e-6)
     return out
 
@@ -294,14 +304,12 @@ _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 def _score(parts: int, docs: int, tokens: int, types: int, order: int, weights: list[np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches):
-            c = Counted(rows, parts, docs, order)
-            b, word = c.batch, c.counts[0]
-            mixed = c.mixed(weights, tokens, types)
-            begin = b.end - b.size
+            c, b, times = Counted.of(rows, parts, docs, tokens, order)
+            word, begin = c.counts[0], b.end - b.size
             base = np.add.reduceat(np.log10((word + 1) / (tokens + types + 1)), begin)
-            score, known = np.add.reduceat(np.log10(mixed), begin), np.add.reduceat((word > 0).astype(np.int64), begin)
+            score, known = np.add.reduceat(np.log10(c.mixed(weights, types)), begin), np.add.reduceat((word > 0).astype(np.int64), begin)
             ids = pa.array(b.ids, mask=b.nulls)
-            for _ in range(c.times):
+            for _ in range(times):
                 yield table(_SCORES, doc_id=ids, held_out=b.folds == -2, n_tokens=b.size, n_known=known, train_tokens=np.full(len(b.ids), tokens), base_score=base, score=score)
 
     return run
@@ -311,29 +319,30 @@ def score(docs: DataFrame, parts: int = 7, held: int = 2, fold: int = 3, order:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows whose crc32 of doc_id modulo parts is held teach nothing; those where it is fold teach the mixture weights
-    (and count, with each token deleted while it is predicted).  order is the length of the longest n-grams, 2 at least.
+    (and count, with each token deleted while it is predicted).  order is the length of the longest n-grams.
     """
-    if order < 2:
-        raise ValueError("order must be 2 or more")
+    if order < 1:
+        raise ValueError("order must be 1 or more")
     own = fold_of("doc_id", parts)
     rows = need(docs, doc_id="long", text="string").select("doc_id", "text", F.when(own == held, -2).otherwise(own).cast("int").alias("fold"))
     buckets = fanout(rows)
-    asked = rows.mapInArrow(tidy(_ask(buckets, fold, order)), _ASKED.replace(",", ", "))
-    answers = cut(asked.groupBy("bucket").applyInArrow(tidy(_answer(buckets)), _ANSWER.replace(",", ", ")))
-    found = answers.where("batch is null").agg(F.sum(F.when(F.col("bucket") < buckets, F.col("n"))).alias("tokens"), F.sum(F.when(F.col("bucket") < buckets, F.col("types"))).alias("types"), F.sum("docs").alias("docs")).first()
-    tokens, types, ends = found.tokens or 0, found.types or 0, found.docs or 0
-    answers = answers.where("batch is not null")
-
-    def together(only: bool) -> DataFrame:
-        both = rows.mapInArrow(_carry(fold, only), "batch long, bucket int, counts binary").unionByName((answers.where("teaches") if only else answers).select("batch", "bucket", "counts"))
-        return both.repartition(buckets, "batch").sortWithinPartitions("batch", "bucket")
-
-    weights: list[np.ndarray] = []
-    for _ in range(order - 1):
-        total = np.zeros((BUCKETS, STEPS * STEPS), np.int64)  # of fixed size
-        parts_ = together(True).mapInArrow(tidy(_deleted(buckets, ends, tokens, types, order, weights)), "part int, total binary").groupBy("part").applyInArrow(_add, "part int, total binary")
-        for part, blob in parts_.collect():
-            total[part] = unpack(blob, np.int64)
-        total = total.reshape(BUCKETS, STEPS, STEPS)
-        weights = [*weights, blend(total) if weights else mixture(total, types)]
+    with scratch(docs.sparkSession) as keep:
+        asked = rows.mapInArrow(tidy(_ask(buckets, fold, order)), _ASKED.replace(",", ", "))
+        answers = keep(cut(asked.groupBy("bucket").applyInArrow(tidy(_answer(buckets)), _ANSWER.replace(",", ", "))))
+        found = answers.where("batch is null").agg(F.sum(F.when(F.col("bucket") < buckets, F.col("n"))).alias("tokens"), F.sum(F.when(F.col("bucket") < buckets, F.col("types"))).alias("types"), F.sum("docs").alias("docs")).first()
+        tokens, types, ends = found.tokens or 0, found.types or 0, found.docs or 0
+        answers = answers.where("batch is not null")
+
+        def together(only: bool) -> DataFrame:
+            both = rows.mapInArrow(_carry(fold, only), "batch long, bucket int, counts binary").unionByName((answers.where("teaches") if only else answers).select("batch", "bucket", "counts"))
+            return both.repartition(buckets, "batch").sortWithinPartitions("batch", "bucket")
+
+        taught = cut(together(True).mapInArrow(tidy(_deleted(buckets, ends, tokens, order)), "times long, ends binary, counts binary"))
+        weights: list[np.ndarray] = []
+        for _ in range(order):
+            total = np.zeros((BUCKETS, PLACES), np.int64)  # of fixed size
+            found = taught.mapInArrow(tidy(_ratios(ends, tokens, types, order, weights)), "part int, total binary").groupBy("part").applyInArrow(_add, "part int, total binary")
+            for part, blob in found.collect():
+                total[part] = unpack(blob, np.int64)
+            weights.append(blend(total))
     return together(False).mapInArrow(tidy(_score(buckets, ends, tokens, types, order, weights)), _SCORES)
