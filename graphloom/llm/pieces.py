@@ -1,20 +1,22 @@
 """SentencePiece BPE encoding and decoding by vectorised merge rounds.
 
 A text is cut into units (a run of spaces and what follows up to the next space).  No piece of a supported model
-reaches over such a border, so units are encoded alone, each distinct one once per worker cache.  All new units of a
-slice lie in one flat array of symbols; each round finds every unit's best-ranked, leftmost pair by a segmented
-minimum, merges all those pairs at once, and compacts the array, until no pair remains.
-
-Edge cases: null and empty texts have no ids and decode to ''; repeated rows each get their row; a character outside
-the model becomes its UTF-8 byte pieces (or the unknown id, without byte fallback); an empty table gives an empty
-result; further columns are ignored.
+reaches over such a border, so units are encoded alone, each distinct one once while a task's cache holds it.  All new
+units of a slice lie in one flat array of symbols; each round finds every unit's best pair rank by a segmented minimum
+and merges all its pairs of that rank at once, the leftmost first where they overlap; symbols that are gone are skipped
+by links and compacted away when they are many, until no pair remains.  Of a unit's pairs those behind a merge that
+brings up a better pair wait for the next round, so the merges are the library's in any model.  Long units take rounds
+of their own, so that short ones don't wait for them.
+
+Edge cases: null and empty texts have no ids and decode to ''; very long texts and words are encoded whole; repeated
+rows each get their row; a character outside the model becomes its UTF-8 byte pieces (or the unknown id, without byte
+fallback); an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import contextlib
 import hashlib
-import heapq
 import re
 import struct
 from collections.abc import Iterable, Iterator
@@ -27,9 +29,10 @@ from .common import need, slices, table, text_bytes, tidy
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Units beyond this many symbols go through a heap, so that one endless word doesn't need a round for each merge.
+#: Units beyond this many symbols take rounds of their own.
 LONG_UNIT = 400
 CACHE = 400_000
+_NONE = np.iinfo(np.int32).max
 
 
 def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -142,47 +145,45 @@ class Codec:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         found = self.keys[at] == key
         piece = np.where(found, self.merged[at], 0)
-        return piece, np.where(found, self.rank_of[piece], np.iinfo(np.int32).max)
+        return piece, np.where(found, self.rank_of[piece], _NONE)
 
     def rounds(self, units: list[str]) -> list[list[int]]:
         """Symbols of each unit after all merges."""
-        none = np.iinfo(np.int32).max
         sizes = np.fromiter(map(len, units), np.int64, len(units)) + 1
         flat = self.symbol_of[np.frombuffer((MARK + MARK.join(units)).encode("utf-32-le"), np.uint32)]
         out: list = [None] * len(units)
         unit = np.repeat(np.arange(len(units)), sizes)
         char = np.arange(len(flat))  # where each symbol starts, for characters of no piece
         begin = np.concatenate(([0], np.cumsum(sizes)))
-        piece, rank = np.zeros(len(flat), np.int64), np.full(len(flat), none, np.int64)
+        piece, rank = np.zeros(len(flat), np.int64), np.full(len(flat), _NONE, np.int64)
         inside = np.flatnonzero(unit[:-1] == unit[1:])
         piece[inside], rank[inside] = self._pairs(flat[inside], flat[inside + 1])
         done_sym, done_unit, done_char = [], [], []
         while len(flat):
+            # places of the symbols before and behind each one in its unit; -1: none
             heads = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
-            best = np.minimum.reduceat((rank << 32) + np.arange(len(flat)), heads)
-            live = (best >> 32) < none
-            if not live.all():
-                keep = np.repeat(live, np.diff(np.append(heads, len(flat))))
-                done_sym.append(flat[~keep])
-                done_unit.append(unit[~keep])
-                done_char.append(char[~keep])
-                at = np.cumsum(keep) - 1
-                best = at[best[live] & 0xFFFFFFFF]
-                flat, unit, char, piece, rank = (x[keep] for x in (flat, unit, char, piece, rank))
-                if not len(flat):
+            sizes = np.diff(np.append(heads, len(flat)))
+            before, behind = np.arange(-1, len(flat) - 1), np.arange(1, len(flat) + 1)
+            before[heads], behind[heads + sizes - 1] = -1, -1
+            gone, number = [], 0
+            while True:
+                least = np.minimum.reduceat(rank, heads)
+                live = least < _NONE
+                if 2 * (number + sizes[~live].sum()) > len(flat) or not live.any():
                     break
-            else:
-                best = best & 0xFFFFFFFF
-            flat[best] = piece[best]
+                best = np.flatnonzero(rank == np.repeat(np.where(live, least, -1), sizes))
+                gone.append(self._merge(best, flat, unit, before, behind, piece, rank))
+                number += len(gone[-1])
             keep = np.ones(len(flat), bool)
-            keep[best + 1] = False
-            best = (np.cumsum(keep) - 1)[best]
+            if gone:
+                keep[np.concatenate(gone)] = False
+            alive = np.repeat(live, sizes)
+            over = keep & ~alive
+            done_sym.append(flat[over])
+            done_unit.append(unit[over])
+            done_char.append(char[over])
+            keep &= alive
             flat, unit, char, piece, rank = (x[keep] for x in (flat, unit, char, piece, rank))
-            near = np.unique(np.concatenate((best, best[best > 0] - 1)))
-            joined = near[near + 1 < len(flat)]
-            joined = joined[unit[joined] == unit[joined + 1]]
-            piece[near], rank[near] = 0, none
-            piece[joined], rank[joined] = self._pairs(flat[joined], flat[joined + 1])
         sym, unit, char = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (done_sym, done_unit, done_char))
         order = np.argsort(char, kind="stable")
         sym, unit, char = sym[order], unit[order], char[order]
@@ -196,42 +197,52 @@ class Codec:
             out[u] = own
         return out
 
+    def _merge(self, best, flat, unit, before, behind, piece, rank) -> np.ndarray:
+        """Merges the pairs that begin at these places, all of their unit's best rank; returns the places that go."""
+        # of pairs in a row that overlap every second one
+        run = np.flatnonzero(np.concatenate(([True], behind[best[:-1]] != best[1:])))
+        best = best[(np.arange(len(best)) - np.repeat(run, np.diff(np.append(run, len(best))))) % 2 == 0]
+        right = behind[best]
+        left, after = before[best], behind[right]
+        # pairs of the merged piece with what is before it (a piece merged just now, if that touches) and behind it
+        touch = np.concatenate(([False], (left[1:] >= 0) & (left[1:] == right[:-1])))
+        merged = piece[best]
+        with_left = np.where(touch, np.concatenate(([0], merged[:-1])), flat[left])
+        piece_l, rank_l = self._pairs(with_left, merged)
+        piece_r, rank_r = self._pairs(merged, flat[after])
+        rank_l[left < 0] = _NONE
+        rank_r[after < 0] = _NONE
+        own = unit[best]
+        better = np.minimum(rank_l, rank_r) < rank[best]
+        if better.any():  # what lies behind the first merge that brings up a better pair waits
+            first = np.searchsorted(own, own)
+            number = np.cumsum(better) - better
+            stay = number == number[first]
+            best, right, left, after, touch, merged = (x[stay] for x in (best, right, left, after, touch, merged))
+            piece_l, rank_l, piece_r, rank_r = (x[stay] for x in (piece_l, rank_l, piece_r, rank_r))
+        flat[best] = merged
+        behind[best] = after
+        some = after >= 0
+        before[after[some]] = best[some]
+        rank[right] = _NONE
+        next_touches = np.append(touch[1:], False)
+        piece[best] = np.where(next_touches, np.append(piece_l[1:], 0), piece_r)
+        rank[best] = np.where(next_touches, np.append(rank_l[1:], 0), rank_r)
+        alone = (left >= 0) & ~touch
+        piece[left[alone]], rank[left[alone]] = piece_l[alone], rank_l[alone]
+        return right
+
     def outside(self, ch: str) -> list[int]:
         """Ids of a character that is no piece."""
         return [self.bytes_[b] for b in ch.encode()] if self.byte_fallback else [self.unknown]
 
-    def heap(self, unit: str) -> list[int]:
-        """The same merges for one long unit, by a queue of pairs."""
-        text = MARK + unit
-        n = len(text)
-        part, before, after = list(text), list(range(-1, n - 1)), [*range(1, n), -1]
-        queue: list = []
-
-        def offer(i: int) -> None:
-            if i >= 0 and (j := after[i]) >= 0 and (p := self.ids.get(part[i] + part[j])) is not None:
-                heapq.heappush(queue, (int(self.rank_of[p]), i, part[i], part[j]))
-
-        for i in range(n):
-            offer(i)
-        while queue:
-            _, i, a, b = heapq.heappop(queue)
-            j = after[i]
-            if part[i] != a or j < 0 or part[j] != b:
-                continue
-            part[i], part[j] = a + b, ""
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            offer(before[i])
-            offer(i)
-        return [x for p in part if p for x in ([self.ids[p]] if p in self.ids else self.outside(p))]
-
     def learn(self, units: Iterable[str]) -> None:
         """Encodes the units that the cache lacks."""
         new = [u for u in dict.fromkeys(units) if u not in self.cache]
         short = [u for u in new if len(u) < LONG_UNIT]
-        for u, ids in [*zip(short, self.rounds(short) if short else []), *((u, self.heap(u)) for u in new if len(u) >= LONG_UNIT)]:
-            self.cache[u] = (",".join(map(str, ids)), len(ids), self.spell(ids))
+        for group in ([short] if short else []) + [[u] for u in new if len(u) >= LONG_UNIT]:
+            for u, ids in zip(group, self.rounds(group)):
+                self.cache[u] = (",".join(map(str, ids)), len(ids), self.spell(ids))
 
     def encode(self, text: str) -> list[int]:
         if not text:
