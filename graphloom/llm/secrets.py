@@ -1,12 +1,14 @@
 """Secret scans: patterns, and character Markov models compared by log-likelihood ratio.
 
-Two models of the next character given the last are trained from labelled samples: strings that are random, and
-ordinary words and identifiers.  A candidate (a long run of key characters) whose mean log-likelihood ratio per
-character passes the threshold is a span of kind markov, unless a pattern's span covers part of it already.
-
-Edge cases: null and empty texts have no spans; offsets are code points; overlapping kinds all stay; ties in begin go
-by kind; repeated rows each get their row; a table without matches to learn from uses the generated
-samples alone, and an empty one gives an empty result; further columns are ignored.
+Two models of the next character given the last are trained from labelled samples: strings that are random (generated
+ones and the values that the patterns find), and ordinary words and identifiers (all other runs of key characters, but
+for those that hold a candidate).  A candidate is a run of 16 key characters or more; it is a span of kind markov if
+its log-likelihood ratio passes a threshold for each character and one for the whole run, unless it lies within a
+pattern's span.  All counts are sums over documents, so the models don't depend on how rows are dealt.
+
+Edge cases: null and empty texts have no spans; very long texts are scanned whole; offsets are code points; overlapping
+kinds all stay; ties in begin go by kind; repeated rows each get their row and each teach; a table without matches to
+learn from uses the generated samples alone, and an empty one gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +29,10 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 # A run shorter than the limit holds no longer match, so the limit can stand in the pattern.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: A whole run of known characters that may hold a candidate.
+_RUN = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
 _ALPHABET = string.ascii_letters + string.digits + "+/_=-."
-_PLACE = {c: i + 1 for i, c in enumerate(_ALPHABET)}
 _N = len(_ALPHABET) + 1
 _PLACES = np.zeros(256, np.int64)
 _PLACES[[ord(c) for c in _ALPHABET]] = range(1, _N)
@@ -45,12 +48,14 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def _pairs(sample: str) -> tuple[np.ndarray, np.ndarray]:
-    x = np.array([0, *(_PLACE.get(c, 0) for c in sample)])
+    """Places of each character and of the next, the sample's borders (place 0) among them."""
+    x = np.zeros(len(sample) + 2, np.int64)
+    x[1:-1] = _PLACES[np.frombuffer(sample.encode(), np.uint8)]
     return x[:-1], x[1:]
 
 
 def count(samples: list[str]) -> np.ndarray:
-    """Counts of each character after each other (place 0: the border of a sample)."""
+    """Counts of each character after each other (place 0: the border of a sample); samples are ASCII."""
     out = np.zeros((_N, _N), np.int64)
     for s in samples:
         np.add.at(out, _pairs(s), 1)
@@ -77,23 +82,22 @@ def generated(n: int = 2000, seed: int = 17) -> list[str]:
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts from this partition's labelled strings: values of pattern spans (kind 1), all words that are no
-    candidates (kind 0)."""
+    """Counts from this partition's labelled strings: values of pattern spans (kind 1), all other runs of key characters
+    that hold no candidate (kind 0)."""
     total = np.zeros((2, _N, _N), np.int64)
     for batch in batches:
         buf, offs = text_bytes(batch.column(0))
         for lo, hi in slices(offs, 4 << 20):
-            place = _PLACES[buf[offs[lo] : offs[hi]]]
-            pair = np.bincount(place[:-1] * _N + place[1:], minlength=_N * _N).reshape(_N, _N) if len(place) else total[0] * 0
-            total[0] += pair
+            # a border before and behind each document, so that none depends on its neighbours
+            place = np.insert(_PLACES[buf[offs[lo] : offs[hi]]], offs[lo : hi + 1] - offs[lo], 0)
+            total[0] += np.bincount(place[:-1] * _N + place[1:], minlength=_N * _N).reshape(_N, _N)
             for text in batch.column(0)[lo:hi].to_pylist():
                 for kind, begin, end in base_spans(text or ""):
                     value = re.split(r"[:=\s\"']", text[begin:end])[-1] if kind == "assign" else text[begin:end]
                     total[1] += count([value])
                 # what the scan will ask about is no sample of ordinary strings
-                total[0] -= count([m.group() for m in _CANDIDATE.finditer(text or "") if any(c.isdigit() for c in m.group())])
+                total[0] -= count([m.group() for m in _RUN.finditer(text or "") if _CANDIDATE.search(m.group())])
     total[0, 0, 0] = 0
-    total[0] = np.maximum(total[0], 0)
     yield table("kind int,counts binary", kind=[0, 1], counts=[x.tobytes() for x in total])
 
 
@@ -110,10 +114,17 @@ def learn(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return ratios(found.get(1, none) + count(generated()), found.get(0, none))
 
 
-def scan(docs: DataFrame, threshold: float = 2.0) -> DataFrame:
+def likely(ratio: np.ndarray, sample: str, threshold: float, whole: float) -> bool:
+    """Whether the ratio speaks for a random string: by its mean and by its sum."""
+    own = ratio[_pairs(sample)]
+    return float(own.mean()) > threshold and float(own.sum()) > whole
+
+
+def scan(docs: DataFrame, threshold: float = 2.0, whole: float = 32.0) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov.
 
-    The models are counted over all documents in a pass of its own, before every text is scanned.
+    The models are counted over all documents in a pass of its own, before every text is scanned.  threshold is the mean
+    log-likelihood ratio of a character and whole the ratio of a run from which it is a span.
     """
     ratio = docs.sparkSession.sparkContext.broadcast(learn(docs))
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long"
@@ -127,10 +138,7 @@ def scan(docs: DataFrame, threshold: float = 2.0) -> DataFrame:
                     base = base_spans(text or "")
                     more = []
                     for m in _CANDIDATE.finditer(text or ""):
-                        if any(b < m.end() and m.start() < e for _, b, e in base):
-                            continue
-                        s = m.group()
-                        if any(c.isdigit() for c in s) and float(ratio.value[_pairs(s)].mean()) > threshold:
+                        if not any(b <= m.start() and m.end() <= e for _, b, e in base) and likely(ratio.value, m.group(), threshold, whole):
                             more.append(("markov", m.start(), m.end()))
                     every = sorted([*base, *more], key=lambda x: (x[1], KINDS.index(x[0])))
                     show = [",".join(f"{k}:{b}:{e}" for k, b, e in spans) for spans in (base, every)]
