@@ -1,11 +1,12 @@
 """Language identification by sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Character n-grams (1 to 3, letters and single spaces only) are hashed to a fixed number of features.  Document
-frequencies are counted over all training texts.  The regression is trained by follow-the-regularised-leader with
-elastic-net penalties on a bounded, per-language sample, and its temperature is fitted on a fifth of that sample.
+frequencies are counted over all training texts.  Rows are sparse from the counting to the scoring.  The regression is
+trained by follow-the-regularised-leader with elastic-net penalties on a bounded, per-language sample, and its
+temperature is fitted on a fifth of that sample.
 
 Edge cases: null texts and texts without a letter are `und` with score 0; a language without training texts is never
-predicted; with no training text at all every prediction is `und`; ties go to the language that sorts first; repeated
+predicted; very long texts are counted whole, in a slice of their own; with no training text at all every prediction is `und`; ties go to the language that sorts first; repeated
 rows each get their row; rows without doc_id are held out of training; an empty table gives an empty result; further
 columns are ignored.
 """
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, need, pack, slices, table, text_bytes, unpack
+from .common import fold_of, need, pack, slices, table, text_bytes, tidy, unpack
 
 FEATURES = 1 << 14
 _SLICE = 1 << 18
@@ -30,10 +31,13 @@ _CODE = (np.random.default_rng(11).integers(1, 2**62, 3, dtype=np.uint64) << np.
 _KEEP = np.array([chr(i).isalpha() for i in range(256)])
 
 
-def counts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
-    """By slice: rows lo..hi and their n-gram counts (rows x FEATURES)."""
+def counts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """By slice: rows lo..hi and their n-gram counts as sparse rows: begins (hi - lo + 1 longs), features, counts.
+
+    What it holds follows the slice's characters, not its rows, so many short or empty texts take no more than long ones.
+    """
     _, offs = text_bytes(column)
-    for lo, hi in slices(offs, _SLICE):
+    for lo, hi in slices(offs + np.arange(len(offs)), _SLICE):
         texts = [(t or "").lower() for t in column[lo:hi].to_pylist()]
         sizes = np.array([len(t) for t in texts], np.int64)
         code = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -44,30 +48,34 @@ def counts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
             keep = np.ones(len(code), bool)
             keep[1:] = (code[1:] != 32) | (code[:-1] != 32) | (row[1:] != row[:-1])
             code, row = code[keep], row[keep]
-        out = np.zeros((hi - lo) * FEATURES, np.int64)
-        gram = np.zeros(len(code), np.uint64)
+        gram, found = np.zeros(len(code), np.uint64), []
         for n in range(3):
             if len(code) <= n:
                 break
             gram = gram[: len(code) - n] * np.uint64(0x100000001B3) + code[n:]
             inside = row[: len(code) - n] == row[n:]
             feature = ((gram * _CODE[n]) >> np.uint64(64 - 14)).astype(np.int64)
-            out += np.bincount((row[: len(code) - n] * FEATURES + feature)[inside], minlength=len(out))
-        yield lo, hi, out.reshape(hi - lo, FEATURES)
+            found.append((row[: len(code) - n] * FEATURES + feature)[inside])
+        places = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        head = np.flatnonzero(np.concatenate(([True], places[1:] != places[:-1]))) if len(places) else places
+        n = np.diff(np.append(head, len(places)))
+        places = places[head]
+        yield lo, hi, np.searchsorted(places, np.arange(hi - lo + 1) * FEATURES), places % FEATURES, n
 
 
-def weigh(raw: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Sublinear TF-IDF rows of unit length."""
-    x = np.log1p(raw.astype(np.float32)) * idf
-    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
+def weigh(begin: np.ndarray, at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Values of sublinear TF-IDF rows of unit length."""
+    x = np.log1p(n.astype(np.float32)) * idf[at]
+    total = np.concatenate(([0.0], np.cumsum(x.astype(np.float64) ** 2)))
+    return x / np.repeat(np.maximum(np.sqrt(total[begin[1:]] - total[begin[:-1]]), 1e-9), np.diff(begin))
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(FEATURES, np.int64)
     langs: dict[str, int] = {}
     for batch in batches:
-        for _, _, raw in counts(batch.column(0)):
-            total += (raw > 0).sum(0)
+        for _, _, _, at, _ in counts(batch.column(0)):
+            total += np.bincount(at, minlength=FEATURES)
         for x in batch.column(1).to_pylist():
             langs[x] = langs.get(x, 0) + 1
     yield table("lang string,n long,total binary", lang=["", *langs], n=[0, *langs.values()], total=[pack(total), *[None] * len(langs)])
@@ -82,9 +90,9 @@ def _add(group: pa.Table) -> pa.Table:
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo, hi, raw in counts(batch.column(0)):
-            at = [np.flatnonzero(r) for r in raw]
-            yield table("by long,lang string,at binary,n binary", by=batch.column(2)[lo:hi], lang=batch.column(1)[lo:hi], at=[pack(a.astype(np.uint16)) for a in at], n=[pack(r[a].astype(np.uint32)) for r, a in zip(raw, at)])
+        for lo, hi, begin, at, n in counts(batch.column(0)):
+            own = [slice(begin[i], begin[i + 1]) for i in range(hi - lo)]
+            yield table("by long,lang string,at binary,n binary", by=batch.column(2)[lo:hi], lang=batch.column(1)[lo:hi], at=[pack(at[e].astype(np.uint16)) for e in own], n=[pack(n[e].astype(np.uint32)) for e in own])
 
 
 def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01) -> np.ndarray:
@@ -112,7 +120,7 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epoch
 def fit(docs: DataFrame, limit: int = 3000, parts: int = 4, held: int = 2) -> dict:
     """The model: languages, idf, weights, temperature.  limit bounds the documents that the regression sees."""
     rows = need(docs, doc_id="long", text="string", lang="string").where("lang is not null and text is not null and doc_id is not null").where(fold_of("doc_id", parts) != held)
-    found = rows.select("text", "lang").mapInArrow(_frequencies, "lang string, n long, total binary").groupBy("lang").applyInArrow(_add, "lang string, n long, total binary").collect()
+    found = rows.select("text", "lang").mapInArrow(tidy(_frequencies), "lang string, n long, total binary").groupBy("lang").applyInArrow(_add, "lang string, n long, total binary").collect()
     total = sum((unpack(r.total, np.int64) for r in found if r.total is not None), np.zeros(FEATURES, np.int64))
     by_lang = {r.lang: r.n for r in found if r.n}
     langs = sorted(by_lang)
@@ -123,7 +131,7 @@ def fit(docs: DataFrame, limit: int = 3000, parts: int = 4, held: int = 2) -> di
     for lang in langs:  # every language has the same room
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, limit / len(langs) / by_lang[lang]))).otherwise(share)
     chance = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(chance < share).select("text", "lang", F.xxhash64("doc_id", F.lit(6)).alias("by")).mapInArrow(_sample, "by long, lang string, at binary, n binary").collect()
+    sample = rows.where(chance < share).select("text", "lang", F.xxhash64("doc_id", F.lit(6)).alias("by")).mapInArrow(tidy(_sample), "by long, lang string, at binary, n binary").collect()
     sample.sort(key=lambda r: (r.by, r.lang, r.at))
     data = []
     for r in sample:
@@ -144,6 +152,17 @@ def fit(docs: DataFrame, limit: int = 3000, parts: int = 4, held: int = 2) -> di
     return {"langs": langs, "idf": idf, "weights": weights, "temperature": float(temperature)}
 
 
+def _scores(begin: np.ndarray, at: np.ndarray, x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Sparse rows times weights (rows x classes)."""
+    out = np.zeros((len(begin) - 1, weights.shape[1]))
+    for lo, hi in slices(begin, (1 << 21) // weights.shape[1]):
+        some = lo + np.flatnonzero(np.diff(begin[lo : hi + 1]))
+        if len(some):
+            own = slice(begin[lo], begin[hi])
+            out[some] = np.add.reduceat(weights[at[own]] * x[own, None], begin[some] - begin[lo], 0)
+    return out
+
+
 def predict(docs: DataFrame, model: dict, parts: int = 4, held: int = 2) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
     schema = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -153,11 +172,11 @@ def predict(docs: DataFrame, model: dict, parts: int = 4, held: int = 2) -> Data
         m = shared.value
         langs, weights, bias = m["langs"], m["weights"][:-1].astype(np.float32), m["weights"][-1]
         for batch in batches:
-            for lo, hi, raw in counts(batch.column(1)):
+            for lo, hi, begin, at, n in counts(batch.column(1)):
                 named = np.array([bool(langs) and t is not None and _LETTER.search(t) is not None for t in batch.column(1)[lo:hi].to_pylist()])
                 pred, score = np.full(hi - lo, "und", object), np.zeros(hi - lo)
                 if langs:
-                    s = (weigh(raw, m["idf"]) @ weights + bias) / m["temperature"]
+                    s = (_scores(begin, at, weigh(begin, at, n, m["idf"]), weights) + bias) / m["temperature"]
                     p = np.exp(s - s.max(1, keepdims=True))
                     p /= p.sum(1, keepdims=True)
                     best = p.argmax(1)
@@ -166,7 +185,7 @@ def predict(docs: DataFrame, model: dict, parts: int = 4, held: int = 2) -> Data
                 yield table(schema, doc_id=batch.column(0)[lo:hi], held_out=batch.column(2)[lo:hi], lang_pred=pred, score=score)
 
     rows = need(docs, doc_id="long", text="string").select("doc_id", "text", (fold_of("doc_id", parts) == held).alias("held_out"))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def identify(docs: DataFrame, limit: int = 3000) -> DataFrame:
