@@ -1,18 +1,23 @@
 """Benchmark decontamination with a generalised suffix automaton of the test items' words.
 
-The automaton covers all items of one shard, of a bounded number of words; a bounded group of shards goes to the tasks
-at once.  A benchmark of more words takes a scan for each group, and the spans that these find are joined by row.  Runs of document words that occur in any item at all are found
-with numpy; only those runs pass through the automaton, which tracks the longest match ending at each word.
-
-Edge cases: null and empty texts have no words; an item without words has no window; an item shorter than the window
-is one window; repeated items count once per item_id; items with equal windows all count; an empty benchmark hits
-nothing; an empty table gives an empty result; further columns are ignored.
+Items are dealt into shards of a bounded size (an item beyond it in pieces that overlap by a window less one word), and
+tasks build each shard's automaton.  A bounded group of shards goes to the tasks that scan the documents; a benchmark of
+more shards takes a scan for each group, and the spans that these find are joined by row.  Runs of document words that
+occur in any item at all are found with numpy; only those runs pass through the automaton, which tracks the longest
+match ending at each word.
+
+Edge cases: null and empty texts have no words; very long texts are streamed whole; an item without words has no window;
+an item shorter than the window is one window; repeated items count once per item_id; windows of an item without
+item_id hit words but name no item; items with equal windows all count; an empty benchmark hits nothing; an empty table
+gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
+import pickle
+import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,91 +25,81 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NONWORD, cut, map_rows, need, slices, table, text_bytes, tidy, word_ends, words
+from .common import NONWORD, cut, free, map_rows, need, scratch, slices, table, text_bytes, tidy, word_ends, words
 
-#: Item words in one automaton, and so in one broadcast (some 100 bytes a word).
-SHARD_WORDS = 60_000
+#: Bytes of item texts in one shard, some 60 000 words; its automaton takes about ten times that.
+SHARD_BYTES = 400_000
 #: Shards in one broadcast.
 GROUP = 8
 
 
 class Automaton:
-    """Suffix automaton of several word sequences; for each state the items that hold its longest string."""
+    """Suffix automaton of several word sequences; for each state the items that hold its longest string.
+
+    A state's only move lies in two arrays, the moves of the fewer states with several in a dictionary each.
+    """
 
-    def __init__(self, items: list[tuple[int, list[int]]], window: int):
+    def __init__(self, items: list[tuple[int | None, list[int]]], window: int):
         self.window = window
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.len = [-1], [0]
-        self.items: list[set] = [set()]
-        whole: dict[int, int] = {}
+        moves: list[dict[int, int]] = [{}]
+        link, length = [-1], [0]
+        held: dict[int, set] = {}
         for item, seq in items:
-            last, ends = 0, []
-            for w in seq:
-                last = self._extend(last, w)
-                ends.append(last)
-            for state in ends:
-                self.items[state].add(item)
+            last = 0
+            for i, w in enumerate(seq):
+                last = _extended(moves, link, length, last, w)
+                if i + 1 >= window and item is not None:
+                    held.setdefault(last, set()).add(item)
+        whole: dict[int, dict[int, set]] = {}
         for item, seq in items:  # short items are windows of their own
             if 0 < len(seq) < window:
                 state = 0
                 for w in seq:
-                    state = self.next[state][w]
-                whole[state] = len(seq)
-                self.whole_items = getattr(self, "whole_items", {})
-                self.whole_items.setdefault((state, len(seq)), set()).add(item)
-        order = sorted(range(1, len(self.len)), key=self.len.__getitem__, reverse=True)
+                    state = moves[state][w]
+                own = whole.setdefault(state, {}).setdefault(len(seq), set())
+                if item is not None:
+                    own.add(item)
+        order = sorted(range(1, len(length)), key=length.__getitem__, reverse=True)
         for s in order:
-            if self.link[s] > 0:
-                self.items[self.link[s]] |= self.items[s]
-        # short windows that end where a state's strings end: (length, items), the state's own and its suffixes'
-        self.short: list[tuple] = [()] * len(self.len)
-        by_state: dict[int, list] = {}
-        for (state, n), own in getattr(self, "whole_items", {}).items():
-            by_state.setdefault(state, []).append((n, frozenset(own)))
+            if s in held and length[link[s]] >= window:
+                held.setdefault(link[s], set()).update(held[s])
+        #: Items of the states whose strings are of the window's length first.
+        self.items = {s: tuple(x) for s, x in held.items() if length[link[s]] < window}
+        #: Short windows that end where a state's strings end: (length, items), the state's own and its suffixes'.
+        self.short: dict[int, tuple] = {}
         for s in reversed(order):
-            self.short[s] = (*by_state.get(s, ()), *self.short[max(self.link[s], 0)])
-
-    def _extend(self, last: int, w: int) -> int:
-        if (q := self.next[last].get(w)) is not None:
-            if self.len[q] == self.len[last] + 1:
-                return q
-            return self._clone(last, w, q)
-        cur = self._state(self.len[last] + 1, {}, 0)
-        p = last
-        while p >= 0 and w not in self.next[p]:
-            self.next[p][w] = cur
-            p = self.link[p]
-        if p >= 0:
-            q = self.next[p][w]
-            self.link[cur] = q if self.len[q] == self.len[p] + 1 else self._clone(p, w, q)
-        return cur
-
-    def _state(self, n: int, moves: dict, link: int) -> int:
-        self.next.append(moves)
-        self.len.append(n)
-        self.link.append(link)
-        self.items.append(set())
-        return len(self.len) - 1
-
-    def _clone(self, p: int, w: int, q: int) -> int:
-        c = self._state(self.len[p] + 1, dict(self.next[q]), self.link[q])
-        self.link[q] = c
-        while p >= 0 and self.next[p].get(w) == q:
-            self.next[p][w] = c
-            p = self.link[p]
-        return c
+            ends = (*((n, tuple(x)) for n, x in whole.get(s, {}).items()), *self.short.get(link[s], ()))
+            if ends:
+                self.short[s] = ends
+        self.link, self.length = array("i", link), array("i", length)
+        self.word, self.to = array("i", [-1] * len(link)), array("i", [-1] * len(link))
+        self.several: dict[int, dict[int, int]] = {}
+        for s, own in enumerate(moves):
+            if len(own) == 1:
+                ((self.word[s], self.to[s]),) = own.items()
+            elif own:
+                self.several[s] = own
+
+    def move(self, state: int, w: int) -> int:
+        """The state after a word; -1: none."""
+        if self.word[state] == w:
+            return self.to[state]
+        own = self.several.get(state)
+        return -1 if own is None else own.get(w, -1)
 
     def stream(self, seq: list[int]) -> tuple[list[tuple[int, int]], set]:
         """Windows in a sequence of words: (begin, end) of merged spans, and the items they belong to."""
-        window, link, length, moves = self.window, self.link, self.len, self.next
+        window, link, length, move = self.window, self.link, self.length, self.move
         state = n = 0
         spans: list[tuple[int, int]] = []
         found: set = set()
         for i, w in enumerate(seq):
-            while state and w not in moves[state]:
+            to = move(state, w)
+            while to < 0 and state:
                 state = link[state]
                 n = length[state]
-            if (to := moves[state].get(w)) is None:
+                to = move(state, w)
+            if to < 0:
                 n = 0
                 continue
             state, n = to, n + 1
@@ -113,11 +108,11 @@ class Automaton:
                 widest, s = window, state
                 while length[link[s]] >= window:
                     s = link[s]
-                found |= self.items[s]
-            for size, own in self.short[state]:
+                found.update(self.items.get(s, ()))
+            for size, own in self.short.get(state, ()):
                 if size <= n:
                     widest = max(widest, size)
-                    found |= own
+                    found.update(own)
             if widest:
                 begin = i + 1 - widest
                 while spans and spans[-1][1] >= begin:
@@ -126,34 +121,78 @@ class Automaton:
         return spans, found
 
 
-def _sequences(texts: list[str | None]) -> list[np.ndarray]:
-    buf, offs = text_bytes(pa.array(texts, pa.string()))
-    h, _, first = words(buf, offs, NONWORD)
-    return [h[first[i] : first[i + 1]] for i in range(len(texts))]
+def _extended(moves: list[dict[int, int]], link: list[int], length: list[int], last: int, w: int) -> int:
+    """The state of last's longest string and a word, made if it isn't there."""
+
+    def state(n: int, own: dict, to: int) -> int:
+        moves.append(own)
+        length.append(n)
+        link.append(to)
+        return len(length) - 1
+
+    def split(p: int, q: int) -> int:
+        if length[q] == length[p] + 1:
+            return q
+        copy = state(length[p] + 1, dict(moves[q]), link[q])
+        link[q] = copy
+        while p >= 0 and moves[p].get(w) == q:
+            moves[p][w] = copy
+            p = link[p]
+        return copy
 
+    if (q := moves[last].get(w)) is not None:
+        return split(last, q)
+    new, p = state(length[last] + 1, {}, 0), last
+    while p >= 0 and w not in moves[p]:
+        moves[p][w] = new
+        p = link[p]
+    if p >= 0:
+        link[new] = split(p, moves[p][w])
+    return new
 
-def shards(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> Iterator[tuple[np.ndarray, Automaton, int]]:
-    """For each shard: the sorted hashes of its words, its automaton over places in them, its shortest window."""
-    part: list = []
-    size = 0
 
-    def close() -> tuple[np.ndarray, Automaton, int]:
-        vocabulary = np.unique(np.concatenate([s for _, s in part]))
-        auto = Automaton([(i, np.searchsorted(vocabulary, s).tolist()) for i, s in part], window)
-        return vocabulary, auto, min(window, *(len(s) for _, s in part))
+def _dealt(parts: int, window: int, size: int):
+    """Items as sequences of word hashes, and the shard of each; long ones in overlapping pieces of size words."""
 
-    rows = need(benchmark, **{id_col: "long", text_col: "string"}).where(f"{id_col} is not null").toLocalIterator()
-    for item, text in rows:
-        (seq,) = _sequences([text])
-        if not len(seq):
-            continue
-        if part and size + len(seq) > SHARD_WORDS:
-            yield close()
-            part, size = [], 0
-        part.append((item, seq))
-        size += len(seq)
-    if part:
-        yield close()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offs = text_bytes(batch.column(1))
+            for lo, hi in slices(offs):
+                h, _, first = words(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], NONWORD)
+                shard, items, seqs = [], [], []
+                for i, item in enumerate(batch.column(0)[lo:hi].to_pylist()):
+                    for b in range(first[i], max(first[i] + 1, first[i + 1] - window + 1), size):
+                        seq = h[b : min(b + size + window - 1, first[i + 1])].tobytes()
+                        if seq:
+                            shard.append(zlib.crc32(seq, 0 if item is None else item & 0xFFFFFFFF) % parts)
+                            items.append(item)
+                            seqs.append(seq)
+                yield table("shard int,item_id long,seq binary", shard=shard, item_id=items, seq=seqs)
+
+    return run
+
+
+def _built(window: int):
+    def run(group: pa.Table) -> pa.Table:
+        own = sorted(zip(group.column("item_id").to_pylist(), group.column("seq").to_pylist()), key=lambda x: (x[1], x[0] is None, x[0] or 0))
+        part = [(item, np.frombuffer(seq, np.uint64)) for item, seq in own]
+        vocabulary = np.unique(np.concatenate([seq for _, seq in part]))
+        auto = Automaton([(item, np.searchsorted(vocabulary, seq).tolist()) for item, seq in part], window)
+        blob = pickle.dumps((vocabulary, auto, min(window, *(len(seq) for _, seq in part))), pickle.HIGHEST_PROTOCOL)
+        return pa.Table.from_batches([table("shard int,automaton binary", shard=[group.column("shard")[0].as_py()], automaton=[blob])])
+
+    return run
+
+
+def shards(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> tuple[DataFrame, int]:
+    """shard, automaton (the sorted hashes of its words, its automaton over places in them, its shortest window; pickled)
+    of the shards that have words, and how many shards there are."""
+    rows = need(benchmark, **{id_col: "long", text_col: "string"})
+    parts = -(-(rows.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // SHARD_BYTES)
+    if not parts:
+        return benchmark.sparkSession.createDataFrame([], "shard int, automaton binary"), 0
+    dealt = rows.mapInArrow(tidy(_dealt(parts, window, max(1, SHARD_BYTES // 20))), "shard int, item_id long, seq binary")
+    return cut(dealt.groupBy("shard").applyInArrow(tidy(_built(window)), "shard int, automaton binary")), parts
 
 
 class Scanner:
@@ -190,9 +229,9 @@ _SPANS = "array<struct<begin:long,end:long>>"
 _PAIRS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
 
-def _found(docs: DataFrame, group: list) -> DataFrame:
-    """row_id (of doc_id and text), spans, items of the rows with windows of this group of shards."""
-    shared = docs.sparkSession.sparkContext.broadcast(group)
+def _found(rows: DataFrame, group: list) -> DataFrame:
+    """of and at (doc_id and a hash of the text), spans, items of the rows with windows of this group of shards."""
+    shared = rows.sparkSession.sparkContext.broadcast(group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(shared.value)
@@ -202,10 +241,10 @@ def _found(docs: DataFrame, group: list) -> DataFrame:
                 h, _, first = words(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], NONWORD)
                 found = sorted(scanner.scan(h, first).items())
                 pairs = pa.array([[{"begin": s, "end": t} for s, t in spans] for _, (spans, _) in found], _PAIRS)
-                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array([lo + i for i, _ in found], pa.int64())), pairs, pa.array([sorted(x) for _, (_, x) in found], pa.list_(pa.int64()))], ["row_id", "spans", "items"])
+                own = pa.array([lo + i for i, _ in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(own), batch.column(2).take(own), pairs, pa.array([sorted(x) for _, (_, x) in found], pa.list_(pa.int64()))], ["of", "at", "spans", "items"])
 
-    rows = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("row_id"))
-    return rows.mapInArrow(run, f"row_id long, spans {_SPANS}, items array<long>")
+    return rows.mapInArrow(tidy(run), f"of long, at long, spans {_SPANS}, items array<long>")
 
 
 class _Finder:
@@ -239,19 +278,27 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _prepared(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, list | None]:
-    """docs and a group of shards, where one group holds the benchmark; else docs with the columns __spans and __items,
-    found group by group, and None."""
-    found = shards(benchmark, "item_id", "text", window)
-    group, more = list(itertools.islice(found, GROUP)), list(itertools.islice(found, GROUP))
-    if not more:
-        return docs, group
-    parts = cut(_found(docs, group))
-    while more:
-        parts = parts.unionByName(cut(_found(docs, more)))
-        more = list(itertools.islice(found, GROUP))
-    whole = parts.groupBy(F.col("row_id").alias("__row_id")).agg(F.flatten(F.collect_list("spans")).alias("__spans"), F.flatten(F.collect_list("items")).alias("__items"))
-    keyed = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    return keyed.join(whole, keyed["__row"] == whole["__row_id"], "left").drop("__row", "__row_id"), None
+    """docs and a group of shards, where one group holds the benchmark; else docs with two more columns, the spans and
+    the items found group by group, and None."""
+    with scratch(docs.sparkSession) as hold:
+        found, parts = shards(benchmark, "item_id", "text", window)
+
+        def group(at: int) -> list:  # of bounded size
+            return [pickle.loads(x.automaton) for x in found.where(F.col("shard").between(at, at + GROUP - 1)).orderBy("shard").collect()]
+
+        if parts <= GROUP:
+            return docs, group(0)
+        rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("of")).withColumn("at", F.xxhash64("text"))
+        rows, pieces = rows.select("text", "of", "at"), None
+        for at in range(0, parts, GROUP):
+            own = cut(_found(rows, group(at)))
+            pieces = own if pieces is None else pieces.unionByName(own)
+        of, at, spans, items, doc, row = free(docs, "_of", "_at", "_spans", "_items", "_doc", "_row")
+        # a row that comes often has the same spans each time, so the sets hold no more than one array a group of shards
+        whole = pieces.groupBy(F.col("of").alias(of), F.col("at").alias(at)).agg(F.flatten(F.collect_set("spans")).alias(spans), F.flatten(F.collect_set("items")).alias(items))
+        whole = hold(cut(whole))
+    keyed = docs.withColumns({doc: F.col("doc_id").cast("long"), row: F.xxhash64(F.col("text").cast("string"))})
+    return keyed.join(whole, keyed[doc].eqNullSafe(whole[of]) & (keyed[row] == whole[at]), "left").drop(doc, row, of, at), None
 
 
 def digest(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -315,4 +362,4 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame
                 pairs = pa.array([[{"begin": s, "end": t} for s, t in spans] for _, (spans, _) in hits], _PAIRS)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([lo + i for i, _ in hits], pa.int64())), pairs, pa.array([sorted(x) for _, (_, x) in hits], pa.list_(pa.int64()))], ["doc_id", "spans", "items"])
 
-    return rows.mapInArrow(run, f"doc_id long, spans {_SPANS}, items array<long>")
+    return rows.mapInArrow(tidy(run), f"doc_id long, spans {_SPANS}, items array<long>")
