@@ -1,30 +1,35 @@
 """WARC records in ZIP archives: a writer, and a reader that parses the ZIP directories and reads ranges.
 
-An archive holds stored (uncompressed) members: archive/data.warc.gz, one gzip member a record, and indexes/index.cdx,
-a line a record with offset and length.  The reader finds the end-of-central-directory record (or its ZIP64 form),
-walks the central directory (ZIP64 extra fields included), locates each stored member behind its local header, reads
-the index, and then only the ranges of the records asked for; nothing is extracted.
+An archive holds stored (uncompressed) members: archive/data.warc.gz, one gzip member a record, and indexes/index.cdxj,
+a CDXJ line a record (key, time, and a JSON object with file name, offset and length).  The reader finds the
+end-of-central-directory record (or its ZIP64 form), walks the central directory (ZIP64 extra fields included), locates
+each stored member behind its local header, reads the indexes (gzipped ones too), and then only the ranges of the
+records; nothing is extracted.  Archives are rows of a table that holds them as blocks of bytes, or files: of those
+the directories and indexes give a row for each record, and tasks read the records of one archive side by side, each
+by its range of the file.
 
 Edge cases: null html is an empty payload; payloads under min_bytes never revisit; of equal payloads the record of the
 largest page_id is the response, so rows that repeat that page_id are all responses; a null page_id never is a
-target and never revisits; a broken archive raises ValueError; an empty table gives an empty result; further columns
-are ignored.
+target and never revisits; a very long page has an archive of its own; a broken archive raises ValueError; an empty
+table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, need, scratch, table
+from .common import cut, need, scratch, table, tidy
 
-RECORDS_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdx"
+RECORDS_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Payload bytes in one archive; a larger record has an archive of its own.
 ARCHIVE_BYTES = 8 << 20
 _END, _END64, _LOCATOR64, _CENTRAL, _LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
@@ -133,27 +138,42 @@ def _gzip(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def archive(records: list[bytes]) -> bytes:
+def archive(records: list[bytes], zip64: bool = False) -> bytes:
     """One ZIP of compressed records and their index."""
     packed = [_gzip(r) for r in records]
     index, at = [], 0
     for i, p in enumerate(packed):
-        index.append(f"{i} {at} {len(p)}\n")
+        index.append(f"{i:012} 20240101000000 " + json.dumps({"filename": RECORDS_MEMBER.split("/")[1], "offset": str(at), "length": str(len(p))}) + "\n")
         at += len(p)
-    return zip_stored([(RECORDS_MEMBER, b"".join(packed)), (INDEX_MEMBER, "".join(index).encode())])
+    return zip_stored([(RECORDS_MEMBER, b"".join(packed)), (INDEX_MEMBER, "".join(index).encode())], zip64)
 
 
-def read_ranges(read: Callable[[int, int], bytes], size: int) -> Iterator[tuple[dict[str, str], bytes]]:
-    """All records of an archive, each read by its own range."""
+def record_ranges(read: Callable[[int, int], bytes], size: int) -> Iterator[tuple[int, int]]:
+    """(offset, length) in the archive of every record that its indexes name."""
     members = zip_members(read, size)
-    if not {RECORDS_MEMBER, INDEX_MEMBER} <= members.keys():
-        raise ValueError("no records or no index in the archive")
-    begin, room = members[RECORDS_MEMBER]
-    for line in read(*members[INDEX_MEMBER]).decode().splitlines():
-        _, at, length = map(int, line.split())
-        if at + length > room:
-            raise ValueError("the index points beyond the records")
-        yield parse_record(zlib.decompress(read(begin + at, length), 31))
+    data = {name.removeprefix("archive/"): place for name, place in members.items() if name.startswith("archive/")}
+    found = [name for name in members if re.fullmatch(r"indexes/.*\.cdxj?(\.gz)?", name)]
+    if not data or not found:
+        raise ValueError("no stored records or no index in the archive")
+    for name in sorted(found):
+        raw = read(*members[name])
+        for line in (zlib.decompress(raw, 31) if name.endswith(".gz") else raw).decode().splitlines():
+            if "{" not in line:
+                continue  # a header line
+            entry = json.loads(line[line.index("{") :])
+            if entry["filename"] not in data:
+                raise ValueError(f"the archive lacks {entry['filename']}")
+            begin, room = data[entry["filename"]]
+            at, length = int(entry["offset"]), int(entry["length"])
+            if at + length > room:
+                raise ValueError("the index points beyond the records")
+            yield begin + at, length
+
+
+def read_record(read: Callable[[int, int], bytes], at: int, length: int) -> tuple[dict[str, str], bytes]:
+    """Header fields and payload of the record in a range."""
+    raw = read(at, length)
+    return parse_record(zlib.decompress(raw, 31) if raw[:2] == b"\x1f\x8b" else raw)
 
 
 # --------------------------------------------------------------------------- operators
@@ -184,37 +204,102 @@ def write_archives(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     return marked.select("page_id", "url", "payload", "digest", "target").mapInArrow(run, "archive binary")
 
 
+_RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+
+
+def _id(uri: str | None) -> int | None:
+    """The page of a record's name; null for others' names."""
+    found = re.fullmatch(r"<urn:page:(-?\d+)>", uri or "")
+    return int(found[1]) if found else None
+
+
+def _rows(found: Iterator[tuple[dict[str, str], bytes]], at_once: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of records, of about so many bytes; payloads are held against their digests."""
+    out: dict[str, list] = {k.split()[0]: [] for k in _RECORDS.split(", ")}
+    size = 0
+    for fields, payload in found:
+        if fields["WARC-Type"] not in ("response", "revisit"):
+            continue  # information about the archive, requests
+        revisit = fields["WARC-Type"] == "revisit"
+        digest = fields.get("WARC-Payload-Digest", "").removeprefix("sha1:")
+        if not revisit and "X-Payload-Length" in fields and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != int(fields["X-Payload-Length"])):
+            raise ValueError("a payload differs from its digest")
+        out["page_id"].append(_id(fields.get("WARC-Record-ID")))
+        out["url"].append(fields.get("WARC-Target-URI"))
+        out["record_type"].append(fields["WARC-Type"])
+        out["refers_to"].append(_id(fields.get("WARC-Refers-To")) if revisit else None)
+        out["payload_bytes"].append(int(fields.get("X-Payload-Length", len(payload))))
+        out["payload_digest"].append(digest or hashlib.sha1(payload).hexdigest())
+        out["payload"].append(None if revisit else payload)
+        size += len(payload)
+        if size >= at_once:
+            yield table(_RECORDS.replace(", ", ","), **out)
+            out, size = {k: [] for k in out}, 0
+    yield table(_RECORDS.replace(", ", ","), **out)
+
+
 def read_archives(archives: DataFrame, column: str = "archive") -> DataFrame:
     """A row a record: page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload (null for a revisit).
 
-    archives: a table with the bytes of archives in column, such as write_archives() returns or
-    spark.read.format("binaryFile") (column "content") reads.
+    archives: a table with the bytes of archives in column, such as write_archives() returns.
     """
-    schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column(0):
-                if not blob.is_valid:
-                    continue
-                data = memoryview(blob.as_buffer())
-                out: dict[str, list] = {k.split()[0]: [] for k in schema.split(", ")}
-                for fields, payload in read_ranges(lambda at, n, d=data: bytes(d[at : at + n]), len(data)):
-                    revisit = fields["WARC-Type"] == "revisit"
-                    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if not revisit and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != int(fields["X-Payload-Length"])):
-                        raise ValueError("a payload differs from its digest")
-                    page = fields["WARC-Record-ID"][10:-1]
-                    out["page_id"].append(int(page) if page else None)
-                    out["url"].append(fields["WARC-Target-URI"])
-                    out["record_type"].append(fields["WARC-Type"])
-                    out["refers_to"].append(int(fields["WARC-Refers-To"][10:-1]) if revisit else None)
-                    out["payload_bytes"].append(int(fields["X-Payload-Length"]))
-                    out["payload_digest"].append(digest)
-                    out["payload"].append(None if revisit else payload)
-                yield table(schema.replace(", ", ","), **out)
-
-    return archives.select(F.col(f"`{column}`").alias("archive")).mapInArrow(run, schema)
+                if blob.is_valid:
+                    data = memoryview(blob.as_buffer())
+
+                    def read(at: int, n: int, data=data) -> bytes:
+                        return bytes(data[at : at + n])
+
+                    yield from _rows(read_record(read, *place) for place in record_ranges(read, len(data)))
+
+    return archives.select(F.col(f"`{column}`").alias("archive")).mapInArrow(run, _RECORDS)
+
+
+def _opened(path: str) -> pa.NativeFile:
+    """A stored file for reads at any place: local, or of a store that pyarrow knows by its URI."""
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+    return system.open_input_file(at)
+
+
+def read_files(spark: SparkSession, paths: str | list[str], parts: int | None = None) -> DataFrame:
+    """The rows of read_archives() for archives that are files, of any size: paths as Spark's readers take them.
+
+    Spark lists the files without reading them.  A task reads a file's directory and indexes; then the records' ranges
+    are dealt over parts tasks (the session's shuffle partitions), in order of file and place, so a large archive is
+    read by many.
+    """
+    files = spark.read.format("binaryFile").load(paths).select("path", "length")
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, size in zip(*(c.to_pylist() for c in batch.columns)):
+                with _opened(path) as f:
+                    found = list(record_ranges(lambda at, n, f=f: f.read_at(n, at), size))
+                for b in range(0, len(found), 100_000):
+                    own = found[b : b + 100_000]
+                    yield table("path string,at long,length long", path=[path] * len(own), at=[a for a, _ in own], length=[n for _, n in own])
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple[dict[str, str], bytes]]:
+            last, f = None, None
+            for batch in batches:
+                for path, at, length in zip(*(c.to_pylist() for c in batch.columns)):
+                    if path != last:
+                        if f is not None:
+                            f.close()
+                        last, f = path, _opened(path)
+                    yield read_record(lambda a, n, f=f: f.read_at(n, a), at, length)
+
+        yield from _rows(each())
+
+    found = files.repartition(parts, "path").mapInArrow(ranges, "path string, at long, length long")
+    return found.repartitionByRange(parts, "path", "at").sortWithinPartitions("path", "at").mapInArrow(tidy(records), _RECORDS)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
