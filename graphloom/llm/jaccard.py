@@ -23,8 +23,9 @@ drop leaves by sizes and overlap alone, and what is left of a tile is compared e
 Their work grows with the square of a group of different near copies, by definition.
 
 Edge cases: null, empty and word-less texts have an empty set and link with nothing; texts shorter than the width are
-one shingle; rows with the same doc_id are one node; rows without doc_id have no component (null) and link nothing;
-an empty table gives an empty result; further columns are ignored.
+one shingle; very long texts are compared whole; rows with the same doc_id are one node, so what any of them links with
+is one component, and each gets its own n_shingles and class; rows without doc_id have no component (null) and link
+nothing; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, fanout, mix, need, pack, pack_sorted, scratch, shingles, slices, table, text_bytes, tidy, unpack, unpack_sorted, words
+from .common import SPACE, cut, fanout, free, mix, need, pack, pack_sorted, scratch, shingles, slices, table, text_bytes, tidy, unpack, unpack_sorted, words
 from .components import Forest, components
 
 _BANDS, _ROWS = 8, 3
@@ -766,12 +767,30 @@ def _join(docs: DataFrame, width: int, percent: int, block_rows: int, id_col: st
         found = found.where("a is not null").select("a", "b")
     else:
         found = _linking(plan, shares, sizes, places, sets, percent, parts)
+    owned = _repeated(rows, classes)
+    if owned is not None:
+        least = owned.groupBy("doc").agg(F.min("of").alias("b"))
+        found = found.unionByName(owned.join(least, "doc").where("of <> b").select(F.col("of").alias("a"), "b"))
     linked = components(found)
 
     named = keep(cut(classes.drop("bands", "weight").join(linked, "node", "left").select("mark1", "mark2", F.col("n").alias("m"), F.col("node").alias("class_id"), F.coalesce("component", "node").alias("component"), *(["n_links"] if every else []))))
     same = (rows["mark1"] == named["mark1"]) & (rows["mark2"] == named["mark2"]) & (rows["n"] == named["m"])
     more = [F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links")] if every else []
-    return rows.join(named, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), *more)
+    out, component = rows.join(named, same, "left"), F.coalesce("component", "doc_id")
+    if owned is not None:  # rows with an empty set have the component of the others with their doc_id
+        theirs = owned.join(linked, F.col("of") == F.col("node"), "left").groupBy("doc").agg(F.min(F.coalesce("component", "of")).alias("theirs"))
+        theirs = keep(cut(theirs))
+        out, component = out.join(theirs, out["doc_id"] == theirs["doc"], "left"), F.coalesce("theirs", component)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), *more)
+
+
+def _repeated(rows: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """doc, of: the classes (by their nodes) of each doc_id that several rows have; None if no doc_id repeats."""
+    again = cut(rows.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("doc_id").alias("again")))
+    if again.isEmpty():
+        return None
+    several = rows.where("n > 0").join(again, F.col("doc_id") == F.col("again"), "left_semi").select(F.col("doc_id").alias("doc"), "mark1", "mark2", "n").distinct()
+    return cut(several.join(classes.select("mark1", "mark2", "n", F.col("node").alias("of")), ["mark1", "mark2", "n"]).select("doc", "of"))
 
 
 def _linking(plan: DataFrame, shares: DataFrame, sizes: DataFrame, places: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
@@ -822,11 +841,12 @@ def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     Of rows that repeat a doc_id the one whose text has the smallest hash stays; rows without doc_id all stay.
     """
-    rows = docs.where("doc_id is not null").withColumn("__text", F.xxhash64("text"))
-    first = rows.groupBy("doc_id").agg(F.min("__text").alias("__first"))
+    text, of, least = free(docs, "_text", "_of", "_least")
+    rows = docs.where("doc_id is not null").withColumn(text, F.xxhash64("text"))
+    first = rows.groupBy("doc_id").agg(F.min(text).alias(least))
     with scratch(docs.sparkSession) as keep:
         kept = join(docs, width, percent).where("doc_id = component_id").select("doc_id").distinct()
-        kept = keep(cut(kept.join(first, "doc_id").select(F.col("doc_id").alias("__kept"), "__first")))
-    same = (rows["doc_id"] == kept["__kept"]) & (rows["__text"] == kept["__first"])
-    once = rows.join(kept.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", "__text"]).drop("__text")
+        kept = keep(cut(kept.join(first, "doc_id").select(F.col("doc_id").alias(of), least)))
+    same = (rows["doc_id"] == kept[of]) & (rows[text] == kept[least])
+    once = rows.join(kept.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", text]).drop(text)
     return once.unionByName(docs.where("doc_id is null"))
