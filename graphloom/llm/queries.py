@@ -72,28 +72,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op1_ngram_jaccard": r"""
-with recursive w as (
-  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+with recursive w as materialized (
+  select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
   from documents),
-sh as (select distinct doc_id, array_to_string(w[i : i + 4], ' ') as s from (select doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) as i from w where len(w) > 0)),
-n as (select doc_id, count(*) as n, md5(string_agg(s, chr(10) order by s)) as mark from sh group by doc_id),
-pairs as (select a.doc_id as x, b.doc_id as y, count(*) as c from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by all),
-links as (select x, y from pairs join n p on p.doc_id = x join n q on q.doc_id = y where 100 * c >= 80 * (p.n + q.n - c)),
+sh as (select distinct r, array_to_string(w[i : i + 4], ' ') as s from (select r, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) as i from w where len(w) > 0)),
+n as (select r, count(*) as n, md5(string_agg(s, chr(10) order by s)) as mark from sh group by r),
+pairs as (select a.r as x, b.r as y, count(*) as c from sh a join sh b on a.s = b.s and a.r < b.r group by all),
+links as (select x, y from pairs join n p on p.r = x join n q on q.r = y where 100 * c >= 80 * (p.n + q.n - c)),
 both_ways as (select x, y from links union all select y, x from links),
-reach as (select doc_id as x, doc_id as y from w union select r.x, b.y from reach r join both_ways b on b.x = r.y),
-least as (select x, min(y) as component_id from reach group by x),
-classes as (select mark, min(doc_id) as class_id from n group by mark)
+steps as (select x, y from both_ways union all select a.r, b.r from w a join w b on a.doc_id = b.doc_id and a.r <> b.r),
+reach as (select r as x, r as y from w union select r.x, b.y from reach r join steps b on b.x = r.y),
+least as (select x, min(doc_id) as component_id from reach join w on w.r = y group by x),
+classes as (select mark, min(doc_id) as class_id from n join w on w.r = n.r group by mark)
 select w.doc_id, coalesce(n.n, 0) as n_shingles, l.component_id, c.class_id
-from w left join n on n.doc_id = w.doc_id left join classes c on c.mark = n.mark join least l on l.x = w.doc_id""",
+from w left join n on n.r = w.r left join classes c on c.mark = n.mark join least l on l.x = w.r""",
     "op6_exact_topk": """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: floor(256.0 * x::double)::bigint) as w from embeddings
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256.0 * x::double)::bigint) as w from embeddings
   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 scored as (
-  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.w, c.w), lambda z: z[1] * z[2]))::bigint as score
+  select q.r, q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.w, c.w), lambda z: z[1] * z[2]))::bigint as score
   from v q, v c where q.vec_id % 50 = 0 and c.vec_id <> q.vec_id)
 select query_id, rank::integer as rank, vec_id, score
-from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored) where rank <= 5""",
+from (select *, row_number() over (partition by r order by score desc, vec_id) as rank from scored) where rank <= 5""",
     "op8_line_dedup": r"""
 with lines as (
   select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
@@ -136,7 +137,5 @@ select page_id, n::bigint as payload_bytes, p.digest as payload_digest,
 from p left join t on p.digest = t.digest""",
 }
 
-_LINKS = "select doc_id, n_shingles, component_id, class_id, coalesce(k, 0)::bigint as n_links"
-ORACLE["op1_ngram_jaccard_links"] = (
-    ORACLE["op1_ngram_jaccard"].replace("select w.doc_id, coalesce(n.n, 0)", _LINKS + " from (select w.doc_id, coalesce(n.n, 0)") + ") left join (select x, count(*) as k from both_ways group by x) on x = doc_id"
-)
+_LINKS = "select doc_id, n_shingles, component_id, class_id, coalesce(k, 0)::bigint as n_links from (select w.r, w.doc_id, coalesce(n.n, 0)"
+ORACLE["op1_ngram_jaccard_links"] = ORACLE["op1_ngram_jaccard"].replace("select w.doc_id, coalesce(n.n, 0)", _LINKS) + ") left join (select x, count(*) as k from both_ways group by x) on x = r"

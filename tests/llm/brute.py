@@ -64,7 +64,7 @@ def hits(rows, items, window=10):
     wins = []
     for item, text in items:
         w = words(text)
-        if w and item is not None:
+        if w:
             n = min(window, len(w))
             wins += [(item, tuple(w[i : i + n])) for i in range(len(w) - n + 1)]
     out = []
@@ -74,7 +74,8 @@ def hits(rows, items, window=10):
             for i in range(len(w) - len(x) + 1):
                 if tuple(w[i : i + len(x)]) == x:
                     hit |= set(range(i, i + len(x)))
-                    found.add(item)
+                    if item is not None:
+                        found.add(item)
         out.append((doc, len(w), len(hit), sorted(found)))
     return out
 
@@ -90,3 +91,58 @@ def secrets(text):
             if len(m[0]) >= least:
                 out.append((m.start(), k, f"{name}:{m.start()}:{m.end()}"))
     return ",".join(x[2] for x in sorted(out))
+
+
+def lm_scores(train, fold, rows, order, rounds=200):
+    """[score] of rows (lists of tokens) by recursive interpolation; weights by EM on the texts of fold, each token
+    deleted from the counts.  Contexts are bucketed by powers of two."""
+    import math
+
+    counts = [defaultdict(int) for _ in range(order + 1)]  # by length; the empty n-gram counts all tokens
+    for t in train:
+        for i in range(len(t)):
+            counts[0][()] += 1
+            for n in range(1, order + 1):
+                counts[n][_gram(t, i, n)] += 1
+    contexts = [defaultdict(int) for _ in range(order + 1)]
+    for n in range(2, order + 1):  # what stands before a token, the beginning of a text as well
+        contexts[n] = defaultdict(int, counts[n - 1])
+        contexts[n][("<s>",)] = len(train)
+    types = len(counts[1])
+    bucket = lambda c: int(math.floor(math.log2(c))) + 1 if c > 0 else 0
+
+    def parts(t, i, n, gone):
+        above = counts[0][()] if n == 1 else len(train) if i == 0 else counts[n - 1][_gram(t, i - 1, n - 1)]
+        above -= gone
+        return (counts[n][_gram(t, i, n)] - gone) / max(above, 1), bucket(above)
+
+    weights = []
+
+    def mixed(t, i, gone):
+        p = 1 / (types + 1)
+        for n, w in enumerate(weights, 1):
+            own, b = parts(t, i, n, gone)
+            p = w[b] * own + (1 - w[b]) * p
+        return p
+
+    for n in range(1, order + 1):
+        seen = defaultdict(list)
+        for t in fold:
+            for i in range(len(t)):
+                own, b = parts(t, i, n, 1)
+                seen[b].append((own, mixed(t, i, 1)))
+        w, last = {0: 0.0}, 0.0
+        for b in range(1, 64):
+            if seen[b]:
+                last = 0.5
+                for _ in range(rounds):
+                    last = sum(last * a / (last * a + (1 - last) * c) for a, c in seen[b]) / len(seen[b])
+                last = min(last, 1 - 1e-6)
+            w[b] = last
+        weights.append(w)
+    return [sum(math.log10(mixed(t, i, 0)) for i in range(len(t))) for t in rows]
+
+
+def _gram(t, i, n):
+    """The n-gram that ends at i; one that would begin before the text begins with a mark."""
+    return tuple(t[i - n + 1 : i + 1]) if i - n + 1 >= 0 else ("<s>", *t[: i + 1])

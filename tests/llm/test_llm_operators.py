@@ -3,6 +3,7 @@ columns of clashing names."""
 
 import hashlib
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -22,7 +23,7 @@ DOCS = "doc_id long, text string"
 def docs(spark, rows):
     """Documents with further columns whose names the operators use themselves."""
     df = spark.createDataFrame(rows, DOCS)
-    return df.withColumns({"node": F.lit("x"), "row_id": F.lit(1), "n": F.lit(None).cast("string"), "score": F.lit(0), "_row": F.lit(2), "kept": F.lit("k"), "a.b": F.lit(1)})
+    return df.withColumns({n: F.lit(n) for n in ("__text", "_text", "_OF", "_at", "_least", "_doc", "_row_id", "_dropped", "_n_dropped", "_spans", "_items")}).withColumns({"node": F.lit("x"), "row_id": F.lit(1), "n": F.lit(None).cast("string"), "score": F.lit(0), "_row": F.lit(2), "kept": F.lit("k"), "a.b": F.lit(1)})
 
 
 def by_doc(rows, *names):
@@ -126,6 +127,10 @@ def test_jaccard_edges(spark):
     got = by_doc(jaccard.join(docs(spark, [(None, "a b c d e f"), (2, "a b c d e f"), (1, None)])).collect(), "n_shingles", "component_id")
     assert got == {None: [(2, None)], 2: [(2, 2)], 1: [(0, 1)]}
     assert jaccard.join(docs(spark, [])).count() == 0
+    rows = [(3, "a b c d e f"), (3, "q r s t u v"), (1, "q r s t u v"), (3, None), (7, None), (7, "")]  # one id, several texts
+    got = by_doc(jaccard.join(docs(spark, rows)).collect(), "n_shingles", "component_id")
+    assert got == {k: sorted(v, key=repr) for k, v in brute.jaccard_components(rows).items()} == {3: [(0, 1), (2, 1), (2, 1)], 1: [(2, 1)], 7: [(0, 7), (0, 7)]}
+    assert {r.component_id for r in jaccard.links(docs(spark, rows)).where("doc_id < 7").collect()} == {1}
     kept = jaccard.representatives(docs(spark, near_copies()))
     assert kept.columns == docs(spark, []).columns
     want = brute.jaccard_components(near_copies())
@@ -199,11 +204,29 @@ def test_lm_counts_are_exact_and_model_is_better(spark):
     assert held[1] > held[0]
 
 
-def test_lm_mixture_is_a_distribution():
-    total = np.zeros((lm.BUCKETS, lm.STEPS, lm.STEPS), np.int64)
-    total[3, 5, 10], total[3, 0, 20] = 90, 10
-    weights = lm.mixture(total, 1000)
-    assert weights.sum(1) == pytest.approx(1) and (weights >= 0).all() and weights[3, 0] > 0.5
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_lm_score_against_brute_force(spark, order):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["a b c", "b c a", "c c", "d e", "d f", f"u{rng.randrange(40)}"]) for _ in range(rng.randrange(0, 12)))) for i in range(220)]
+    rows += [(500, "a b c d e " * 300), (501, None), (502, ""), (None, "a b zz")]
+    fold = lambda d: -1 if d is None else zlib.crc32(str(d).encode()) % 7
+    tokens = {d: [*(t or "").split(), ""] for d, t in rows}
+    train = [tokens[d] for d, _ in rows if d is not None and fold(d) != 2]
+    want = brute.lm_scores(train, [tokens[d] for d, _ in rows if fold(d) == 3], [tokens[d] for d, _ in rows], order)
+    got = {r.doc_id: r.score for r in lm.score(docs(spark, rows), order=order).collect()}
+    for (d, _), w in zip(rows, want):
+        assert got[d] == pytest.approx(w, abs=3e-3 * len(tokens[d]))  # ratios are rounded to a 200th of a decade
+
+
+def test_lm_totals_beyond_32_bits():
+    n = 10
+    for big in (7, 2**40 + 3):
+        assert (lm._totals(common.pack(np.full(n, big, np.uint32 if big < 2**32 else np.int64)), n) == big).all()
+    rows = [{"bucket": 0, "batch": i, "teaches": False, "n": 1, "grams": common.pack_sorted(np.array([5], np.uint64), 0), "counts": common.pack(np.array([2**32 - 1], np.uint32))} for i in range(3)]
+    import pyarrow as pa
+
+    out = lm._answer(4)(pa.Table.from_pylist(rows)).to_pylist()
+    assert [int(lm._totals(r["counts"], 1)[0]) for r in out if r["batch"] is not None] == [3 * (2**32 - 1)] * 3 and out[-1]["n"] == 3 * (2**32 - 1)
 
 
 def test_lm_trigrams_tell_what_bigrams_cannot(spark):
@@ -219,7 +242,7 @@ def test_lm_trigrams_tell_what_bigrams_cannot(spark):
     default = lm.score(docs(spark, rows)).where("held_out").agg(F.sum("score"), F.sum("n_tokens")).first()
     assert default[0] / default[1] == pytest.approx(held[3])
     with pytest.raises(ValueError):
-        lm.score(docs(spark, rows), order=1)
+        lm.score(docs(spark, rows), order=0)
 
 
 def test_lm_empty(spark):
@@ -261,9 +284,51 @@ def test_toxicity_edges(spark):
     model = toxicity.fit(docs(spark, [(1, "a")]), none)
     assert toxicity.score(docs(spark, [(1, "a"), (None, None)]), model).where("predicted = 0").count() == 2
     assert toxicity.score(docs(spark, []), model).count() == 0
-    votes = np.array([[1, 1, 0], [1, 1, 0], [0, 0, 0], [0, 0, 1]] * 20, bool)
-    post = toxicity.label_model(votes, np.array([[0.1, 0.8]] * 3), 0.4)
-    assert post[0] > 0.5 > post[2]
+
+
+def test_label_model_against_brute_force():
+    """The tree's posterior is that of the joint distribution, written out; correlated voters don't count twice."""
+    rng = np.random.default_rng(4)
+    n, truth = 3000, np.random.default_rng(5).random(3000) < 0.3
+    votes = np.zeros((n, 5), np.int64)
+    for k, (right, speaks) in enumerate(((0.9, 0.9), (0.8, 0.7), (0.85, 0.8))):
+        vote = np.where(rng.random(n) < right, truth, ~truth) + 1
+        votes[:, k] = np.where(rng.random(n) < speaks, vote, toxicity.ABSTAIN)
+    votes[:, 3] = np.where(rng.random(n) < 0.95, votes[:, 1], toxicity.ABSTAIN)  # copies of the second voter
+    votes[:, 4] = np.where(rng.random(n) < 0.95, votes[:, 1], toxicity.ABSTAIN)
+    model = toxicity.LabelModel(5)
+    post = model.fit(votes)
+    best = toxicity.LabelModel(5)
+    best.estimate(votes, truth.astype(float))  # no label model can do better than with the labels given
+    best = ((best.posterior(votes) > 0.5) == truth).mean()
+    assert ((post > 0.5) == truth).mean() > best - 0.05
+    assert best > ((votes[:, 1] == toxicity.TOXIC) == truth).mean() + 0.05
+    known = np.where(np.arange(n) % 5 < 2, truth, np.nan)  # some labels calibrate it
+    assert ((toxicity.LabelModel(5).fit(votes, known) > 0.5) == truth).mean() > best - 0.015
+    tied = {frozenset((j, int(i))) for j, i in enumerate(model.parent) if i >= 0}
+    assert {frozenset((1, 3)), frozenset((1, 4))} <= tied  # the copies hang on what they copy
+    for row in np.unique(votes, axis=0):
+        joint = []
+        for y in (0, 1):
+            p = model.prior if y else 1 - model.prior
+            for j, i in enumerate(model.parent):
+                p *= model.rates[y, j, row[i] if i >= 0 else 0, row[j]]
+            joint.append(p)
+        assert model.posterior(row[None])[0] == pytest.approx(joint[1] / sum(joint), abs=1e-9)
+    assert model.rates.sum(3) == pytest.approx(1)
+    alone = toxicity.LabelModel(3)
+    alone.fit(votes[:, :3], known)
+    assert alone.rates[1, 0, 0, toxicity.TOXIC] == pytest.approx(0.81, abs=0.06)  # speaks in 0.9 of the rows, right in 0.9 of those
+
+
+def test_toxicity_finds_most_of_a_larger_table(spark):
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no such table")
+    documents, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    found = toxicity.score(documents, toxicity.fit(documents, labels)).where("held_out").join(labels.where("toxic is not null"), "doc_id")
+    by = {(r.toxic, r.predicted): r.n for r in found.groupBy("toxic", "predicted").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert by.get((1, 1), 0) >= 0.85 * (by.get((1, 0), 0) + by.get((1, 1), 0)) and by.get((0, 1), 0) <= 0.02 * by[0, 0]
 
 
 # --------------------------------------------------------------------------- 4
@@ -299,9 +364,24 @@ def test_pieces_equal_the_library(spark):
 
 
 def test_long_units_take_the_same_merges():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=model_path())
     codec = pieces.Codec(pieces.read_model(model_path()))
-    unit = "internationalisation" * 30
-    assert codec.heap(unit) == codec.rounds([unit])[0]
+    rng = random.Random(2)
+    units = ["internationalisation" * 30, "a" * 3001, "ab" * 2000] + ["".join(rng.choice(alphabet) for _ in range(4000)) for alphabet in ("ab", "etaoinshr", "你好abc", "0123456789abcdef+/")]
+    for unit in units:
+        assert codec.encode(unit) == sp.encode(unit)
+        assert codec.rounds([unit, "a", unit])[0] == codec.rounds([unit])[0]  # neighbours don't matter
+
+
+def test_a_better_pair_stops_the_round():
+    """A model in which a merge brings up a better pair: 'ab' ranks behind 'abc', though it is a part of it."""
+    names = ["<unk>", "▁", "a", "b", "c", "abc", "ab", "abab"]
+    model = {"pieces": names, "scores": [0.0, -9.0, -10.0, -11.0, -12.0, -1.0, -2.0, -3.0], "kinds": [pieces.UNKNOWN] + [pieces.NORMAL] * 7, "dummy": True, "byte_fallback": False}
+    codec = pieces.Codec(model)
+    spelt = lambda t: [names[i] for i in codec.encode(t)]
+    assert spelt("abcab") == ["▁", "abc", "ab"] and spelt("abab") == ["▁", "abab"] and spelt("ababc") == ["▁", "ab", "abc"] and spelt("ababab") == ["▁", "abab", "ab"]
 
 
 # --------------------------------------------------------------------------- 5
@@ -328,6 +408,29 @@ def test_secrets_models_tell_keys_from_names(spark):
     assert got[100] == 1 and got[101] == 0 and got[0] == 0
 
 
+def test_secrets_models_depend_on_no_dealing(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["ab", "cd", "some.name", "x" * 20, "token=abcdefgh12345678", "", "é"]) for _ in range(6))) for i in range(60)] + [(90, None), (91, "")]
+    first = secrets.learn(docs(spark, rows).coalesce(1))
+    assert (secrets.learn(docs(spark, rows[::-1]).repartition(7)) == first).all()
+    found = [{(r.doc_id, r.spans) for r in secrets.scan(docs(spark, rows).repartition(n)).collect()} for n in (1, 5)]
+    assert found[0] == found[1]
+
+
+def test_secrets_recall_of_random_strings(spark):
+    """Keys of 16 characters and more, with digits or without, are found; long words and a key's surroundings are not."""
+    rng = random.Random(4)
+    kinds = ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    words = "ordinary words and identifiers such as user account by identifier stand in sentences of things get_user_account_by_identifier ordinary_words_of_things".split()
+    rows = [(i, " ".join(rng.choice(words) for _ in range(40))) for i in range(300)]
+    keys = ["".join(rng.choice(kinds[i % 3]) for _ in range(rng.randrange(16, 41))) for i in range(300)]
+    rows += [(1000 + i, f"here {k} there") for i, k in enumerate(keys)] + [(2000, "0123456789abcdef" + keys[0])]
+    got = {r.doc_id: r for r in secrets.scan(docs(spark, rows)).collect()}
+    assert sum(got[i].n_markov for i in range(300)) == 0
+    assert sum(f"markov:5:{5 + len(k)}" in got[1000 + i].spans for i, k in enumerate(keys)) >= 0.97 * 300
+    assert f"markov:0:{16 + len(keys[0])}" in got[2000].spans and "hex:0:" in got[2000].spans
+
+
 # --------------------------------------------------------------------------- 6
 
 
@@ -342,6 +445,16 @@ def test_topk_against_brute_force(spark):
         ranked = sorted(((-sum(a * b for a, b in zip(ok[q], ok[i])), i) for i in ok if i != q))[:5]
         want |= {(q, k, i, -s) for k, (s, i) in enumerate(ranked, 1)}
     assert {tuple(r) for r in topk.search(df).collect()} == want
+    twice = spark.createDataFrame([(0, [1.0]), (0, [1.0]), (0, [-1.0]), *[(i, [float(i)]) for i in range(1, 7)], (6, [6.0])], "vec_id long, embedding array<double>")
+    own, minus = [6, 6, 5, 4, 3], [1, 2, 3, 4, 5]  # each row of id 0 has its ranking; both rows of id 6 are candidates
+    want = sorted([(0, k, v) for k, v in enumerate(own, 1)] * 2 + [(0, k, v) for k, v in enumerate(minus, 1)])
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in topk.search(twice).collect()) == want
+    huge = spark.createDataFrame([(0, [1e15, 3.0]), (1, [1e15, 1.0]), (2, [1e15, 2.0]), (3, [1e306, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in topk.search(huge).collect()] == [(1, 2**63 - 1), (2, 2**63 - 1)]
+    wide = spark.createDataFrame([(0, [1e6, 3.0]), (1, [1e6, 1.0]), (2, [1e6, 2.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in topk.search(wide, scale=2.0**10).collect()] == [(2, (10**6 * 2**10) ** 2 + 6 * 2**20), (1, (10**6 * 2**10) ** 2 + 3 * 2**20)]
+    hot = spark.createDataFrame([(7, [float(i)]) for i in range(300)] + [(0, [1.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in topk.search(hot).collect()] == [(7, 65536 * (299 - i)) for i in range(5)]
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in topk.search(few).collect()] == [(0, 1, 1, 256 * 512)]
     assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
@@ -367,6 +480,52 @@ def test_language_id(spark):
     assert langid.identify(df.where("doc_id < 9").withColumn("lang", F.lit(None).cast("string"))).where("lang_pred = 'und'").count() == 9
 
 
+def test_ftrl_against_plain_updates():
+    """Follow-the-regularised-leader, a coordinate at a time."""
+    rng = random.Random(3)
+    rows = [(np.array(sorted(rng.sample(range(30), 4)) + [langid.FEATURES]), np.array([rng.random() for _ in range(4)] + [1.0]), rng.randrange(3)) for _ in range(60)]
+    alpha, beta, l1, l2 = 0.3, 1.0, 0.05, 0.1
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i, k):
+        if abs(z[i, k]) <= l1:
+            return 0.0
+        return -(z[i, k] - math.copysign(l1, z[i, k])) / ((beta + math.sqrt(n[i, k])) / alpha + l2)
+
+    for _ in range(2):
+        for at, x, y in rows:
+            w = {(i, k): weight(i, k) for i in at for k in range(3)}
+            score = [sum(v * w[i, k] for i, v in zip(at, x)) for k in range(3)]
+            p = [math.exp(s) / sum(math.exp(t) for t in score) for s in score]
+            for i, v in zip(at, x):
+                for k in range(3):
+                    g = v * (p[k] - (k == y))
+                    z[i, k] += g - (math.sqrt(n[i, k] + g * g) - math.sqrt(n[i, k])) / alpha * w[i, k]
+                    n[i, k] += g * g
+    got = langid.fit_ftrl(rows, 3, 2, alpha, beta, l1, l2)
+    want = np.zeros_like(got)
+    for i, k in list(z):
+        want[i, k] = weight(i, k)
+    assert np.abs(got - want).max() < 1e-9 and (want == 0).sum() > want.size / 2
+
+
+def test_language_id_of_many_short_and_long_texts(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    for texts in ([""] * 10_000, ["abcdefghij klmnopqrs"] * 10_000, ["wasser burg " * 60_000]):
+        tracemalloc.start()
+        found = list(langid.counts(pa.array(texts)))
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20
+        tracemalloc.stop()
+        assert found[-1][1] == len(texts) and (np.concatenate([np.diff(f[2]) for f in found]) > 0).all() == bool(texts[0])
+    rows = [(i, "", "xx") for i in range(3000)] + [(5000 + i, w * 3, k) for i in range(300) for w, k in [(("wasser burg ", "zz"), ("alpha bravo ", "xx"))[i % 2]]] + [(9000, "wasser burg " * 30_000, "zz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(1)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(df).collect()}
+    assert got[0] == "und" and got[9000] == "zz" and all(got[d] == k for d, _, k in rows if 5000 <= d < 9000)
+
+
 # --------------------------------------------------------------------------- 8
 
 
@@ -382,6 +541,14 @@ def test_lines_against_brute_force(spark):
     got = by_doc(lines.digest(docs(spark, rows).repartition(5)).collect(), "n_lines", "n_dropped", "kept_sha256")
     assert got == {k: sorted(v, key=repr) for k, v in want.items()}
     assert lines.digest(docs(spark, [])).count() == 0
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:  # a line in all documents fills several partitions
+        every = [(d, f"one line that all hold\n{'another one that all hold' if d % 2 else d}") for d in range(200, 0, -1)] + [(1, "one line that all hold"), (None, "one line that all hold")]
+        want = Counter((d, n) for d, _, n in brute.keep_lines(every))
+        found = lines.digest(docs(spark, every).repartition(60)).collect()
+        assert Counter((r.doc_id, r.n_dropped) for r in found) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
     kept = lines.deduplicate(docs(spark, rows))
     assert kept.columns == docs(spark, []).columns
     assert Counter((r.doc_id, r.text or "") for r in kept.select("doc_id", "text").collect()) == Counter((d, k) for d, k, _ in brute.keep_lines(rows))
@@ -401,9 +568,17 @@ def test_decontamination_against_brute_force(spark, monkeypatch):
         want[d].append((n, hit, len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), hit > 0))
     got = by_doc(decontam.digest(docs(spark, rows), bench).collect(), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert got == {k: sorted(v, key=repr) for k, v in want.items()}
-    monkeypatch.setattr(decontam, "SHARD_WORDS", 40)
-    monkeypatch.setattr(decontam, "GROUP", 2)
-    assert by_doc(decontam.digest(docs(spark, rows), bench).collect(), "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == got
+    long = [(500, " ".join(rng.choice("abcde") for _ in range(90))), (None, " ".join(rng.choice("abcde") for _ in range(40)))]  # in pieces
+    more = bench.union(spark.createDataFrame(long, "item_id long, text string").withColumn("doc_id", F.lit(1)))
+    rows += [(900, "x " + long[0][1]), (901, long[1][1][7:])]
+    want = defaultdict(list)
+    for d, n, hit, found in brute.hits(rows, items + long):
+        want[d].append((n, hit, len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), hit > 0))
+    for size, group in ((400_000, 8), (100, 2)):
+        monkeypatch.setattr(decontam, "SHARD_BYTES", size)
+        monkeypatch.setattr(decontam, "GROUP", group)
+        got = by_doc(decontam.digest(docs(spark, rows), more).collect(), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+        assert got == {k: sorted(v, key=repr) for k, v in want.items()}
     assert decontam.digest(docs(spark, rows), bench.limit(0)).where("contaminated").count() == 0
     assert decontam.digest(docs(spark, []), bench).count() == 0
 
@@ -414,13 +589,14 @@ def test_decontamination_cuts_spans(spark, monkeypatch):
     rows = [(1, f"Before. {item.upper()}! After it come many more words than the item had, so that it stays."), (2, item), (3, clean), (4, None)]
     bench = spark.createDataFrame([(7, item)], "item_id long, text string")
     bench = bench.union(spark.createDataFrame([(8, "unseen words here"), (9, "five six seven eight nine ten")], bench.schema))
-    for size, group in ((60_000, 8), (3, 8), (3, 1)):  # one shard, one group, more groups
-        monkeypatch.setattr(decontam, "SHARD_WORDS", size)
+    for size, group in ((400_000, 8), (20, 8), (20, 1)):  # one shard, one group, more groups
+        monkeypatch.setattr(decontam, "SHARD_BYTES", size)
         monkeypatch.setattr(decontam, "GROUP", group)
         got = {r.doc_id: r.text for r in decontam.clean(docs(spark, rows), bench).select("doc_id", "text").collect()}
         assert got == {1: "Before. ! After it come many more words than the item had, so that it stays.", 3: clean, 4: None}
     spans = {r.doc_id: (r.spans[0].begin, r.spans[0].end, r["items"]) for r in decontam.report(docs(spark, rows), bench).collect()}
     assert spans == {1: (1, 11, [7, 9]), 2: (0, 10, [7, 9])}
+    assert decontam.report(docs(spark, []), bench).count() == 0 and decontam.clean(docs(spark, []), bench).count() == 0
 
 
 # --------------------------------------------------------------------------- 10
@@ -466,7 +642,38 @@ def test_warc_round_trip(spark, monkeypatch):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
-def test_warc_reads_files(spark, tmp_path):
-    (tmp_path / "one.wacz").write_bytes(warc.archive([warc.record(1, "http://a", b"hello", hashlib.sha1(b"hello").hexdigest(), None)]))
-    files = spark.read.format("binaryFile").load(str(tmp_path / "*.wacz"))
-    assert [(r.page_id, bytes(r.payload)) for r in warc.read_archives(files, "content").collect()] == [(1, b"hello")]
+def test_warc_reads_files_by_ranges(spark, tmp_path, monkeypatch):
+    import gzip
+    import io
+    import zipfile
+
+    made = set()
+    for name in ("one", "two", "big"):
+        payloads = [f"{name} {i} ".encode() * (i + 1) for i in range(40 if name == "big" else 3)]
+        records = [warc.record(i, f"http://{name}/{i}", p, hashlib.sha1(p).hexdigest(), None) for i, p in enumerate(payloads)]
+        (tmp_path / f"{name}.wacz").write_bytes(warc.archive(records, zip64=name == "big"))
+        made |= {(f"http://{name}/{i}", p) for i, p in enumerate(payloads)}
+    # an archive of another writer: other names, two data members, a gzipped index, members that are none of ours
+    other = [warc.record(None, f"http://other/{i}", b"payload %d" % i, "", None).replace(b"WARC-Payload-Digest: sha1:\r\n", b"").replace(b"X-Payload-Length: 9\r\n", b"").replace(b"<urn:page:>", b"<urn:uuid:1-2-3>") for i in range(4)]
+    packed = [gzip.compress(r) for r in other]
+    index = "".join(f'com,other)/{i} 2024 {{"filename": "{"ab"[i // 2]}.warc.gz", "offset": {len(packed[i - 1]) if i % 2 else 0}, "length": "{len(packed[i])}"}}\n' for i in range(4))
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("datapackage.json", "{}" * 50, zipfile.ZIP_DEFLATED)
+        z.writestr("archive/a.warc.gz", packed[0] + packed[1])
+        z.writestr("archive/b.warc.gz", packed[2] + packed[3])
+        z.writestr("indexes/index.cdx.gz", gzip.compress(b'!meta 0 "no record"\n'.replace(b'"', b"") + index.encode()))
+    (tmp_path / "other.wacz").write_bytes(buffer.getvalue())
+    made |= {(f"http://other/{i}", b"payload %d" % i) for i in range(4)}
+    got = warc.read_files(spark, str(tmp_path / "*.wacz")).collect()
+    assert {(r.url, bytes(r.payload)) for r in got} == made and len(got) == len(made)
+    assert {r.page_id for r in got if r.url.startswith("http://other")} == {None}
+    assert all(r.payload_digest == hashlib.sha1(r.payload).hexdigest() and r.payload_bytes == len(r.payload) for r in got)
+    # only ranges are read: the directory, the index, and the records asked for
+    raw, asked = (tmp_path / "big.wacz").read_bytes(), []
+    places = list(warc.record_ranges(lambda at, n: asked.append(n) or raw[at : at + n], len(raw)))
+    fields, payload = warc.read_record(lambda at, n: asked.append(n) or raw[at : at + n], *places[7])
+    assert fields["WARC-Target-URI"] == "http://big/7" and asked[-1] == places[7][1] < len(raw) / 10
+    broken = warc.zip_stored([("archive/data.warc.gz", b"x"), ("indexes/index.cdxj", b'k t {"filename": "data.warc.gz", "offset": "0", "length": "9"}\n')])
+    with pytest.raises(ValueError):
+        list(warc.record_ranges(lambda at, n: broken[at : at + n], len(broken)))
