@@ -50,6 +50,11 @@ def path_type(score_pct: Column) -> Column:
     return F.when(score_pct < 50, "remediation").when(score_pct > 80, "advancement").otherwise("mixed")
 
 
+def is_correct(selected: Column, correct: Column) -> Column:
+    """Whether the option that was selected is the correct one; no selection is wrong."""
+    return F.coalesce(selected == correct, F.lit(False))
+
+
 def learning_status(mastery: Column) -> Column:
     return F.when(mastery >= 0.7, "complete").when(mastery >= 0.3, "current").otherwise("pending")
 
@@ -64,6 +69,7 @@ def node_size(importance: Column) -> Column:
 
 def summary(path: Column, score_pct: Column, weak: Column, strong: Column) -> Column:
     """The text that goes with a recommendation; weak and strong are arrays of names."""
+    # The sentences.
     score = F.bround(score_pct.cast("double"), 0).cast("long").cast("string")  # half to even
 
     def names(c: Column, n: int, other: str) -> Column:

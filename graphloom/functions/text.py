@@ -51,8 +51,9 @@ def word_chunks(c: Column, size: int = 512) -> Column:
 
 
 def title_case(c: Column) -> Column:
-    """First letter of each space-separated word upper, the rest lower."""
-    return F.initcap(c)
+    """Each letter that follows no letter upper, the other letters lower."""
+    chars = F.filter(F.split(F.lower(c), ""), lambda x: x != "")
+    return F.array_join(F.transform(chars, lambda x, i: F.when((i == 0) | ~F.rlike(F.coalesce(F.get(chars, i - 1), F.lit("")), F.lit(r"\p{L}")), F.upper(x)).otherwise(x)), "")
 
 
 def fenced_json(c: Column) -> Column:

@@ -2,44 +2,61 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_ci
+from ..functions.text import title_case
 from ..params import SETTINGS, STOP_CONCEPTS
 
-#: Concepts that one scan of texts looks for.
-BLOCK = 10_000
-
 
 def clean_names(df: DataFrame, name: str = "name") -> DataFrame:
     """Title case, trimmed, 3 characters and at most 4 words, no structural term."""
-    c = F.initcap(F.trim(F.col(name)))
+    c = title_case(F.trim(F.col(name)))
     return df.withColumn(name, c).where((F.length(name) >= 3) & (F.size(F.split(F.col(name), " +")) <= 4) & ~F.lower(name).isin(*STOP_CONCEPTS))
 
 
-def drop_substrings(names: DataFrame, name: str = "name") -> DataFrame:
-    """Names that are no proper part of another name, case aside.
+def _inside(parts: DataFrame, wholes: DataFrame) -> DataFrame:
+    """Rows of parts (low, ...) and wholes (text, ...) where text holds low; both in lower case, low not empty.
 
-    Candidates meet through the shorter name's words: a name inside another shares its longest word's characters with
-    it, so the pair is found by an equi-join on three-character grams of the names and then verified.
+    They meet by an equi-join of the part's first three characters with the three-character pieces of the whole (of
+    the whole part where it is shorter), and are then compared.  The pieces are taken from the array of a text's
+    characters, so a long text costs no more than its length.
     """
-    low = F.lower(F.col(name))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3)))
-    whole = names.select(F.col(name).alias("other"), F.explode(F.array_distinct(grams)).alias("gram"))
-    part = names.select(F.col(name).alias("name"), F.substring(low, 1, 3).alias("gram")).where(F.length("gram") == 3)
-    inner = part.join(whole, "gram").where(F.contains(F.lower("other"), F.lower("name")) & (F.lower("other") != F.lower("name"))).select("name").distinct()
-    tiny = names.where(F.length(name) < 3).select(F.col(name).alias("name"))
-    long = names.select(F.col(name).alias("other"))
-    inner = inner.unionByName(tiny.join(long, F.contains(F.lower("other"), F.lower("name")) & (F.lower("other") != F.lower("name")), "left_semi").distinct())
-    return names.join(inner.withColumnRenamed("name", name), name, "left_anti")
+    kept = [c for c in wholes.columns]
+    chars = wholes.withColumn("_c", F.filter(F.split("text", ""), lambda x: x != ""))
+
+    def grams(size: int) -> Column:
+        last = F.size("_c") - size
+        at = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(at, lambda i: F.concat(*[F.get("_c", i + k) for k in range(size)])))
+
+    out = None
+    for size in (3, 1, 2):
+        own = parts.where(F.length("low") >= 3) if size == 3 else parts.where(F.length("low") == size)
+        if size < 3 and own.isEmpty():  # few lists have names this short
+            continue
+        keyed = own.withColumn("_g", F.substring("low", 1, size))
+        met = chars.select(*kept, F.explode(grams(size)).alias("_g")).join(keyed, "_g").drop("_g")
+        found = met.where(F.contains("text", "low"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def drop_substrings(names: DataFrame, name: str = "name") -> DataFrame:
+    """Names that are no proper part of another name, case aside."""
+    low = names.select(F.lower(F.col(name)).alias("low")).distinct().where("low <> ''")
+    inner = _inside(low, low.select(F.col("low").alias("text"))).where("low <> text").select("low").distinct()
+    return names.join(inner, F.lower(F.col(name)) == F.col("low"), "left_anti")
 
 
 def module_groups(records: DataFrame) -> DataFrame:
-    """One row a module: number of records, first record's title, sections."""
-    return records.groupBy("module_id").agg(F.count(F.lit(1)).alias("n_records"), F.min_by("module_title", "id").alias("title"), F.array_join(F.array_sort(F.collect_set("section")), ",").alias("sections"))
+    """One row a module: number of records, first record's title and key terms, sections, texts in order of id.
+
+    A module's texts are one row, as they are in its book.
+    """
+    terms = [F.min_by("key_terms", "id").alias("key_terms")] if "key_terms" in records.columns else []
+    texts = [F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda r: r["text"]).alias("texts")] if "text" in records.columns else []
+    return records.groupBy("module_id").agg(F.count(F.lit(1)).alias("n_records"), F.min_by("module_title", "id").alias("title"), F.array_join(F.array_sort(F.collect_set("section")), ",").alias("sections"), *terms, *texts)
 
 
 def document_frequency(mentions: DataFrame) -> DataFrame:
@@ -59,20 +76,11 @@ def most_common(names: DataFrame, n: int = SETTINGS.max_concepts) -> DataFrame:
 
 
 def mentions(texts: DataFrame, concepts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """id, name for each concept (name) that a text contains, case aside.
-
-    concepts is a top list, so it goes to every task as an array; texts are not shuffled and no pair is formed for a
-    name that isn't there.  A list of more than BLOCK names takes a scan of the texts for each block of them.
-    """
-    names = [r.name for r in concepts.select("name").collect()]
-    return reduce(DataFrame.unionByName, (_mentions(texts, names[i : i + BLOCK], id_col, text_col) for i in range(0, max(len(names), 1), BLOCK)))
-
-
-def _mentions(texts: DataFrame, names: list[str], id_col: str, text_col: str) -> DataFrame:
-    known = F.array(*[F.struct(F.lower(F.lit(n)).alias("low"), F.lit(n).alias("name")) for n in names]) if names else F.array().cast("array<struct<low: string, name: string>>")
-    # the text is bound to a variable, so that it is lowered once and not for every name
-    found = F.flatten(F.transform(F.array(F.lower(F.col(text_col))), lambda t: F.transform(F.filter(known, lambda n: F.contains(t, n["low"])), lambda n: n["name"])))
-    return texts.select(F.col(id_col).alias("id"), F.explode(found).alias("name"))
+    """id, name for each concept (name) that a text contains, case aside; no pair is formed for a name whose beginning
+    isn't there."""
+    names = concepts.select("name", F.lower("name").alias("low")).distinct().where("low <> ''")
+    lower = texts.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text")).where("text is not null")
+    return _inside(names, lower).select("id", "name")
 
 
 def query_concepts(queries: DataFrame, concepts: DataFrame, limit: int = SETTINGS.max_query_concepts) -> DataFrame:
@@ -84,10 +92,19 @@ def query_concepts(queries: DataFrame, concepts: DataFrame, limit: int = SETTING
 
 def known_match(texts: DataFrame, concepts: DataFrame) -> DataFrame:
     """text, name: the known concept that a text is, else the first by name that contains it or is contained in it."""
-    low, name = F.lower("text"), F.lower("name")
-    kind = F.when(low == name, 0).when(F.contains(low, name) | F.contains(name, low), 1)
-    pairs = texts.join(F.broadcast(concepts.select("name")), contains_ci(F.col("text"), F.col("name")) | contains_ci(F.col("name"), F.col("text")))
-    return pairs.groupBy("text").agg(F.min_by("name", F.struct(kind, "name")).alias("name"))
+    names = concepts.select("name").distinct().where("name <> ''")
+    asked = texts.select(F.col("text").alias("said")).distinct().where("said <> ''")
+    forward = _inside(names.select("name", F.lower("name").alias("low")), asked.select("said", F.lower("said").alias("text"))).select("said", "name")
+    backward = _inside(asked.select("said", F.lower("said").alias("low")), names.select("name", F.lower("name").alias("text"))).select("said", "name")
+    kind = F.when(F.lower("said") == F.lower("name"), 0).otherwise(1)
+    return forward.unionByName(backward).groupBy(F.col("said").alias("text")).agg(F.min_by("name", F.struct(kind, "name")).alias("name"))
+
+
+def highlighted(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Nodes (name) that one of the labels (label) is or is a part of, case aside."""
+    low = labels.select(F.lower("label").alias("low")).distinct().where("low <> ''")
+    hit = _inside(low, nodes.select("name", F.lower("name").alias("text"))).select("name").distinct()
+    return nodes.join(hit, "name", "left_semi")
 
 
 def fuse(matches: DataFrame) -> DataFrame:

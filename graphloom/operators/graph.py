@@ -3,7 +3,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..params import SETTINGS
@@ -55,9 +57,15 @@ def latest(df: DataFrame, key: list[str], order: list) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def statistics(edges: DataFrame, **counts: DataFrame) -> DataFrame:
-    """name, n: entities, and edges of each type (0 where there are none)."""
+def statistics(edges: DataFrame, starts: DataFrame | None = None, **counts: DataFrame) -> DataFrame:
+    """name, n: entities, and edges of each type (0 where there are none).
+
+    starts (name): count only the edges that leave these nodes, as the statistics of one subject do, whose edges of a
+    type are summed over the labels that they leave.
+    """
     spark = edges.sparkSession
+    if starts is not None:
+        edges = edges.join(starts.select(F.col("name").alias("source")).distinct(), "source", "left_semi")
     kinds = spark.createDataFrame([(t,) for t in EDGE_TYPES], "type string")
     out = kinds.join(edges.groupBy("type").agg(F.count(F.lit(1)).alias("n")), "type", "left").select(F.concat(F.lower("type"), F.lit("_relationships")).alias("name"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
     for label, df in counts.items():
@@ -116,6 +124,11 @@ def chain(edges: DataFrame, nodes: DataFrame, starts: DataFrame, depth: int = 3,
     return found.join(nodes.select(F.col("name").alias("node"), F.coalesce("importance", F.lit(0.5)).alias("importance")), "node").select("start", F.col("node").alias("name"), "depth", "importance")
 
 
+def prerequisites_first(found: DataFrame) -> DataFrame:
+    """Rows of chain() in the order of learning: the deepest first, then the more important, then by name."""
+    return found.orderBy("start", F.desc("depth"), F.desc("importance"), "name")
+
+
 def paths(edges: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame:
     """start, node, names ('a > b > c') of every trail of up to depth edges in either direction."""
     steps = both_ways(edges)
@@ -154,42 +167,55 @@ def display_edges(edges: DataFrame, order: list) -> DataFrame:
     return edges.select(F.concat(F.lit("e"), n.cast("string")).alias("id"), "source", "target", F.lower(F.replace("type", F.lit("_"), F.lit(" "))).alias("label"), "weight")
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping: float = SETTINGS.pagerank_damping, checkpoint_every: int = 5) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 100, damping: float = SETTINGS.pagerank_damping, tolerance: float = 1e-6) -> DataFrame:
     """name, rank (sums to 1), importance (rank / largest rank) on the undirected weighted graph; nodes without edges
     take part and spread their rank evenly.
 
-    Lineage is cut by a reliable checkpoint every few iterations.
+    Rounds go on until the ranks change by less than tolerance a node, summed over all, or iterations are reached.
+    Lineage is cut in each round.
     """
     n = nodes.count()
     kept = edges.where(F.col("type").isin("RELATED", "PREREQ")).groupBy(F.least("source", "target").alias("x"), F.greatest("source", "target").alias("y")).agg(F.max_by("weight", "type").alias("weight"))
     arcs = kept.select(F.col("x").alias("at"), F.col("y").alias("to"), "weight").unionByName(kept.where("x <> y").select(F.col("y").alias("at"), F.col("x").alias("to"), "weight"))
     out = arcs.groupBy("at").agg(F.sum("weight").alias("out"))
-    arcs = arcs.join(out, "at").select("at", "to", (F.col("weight") / F.col("out")).alias("share"))
-    names = nodes.select("name").join(out.select(F.col("at").alias("name"), "out"), "name", "left").select("name", F.col("out").isNull().alias("dangling"))
+    arcs = reliable(arcs.join(out, "at").select("at", "to", (F.col("weight") / F.col("out")).alias("share")))
+    names = reliable(nodes.select("name").join(arcs.select(F.col("at").alias("name"), F.lit(True).alias("linked")).distinct(), "name", "left").select("name", F.col("linked").isNull().alias("dangling")))
     ranks = names.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    for i in range(1, iterations + 1):
-        lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"))
+    lost = ranks.where("dangling").count() / max(n, 1)
+    for _ in range(iterations):
         got = arcs.join(ranks, arcs["at"] == ranks["name"]).groupBy(F.col("to").alias("name")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        ranks = names.join(got, "name", "left").join(F.broadcast(lost)).select("name", "dangling", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        if i % checkpoint_every == 0:
-            ranks = reliable(ranks)
+        rank = F.lit((1 - damping) / max(n, 1)) + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(lost / max(n, 1)))
+        ranks = reliable(ranks.withColumnRenamed("rank", "before").join(got, "name", "left").select("name", "dangling", rank.alias("rank"), "before"))
+        seen = ranks.agg(F.sum(F.abs(F.col("rank") - F.col("before"))).alias("change"), F.sum(F.when(F.col("dangling"), F.col("rank"))).alias("lost")).first()
+        ranks, lost = ranks.drop("before"), seen.lost or 0.0
+        if (seen.change or 0.0) < n * tolerance:
+            break
     top = ranks.agg(F.max("rank").alias("top"))
     return ranks.join(F.broadcast(top)).select("name", "rank", (F.col("rank") / F.col("top")).alias("importance"))
 
 
+_OWN: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; in local mode one of its own where none is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if "own" not in _OWN:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        import tempfile
+
+        _OWN["own"] = "file://" + tempfile.mkdtemp(prefix="graphloom-")
+    return _OWN["own"]
+
+
 def reliable(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the folder that the session names; in local mode an own folder where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        own = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if own is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            import tempfile
-
-            own = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        sc.setCheckpointDir(own)
-    return df.checkpoint()
+    """df as a table in the shared folder, read back: lineage ends there, and what a lost executor held is read again."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def important(nodes: DataFrame, above: float = 0.5, limit: int = 20) -> DataFrame:

@@ -50,10 +50,28 @@ def lookup(wanted: DataFrame, state: DataFrame, default: float = SETTINGS.initia
     return wanted.join(state.select("student", "concept", "mastery_level"), ["student", "concept"], "left").withColumn("mastery_level", F.round(F.coalesce("mastery_level", F.lit(default)), 3))
 
 
-def reset(state: DataFrame, student: int | str) -> DataFrame:
+def profiles(state: DataFrame) -> DataFrame:
+    """student, overall_ability, concepts: one row a learner."""
+    return overall_ability(state)
+
+
+def reset(profiles: DataFrame, student: int | str, default: float = SETTINGS.initial_mastery) -> DataFrame:
+    """Profiles (student, overall_ability, concepts) with one learner's put back to the default one."""
+    own = F.col("student") == student
+    return profiles.withColumns({"overall_ability": F.when(own, F.lit(default)).otherwise(F.col("overall_ability")), "concepts": F.when(own, F.lit(0).cast("long")).otherwise(F.col("concepts"))})
+
+
+def forget(state: DataFrame, student: int | str) -> DataFrame:
+    """The state without one learner's concepts, as it is after reset()."""
     return state.where(F.col("student") != student)
 
 
+def first_entries(state: DataFrame, n: int = 6) -> DataFrame:
+    """The first n concepts of each learner, by name, as a progress list shows them."""
+    order = Window.partitionBy("student").orderBy("concept")
+    return state.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+
+
 def grade(results: DataFrame, by: str) -> DataFrame:
     """by, score_pct (0 without results), path_type."""
     pct = F.round(F.coalesce(F.avg(F.col("correct").cast("double")) * 100, F.lit(0.0)), 1)
@@ -103,8 +121,3 @@ def events_rate(events: DataFrame, ts: str, key: str, width: str = "1 minute") -
 
 def over_limit(rates: DataFrame, limit: int) -> DataFrame:
     return rates.where(F.col("n") > limit)
-
-
-def latest_answers(events: DataFrame, student: str, ts: str, n: int) -> DataFrame:
-    w = Window.partitionBy(student).orderBy(F.desc(ts))
-    return events.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import warnings
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.scoring import cosine, rrf_term
 from ..functions.text import tokens
 from ..params import SETTINGS
+from .graph import reliable
 
 
 def ranked(df: DataFrame, order: list, by: list[str] | None = None, name: str = "rank") -> DataFrame:
@@ -35,51 +41,134 @@ def vector_of(vectors: DataFrame, key: int, id_col: str, vector_col: str) -> lis
     return list(vectors.where(F.col(id_col) == key).select(vector_col).first()[0])
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(id, token, tf) and (id, dl)."""
-    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words"))
-    terms = words.select("id", F.explode("words").alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
-    return terms, words.select("id", F.size("words").alias("dl"))
+def knn_many(vectors: DataFrame, queries: DataFrame, k: int | None, id_col: str, vector_col: str, digits: int = 6, least: float | None = None, block: int = 1000, epsilon: float = 0.0) -> DataFrame:
+    """query_id, id, score, rank: the k rows most similar to each of the queries (query_id, vector), or all for None; with
+    least, only those of this score or more.
+
+    Queries go to the tasks in blocks of bounded size, a scan of the vectors each; a batch of vectors gives no more than
+    its k best of each query, ties by id, so little is shuffled.
+    """
+    kind = vectors.schema[id_col].dataType.simpleString()
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {kind}, score double"
+
+    def scan(asked: list) -> DataFrame:
+        shared = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in asked], object), np.array([r[1] for r in asked], np.float64)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, q = shared.value
+            lengths = np.sqrt((q * q).sum(1))
+            for batch in batches:
+                rows = np.flatnonzero(batch.column(1).is_valid().to_numpy(zero_copy_only=False))
+                if not len(rows):
+                    continue
+                ids = np.array(batch.column(0).to_pylist(), object)[rows]
+                v = np.array(batch.column(1).take(pa.array(rows)).to_pylist(), np.float64)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    scores = np.round((v @ q.T) / (np.sqrt((v * v).sum(1))[:, None] * lengths[None, :] + epsilon), digits)
+                out: list = [[], [], []]
+                for j, key in enumerate(keys):
+                    own = scores[:, j]
+                    good = np.flatnonzero(np.isfinite(own) & (own >= (-np.inf if least is None else least)))
+                    if k is not None and len(good) > k:
+                        good = good[own[good] >= np.partition(own[good], len(good) - k)[len(good) - k]]
+                        good = np.array(sorted(good, key=lambda i: (-own[i], ids[i]))[:k])
+                    out[0] += [key] * len(good)
+                    out[1] += list(ids[good])
+                    out[2] += own[good].tolist()
+                yield pa.RecordBatch.from_pylist([{"query_id": a, "id": b, "score": c} for a, b, c in zip(*out)], arrow)
+
+        return vectors.select(id_col, vector_col).mapInArrow(run, schema)
+
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+    found, asked = None, []
+    for row in queries.select("query_id", "vector").where("vector is not null").toLocalIterator():
+        asked.append(row)
+        if len(asked) == block:
+            found, asked = scan(asked) if found is None else found.unionByName(scan(asked)), []
+    if asked:
+        found = scan(asked) if found is None else found.unionByName(scan(asked))
+    if found is None:
+        found = vectors.sparkSession.createDataFrame([], schema)
+    out = ranked(found, [F.desc("score"), F.col("id")], ["query_id"])
+    return out if k is None else out.where(F.col("rank") <= k)
+
+
+def edits_of(length: Column) -> Column:
+    """Edits that a query token of this length allows: 0 to 2 characters: none, 3 to 5: one, more: two."""
+    return F.when(length < 3, 0).when(length < 6, 1).otherwise(2)
+
+
+def _segment(length: Column, i: Column) -> tuple[Column, Column]:
+    """Begin (from 0) and size of segment i of a query token that is cut into one more segment than it allows edits."""
+    parts = edits_of(length) + 1
+    begin = F.floor(length * i / parts).cast("int")
+    return begin, F.floor(length * (i + 1) / parts).cast("int") - begin
 
 
-def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, k1: float = SETTINGS.bm25_k1, b: float = SETTINGS.bm25_b) -> DataFrame:
+def fuzzy_terms(vocabulary: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, asked (its token), token (of the vocabulary), edits: terms within the edit distance that the query
+    token's length allows.
+
+    Of one segment more than there are edits one is left whole, moved by no more places than there are edits.  So the
+    terms meet by an equi-join on segments, whose number doesn't depend on the terms' lengths, and are then compared.
+    """
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("asked")).where("asked <> ''").withColumn("size", F.length("asked"))
+    cut = asked.select("query_id", "asked", "size", F.explode(F.sequence(F.lit(0), edits_of(F.col("size")))).alias("i"))
+    begin, size = _segment(F.col("size"), F.col("i"))
+    cut = cut.select("query_id", "asked", "size", "i", F.substring("asked", begin + 1, size).alias("part"))
+
+    known = vocabulary.select("token", F.length("token").alias("n"))
+    known = known.select("token", "n", F.explode(F.sequence(F.greatest(F.col("n") - 2, F.lit(1)), F.col("n") + 2)).alias("size"))
+    known = known.where(F.abs(F.col("n") - F.col("size")) <= edits_of(F.col("size")))
+    known = known.select("token", "n", "size", F.explode(F.sequence(F.lit(0), edits_of(F.col("size")))).alias("i"))
+    known = known.select("token", "n", "size", "i", F.explode(F.sequence(-edits_of(F.col("size")), edits_of(F.col("size")))).alias("shift"))
+    begin, size = _segment(F.col("size"), F.col("i"))
+    known = known.withColumn("at", begin + F.col("shift")).where((F.col("at") >= 0) & (F.col("at") + size <= F.col("n")))
+    known = known.select("token", "size", "i", F.substring("token", F.col("at") + 1, size).alias("part")).distinct()
+    near = known.join(cut, ["size", "i", "part"]).select("query_id", "asked", "token").distinct()
+    return near.withColumn("edits", F.levenshtein("asked", "token")).where(F.col("edits") <= edits_of(F.length("asked")))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, k1: float = SETTINGS.bm25_k1, b: float = SETTINGS.bm25_b, fuzzy: bool = False) -> DataFrame:
     """query_id, id, score for queries (query_id, text): tokens of each query count once.
 
-    Only postings of tokens that some query has are joined, so the number of joined rows is theirs.
+    With fuzzy, a query's token also finds the terms within its edit distance, each worth 1 - edits / the shorter
+    length, and counts in a document by the best of them.  Documents are tokenised once, and only postings of the terms
+    asked for leave that pass.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
     words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words"))
-    sizes = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("avgdl")).first()
-    n, average = sizes.n, sizes.avgdl or 1.0
-    terms = words.select("id", F.size("words").alias("dl"), F.explode("words").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
-    terms = terms.groupBy("id", "token", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    if fuzzy:
+        words = reliable(words)
+        asked = fuzzy_terms(words.select(F.explode("words").alias("token")).distinct(), queries)
+        asked = reliable(asked.withColumn("boost", 1 - F.col("edits") / F.least(F.length("asked"), F.length("token"))))
+    else:
+        asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).withColumns({"asked": F.col("token"), "boost": F.lit(1.0)})
+    # the empty string is no token: it stands once for each document, so that one pass gives sizes and postings
+    wanted = asked.select("token").distinct().unionByName(words.sparkSession.createDataFrame([("",)], "token string"))
+    terms = words.select("id", F.size("words").alias("dl"), F.explode(F.concat("words", F.array(F.lit("")))).alias("token")).join(wanted, "token", "left_semi")
+    terms = reliable(terms.groupBy("id", "token", "dl").agg(F.count(F.lit(1)).alias("tf")))
+    sizes = terms.where("token = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("average")).first()
+    n, average = sizes.n, sizes.average or 1.0
+    terms = terms.where("token <> ''")
     frequency = terms.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / average))
     weighted = terms.join(frequency, "token").select("id", "token", weight.alias("weight"))
-    return weighted.join(asked, "token").groupBy("query_id", "id").agg(F.sum("weight").alias("score"))
+    found = weighted.join(asked, "token").withColumn("weight", F.col("weight") * F.col("boost"))
+    if fuzzy:
+        found = found.groupBy("query_id", "id", "asked").agg(F.max("weight").alias("weight"))
+    return found.groupBy("query_id", "id").agg(F.sum("weight").alias("score"))
 
 
-def bm25_best_field(docs: DataFrame, queries: DataFrame, id_col: str, fields: dict[str, float]) -> DataFrame:
+def bm25_best_field(docs: DataFrame, queries: DataFrame, id_col: str, fields: dict[str, float], fuzzy: bool = False) -> DataFrame:
     """query_id, id, score: the best of the fields' BM25 scores, each times its boost."""
-    parts = [bm25(docs, queries, id_col, f).select("query_id", "id", (F.col("score") * boost).alias("score")) for f, boost in fields.items()]
+    parts = [bm25(docs, queries, id_col, f, fuzzy=fuzzy).select("query_id", "id", (F.col("score") * boost).alias("score")) for f, boost in fields.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.groupBy("query_id", "id").agg(F.max("score").alias("score"))
 
 
-def fuzzy_terms(vocabulary: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, token of the vocabulary (token) within the edit distance that the query token's length allows:
-    0 to 2 characters: none, 3 to 5: one, more: two.  Blocked by length, so the join is no cross product."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("asked"))
-    edits = F.when(F.length("asked") < 3, 0).when(F.length("asked") < 6, 1).otherwise(2)
-    asked = asked.withColumn("edits", edits).withColumn("size", F.explode(F.sequence(F.length("asked") - F.col("edits"), F.length("asked") + F.col("edits"))))
-    known = vocabulary.select("token", F.length("token").alias("size"))
-    near = asked.join(known, "size").where(F.levenshtein("asked", "token") <= F.col("edits"))
-    return near.select("query_id", "token").distinct()
-
-
 def top_per_query(scores: DataFrame, k: int, by: str = "query_id", digits: int = 6) -> DataFrame:
     rounded = scores.withColumn("score", F.round("score", digits))
     return ranked(rounded, [F.desc("score"), F.col("id")], [by]).where(F.col("rank") <= k)
@@ -100,33 +189,53 @@ def rrf(lists: Sequence[DataFrame], k: int = SETTINGS.rrf_k, top_k: int | None =
     return ranked(fused.orderBy(*order).limit(top_k), order).select("id", "rrf_score", "rank")
 
 
-def hybrid(vectors: DataFrame, query: Sequence[float], docs: DataFrame, text: DataFrame, k: int, fields: dict[str, float]) -> DataFrame:
+def hybrid(vectors: DataFrame, query: Sequence[float], docs: DataFrame, text: DataFrame, k: int, fields: dict[str, float], fuzzy: bool = False) -> DataFrame:
     """RRF of the vector list and the best-field BM25 list: id, rrf_score, rank."""
     near = knn(vectors, query, k, "id", "vector")
-    found = bm25_best_field(docs, text, "id", fields).select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    found = bm25_best_field(docs, text, "id", fields, fuzzy).select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
     return rrf([near, ranked(found, [F.desc("score"), F.col("id")])], top_k=k)
 
 
-def window(chunks: DataFrame, hits: DataFrame, size: int, dedupe: bool = True) -> DataFrame:
+def hybrid_many(vectors: DataFrame, asked: DataFrame, docs: DataFrame, questions: DataFrame, k: int, fields: dict[str, float], fuzzy: bool = True, rrf_k: int = SETTINGS.rrf_k) -> DataFrame:
+    """query_id, id, rrf_score, rank: hybrid() for each of the questions (query_id, text) and their vectors (query_id,
+    vector)."""
+    near = knn_many(vectors, asked, k, "id", "vector").select("query_id", "id", F.col("rank").alias("near"), F.lit(None).cast("int").alias("found"))
+    found = top_per_query(bm25_best_field(docs, questions, "id", fields, fuzzy), k).select("query_id", "id", F.lit(None).cast("int").alias("near"), F.col("rank").alias("found"))
+    both = near.unionByName(found).groupBy("query_id", "id").agg(F.min("near").alias("near"), F.min("found").alias("found"))
+    score = F.coalesce(rrf_term(F.col("near"), rrf_k), F.lit(0.0)) + F.coalesce(rrf_term(F.col("found"), rrf_k), F.lit(0.0))
+    order = [F.desc("rrf_score"), F.asc_nulls_last("near"), F.asc_nulls_last("found"), F.col("id")]
+    return ranked(both.withColumn("rrf_score", F.round(score, 9)), order, ["query_id"]).where(F.col("rank") <= k).select("query_id", "id", "rrf_score", "rank")
+
+
+def window(chunks: DataFrame, hits: DataFrame, size: int, dedupe: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
     """Chunks (chunk_id, module_id, chunk_index) within size places of the hits (chunk_id, hit_rank, score).
 
-    With dedupe a chunk comes once, from the hit of the best rank that reaches it, and is_original_hit says whether
-    that hit is the chunk itself; original_score is that hit's score.  An equi-join on the place, not a range join.
+    With dedupe a chunk comes once (for each value of the hits' columns by), from the hit of the best rank that reaches
+    it, and is_original_hit says whether that hit is the chunk itself; original_score is that hit's score.  An equi-join
+    on the place, not a range join.
     """
-    centre = hits.join(chunks.select("chunk_id", "module_id", "chunk_index"), "chunk_id").select("module_id", F.col("chunk_index").alias("at"), "hit_rank", F.col("score").alias("original_score"), F.col("chunk_id").alias("hit_id"))
+    centre = hits.join(chunks.select("chunk_id", "module_id", "chunk_index"), "chunk_id").select("module_id", F.col("chunk_index").alias("at"), "hit_rank", F.col("score").alias("original_score"), F.col("chunk_id").alias("hit_id"), *by)
     reach = centre.withColumn("chunk_index", F.explode(F.sequence(F.col("at") - size, F.col("at") + size)))
     out = reach.join(chunks, ["module_id", "chunk_index"]).withColumn("is_original_hit", F.col("hit_id") == F.col("chunk_id"))
     if not dedupe:
         return out
-    first = Window.partitionBy("chunk_id").orderBy("hit_rank")
+    first = Window.partitionBy(*by, "chunk_id").orderBy("hit_rank")
     return out.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
-def merge_windows(expanded: DataFrame, separator: str = "\n\n") -> DataFrame:
-    """One row a module: texts in reading order, number of chunks and of hits, ids."""
+def retrieve_window(vectors: DataFrame, query: Sequence[float], chunks: DataFrame, k: int, size: int = SETTINGS.window_size) -> DataFrame:
+    """The k chunks most similar to a query, with the chunks around them (none for size 0); warns if there is none."""
+    near = knn(vectors, query, k, "id", "vector").select(F.col("id").alias("chunk_id"), F.col("rank").alias("hit_rank"), "score")
+    if near.isEmpty():
+        warnings.warn("vector search found nothing", stacklevel=2)
+    return window(chunks, near, size)
+
+
+def merge_windows(expanded: DataFrame, separator: str = "\n\n", by: tuple[str, ...] = ()) -> DataFrame:
+    """One row a module (and value of by): texts in reading order, number of chunks and of hits, ids."""
     rows = F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "text", "is_original_hit")))
-    out = expanded.groupBy("module_id").agg(rows.alias("rows"))
-    return out.select("module_id", F.array_join(F.transform("rows", lambda r: r["text"]), separator).alias("text"), F.size("rows").alias("chunk_count"), F.size(F.filter("rows", lambda r: r["is_original_hit"])).alias("hit_count"), F.array_join(F.transform("rows", lambda r: r["chunk_id"].cast("string")), ",").alias("chunk_ids"))
+    out = expanded.groupBy(*by, "module_id").agg(rows.alias("rows"), F.min("hit_rank").alias("hit_rank"))
+    return out.select(*by, "module_id", F.array_join(F.transform("rows", lambda r: r["text"]), separator).alias("text"), F.size("rows").alias("chunk_count"), F.size(F.filter("rows", lambda r: r["is_original_hit"])).alias("hit_count"), F.array_join(F.transform("rows", lambda r: r["chunk_id"].cast("string")), ",").alias("chunk_ids"), "hit_rank")
 
 
 def graph_context(hits: DataFrame, mentions: DataFrame, edges: DataFrame, hops: int = 1) -> DataFrame:
@@ -143,11 +252,21 @@ def graph_context(hits: DataFrame, mentions: DataFrame, edges: DataFrame, hops:
     return sets.join(more, "chunk_id", "left").withColumn("related", F.coalesce("related", F.array().cast("array<string>")))
 
 
-def rerank(hits: DataFrame, query: str, top_k: int) -> DataFrame:
-    """Hits (id, text, rank) by the share of the query's tokens that they hold (the default scorer), then by rank."""
-    asked = F.array_distinct(tokens(F.lit(query)))
-    score = F.size(F.array_intersect(asked, tokens(F.col("text")))) / F.greatest(F.size(asked), F.lit(1))
-    return hits.withColumn("rerank_score", score).orderBy(F.desc("rerank_score"), "rank").limit(top_k)
+def lexical(query: Column, text: Column) -> Column:
+    """Share of a query's tokens that a text holds."""
+    asked = F.array_distinct(tokens(query))
+    return F.size(F.array_intersect(asked, tokens(text))) / F.greatest(F.size(asked), F.lit(1))
+
+
+def rerank(hits: DataFrame, query: str, top_k: int, scorer: Callable[[Column, Column], Column] = lexical) -> DataFrame:
+    """Hits (id, text, rank) by the scorer's values (columns of query and text to a column), then by rank."""
+    return hits.withColumn("rerank_score", scorer(F.lit(query), F.col("text"))).orderBy(F.desc("rerank_score"), "rank").limit(top_k)
+
+
+def rerank_many(hits: DataFrame, top_k: int, scorer: Callable[[Column, Column], Column] = lexical) -> DataFrame:
+    """rerank() for hits (query_id, question, text, rank) of many questions; rank is the new one."""
+    scored = hits.withColumn("rerank_score", scorer(F.col("question"), F.col("text"))).withColumnRenamed("rank", "before")
+    return ranked(scored, [F.desc("rerank_score"), F.col("before")], ["query_id"]).where(F.col("rank") <= top_k).drop("before")
 
 
 def precision(judged: DataFrame, by: str = "query_id") -> DataFrame:
@@ -155,8 +274,10 @@ def precision(judged: DataFrame, by: str = "query_id") -> DataFrame:
     return judged.groupBy(by).agg(F.avg(F.col("relevant").cast("double")).alias("precision"), F.count(F.lit(1)).alias("n"))
 
 
-def collection_info(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("doc_count")).withColumn("exists", F.lit(True))
+def collection_info(df: DataFrame, vector_col: str | None = None) -> DataFrame:
+    """doc_count, exists, and with a vector column embedded and missing."""
+    more = [F.count(vector_col).alias("embedded"), F.count_if(F.col(vector_col).isNull()).alias("missing")] if vector_col else []
+    return df.agg(F.count(F.lit(1)).alias("doc_count"), F.lit(True).alias("exists"), *more)
 
 
 #: Columns of a hit, and what stands in for missing ones.
@@ -180,12 +301,16 @@ def search_terms(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: F.length(w) > 3)
 
 
-def retrieve(vectors: DataFrame, query: Sequence[float], docs: DataFrame, text: DataFrame, k: int = SETTINGS.top_k, mode: str = SETTINGS.retrieval_mode, backend: str = SETTINGS.vector_backend, fields: dict[str, float] | None = None) -> DataFrame:
-    """id, score, rank by mode (knn or hybrid) and backend: the graph store only searches vectors, hybrid fuses both."""
+def retrieve(vectors: DataFrame, query: Sequence[float], docs: DataFrame, text: DataFrame, k: int = SETTINGS.top_k, mode: str = SETTINGS.retrieval_mode, backend: str = SETTINGS.vector_backend, fields: dict[str, float] | None = None, fuzzy: bool = False, chunks: DataFrame | None = None, window_size: int = SETTINGS.window_size) -> DataFrame:
+    """id, score, rank by mode (knn or hybrid) and backend: the graph store only searches vectors, hybrid fuses both and,
+    where chunks are given, adds the chunks around the hits (module_id, chunk_index, is_original_hit; window())."""
     near = knn(vectors, query, k, "id", "vector")
     if backend == "neo4j" or (backend == "opensearch" and mode == "knn"):
         return near.select("id", "score", "rank")
-    both = hybrid(vectors, query, docs, text, k, fields or {"text": 3.0})
+    both = hybrid(vectors, query, docs, text, k, fields or {"text": 3.0}, fuzzy)
     if backend == "hybrid":
         both = rrf([near, both], top_k=k)
-    return both.select("id", F.col("rrf_score").alias("score"), "rank")
+    hits = both.select("id", F.col("rrf_score").alias("score"), "rank")
+    if backend == "hybrid" and chunks is not None:
+        return window(chunks, hits.select(F.col("id").alias("chunk_id"), F.col("rank").alias("hit_rank"), "score"), window_size)
+    return hits

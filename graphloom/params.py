@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
+# The defaults.
 @dataclass(frozen=True)
 class Settings:
     chunk_size: int = 512

@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
 from ..operators import concepts as C
 from ..operators import graph as G
 from ..params import PREREQ_PATTERNS, SETTINGS
+from ..plugins import keywords
 
 
 @dataclass(frozen=True)
@@ -22,14 +22,13 @@ class Graph:
     edges: DataFrame
 
 
-def candidates(records: DataFrame, per_module: int = 20) -> DataFrame:
-    """module_id, name: the words of a module that stand out most by term frequency (the default keyword strategy)."""
-    from pyspark.sql import Window
-
-    words = records.select("module_id", F.explode(tokens(F.col("text"))).alias("name")).where("length(name) > 3")
-    counts = words.groupBy("module_id", "name").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("module_id").orderBy(F.desc("n"), F.desc(F.length("name")), "name")
-    return counts.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_module).select("module_id", "name")
+def candidates(records: DataFrame, per_record: int = 20, limit: float = 0.7) -> DataFrame:
+    """module_id, name, key_term: keywords of up to three words of each record (id, module_id, text), and its key terms
+    where it has some."""
+    found = keywords(records, "id", "text", per_record, 3, limit).join(records.select("id", "module_id"), "id").select("module_id", "name", F.lit(False).alias("key_term"))
+    if "key_terms" in records.columns:
+        found = found.unionByName(records.select("module_id", F.explode("key_terms").alias("name"), F.lit(True).alias("key_term")))
+    return C.clean_names(found).groupBy("module_id", "name").agg(F.bool_or("key_term").alias("key_term"))
 
 
 def prerequisites(records: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -40,7 +39,8 @@ def prerequisites(records: DataFrame, concepts: DataFrame) -> DataFrame:
     """
     import re
 
-    names = [r.name for r in concepts.select("name").collect()]
+    order = [F.desc("n"), F.desc(F.length("name")), F.col("name")] if "n" in concepts.columns else [F.col("name")]
+    names = [r.name for r in concepts.orderBy(*order).select("name").collect()]
     patterns = [re.compile(p, re.IGNORECASE) for p in PREREQ_PATTERNS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,11 +61,11 @@ def prerequisites(records: DataFrame, concepts: DataFrame) -> DataFrame:
     return found.groupBy("source", "target").agg(F.min("evidence").alias("evidence")).select("source", "target", F.lit("PREREQ").alias("type"), F.lit(0.8).alias("weight"), F.lit(0.6).alias("confidence"), "evidence")
 
 
-def build(records: DataFrame, threshold: int = SETTINGS.related_threshold, top: int = SETTINGS.max_concepts, iterations: int = 10) -> Graph:
-    """The graph of records (id, module_id, text)."""
-    found = candidates(records)
+def build(records: DataFrame, threshold: int = SETTINGS.related_threshold, top: int = SETTINGS.max_concepts, iterations: int = 100) -> Graph:
+    """The graph of records (id, module_id, text, and key_terms where there are some)."""
+    found = G.reliable(candidates(records))
     kept = G.reliable(C.most_common(C.drop_substrings(found.select("name").distinct()).join(found, "name").select("name"), top))
-    mentions = found.join(kept.select("name"), "name", "left_semi").withColumn("key_term", F.lit(False))
+    mentions = found.join(kept.select("name"), "name", "left_semi")
     nodes = C.document_frequency(mentions)
     inside = C.mentions(records, kept, "id")
     related = G.related(inside, "id", "name", threshold).select("source", "target", "type", "weight", "confidence")

@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.learner import target_difficulty
+from ..operators import retrieve as R
+from ..plugins import Embedder, embed
 
 # Score ranges that the prompts ask for.
 SCORE_RANGES = {"easy": "0.1 and 0.3", "medium": "0.35 and 0.6", "hard": "0.65 and 0.9"}
 
 
-def user_prompt(n: int, context: str, difficulty: Column) -> Column:
-    wanted = F.upper(difficulty)
-    return F.concat(F.lit(f"Create {n} multiple-choice questions at the "), wanted, F.lit(" difficulty level based on this text:\n\nTEXT:\n"), F.lit(context), F.lit("\n\nREMEMBER: ALL questions must be "), wanted, F.lit(" difficulty.\nEnsure questions test understanding appropriate for "), difficulty, F.lit(" level.\nJSON Output:"))
+def user_prompt(n: int, context: Column, difficulty: Column) -> Column:
+    level = F.upper(difficulty)
+    return F.concat(F.lit(f"Write {n} "), level, F.lit(" multiple-choice questions on the text below; ask for what a learner of that level has to understand.\n\n"), context, F.lit("\n\nKeep every question "), level, F.lit(" and answer in JSON only."))
 
 
 def score_range(difficulty: Column) -> Column:
@@ -23,7 +25,16 @@ def score_range(difficulty: Column) -> Column:
     return out
 
 
-def prompts(state: DataFrame, context: str, n: int = 3) -> DataFrame:
-    """student, concept, difficulty, score_range, prompt for each concept of each learner."""
+def contexts(concepts: DataFrame, docs: DataFrame, vectors: DataFrame, embedder: Embedder | None = None) -> DataFrame:
+    """concept, context: of the two texts (id, text) that words and vectors find for a concept the first one."""
+    asked = concepts.select(F.col("concept").alias("query_id"), F.col("concept").alias("text")).distinct()
+    near = embed(asked, "text", embedder).select("query_id", F.col("embedding").alias("vector"))
+    hits = R.hybrid_many(vectors, near, docs, asked, 2, {"text": 3.0}).where("rank = 1")
+    return hits.join(docs, "id").select(F.col("query_id").alias("concept"), F.col("text").alias("context"))
+
+
+def prompts(state: DataFrame, found: DataFrame, n: int = 3) -> DataFrame:
+    """student, concept, difficulty, score_range, prompt for each concept of each learner; found: concept, context."""
     level = target_difficulty(F.col("mastery_level"))
-    return state.select("student", "concept", level.alias("difficulty"), score_range(level).alias("score_range"), user_prompt(n, context, level).alias("prompt"))
+    rows = state.join(found, "concept", "left")
+    return rows.select("student", "concept", level.alias("difficulty"), score_range(level).alias("score_range"), user_prompt(n, F.coalesce("context", F.lit("")), level).alias("prompt"))

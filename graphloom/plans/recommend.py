@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from ..operators import graph as G
 from ..operators import learner as O
 from ..operators import retrieve as R
 from ..params import SETTINGS
-from ..plugins import Generator
+from ..plugins import Embedder, Generator, embed, generate
 
 
 def blocks(results: DataFrame, edges: DataFrame, nodes: DataFrame, state: DataFrame, limit: int = 5) -> DataFrame:
@@ -32,18 +34,39 @@ def blocks(results: DataFrame, edges: DataFrame, nodes: DataFrame, state: DataFr
     return joined.join(known, ["student", "name"], "left").select("quiz", "side", "concept", "name", "importance", "rank", F.round(F.coalesce("mastery_level", F.lit(SETTINGS.initial_mastery)), 3).alias("mastery_level"))
 
 
-def readings(concepts: DataFrame, docs: DataFrame, top: int = 2) -> DataFrame:
-    """query_id, id, score, rank, preview: the best texts for each concept (query_id, text)."""
-    hits = R.top_per_query(R.bm25(docs, concepts, "id", "text"), top)
+def readings(concepts: DataFrame, docs: DataFrame, top: int = 2, vectors: DataFrame | None = None, embedder: Embedder | None = None) -> DataFrame:
+    """query_id, id, score, rank, preview: the best texts for each concept (query_id, text); by words, or by words and
+    vectors where the texts' vectors (id, vector) are given."""
+    if vectors is None:
+        hits = R.top_per_query(R.bm25(docs, concepts, "id", "text"), top)
+    else:
+        asked = embed(concepts, "text", embedder).select("query_id", F.col("embedding").alias("vector"))
+        hits = R.hybrid_many(vectors, asked, docs, concepts, top, {"text": 3.0}).withColumnRenamed("rrf_score", "score")
     return hits.join(docs, "id").select("query_id", "id", "score", "rank", preview(F.col("text")).alias("preview"))
 
 
-def deep_dive(concept: str, generator: Generator) -> str | None:
-    """A generator's text on a concept; None if it fails."""
+def deep_dive(concept: str, generator: Generator, temperature: float = 0.7, max_tokens: int = 512, timeout: float = 30.0) -> str | None:
+    """A generator's text on a concept; None if it fails or takes longer.  A generator with a method configured() is
+    asked for one with these settings."""
+    own = generator.configured(temperature=temperature, max_tokens=max_tokens) if hasattr(generator, "configured") else generator
+    pool = ThreadPoolExecutor(1)
     try:
-        return generator.generate(f"Write a deep dive on {concept}.")
+        return pool.submit(own.generate, f"Write a deep dive on {concept}.").result(timeout)
     except (ConnectionError, TimeoutError):
         return None
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
+
+
+def recommend(results: DataFrame, edges: DataFrame, nodes: DataFrame, state: DataFrame, docs: DataFrame, generator: Generator, vectors: DataFrame | None = None) -> DataFrame:
+    """The rows of blocks() with readings (ids of two texts) of each weak concept and a deep dive on each strong one
+    (null where the generator fails)."""
+    found = blocks(results, edges, nodes, state)
+    asked = found.where("side = 'weak'").select(F.col("concept").alias("query_id"), F.col("concept").alias("text")).distinct()
+    read = readings(asked, docs, 2, vectors).groupBy(F.col("query_id").alias("concept")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda r: r["id"]).alias("readings")).withColumn("side", F.lit("weak"))
+    strong = found.where("side = 'strong'").select("concept", "side").distinct().withColumn("prompt", F.concat(F.lit("Write a deep dive on "), "concept", F.lit(".")))
+    dives = generate(strong, "prompt", generator, retries=1).select("concept", "side", F.col("reply").alias("deep_dive"))
+    return found.join(read, ["concept", "side"], "left").join(dives, ["concept", "side"], "left")
 
 
 def assemble(questions: DataFrame, topic: str) -> DataFrame:

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import learner as L
 from ..functions import text as X
+from ..operators import chunks as C
 from ..operators import learner as O
 from ..operators import retrieve as R
+from ..operators.graph import reliable
+from ..params import Question
 from ..plans import ask as A
 from ..plans import build_kg as B
 from ..plans import quiz as Z
 from ..plans import recommend as P
+from ..plugins import embed
+from ..sources import services as V
 from ..sources import web as W
 from ..streaming import learners as T
 from . import graphs, query, read, retrieval, text
@@ -54,21 +59,43 @@ def health_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.health(rows, "check_id")
 
 
-@query()
+@query("select 'us_history' as subject_id, 'US History' as name, 'us_history' as label_prefix, 'textbook_chunks_us_history' as index_name, true as is_default")
 def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.subjects(spark)
 
 
-@query(f"with c as ({text._TOP}), own as (select b.item_id as query_id, c.name, length(c.name) as size from benchmark b join c on contains(lower(b.text), lower(c.name))), five as (select * from (select *, row_number() over (partition by query_id order by size desc, name) as place from own) where place <= 5) select query_id, count(*) as n_concepts, any_value(b.text) || ' ' || string_agg(name, ' ' order by place) as expanded_query from five join benchmark b on b.item_id = five.query_id group by query_id")
+_NEXT = "ranked as (select name, row_number() over (order by n desc, length(name) desc, name) as k from c), e as (select a.name as s, b.name as t from ranked a join ranked b on b.k = a.k + 1), sides as (select s, t from e union all select t, s from e)"
+
+
+def _word_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges from each frequent word to the next one."""
+    order = Window.orderBy(F.desc("n"), F.desc(F.length("name")), "name")  # of fifty words
+    return text.top_words(spark, sf_dir).select(F.col("name").alias("source"), F.lead("name").over(order).alias("target")).where("target is not null")
+
+
+@query(
+    f"""with c as ({text._TOP}), {_NEXT}, own as (select b.item_id as query_id, c.name, length(c.name) as size from benchmark b join c on contains(lower(b.text), lower(c.name))),
+five as (select * from (select *, row_number() over (partition by query_id order by size desc, name) as place from own) where place <= 5),
+u as (select query_id, name, min(place) as place from (select query_id, name, place from five union all select f.query_id, s.t, 1048576 from five f join sides s on s.s = f.name) group by all)
+select query_id, count(*) as n_concepts, count(*) filter (where place = 1048576) as expansion_count, any_value(b.text) || ' ' || string_agg(name, ' ' order by place, name) as expanded_query from u join benchmark b on b.item_id = u.query_id group by query_id"""
+)
 def query_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with the words that they contain and those next to them in the graph."""
     asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return A.expand(asked, text.top_words(spark, sf_dir)).select("query_id", F.col("n_concepts"), "expanded_query")
+    return A.expand(asked, text.top_words(spark, sf_dir), _word_edges(spark, sf_dir)).select("query_id", "n_concepts", "expansion_count", "expanded_query")
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("module_id"), "text")
+    return C.chunk_chars(records).select("chunk_id", "module_id", "chunk_index", "text")
 
 
 @query()
 def ask_question(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A question through expansion, hybrid retrieval, window, prompt and reply."""
-    return A.ask(spark, sf_dir)
+    """Every benchmark item as a question to all documents' chunks: expansion, hybrid retrieval, windows, reranking,
+    prompt and reply."""
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return A.answers(asked, reliable(_chunks(spark, sf_dir)), text.top_words(spark, sf_dir), Question("any question"), _word_edges(spark, sf_dir), rerank=True, attribution="the corpus")
 
 
 @query()
@@ -79,17 +106,40 @@ def built_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def prerequisite_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences with a prerequisite's phrase between frequent words: the mined edges."""
-    names = text.top_words(spark, sf_dir).select("name")
-    sentences = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.concat("text", F.lit(" This builds on "), F.element_at(F.split("text", " "), 2), F.lit(".")).alias("text"))
+    """Documents that end in a prerequisite's phrase on their second word: the mined edges."""
+    names = text.top_words(spark, sf_dir)
+    sentences = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat("text", F.lit(" This builds on "), F.get(F.split("text", " "), F.lit(1)), F.lit(".")).alias("text"))
     return B.prerequisites(sentences, names)
 
 
 @query()
 def adaptive_quiz_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts at each learner's level, with the best document on the concept as their text."""
     from .learners import state
 
-    return Z.prompts(state(spark, sf_dir), read(spark, sf_dir, "benchmark").select("text").orderBy("text").limit(1).first().text)
+    rows = state(spark, sf_dir)
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    vectors = embed(docs, "text").select("id", F.col("embedding").alias("vector"))
+    return Z.prompts(rows, Z.contexts(rows.select("concept").distinct(), docs, vectors))
+
+
+@query("select sum(case when e.k % 4 = e.k % 3 then 1 else 0 end)::bigint as n_correct, count(*) as n from (select json_extract_string(props, '$.k')::integer as k from events) e")
+def answer_correctness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selected against correct options."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    right = L.is_correct((k % 4).cast("string"), (k % 3).cast("string"))
+    return read(spark, sf_dir, "events").agg(F.count_if(right).alias("n_correct"), F.count(F.lit(1)).alias("n"))
+
+
+@query("select service, case service when 'neo4j' then 'ok' when 'opensearch' then 'degraded' when 'model' then 'ok' else 'error' end as status from (select unnest(['neo4j', 'opensearch', 'model', 'other']) as service)")
+def service_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probes whose checks stand in for services; latencies are left out."""
+
+    def broken() -> str:
+        raise ConnectionError("refused")
+
+    checks = {"neo4j": lambda: "ok", "opensearch": lambda: V.colour_status("yellow"), "model": lambda: V.model_status(["mistral:7b"], "mistral"), "other": broken}
+    return V.probe(spark, checks).select("service", "status")
 
 
 @query("select user_id as student, event_type as concept, count(*) as attempts, count(*) filter (where value >= 50) as correct_attempts from events group by all")
@@ -98,8 +148,9 @@ def stream_mastery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.run_to_end(spark, sf_dir).select("student", "concept", "attempts", "correct_attempts")
 
 
-@query("select time_bucket(interval 1 minute, ts) as window_start, event_type as key, count(*) as n from events group by all")
+@query("select * from (select time_bucket(interval 1 minute, ts) as window_start, event_type as key, count(*) as n from events group by 1, 2) where window_start + interval 1 minute <= (select max(ts) from events) - interval 10 minute")
 def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows that are final ten minutes before the last event."""
     return T.rates_to_end(spark, sf_dir)
 
 
@@ -123,6 +174,23 @@ def cross_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.retrieve(vectors, R.vector_of(vectors, 0, "id", "vector"), docs, asked, backend="hybrid")
 
 
+_CROSS = retrieval._rrf_sql([retrieval._knn_sql(0, 20), retrieval._hybrid_sql().replace("select id, rrf_score, row_number", "select id, row_number")], 20)
+
+
+@query(
+    f"""with k as ({_CROSS}), c as (select doc_id as chunk_id, doc_id // 10 as module_id, doc_id % 10 as chunk_index from documents),
+e as (select c.chunk_id, k.rank as hit_rank, k.id = c.chunk_id as hit from k join c h on h.chunk_id = k.id join c on c.module_id = h.module_id and c.chunk_index between h.chunk_index - 1 and h.chunk_index + 1)
+select chunk_id, hit_rank, hit as is_original_hit from (select *, row_number() over (partition by chunk_id order by hit_rank) as n from e) where n = 1"""
+)
+def cross_backend_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fused list with the chunks around its hits; ten documents in a row are a module."""
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = read(spark, sf_dir, "benchmark").where("item_id = 0").select(F.col("item_id").alias("query_id"), "text")
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    chunks = docs.select(F.col("id").alias("chunk_id"), F.floor(F.col("id") / 10).alias("module_id"), (F.col("id") % 10).alias("chunk_index"))
+    return R.retrieve(vectors, R.vector_of(vectors, 0, "id", "vector"), docs, asked, backend="hybrid", chunks=chunks).select("chunk_id", "hit_rank", "is_original_hit")
+
+
 @query(f"select item_id as query_id, id, score, rank, case when length(text) > 200 then left(text, 200) || '...' else text end as preview from ({retrieval._top_sql(retrieval._bm25_sql('text'), 2)}) h join benchmark b on b.item_id = h.query_id join (select doc_id, text as t from documents) d on d.doc_id = h.id".replace("case when length(text) > 200 then left(text, 200) || '...' else text end", "case when length(t) > 200 then left(t, 200) || '...' else t end"))
 def reading_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
@@ -130,23 +198,28 @@ def reading_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RES = "res as (select o.o_custkey as quiz, o.o_custkey as student, i.name as concept, i.n >= 4 as correct, o.o_orderkey * 10 + i.n as place from orders o join i on i.g = o.o_orderkey)"
+_KNOWN = "known as (select o.o_custkey as student, p.p_name || ' ' || p.p_partkey as name, max(l.l_quantity) / 50.0::double as m from orders o join lineitem l on l.l_orderkey = o.o_orderkey join part p on p.p_partkey = l.l_partkey group by all)"
 
 
 @query(
-    f"""with {graphs._E}, {_RES}, sides as (select distinct quiz, student, concept, case when correct then 'strong' else 'weak' end as side from res), starts as (select distinct concept as name from sides),
+    f"""with {graphs._E}, {_RES}, {_KNOWN}, sides as (select distinct quiz, student, concept, case when correct then 'strong' else 'weak' end as side from res), starts as (select distinct concept as name from sides),
 p as (select distinct s.name as start, p.source as node from starts s join pre p on p.target = s.name), d as (select distinct s.name as start, p.target as node from starts s join pre p on p.source = s.name),
 r as (select distinct s.name as start, case when r.source = s.name then r.target else r.source end as node from starts s join rel r on s.name in (r.source, r.target)),
 f as (select 'weak' as side, start, node from p union all select 'weak', start, node from r where start not in (select start from p) union all select 'strong', start, node from d union all select 'strong', start, node from r where start not in (select start from d)),
 k as (select f.side, f.start, n.name, n.importance, row_number() over (partition by f.side, f.start order by n.importance desc nulls first, n.name) as rank from f join nodes n on n.name = f.node)
-select s.quiz, s.side, count(*) as n, round(sum(k.importance), 4) as importance, 0.3::double as least_mastery from sides s join k on k.start = s.concept and k.side = s.side where k.rank <= 5 group by s.quiz, s.side"""
+select s.quiz, s.side, count(*) as n, round(sum(k.importance), 4) as importance, round(min(round(coalesce(m.m, 0.3), 3)), 3) as least_mastery, round(sum(round(coalesce(m.m, 0.3), 3)), 3) as total_mastery
+from sides s join k on k.start = s.concept and k.side = s.side left join known m on m.student = s.student and m.name = k.name where k.rank <= 5 group by s.quiz, s.side"""
 )
 def recommendation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as quizzes of their customers; nobody's mastery is known yet, so all have the default."""
+    """Orders as quizzes of their customers, who master the parts that they have ordered by the largest quantity."""
     orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("g"), F.col("o_custkey").alias("quiz"))
     results = orders.join(graphs.items(spark, sf_dir), "g").select("quiz", F.col("quiz").alias("student"), F.col("name").alias("concept"), (F.col("n") >= 4).alias("correct"), (F.col("g") * 10 + F.col("n")).alias("place"))
-    state = spark.createDataFrame([], "student long, concept string, mastery_level double")
+    parts = read(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("concept"))
+    bought = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("g"), "l_partkey", "l_quantity").join(orders, "g").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    state = bought.groupBy(F.col("quiz").alias("student"), "concept").agg((F.max("l_quantity") / 50.0).cast("double").alias("mastery_level"))
     found = P.blocks(results, graphs.edges(spark, sf_dir), graphs.nodes(spark, sf_dir), state)
-    return found.groupBy("quiz", "side").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("importance"), 4).alias("importance"), F.min("mastery_level").alias("least_mastery"))
+    total = F.round(F.sum("mastery_level"), 3).alias("total_mastery")
+    return found.groupBy("quiz", "side").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("importance"), 4).alias("importance"), F.round(F.min("mastery_level"), 3).alias("least_mastery"), total)
 
 
 @query("select p_partkey, 25 + 45 * (p_size / 50.0::double) as node_size, case when p_size >= 35 then 'green' when p_size >= 20 then 'yellow' else 'red' end as band from part")

@@ -35,7 +35,24 @@ def chunk_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.chunk_words(read(spark, sf_dir, "documents"), "doc_id").withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
-@query()
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _ends_sql(rows: str, size: int = 512) -> str:
+    """rows (doc_id, t, n, b) with e: where the chunk that begins at b ends."""
+    marks = ["'. '", "'! '", "'? '", "'.' || chr(10)", "'!' || chr(10)", "'?' || chr(10)"]
+    out = f"select *, b + {size // 2} as best0, substr(t, b + {size // 2} + 1, {size - size // 2}) as tail from ({rows})"
+    for i, mark in enumerate(marks):
+        at = f"case when strpos(reverse(tail), reverse({mark})) = 0 then -1 else b + {size // 2} + length(tail) - strpos(reverse(tail), reverse({mark})) - 1 end"
+        out = f"select *, case when {at} > best{i} then {at} + 2 else best{i} end as best{i + 1} from ({out})"
+    return f"select doc_id, t, n, b, case when b + {size} < n and best6 > b + {size // 2} then best6 else b + {size} end as e from ({out})"
+
+
+@query(
+    f"""with recursive d as (select doc_id, text as t, length(text) as n from documents where length(text) > 0),
+w as (select doc_id, t, n, 0::bigint as b from d union all select doc_id, t, n, greatest(e - 128, b + 1) from ({_ends_sql("select * from w")}) where greatest(e - 128, b + 1) < n - 128)
+select doc_id::varchar as module_id, count(*) as chunks, max(e) as last_end, sum(length(trim(substr(t, b + 1, e - b), {_SPACE})))::bigint as chars from ({_ends_sql("select * from w")}) where trim(substr(t, b + 1, e - b), {_SPACE}) <> '' group by doc_id"""
+)
 def chunk_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("module_id"), "text")
     return C.chunk_chars(records).groupBy("module_id").agg(F.count(F.lit(1)).alias("chunks"), F.max("end_char").alias("last_end"), F.sum(F.length("text")).alias("chars"))
@@ -73,4 +90,4 @@ def window_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_WINDOW} select module_id, string_agg(text, chr(10) || chr(10) order by chunk_index) as text, count(*)::integer as chunk_count, (count(*) filter (where is_original_hit))::integer as hit_count, string_agg(chunk_id, ',' order by chunk_index) as chunk_ids from d group by module_id")
 def window_text_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.merge_windows(R.window(turns(spark, sf_dir), hits(spark, sf_dir), 1))
+    return R.merge_windows(R.window(turns(spark, sf_dir), hits(spark, sf_dir), 1)).drop("hit_rank")

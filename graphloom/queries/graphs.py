@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import concepts as C
 from ..operators import graph as G
+from ..plans import graph_qa as QA
 from . import query, read
 
 _N = "select p_name || ' ' || p_partkey as name, p_size / 50.0::double as importance, p_type as module_id from part"
@@ -191,24 +192,57 @@ def modules_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes(spark, sf_dir).where(contains_ci(F.col("name"), F.lit("WIDGET"))).select("module_id").distinct()
 
 
-def _pagerank_sql(rounds: int) -> str:
-    parts = [
-        f"with {_E}",
-        "und as (select least(source, target) as x, greatest(source, target) as y, arg_max(weight, type) as weight from edges group by all)",
-        "arcs as (select x as src, y as to_, weight from und union all select y, x, weight from und where x <> y)",
-        "outs as (select src, sum(weight) as o from arcs group by src)",
-        "shares as (select a.src, a.to_, a.weight / o.o as share from arcs a join outs o on o.src = a.src)",
-        "names as (select name, name not in (select src from outs) as dangling, (select count(*) from nodes) as total from nodes)",
-        "r0 as (select name, dangling, total, 1.0::double / total as rank from names)",
-    ]
-    for i in range(1, rounds + 1):
-        parts.append(f"r{i} as (select n.name, n.dangling, n.total, 0.15 / n.total + 0.85 * (coalesce(g.got, 0) + l.lost / n.total) as rank from names n left join (select s.to_ as name, sum(r.rank * s.share) as got from shares s join r{i - 1} r on r.name = s.src group by s.to_) g on g.name = n.name, (select coalesce(sum(rank) filter (where dangling), 0) as lost from r{i - 1}) l)")
-    return ", ".join(parts) + f" select name, round(rank / (select max(rank) from r{rounds}), 6) as importance from r{rounds}"
+_PAGERANK = f"""with recursive {_E},
+und as (select least(source, target) as x, greatest(source, target) as y, arg_max(weight, type) as weight from edges group by all),
+arcs as (select x as src, y as to_, weight from und union all select y, x, weight from und where x <> y),
+outs as (select src, sum(weight) as o from arcs group by src),
+shares as materialized (select a.src, a.to_, a.weight / o.o as share from arcs a join outs o on o.src = a.src),
+names as materialized (select name, name not in (select src from outs) as dangling, (select count(*) from nodes) as total from nodes),
+walk as (
+  select 0 as i, name, dangling, total, 1.0::double / total as rank, 1e9::double as change from names
+  union all
+  select i, name, dangling, total, rank, sum(abs(rank - before)) over () as change from (
+    select w.i + 1 as i, w.name, w.dangling, w.total, w.rank as before,
+           0.15 / w.total + 0.85 * (coalesce(g.got, 0) + sum(case when w.dangling then w.rank else 0 end) over () / w.total) as rank
+    from walk w left join (select s.to_ as name, sum(r.rank * s.share) as got from shares s join walk r on r.name = s.src group by s.to_) g on g.name = w.name
+    where w.change >= w.total * 1e-6 and w.i < 100))
+select name, round(rank / max(rank) over (), 6) as importance from walk where i = (select max(i) from walk)"""
+
+
+@query(_PAGERANK)
+def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds until the ranks stay, as the SQL has them."""
+    return G.pagerank(nodes(spark, sf_dir), G.reliable(edges(spark, sf_dir))).select("name", F.round("importance", 6).alias("importance"))
 
 
-@query(_pagerank_sql(5))
-def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.pagerank(nodes(spark, sf_dir), G.reliable(edges(spark, sf_dir)), iterations=5).select("name", F.round("importance", 6).alias("importance"))
+@query(f"with {_E}, mine as (select name from nodes where importance > 0.5), kept as (select type from edges where source in (select name from mine)) select lower(t.type) || '_relationships' as name, count(k.type) as n from (select unnest(['PREREQ', 'RELATED', 'COVERS', 'PART_OF', 'MENTIONS', 'NEXT', 'FIRST_CHUNK']) as type) t left join kept k on k.type = t.type group by t.type union all select 'concepts', (select count(*) from mine)")
+def graph_stats_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of some nodes, of whose edges only those count that leave them."""
+    mine = nodes(spark, sf_dir).where("importance > 0.5")
+    return G.statistics(edges(spark, sf_dir), mine, concepts=mine)
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> QA.Tables:
+    return QA.Tables(nodes(spark, sf_dir), edges(spark, sf_dir))
+
+
+@query(f"with {_E} select name, round(importance, 6) as importance from nodes where name in (select source from pre where target = (select min(target) from pre)) order by importance desc, name limit 20")
+def graph_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question that a named query answers."""
+    tables = _tables(spark, sf_dir)
+    first = tables.edges.where("type = 'PREREQ'").agg(F.min("target")).first()[0]
+    return QA.ask(spark, f"What are the prerequisites of {first}?", tables).withColumn("importance", F.round("importance", 6))
+
+
+@query(f"with {_E} select type, count(*) as n, round(sum(weight), 4) as weight from edges group by type")
+def graph_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Guarded SQL over the graph's tables."""
+    return QA.execute(spark, "select type, count(*) as n, round(sum(weight), 4) as weight from edges group by type", _tables(spark, sf_dir))
+
+
+@query("select unnest(['PREREQ', 'RELATED']) as property, 'relationship' as entity union all select unnest(['name', 'importance', 'module_id']), 'nodes' union all select unnest(['source', 'target', 'type', 'weight', 'edge_id']), 'edges'")
+def graph_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QA.schema(_tables(spark, sf_dir)).select("property", "entity")
 
 
 _UPDATES = "select p_name || ' ' || p_partkey as name, 0.99::double as importance from part where p_size > 40 union all select 'new concept', 0.5"

@@ -162,9 +162,15 @@ def profile_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.merge_profiles(old, new)
 
 
-@query("select student, concept from (select distinct user_id as student, event_type as concept from events) where student <> 1")
+@query(f"with recursive {_STATE} select student, case when student = 1 then 0.3 else round(avg(mastery_level), 6) end as overall_ability, case when student = 1 then 0 else count(*) end as concepts from state group by student")
 def profile_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.reset(state(spark, sf_dir), 1).select("student", "concept")
+    """Profiles with one learner's put back to the default."""
+    return O.reset(O.profiles(state(spark, sf_dir)), 1).withColumn("overall_ability", F.round("overall_ability", 6))
+
+
+@query("select student, concept from (select *, row_number() over (partition by student order by concept) as place from (select distinct user_id as student, event_type as concept from events)) where place <= 6")
+def progress_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.first_entries(state(spark, sf_dir)).select("student", "concept")
 
 
 @query("with m as (select user_id as start, event_type as name from events where value >= 100), f as (select user_id as start, event_type as name from events where value < 100) select start, name, count(*) as n from (select * from m union all select * from f where start not in (select start from m)) group by all")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scoring import cosine, l2_normalize, norm
+from ..functions.scoring import l2_normalize, norm
+from ..functions.text import numbered_context
+from ..operators import extract as E
 from ..operators import retrieve as R
 from . import query, read, toks
 
@@ -46,12 +48,10 @@ s as (select q.query_id, e.vec_id as id, round({_cos("e.embedding", "v.embedding
 select query_id, id, score, rank from (select *, row_number() over (partition by query_id order by score desc, id)::integer as rank from s) where rank <= 3"""
 )
 def vector_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One query a label (there are ten)."""
+    """One query a label."""
     vectors = read(spark, sf_dir, "embeddings")
-    asked = vectors.groupBy("label").agg(F.min("vec_id").alias("query_id")).select("query_id")
-    asked = asked.join(vectors, asked["query_id"] == vectors["vec_id"]).select("query_id", F.col("embedding").alias("q"))
-    scores = vectors.join(F.broadcast(asked)).select("query_id", F.col("vec_id").alias("id"), cosine(F.col("embedding"), F.col("q")).alias("score"))
-    return R.top_per_query(scores, 3).select("query_id", "id", "score", "rank")
+    asked = vectors.groupBy("label").agg(F.min("vec_id").alias("query_id"), F.min_by("embedding", "vec_id").alias("vector"))
+    return R.knn_many(vectors, asked, 3, "vec_id", "embedding").select("query_id", "id", "score", "rank")
 
 
 def _rrf_sql(lists: list[str], k: int) -> str:
@@ -73,14 +73,14 @@ def rrf_n_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""with c as (select label, min(vec_id) as vec_id from embeddings group by label),
-s as (select c.label as concept, e.vec_id, {_cos("e.embedding", "v.embedding", " + 1e-8")} as score from c join embeddings v on v.vec_id = c.vec_id, embeddings e)
-select concept, count(*) as n, round(max(score), 6) as best from s where score >= 0.5 group by concept"""
+s as (select e.vec_id as id, 'label ' || c.label as name, round({_cos("e.embedding", "v.embedding", " + 1e-8")}, 6) as score from c join embeddings v on v.vec_id = c.vec_id, embeddings e)
+select id, name, score from s where score >= 0.5"""
 )
 def concept_embedding_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a text that asks for the concepts (labels, by their first vectors) that are similar to it."""
     vectors = read(spark, sf_dir, "embeddings")
-    names = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("c")).withColumnRenamed("label", "concept")
-    score = cosine(F.col("embedding"), F.col("c"), 1e-8)
-    return vectors.join(F.broadcast(names)).select("concept", score.alias("score")).where("score >= 0.5").groupBy("concept").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 6).alias("best"))
+    names = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("vector")).select(F.concat(F.lit("label "), F.col("label").cast("string")).alias("name"), "vector")
+    return E.by_vectors(vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), names).select("id", "name", "score")
 
 
 @query("select label, count(*) as n, round(avg(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double)))), 6) as mean_norm from embeddings group by label")
@@ -151,31 +151,73 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.hybrid(vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), R.vector_of(vectors, 0, "vec_id", "embedding"), docs, asked, 20, {"text": 3.0})
 
 
-_TERMS = "select 'red widget' as q, 1 as query_id union all select 'gren bolt', 2 union all select 'smal rng', 3 union all select 'blue', 4"
-
-
 @query(
-    f"""with asked as (select distinct query_id, unnest({toks("q")}) as asked from ({_TERMS})),
-names as (select distinct p_name as name from part),
-words as (select name, unnest({toks("name")}) as token from names),
-near as (select distinct a.query_id, w.token from asked a, (select distinct token from words) w
-  where abs(length(a.asked) - length(w.token)) <= 2 and levenshtein(a.asked, w.token) <= case when length(a.asked) < 3 then 0 when length(a.asked) < 6 then 1 else 2 end),
-df as (select token, count(distinct name) as df from words group by token)
-select query_id, name, round(sum(ln(1 + ((select count(*) from names) - df + 0.5) / (df + 0.5))), 6) as score
-from near join words using (token) join df using (token) group by query_id, name"""
+    f"""with q as (select b.item_id as query_id, e.embedding as v from benchmark b join embeddings e on e.vec_id = b.item_id),
+near as (select query_id, id, row_number() over (partition by query_id order by score desc, id) as near from (select q.query_id, e.vec_id as id, round({_cos("e.embedding", "q.v")}, 6) as score from q, embeddings e)),
+found as (select query_id, id, rank as found from ({_top_sql("select query_id, id, score * 3.0 as score from (" + _bm25_sql("text") + ")", 10)})),
+u as (select query_id, id, near, null as found from near where near <= 10 union all select query_id, id, null, found from found),
+g as (select query_id, id, min(near) as near, min(found) as found from u group by all),
+s as (select *, round(coalesce(1.0::double / (60 + near), 0) + coalesce(1.0::double / (60 + found), 0), 9) as rrf_score from g)
+select query_id, id, rrf_score, rank from (select *, row_number() over (partition by query_id order by rrf_score desc, near nulls last, found nulls last, id)::integer as rank from s) where rank <= 10"""
 )
+def hybrid_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item, with the vector of its number, against all documents and vectors."""
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    items = _items(spark, sf_dir)
+    asked = vectors.withColumnRenamed("id", "query_id").join(items.select("query_id"), "query_id")
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return R.hybrid_many(vectors, asked, docs, items, 10, {"text": 3.0}, fuzzy=False)
+
+
+@query(f"with h as ({_top_sql(_bm25_sql('text'), 3)}) select query_id, string_agg('[' || rank || '] ' || coalesce(text, ''), chr(10) || chr(10) order by rank) as context from h join documents d on d.doc_id = h.id group by query_id")
+def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole texts of each item's three best documents, numbered."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    hits = R.top_per_query(R.bm25(docs, _items(spark, sf_dir), "id", "text"), 3).join(docs, "id")
+    rows = F.array_sort(F.collect_list(F.struct("rank", F.coalesce("text", F.lit("")).alias("text"))))
+    return hits.groupBy("query_id").agg(numbered_context(F.transform(rows, lambda r: r["text"])).alias("context"))
+
+
+def _fuzzy_sql(text: str, docs: str, key: str, queries: str) -> str:
+    """BM25 in which a token finds terms within its edit distance; the best of them counts."""
+    return f"""select query_id, id, sum(w) as score from (
+  with w as (select {key} as id, {toks(text)} as words from {docs}),
+  sizes as (select count(*) as n, avg(len(words)) as avgdl from w),
+  vocabulary as (select distinct unnest(words) as token from w),
+  asked as (select distinct query_id, unnest({toks("text")}) as asked from ({queries})),
+  near as (select a.query_id, a.asked, v.token, 1 - levenshtein(a.asked, v.token) / least(length(a.asked), length(v.token))::double as boost from asked a, vocabulary v
+    where abs(length(a.asked) - length(v.token)) <= 2 and levenshtein(a.asked, v.token) <= case when length(a.asked) < 3 then 0 when length(a.asked) < 6 then 1 else 2 end),
+  terms as (select id, token, count(*) as tf, any_value(dl) as dl from (select id, len(words) as dl, unnest(words) as token from w) where token in (select token from near) group by id, token),
+  df as (select token, count(*) as df from terms group by token)
+  select a.query_id, t.id, a.asked, max(a.boost * ln(1 + (s.n - df.df + 0.5) / (df.df + 0.5)) * t.tf * 2.2 / (t.tf + 1.2 * (0.25 + 0.75 * t.dl / s.avgdl))) as w
+  from terms t join df on t.token = df.token join near a on a.token = t.token, sizes s group by a.query_id, t.id, a.asked) group by query_id, id"""
+
+
+_TERMS = "select 'red widget' as text, 1 as query_id union all select 'gren bolt', 2 union all select 'smal rng', 3 union all select 'blue', 4 union all select 'stel gadgte', 5"
+_NAMES = "(select distinct p_name as name from part)"
+
+
+@query(f"select query_id, id as name, round(score, 6) as score from ({_fuzzy_sql('name', _NAMES, 'name', _TERMS)})")
 def concept_fulltext(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fuzzy token search on concept names, by inverse document frequency."""
-    from ..functions.text import tokens
+    """Fuzzy full text on concept names."""
+    asked = spark.createDataFrame([("red widget", 1), ("gren bolt", 2), ("smal rng", 3), ("blue", 4), ("stel gadgte", 5)], "text string, query_id int")
+    found = E.fulltext(read(spark, sf_dir, "part").select(F.col("p_name").alias("name")), asked)
+    return found.withColumn("score", F.round("score", 6))
+
+
+_MISSPELT = "select item_id as query_id, regexp_replace(replace(replace(text, 'th', 'ht'), 'ion', 'oin'), '[^\\x00-\\x7F]', '', 'g') as text from benchmark"
+
 
-    asked = spark.createDataFrame([("red widget", 1), ("gren bolt", 2), ("smal rng", 3), ("blue", 4)], "text string, query_id int")
-    names = read(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
-    words = names.select("name", F.explode(tokens(F.col("name"))).alias("token"))
-    near = R.fuzzy_terms(words.select("token").distinct(), asked)
-    n = names.count()
-    df = words.groupBy("token").agg(F.count_distinct("name").alias("df"))
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return near.join(words, "token").join(df, "token").groupBy("query_id", "name").agg(F.round(F.sum(idf), 6).alias("score"))
+_ASCII = "(select doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') as text from documents)"
+
+
+@query(_top_sql(_fuzzy_sql("text", _ASCII, "doc_id", _MISSPELT), 3))
+def bm25_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Misspelt items against all documents; without letters beyond ASCII, whose edits the two engines count apart."""
+    plain = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "")
+    asked = _items(spark, sf_dir).withColumn("text", plain(F.replace(F.replace("text", F.lit("th"), F.lit("ht")), F.lit("ion"), F.lit("oin"))))
+    docs = read(spark, sf_dir, "documents").withColumn("text", plain(F.col("text")))
+    return R.top_per_query(R.bm25(docs, asked, "doc_id", "text", fuzzy=True), 3).select("query_id", "id", "score", "rank")
 
 
 @query(
@@ -209,4 +251,16 @@ def compare_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select count(*) as doc_count, true as exists, count(embedding) as embedded, count(*) - count(embedding) as missing from embeddings")
 def collection_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "embeddings").agg(F.count(F.lit(1)).alias("doc_count"), F.lit(True).alias("exists"), F.count("embedding").alias("embedded"), F.count_if(F.col("embedding").isNull()).alias("missing"))
+    return R.collection_info(read(spark, sf_dir, "embeddings"), "embedding")
+
+
+@query(
+    f"""with k as ({_knn_sql(0, 10)}), c as (select vec_id as chunk_id, vec_id // 10 as module_id, vec_id % 10 as chunk_index from embeddings),
+e as (select c.chunk_id, c.module_id, c.chunk_index, k.rank as hit_rank, k.score, k.id = c.chunk_id as hit from k join c h on h.chunk_id = k.id join c on c.module_id = h.module_id and c.chunk_index between h.chunk_index - 1 and h.chunk_index + 1)
+select chunk_id, module_id, chunk_index, hit_rank, score as original_score, hit as is_original_hit from (select *, row_number() over (partition by chunk_id order by hit_rank) as n from e) where n = 1"""
+)
+def vector_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks most similar to the first vector, with their neighbours; ten vectors in a row are a module."""
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    chunks = vectors.select(F.col("id").alias("chunk_id"), F.floor(F.col("id") / 10).alias("module_id"), (F.col("id") % 10).alias("chunk_index"))
+    return R.retrieve_window(vectors, R.vector_of(vectors, 0, "id", "vector"), chunks, 10, 1).select("chunk_id", "module_id", "chunk_index", "hit_rank", "original_score", "is_original_hit")

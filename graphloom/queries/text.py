@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import plugins
 from ..functions import text as X
 from ..operators import concepts as C
+from ..operators import extract as E
 from ..sources import files as S
 from . import low, query, read, toks
 
@@ -52,6 +53,12 @@ def substring_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.drop_substrings(top_words(spark, sf_dir).select("name"))
 
 
+@query(f"with c as ({_TOP}), l as (select left(name, 3) as label from c where length(name) > 6) select name from c where exists (select 1 from l where contains(lower(c.name), lower(label)))")
+def highlight_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = top_words(spark, sf_dir).select("name")
+    return C.highlighted(names, names.where("length(name) > 6").select(F.substring("name", 1, 3).alias("label")))
+
+
 @query(f"with c as ({_TOP}) select c.name, count(*) as n_docs, min(d.doc_id) as first_doc from documents d join c on contains(lower(d.text), lower(c.name)) group by c.name")
 def mentions_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = C.mentions(read(spark, sf_dir, "documents"), top_words(spark, sf_dir), "doc_id")
@@ -65,11 +72,14 @@ def known_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.known_match(texts, names)
 
 
-@query("select distinct p_name as name from part where length(p_name) >= 3 and len(string_split(p_name, ' ')) <= 4")
+_CASED = "array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ')"
+
+
+@query(f"select distinct {_CASED} as name from part where length(p_name) >= 3 and len(string_split(p_name, ' ')) <= 4 union select 'Post-War Boom' union select 'O''Neill''S 2Nd Law'")
 def concept_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names in title case; compared in lower case."""
-    kept = C.clean_names(read(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().union(spark.createDataFrame([("Key Terms",), ("ab",), ("a b c d e",)], "name string")))
-    return kept.select(F.lower("name").alias("name")).distinct()
+    """Names in title case."""
+    more = [("Key Terms",), ("ab",), ("a b c d e",), (" post-war boom ",), ("o'neill's 2nd law",)]
+    return C.clean_names(read(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().union(spark.createDataFrame(more, "name string"))).distinct()
 
 
 @query("with m as (select p_name as name, p_size / 50.0::double as score, p_type as strategy from part) select name, round(least(max(score) * (1 + 0.2 * (count(distinct strategy) - 1)), 1.0), 6) as score, count(distinct strategy) as strategies from m group by name")
@@ -94,38 +104,43 @@ def clean_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", X.clean_markdown(raw).alias("t")).select("doc_id", F.length("t").cast("long").alias("n"), F.substring("t", 1, 40).alias("head"))
 
 
-@query("select page_id, coalesce(nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), ''), nullif(trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), ''), 'Untitled') as title from pages")
-def parse_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def first(tag: str):
-        t = F.trim(F.regexp_extract("html", f"<{tag}>([^<]*)</{tag}>", 1))
-        return F.when(t != "", t)
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.parse_pages(read(spark, sf_dir, "pages")).withColumn("page_id", F.col("module_id").cast("long"))
 
-    return read(spark, sf_dir, "pages").select("page_id", F.coalesce(first("title"), first("h1"), F.lit("Untitled")).alias("title"))
 
+def _plain(c: str) -> str:
+    """SQL of a page's text with its entities read and its spaces collapsed."""
+    return f"trim(regexp_replace(replace(replace(replace(replace(replace({c}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&'), '\\s+', ' ', 'g'))"
 
-@query("select page_id, len(regexp_extract_all(html, '<b>([^<]*)</b>', 1)) as n_terms, coalesce(array_to_string(list_slice(list_filter(regexp_extract_all(html, '<b>([^<]*)</b>', 1), lambda x: len(string_split(x, ' ')) <= 4), 1, 50), '|'), '') as terms from pages")
-def key_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.regexp_extract_all("html", F.lit("<b>([^<]*)</b>"), F.lit(1))
-    kept = F.filter(found, lambda x: F.size(F.split(x, " ")) <= 4)
-    return read(spark, sf_dir, "pages").select("page_id", F.size(found).cast("long").alias("n_terms"), F.array_join(F.slice(kept, 1, 50), "|").alias("terms"))
+
+@query(f"select page_id, coalesce(nullif({_plain("regexp_extract(html, '<title>([^<]*)</title>', 1)")}, ''), nullif({_plain("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")}, ''), 'Untitled') as title from pages")
+def parse_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark, sf_dir).select("page_id", "title")
 
 
 @query(
-    r"""with b as (select page_id, unnest(regexp_extract_all(html, '<(h[123]|p)>[^<]*', 0)) as block, generate_subscripts(regexp_extract_all(html, '<(h[123]|p)>[^<]*', 0), 1) as pos from pages),
-t as (select page_id, pos, block[2:2] as kind, substr(block, strpos(block, '>') + 1) as text from b),
-s as (select page_id, pos, kind, text, last_value(case when kind = 'h' and text <> '' then text end ignore nulls) over (partition by page_id order by pos rows unbounded preceding) as section from t)
-select page_id, (row_number() over (partition by page_id order by pos))::integer as place, coalesce(section, 'Introduction') as section, text from s where kind = 'p' and length(text) > 20"""
+    f"""with h as (select page_id, string_split(regexp_replace(html, '(?s)<(footer|nav|script|style|figure)[^>]*>.*?</(footer|nav|script|style|figure)>', '', 'g'), '<b>') as parts from pages),
+t as (select page_id, unnest(parts[2:]) as part, generate_subscripts(parts[2:], 1) as pos, len(parts) - 1 as n from h),
+b as (select page_id, pos, case when contains(part, '</b>') then left(part, strpos(part, '</b>') - 1) when pos = n then part end as raw from t),
+f as (select page_id, {_plain("regexp_replace(raw, '<[^>]*>', '', 'g')")} as term, min(pos) as pos from b where raw is not null group by 1, 2),
+k as (select *, row_number() over (partition by page_id order by pos) as n from f where term <> '' and len(string_split(term, ' ')) <= 4)
+select p.page_id, coalesce(string_agg(term, '|' order by pos) filter (where n <= 50), '') as terms from pages p left join k on k.page_id = p.page_id group by p.page_id"""
 )
-def paragraphs_sectioned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+def key_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark, sf_dir).select("page_id", F.array_join("key_terms", "|").alias("terms"))
 
-    blocks = F.regexp_extract_all("html", F.lit("<(h[123]|p)>[^<]*"), F.lit(0))
-    rows = read(spark, sf_dir, "pages").select("page_id", F.posexplode(blocks).alias("pos", "block"))
-    rows = rows.select("page_id", "pos", F.substring("block", 2, 1).alias("kind"), F.expr("substring(block, instr(block, '>') + 1)").alias("text"))
-    order = Window.partitionBy("page_id").orderBy("pos")
-    heading = F.when((F.col("kind") == "h") & (F.col("text") != ""), F.col("text"))
-    rows = rows.withColumn("section", F.coalesce(F.last(heading, True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit("Introduction")))
-    return rows.where("kind = 'p' and length(text) > 20").select("page_id", F.row_number().over(order).alias("place"), "section", "text")
+
+_SECTIONED = f"""with h as (select page_id, regexp_replace(html, '</?(b|i|em|strong|br|a|span)( [^>]*)?/?>', '', 'g') as html from pages),
+b as (select page_id, unnest(regexp_extract_all(html, '<(h[23]|p)>[^<]*', 0)) as block, generate_subscripts(regexp_extract_all(html, '<(h[23]|p)>[^<]*', 0), 1) as pos from h),
+t as (select page_id, pos, block[2:2] as kind, {_plain("substr(block, strpos(block, '>') + 1)")} as text from b),
+s as (select page_id, pos, kind, text, last_value(case when kind = 'h' and text <> '' then text end ignore nulls) over (partition by page_id order by pos rows unbounded preceding) as section from t),
+paragraphs as (select page_id, (row_number() over (partition by page_id order by pos))::integer as place, coalesce(section, 'Introduction') as section, text from s where kind = 'p' and length(text) > 20)"""
+
+
+@query(f"{_SECTIONED} select * from paragraphs")
+def paragraphs_sectioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _parsed(spark, sf_dir).select("page_id", F.posexplode("paragraphs").alias("n", "p"))
+    return rows.select("page_id", (F.col("n") + 1).alias("place"), F.col("p.section").alias("section"), F.col("p.text").alias("text"))
 
 
 @query()
@@ -134,10 +149,19 @@ def parse_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.parse_pages(read(spark, sf_dir, "pages")).select("module_id", "title", F.size("key_terms").alias("n_terms"), F.size("paragraphs").alias("n_paragraphs"))
 
 
-@query()
+@query(f"{_SECTIONED} select page_id || '_p' || (place - 1) as id, page_id::varchar as module_id, section, text from paragraphs")
 def normalized_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = S.normalize(S.parse_pages(read(spark, sf_dir, "pages")))
-    return S.module_summary(records)
+    return S.normalize(S.parse_pages(read(spark, sf_dir, "pages"))).select("id", "module_id", "section", "text")
+
+
+@query(f"{_SECTIONED} select count(*) as total_records, count(distinct page_id) as total_modules from paragraphs")
+def book_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.summary(S.normalize(S.parse_pages(read(spark, sf_dir, "pages")))).select("total_records", "total_modules")
+
+
+@query("select page_id, url from pages order by page_id limit 7")
+def scan_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.first_records(read(spark, sf_dir, "pages").select("page_id", "url"), 7, [F.col("page_id")])
 
 
 @query("select page_id, position, file from (select page_id, unnest(f) as file, generate_subscripts(f, 1) - 1 as position from (select page_id, ['m' || page_id || '.md', 'm' || (page_id + 1) || '.md', 'mx.md'] as f from pages))")
@@ -168,12 +192,6 @@ def answer_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", X.preview(F.col("text")).alias("preview"))
 
 
-@query("select source, array_to_string(list_transform(list(left(text, 30) order by doc_id), lambda x, i: '[' || i || '] ' || x), chr(10) || chr(10)) as context from documents group by source")
-def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = F.array_sort(F.collect_list(F.struct("doc_id", F.substring("text", 1, 30).alias("t"))))
-    return read(spark, sf_dir, "documents").groupBy("source").agg(X.numbered_context(F.transform(rows, lambda r: r["t"])).alias("context"))
-
-
 @query(f"select conv_id, turn, not regexp_matches(regexp_replace(text || ' SET', '''[^'']*''|\"[^\"]*\"', '', 'g'), '(?i)\\b(CREATE|DELETE|DETACH|REMOVE|SET|MERGE|DROP|CALL\\s*\\{{)') as read_only, regexp_matches({low('text')}, '\\b(delete|remove|drop|destroy|truncate|erase|wipe|detach)\\b') as asks from conversations")
 def read_only_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", X.read_only(F.concat("text", F.lit(" SET"))).alias("read_only"), X.asks_to_write(F.col("text")).alias("asks"))
@@ -181,19 +199,57 @@ def read_only_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def yake_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plugins.keywords(read(spark, sf_dir, "benchmark"), "item_id", "text", 5)
+    """Keywords of up to three words of every document."""
+    return plugins.keywords(read(spark, sf_dir, "documents"), "doc_id", "text", 20).select("id", "name", F.round("score", 9).alias("score"), "rank")
 
 
 @query()
 def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.best_per_name(plugins.entities(read(spark, sf_dir, "benchmark"), "item_id", "text"))
+    """Entities and noun chunks of every document."""
+    return plugins.entities(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query()
 def embedded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plugins.embed(read(spark, sf_dir, "benchmark"), "text").select("item_id", F.size("embedding").alias("n"))
+    return plugins.embed(read(spark, sf_dir, "documents"), "text").select("doc_id", "embedding")
 
 
-@query()
+@query("select doc_id, list_last(string_split(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), chr(10))) as reply from documents")
 def generated_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plugins.generate(read(spark, sf_dir, "benchmark"), "text").select("item_id", "reply")
+    """Replies of the generator that needs no model: a prompt's last line."""
+    return plugins.generate(read(spark, sf_dir, "documents"), "text").select("doc_id", "reply")
+
+
+def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_words(spark, sf_dir).select("name").union(read(spark, sf_dir, "part").select("p_type")).distinct()
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+
+
+@query()
+def extract_ner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.extract(_texts(spark, sf_dir), _known(spark, sf_dir), "ner")
+
+
+@query()
+def extract_yake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.extract(_texts(spark, sf_dir), _known(spark, sf_dir), "yake")
+
+
+@query()
+def extract_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.extract(_texts(spark, sf_dir), _known(spark, sf_dir), "ensemble")
+
+
+@query()
+def extract_fulltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.extract(_texts(spark, sf_dir), _known(spark, sf_dir), "fulltext")
+
+
+@query()
+def query_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ensemble's five best concepts of each item, or those that it contains."""
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return E.query_concepts(asked, _known(spark, sf_dir))

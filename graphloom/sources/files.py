@@ -19,6 +19,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = RECORD) -> DataFram
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def first_records(records: DataFrame, n: int, order: list) -> DataFrame:
+    """The first n records in order; all of them for 0."""
+    return records if n == 0 else records.orderBy(*order).limit(n)
+
+
 def write_jsonl(df: DataFrame, path: str, drop: tuple[str, ...] = ("chunks",)) -> None:
     df.drop(*drop).write.mode("overwrite").json(path)
 
@@ -50,31 +55,56 @@ def leaf_pages(tree: DataFrame, id_col: str = "id", parent_col: str = "parent")
 
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
-    """student_id, concept, mastery_level, attempts, correct_attempts of a file with a JSON map of profiles.
+    """student_id, concept, mastery_level, attempts, correct_attempts, last_assessed of a file with a JSON map of
+    profiles.
 
     A mastery can be a number (the old form) or a struct; a broken file has no rows.
     """
     kind = "map<string, struct<student_id: string, mastery_map: map<string, string>, overall_ability: double>>"
     raw = spark.read.option("wholetext", "true").text(path).select(F.from_json("value", kind).alias("profiles"))
-    students = raw.select(F.explode("profiles").alias("student_id", "p")).select("student_id", F.explode("p.mastery_map").alias("concept", "m"))
+    return _masteries(raw.select(F.explode("profiles").alias("student_id", "p")).select("student_id", F.explode("p.mastery_map").alias("concept", "m")))
+
+
+def read_saved_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """What write_profiles() has written, with the columns of read_profiles()."""
+    rows = spark.read.text(path).select(F.from_json("value", "student string, mastery_map map<string, string>").alias("p"))
+    return _masteries(rows.select(F.col("p.student").alias("student_id"), F.explode("p.mastery_map").alias("concept", "m")))
+
+
+def _masteries(students: DataFrame) -> DataFrame:
     body = F.from_json("m", "mastery_level double, attempts long, correct_attempts long, last_assessed string")
     plain = F.expr("try_cast(m as double)")
     return students.select("student_id", "concept", F.coalesce(plain, body["mastery_level"], F.lit(0.3)).alias("mastery_level"), F.coalesce(body["attempts"], F.lit(0)).alias("attempts"), F.coalesce(body["correct_attempts"], F.lit(0)).alias("correct_attempts"), F.try_to_timestamp(body["last_assessed"]).alias("last_assessed"))
 
 
 def write_profiles(state: DataFrame, path: str) -> None:
-    """One JSON row a student, with a map of concepts."""
-    entry = F.struct("concept", F.struct("mastery_level", "attempts", "correct_attempts"))
+    """One JSON row a student, with a map of concepts and the times of their last answers."""
+    assessed = F.date_format("last_assessed", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS") if "last_assessed" in state.columns else F.lit(None).cast("string")
+    entry = F.struct("concept", F.struct("mastery_level", "attempts", "correct_attempts", assessed.alias("last_assessed")))
     state.groupBy("student").agg(F.map_from_entries(F.collect_list(entry)).alias("mastery_map"), F.avg("mastery_level").alias("overall_ability")).write.mode("overwrite").json(path)
 
 
 def read_subjects(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (subject_id, name, description, label_prefix, index_name, books) of a YAML configuration."""
+    """Rows (subject_id, name, description, label_prefix, index_name, books, theme, is_default) of a YAML configuration."""
     import yaml
 
     spec = yaml.safe_load("\n".join(r.value for r in spark.read.option("wholetext", "true").text(path).collect()))
-    rows = [(k, v.get("name"), v.get("description"), (v.get("database") or {}).get("label_prefix"), (v.get("database") or {}).get("opensearch_index"), [b.get("title") for b in v.get("books") or []], k == spec.get("default_subject")) for k, v in (spec.get("subjects") or {}).items()]
-    return spark.createDataFrame(rows, "subject_id string, name string, description string, label_prefix string, index_name string, books array<string>, is_default boolean")
+    rows = [(k, v.get("name"), v.get("description"), (v.get("database") or {}).get("label_prefix"), (v.get("database") or {}).get("opensearch_index"), [b.get("title") for b in v.get("books") or []], {str(x): str(y) for x, y in (v.get("theme") or {}).items()}, k == spec.get("default_subject")) for k, v in (spec.get("subjects") or {}).items()]
+    return spark.createDataFrame(rows, "subject_id string, name string, description string, label_prefix string, index_name string, books array<string>, theme map<string, string>, is_default boolean")
+
+
+def subject_ids(subjects: DataFrame) -> DataFrame:
+    return subjects.select("subject_id").orderBy("subject_id")
+
+
+def theme(subjects: DataFrame, subject_id: str | None = None) -> DataFrame:
+    """property, value of a subject's theme."""
+    return subject(subjects, subject_id).select(F.explode("theme").alias("property", "value"))
+
+
+def books(subjects: DataFrame, subject_id: str | None = None) -> DataFrame:
+    """place, title of a subject's books."""
+    return subject(subjects, subject_id).select(F.posexplode("books").alias("place", "title"))
 
 
 def subject(subjects: DataFrame, subject_id: str | None = None) -> DataFrame:
@@ -211,3 +241,11 @@ def page_body(html):
 def module_summary(records: DataFrame) -> DataFrame:
     """module_id, records: the summary that goes with a normalised book."""
     return records.groupBy("module_id").agg(F.count(F.lit(1)).alias("records"))
+
+
+def summary(records: DataFrame) -> DataFrame:
+    """total_records, total_modules, modules (records of each), first_record (as JSON): what is written beside a book."""
+    whole = F.struct(*records.columns)
+    counts = records.groupBy("module_id").agg(F.count(F.lit(1)).alias("records"), F.min("id").alias("least"), F.min_by(whole, "id").alias("first"))
+    modules = F.map_from_entries(F.array_sort(F.collect_list(F.struct("module_id", "records"))))
+    return counts.agg(F.coalesce(F.sum("records"), F.lit(0)).alias("total_records"), F.count(F.lit(1)).alias("total_modules"), modules.alias("modules"), F.to_json(F.min_by("first", "least")).alias("first_record"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import latest, upsert
+from ..functions.text import tenant_label
+from ..operators.graph import latest, relabel, upsert
 
 
 def exists(spark: SparkSession, table: str) -> bool:
@@ -23,9 +24,18 @@ def create(df: DataFrame, table: str, recreate: bool = False, partition: str | N
     return True
 
 
+def create_for_subject(df: DataFrame, subject_id: str, prefix: str, label: str, recreate: bool = False, buckets: tuple[int, str] | None = None) -> str:
+    """Creates one subject's table of rows of a label, under the subject's prefix; returns its name."""
+    table = tenant_label(prefix, label).lower()
+    create(relabel(df, subject_id), table, recreate, buckets=buckets)
+    return table
+
+
 def index(df: DataFrame, table: str, key: str, order: list) -> int:
-    """Writes rows by key, the last of each key; returns how many there are."""
-    kept = latest(df.withColumn(key, F.coalesce(key, F.concat(F.lit("chunk_"), F.monotonically_increasing_id().cast("string")))), [key], order)
+    """Writes rows by key, the last of each key; returns how many there are.  A row without key has one of what it
+    holds, the same each time."""
+    own = F.xxhash64(*[c for c in df.columns if c != key]).cast("string")
+    kept = latest(df.withColumn(key, F.coalesce(key, F.concat(F.lit("chunk_"), own))), [key], order)
     kept.write.mode("overwrite").format("parquet").saveAsTable(table)
     return df.sparkSession.table(table).count()
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.graph import shared_folder
 from ..params import SETTINGS
 
 _OUT = "student long, concept string, mastery_level double, p_known double, attempts long, correct_attempts long"
@@ -24,26 +25,56 @@ def bkt(p: float, correct: bool) -> float:
     return min(0.99, max(0.01, post + (1 - post) * t))
 
 
-def _update(key: Any, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Answers of one micro-batch in order of time; across batches, in order of arrival."""
-    p, n, right = state.get if state.exists else (SETTINGS.initial_mastery, 0, 0)
-    rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-    for correct in rows["correct"]:
-        p, n, right = bkt(p, bool(correct)), n + 1, right + int(correct)
-    state.update((p, n, right))
-    yield pd.DataFrame({"student": [key[0]], "concept": [key[1]], "mastery_level": [min(1.0, max(0.1, p))], "p_known": [p], "attempts": [n], "correct_attempts": [right]})
+def mastery(answers: DataFrame, idle_days: int | None = None) -> DataFrame:
+    """A stream of answers (student, concept, correct, ts, event_id) to a stream of updated states.
 
+    Answers of one micro-batch count in order of time; across batches, in order of arrival.  A learner's state stays,
+    unless idle_days says how long one without answers is kept (for streams that go on: one that ends when it has read
+    what is there would wait for the timeouts); its last update is in the sink.
+    """
 
-def mastery(answers: DataFrame) -> DataFrame:
-    """A stream of answers (student, concept, correct, ts, event_id) to a stream of updated states."""
-    return answers.groupBy("student", "concept").applyInPandasWithState(_update, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+    def update(key: Any, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        p, n, right = state.get if state.exists else (SETTINGS.initial_mastery, 0, 0)
+        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
+        for correct in rows["correct"]:
+            p, n, right = bkt(p, bool(correct)), n + 1, right + int(correct)
+        state.update((p, n, right))
+        if idle_days:
+            state.setTimeoutDuration(idle_days * 86_400_000)
+        yield pd.DataFrame({"student": [key[0]], "concept": [key[1]], "mastery_level": [min(1.0, max(0.1, p))], "p_known": [p], "attempts": [n], "correct_attempts": [right]})
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_days else GroupStateTimeout.NoTimeout
+    return answers.groupBy("student", "concept").applyInPandasWithState(update, _OUT, _STATE, "update", timeout)
 
 
 def rates(events: DataFrame, ts: str, key: str, width: str = "1 minute", late: str = "10 minutes") -> DataFrame:
-    """Counts of each key in each window; a window is final once the watermark has passed it."""
+    """Counts of each key in each window; a window is final, and its state goes, once the watermark has passed it."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), "key", "n")
 
 
+def write_updates(updates: DataFrame, path: str, checkpoint: str):
+    """Starts a stream of updates into a folder, a subfolder for each micro-batch, so that a batch that runs again
+    replaces what it wrote; returns the query."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return updates.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def write_final(rows: DataFrame, path: str, checkpoint: str):
+    """Starts a stream of final rows into a folder; returns the query."""
+    return rows.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(updates: DataFrame) -> DataFrame:
+    """The last update of each learner and concept."""
+    return updates.groupBy("student", "concept").agg(*[F.max_by(c, "attempts").alias(c) for c in ("mastery_level", "p_known", "correct_attempts")], F.max("attempts").alias("attempts"))
+
+
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of files."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -55,20 +86,16 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-def _finish(df: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over what is there into a table in memory (a driver-side sink, for results of known size)."""
-    name = f"stream_{uuid.uuid4().hex}"
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
-
-
 def run_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = _stream(spark, sf_dir).select(F.col("user_id").alias("student"), F.col("event_type").alias("concept"), (F.col("value") >= 50).alias("correct"), "ts", "event_id")
-    updates = _finish(mastery(answers), "update")
-    return updates.groupBy("student", "concept").agg(*[F.max_by(c, "attempts").alias(c) for c in ("mastery_level", "p_known", "correct_attempts")], F.max("attempts").alias("attempts"))
+    own = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    write_updates(mastery(answers), f"{own}/updates", f"{own}/checkpoint").awaitTermination()
+    return latest(spark.read.schema(_OUT).parquet(f"{own}/updates"))
 
 
 def rates_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the windows that the watermark has passed when all events are read."""
     events = _stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    return _finish(rates(events, "ts", "event_type"), "complete")
+    own, found = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", rates(events, "ts", "event_type")
+    write_final(found, f"{own}/rates", f"{own}/checkpoint").awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{own}/rates")

@@ -64,8 +64,13 @@ def test_pagerank_against_plain(spark):
         lost = sum(rank[n] for n in nodes if not out[n])
         rank = {n: 0.15 / 4 + 0.85 * (sum(rank[s] * w / out[s] for (s, t), w in weight.items() if t == n) + lost / 4) for n in nodes}
     df = spark.createDataFrame([(s, t, "RELATED", w) for s, t, w in edges], "source string, target string, type string, weight double")
-    got = {r.name: r.rank for r in graph.pagerank(spark.createDataFrame([(n,) for n in nodes], "name string"), df, 7).collect()}
+    got = {r.name: r.rank for r in graph.pagerank(spark.createDataFrame([(n,) for n in nodes], "name string"), df, 7, tolerance=0.0).collect()}
     assert got == pytest.approx(rank)
+    for _ in range(100):
+        lost = sum(rank[n] for n in nodes if not out[n])
+        rank = {n: 0.15 / 4 + 0.85 * (sum(rank[s] * w / out[s] for (s, t), w in weight.items() if t == n) + lost / 4) for n in nodes}
+    got = {r.name: r.rank for r in graph.pagerank(spark.createDataFrame([(n,) for n in nodes], "name string"), df).collect()}
+    assert got == pytest.approx(rank, abs=1e-4)  # until the ranks stay
 
 
 def test_window(spark):
@@ -153,7 +158,7 @@ def test_guards(spark):
     assert all(r.got == r.ok for r in df.withColumn("got", X.read_only(F.col("q"))).collect())
 
 
-def test_long_lists_of_concepts_are_used_whole(spark, monkeypatch):
+def test_long_lists_of_concepts_are_used_whole(spark):
     from graphloom.plans import build_kg
 
     names = spark.range(10_050).select(F.format_string("c%06d", "id").alias("name"))
@@ -162,7 +167,6 @@ def test_long_lists_of_concepts_are_used_whole(spark, monkeypatch):
     assert {(r.text, r.name) for r in concepts.known_match(texts, names).collect()} == {(n, n) for n in last}
     said = spark.createDataFrame([("1", f"{last[0]} builds on {last[-1]}.")], "id string, text string")
     assert [(r.source, r.target) for r in build_kg.prerequisites(said, names).collect()] == [(last[0], last[-1])]
-    monkeypatch.setattr(concepts, "BLOCK", 4)
     few = spark.createDataFrame([(w,) for w in "Ab cd ef gh ij kl mn op qr".split()], "name string")
     rows = spark.createDataFrame([(1, "ab ef qr"), (2, "kl"), (3, "none"), (4, None)], "id int, text string")
     assert sorted(map(tuple, concepts.mentions(rows, few, "id").collect())) == [(1, "Ab"), (1, "ef"), (1, "qr"), (2, "kl")]
@@ -175,4 +179,5 @@ def test_every_label_has_its_neighbours(spark, tmp_path):
     angle = F.col("id") * 0.001
     spark.range(1100).select(F.col("id").alias("vec_id"), F.format_string("l%d", "id").alias("label"), F.array(F.cos(angle), F.sin(angle)).cast("array<float>").alias("embedding")).write.parquet(f"{tmp_path}/embeddings.parquet")
     assert retrieval.vector_neighbors(spark, str(tmp_path)).select("query_id").distinct().count() == 1100
-    assert retrieval.concept_embedding_match(spark, str(tmp_path)).count() == 1100
+    found = retrieval.concept_embedding_match(spark, str(tmp_path))
+    assert found.select("name").distinct().count() == 1100 and found.where("id = 0").count() == 1048  # angles up to 60 degrees
