@@ -134,7 +134,7 @@ def test_answers_use_the_whole_path(spark, shelf):
     assert {(r.query_id, r.id) for r in wide} == {(1, "a0,a1"), (2, "b0,b1")}
     again = ask.answers(asked, shelf, names, Question("any", window_size=1, top_k=1), edges, rerank=True).collect()
     assert {(r.query_id, r.id[:2], r["rank"]) for r in again} == {(1, "a0", 1), (2, "b0", 1)}
-    misspelt = spark.createDataFrame([(0, "fluor")], "query_id int, text string")
+    misspelt = spark.createDataFrame([(0, "flourr")], "query_id int, text string")
     assert [r.id for r in retrieve.bm25(shelf, misspelt, "chunk_id", "text", fuzzy=True).collect()] == ["b0"]
     assert retrieve.bm25(shelf, misspelt, "chunk_id", "text").count() == 0
     assert ask.answer(Question("bread needs flour", use_window_retrieval=False, top_k=1), shelf, names).first().id == "b0"
