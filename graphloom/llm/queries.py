@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, langid, lines, lm, pieces, secrets, topk, toxicity, warc
+from . import decontam, jaccard, langid, licenses, lines, lm, merkle, pieces, secrets, topk, toxicity, warc, whiten
 
 
 def model_path() -> str:
@@ -66,9 +66,25 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_read(spark, sf_dir, "documents"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard, op2_lm_score, op3_toxicity, op4_sentencepiece, op5_secret_scan, op6_exact_topk, op7_language_id, op8_line_dedup, op9_benchmark_decontamination, op10_warc, op1_ngram_jaccard_links)
-}
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard, op2_lm_score, op3_toxicity, op4_sentencepiece, op5_secret_scan, op6_exact_topk, op7_language_id, op8_line_dedup,
+        op9_benchmark_decontamination, op10_warc, op11_embedding_whitening, op12_merkle_manifest, op13_license_scan, op1_ngram_jaccard_links,
+    )
+}
 
 ORACLE: dict[str, str] = {
     "op1_ngram_jaccard": r"""
@@ -135,6 +151,47 @@ select page_id, n::bigint as payload_bytes, p.digest as payload_digest,
        case when t.target is not null and t.target <> page_id then 'revisit' else 'response' end as record_type,
        case when t.target <> page_id then t.target end as refers_to
 from p left join t on p.digest = t.digest""",
+    "op12_merkle_manifest": r"""
+with recursive d as (select row_number() over () as r, * from documents),
+framed as (
+  select *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low,
+         concat(coalesce(octet_length(encode(doc_id::varchar)) || ':' || doc_id, '-'), coalesce(octet_length(encode(source)) || ':' || source, '-'),
+                coalesce(octet_length(encode(lang)) || ':' || lang, '-'), coalesce(octet_length(encode(n_chars::varchar)) || ':' || n_chars, '-')) as head,
+         xor(4294967295, list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda a, x: case when x >= 0 then xor(a, x) when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end)) as crc
+  from d),
+leaves as (
+  select r, doc_id, source, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) as leaf,
+         case when crc % 5 = 0 then sha256(head || coalesce(octet_length(encode(low)) || ':' || low, '-')) end as other
+  from framed),
+placed as (
+  select *, dense_rank() over (order by source nulls first) - 1 as tree, row_number() over (partition by source order by doc_id nulls first, leaf, other) - 1 as pos,
+         count(*) over (partition by source) as n
+  from leaves),
+lv as (
+  select tree, 0 as lvl, pos, n, leaf as h from placed
+  union all
+  select tree, lvl + 1, pos // 16, (max(n) + 15) // 16, sha256(string_agg(h, '' order by pos)) from lv where n > 1 group by tree, lvl, pos // 16),
+sub as (select tree, h from lv where n = 1),
+up as (
+  select 0 as lvl, tree as pos, count(*) over () as n, h from sub
+  union all
+  select lvl + 1, pos // 16, (max(n) + 15) // 16, sha256(string_agg(h, '' order by pos)) from up where n > 1 group by lvl, pos // 16),
+both_ways as (select tree, lvl, pos, n, h from lv union all select -1, lvl, pos, n, h from up),
+steps as (
+  select a.tree, a.lvl, a.pos, coalesce(string_agg(b.h, '' order by b.pos) filter (b.pos < a.pos), '') as l, coalesce(string_agg(b.h, '' order by b.pos) filter (b.pos > a.pos), '') as r
+  from both_ways a join both_ways b on a.tree = b.tree and a.lvl = b.lvl and a.pos // 16 = b.pos // 16 where a.n > 1 group by all),
+way as (
+  select p.r as id, s.lvl as k, s.l, s.r from placed p join steps s on s.tree = p.tree and s.pos = p.pos // pow(16, s.lvl)::bigint
+  union all
+  select p.r, 1000 + s.lvl, s.l, s.r from placed p join steps s on s.tree = -1 and s.pos = p.tree // pow(16, s.lvl)::bigint),
+paths as (select id, list({'l': l, 'h': '', 'r': r} order by k) as path, string_agg(l || r, '' order by k) as proof from way group by id),
+folded as (
+  select doc_id, leaf, tree, coalesce(proof, '') as proof,
+         list_reduce(list_prepend({'l': '', 'h': coalesce(other, leaf), 'r': ''}, coalesce(path, [])), lambda a, x: {'l': '', 'h': sha256(x.l || a.h || x.r), 'r': ''}).h as folded_root
+  from placed left join paths on id = r)
+select doc_id, leaf, s.h as subroot, u.h as root, sha256(proof) as proof_sha256, folded_root, folded_root = u.h as verified
+from folded f join sub s on s.tree = f.tree, (select h from up where n = 1) u""",
 }
 
 _LINKS = "select doc_id, n_shingles, component_id, class_id, coalesce(k, 0)::bigint as n_links from (select w.r, w.doc_id, coalesce(n.n, 0)"
