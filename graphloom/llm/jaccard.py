@@ -237,19 +237,45 @@ def _postings(parts: int):
 _PAIRS = "a long,b long,shared long,least_a long,most_a long,least_b long,most_b long"
 
 
-def _pairs(percent: int):
-    """Pairs of families that share keys in a bucket, with the number of those keys."""
+#: Families that share a key up to which each pair is a candidate of its own.
+HOT = 256
+#: Pairs that a task holds before it hands them on; later sums put equal ones together.
+HELD = 2_000_000
+#: Shared keys of two families that are candidates without a count: more than any bound asks for.
+SURE = 1 << 40
 
-    def run(group: pa.Table) -> pa.Table:
+
+def hot_chain(least: np.ndarray, most: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places that connect all families of these ranges of sizes which could hold sets that link.
+
+    Families fit if their ranges [percent * least, 100 * most] overlap; in order of begin each that begins within the
+    range so far is paired with the one before it.
+    """
+    low, high = percent * least, 100 * most
+    order = np.argsort(low, kind="stable")
+    reach = np.maximum.accumulate(high[order])
+    on = np.flatnonzero(low[order][1:] <= reach[:-1]) + 1
+    return order[on - 1], order[on]
+
+
+def _pairs(percent: int, hot: int):
+    """Pairs of families that share keys in a bucket, with the number of those keys.
+
+    Of a key with many families not all pairs come, but a chain through those of fitting sizes: its families then lie in
+    one block, whose signature trees settle them, and the rows for a key are no more than its families.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, family, least, most = [], [], [], []
-        for r in group.to_pylist():
-            own = np.cumsum(unpack(r["family"], np.int64))
-            at = unpack(r["at"], np.uint16 if len(own) < 65536 else np.uint32).astype(np.int64)
-            low = unpack(r["least"], np.uint32).astype(np.int64)
-            keys.append(unpack_sorted(r["keys"], r["rows"]))
-            family.append(own[at])
-            least.append(low[at])
-            most.append((low + unpack(r["most"], np.uint32))[at])
+        for batch in batches:
+            for r in batch.to_pylist():
+                own = np.cumsum(unpack(r["family"], np.int64))
+                at = unpack(r["at"], np.uint16 if len(own) < 65536 else np.uint32).astype(np.int64)
+                low = unpack(r["least"], np.uint32).astype(np.int64)
+                keys.append(unpack_sorted(r["keys"], r["rows"]))
+                family.append(own[at])
+                least.append(low[at])
+                most.append((low + unpack(r["most"], np.uint32))[at])
         keys, family, least, most = map(np.concatenate, (keys, family, least, most))
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
@@ -266,48 +292,50 @@ def _pairs(percent: int):
             keys, family, least, most = keys[head], family[head], np.minimum.reduceat(least, head), np.maximum.reduceat(most, head)
         begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else head
         size = np.diff(np.append(begin, len(keys)))
-        total: dict | None = None
         held: list[np.ndarray] = []
-        room = 0
+        room, limit = 0, HELD
 
-        def settle() -> None:
-            nonlocal total, held, room
-            if not held:
-                return
-            rows = np.concatenate(held, 1)
+        def settled() -> np.ndarray:
+            rows = np.concatenate(held, 1) if held else np.zeros((7, 0), np.int64)
             if not rows.shape[1]:
-                held, room = [], 0
-                return
-            order = np.lexsort((rows[1], rows[0]))
-            rows = rows[:, order]
+                return rows
+            rows = rows[:, np.lexsort((rows[1], rows[0]))]
             head = np.flatnonzero(np.concatenate(([True], (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1]))))
-            held = [np.stack((rows[0, head], rows[1, head], np.add.reduceat(rows[2], head), *(f.reduceat(rows[k], head) for k, f in ((3, np.minimum), (4, np.maximum), (5, np.minimum), (6, np.maximum)))))]
-            room = held[0].shape[1]
-
-        def add(i: np.ndarray, j: np.ndarray) -> None:
-            nonlocal room
-            fits = (100 * most[i] >= percent * least[j]) & (100 * most[j] >= percent * least[i])
-            i, j = i[fits], j[fits]
-            held.append(np.stack((family[i], family[j], np.ones(len(i), np.int64), least[i], most[i], least[j], most[j])))
-            room += len(i)
-            if room > 2_000_000:
-                settle()
-
-        for s in np.unique(size):
-            if s < 2:
-                continue
-            at = begin[size == s]
-            if s <= 64:
-                for x in range(s - 1):
-                    for y in range(x + 1, s):
-                        add(at + x, at + y)
-            else:
-                for b in at:
-                    for x in range(s - 1):
-                        add(np.full(s - 1 - x, b + x), np.arange(b + x + 1, b + s))
-        settle()
-        rows = held[0] if held else np.zeros((7, 0), np.int64)
-        return pa.Table.from_batches([table(_PAIRS, **{x.split()[0]: rows[k] for k, x in enumerate(_PAIRS.split(","))})])
+            return np.stack((rows[0, head], rows[1, head], np.add.reduceat(rows[2], head), *(f.reduceat(rows[k], head) for k, f in ((3, np.minimum), (4, np.maximum), (5, np.minimum), (6, np.maximum)))))
+
+        def rows_of(rows: np.ndarray) -> pa.RecordBatch:
+            return table(_PAIRS, **{x.split()[0]: rows[k] for k, x in enumerate(_PAIRS.split(","))})
+
+        def found() -> Iterator[np.ndarray]:
+            """Columns of pairs: of keys with few families by size, all that fit."""
+            for s in np.unique(size):
+                at = begin[size == s]
+                if s < 2:
+                    continue
+                if s > hot:
+                    for b in at:
+                        i, j = hot_chain(least[b : b + s], most[b : b + s], percent)
+                        i, j = np.minimum(i, j) + b, np.maximum(i, j) + b
+                        yield np.stack((family[i], family[j], np.full(len(i), SURE), least[i], most[i], least[j], most[j]))
+                    continue
+                x, y = np.triu_indices(int(s), 1)
+                for lo in range(0, len(at), max(1, (1 << 18) // len(x))):
+                    own = at[lo : lo + max(1, (1 << 18) // len(x))]
+                    i, j = (own[:, None] + x).ravel(), (own[:, None] + y).ravel()
+                    fits = (100 * most[i] >= percent * least[j]) & (100 * most[j] >= percent * least[i])
+                    i, j = i[fits], j[fits]
+                    yield np.stack((family[i], family[j], np.ones(len(i), np.int64), least[i], most[i], least[j], most[j]))
+
+        for rows in found():
+            held.append(rows)
+            room += rows.shape[1]
+            if room > limit:
+                rows = settled()
+                held, room = [rows], rows.shape[1]
+                if room > limit // 2:  # summing up doesn't help: hand them on
+                    yield rows_of(rows)
+                    held, room = [], 0
+        yield rows_of(settled())
 
     return run
 
@@ -725,7 +753,7 @@ def _join(docs: DataFrame, width: int, percent: int, block_rows: int, id_col: st
 
     prefixes = texts.where("doc_id is not null").mapInArrow(tidy(_prefixes(counts, width, percent)), "doc_id long, mark1 long, n long, keys binary")
     keyed = prefixes.drop("n").join(members, (prefixes["doc_id"] == members["node"]) & (prefixes["mark1"] == members["mark1"])).select("family", "n", "keys")
-    shared = keyed.mapInArrow(tidy(_postings(parts)), _POSTINGS.replace(",", ", ")).groupBy("bucket").applyInArrow(tidy(_pairs(percent)), _PAIRS.replace(",", ", "))
+    shared = keyed.mapInArrow(tidy(_postings(parts)), _POSTINGS.replace(",", ", ")).groupBy("bucket").applyInArrow(tidy(_pairs(percent, HOT)), _PAIRS.replace(",", ", "))
     close = shared.groupBy("a", "b").agg(F.sum("shared").alias("shared"), *(f(c).alias(c) for c, f in (("least_a", F.min), ("most_a", F.max), ("least_b", F.min), ("most_b", F.max))))
     close = close.where(F.col("shared") >= _pair_bound(percent)).select("a", "b")
     blocks = components(cut(links.unionByName(close)))  # a family's name is a node
