@@ -319,13 +319,17 @@ def score(docs: DataFrame, parts: int = 7, held: int = 2, fold: int = 3, order:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows whose crc32 of doc_id modulo parts is held teach nothing; those where it is fold teach the mixture weights
-    (and count, with each token deleted while it is predicted).  order is the length of the longest n-grams.
+    (and count, with each token deleted while it is predicted).  Where no row is in that fold the next one with rows
+    takes its place.  order is the length of the longest n-grams.
     """
     if order < 1:
         raise ValueError("order must be 1 or more")
     own = fold_of("doc_id", parts)
     rows = need(docs, doc_id="long", text="string").select("doc_id", "text", F.when(own == held, -2).otherwise(own).cast("int").alias("fold"))
     buckets = fanout(rows)
+    # every document has an end, so a fold with rows has tokens to predict
+    there = {r.fold for r in rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    fold = next((f for f in ((fold + i) % parts for i in range(parts)) if f in there), fold)
     with scratch(docs.sparkSession) as keep:
         asked = rows.mapInArrow(tidy(_ask(buckets, fold, order)), _ASKED.replace(",", ", "))
         answers = keep(cut(asked.groupBy("bucket").applyInArrow(tidy(_answer(buckets)), _ANSWER.replace(",", ", "))))
