@@ -252,7 +252,7 @@ def _fit(docs: DataFrame, labels: DataFrame, toxic_docs: int, other_docs: int, p
     chance = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("toxic") == 1, F.lit(toxic_docs / there[1])).otherwise(F.lit(other_docs / max(1, there.get(0, 0))))
     room = 2 * (toxic_docs + other_docs)  # the expected number is half of it; so the broadcast is bounded
-    chosen = F.broadcast(truth.where(chance < share).withColumnRenamed("doc_id", "chosen").limit(room))
+    chosen = F.broadcast(truth.where(chance < share).withColumnRenamed("doc_id", "chosen").orderBy(F.xxhash64("chosen", F.lit(5)), "chosen").limit(room))
     rows = need(docs, doc_id="long", text="string")
     sample = common.cut(rows.join(chosen, rows["doc_id"] == chosen["chosen"]).select("text", F.xxhash64("doc_id", F.lit(6)).alias("by"), "toxic").mapInArrow(common.tidy(_distinct), "by long, toxic int, features binary, votes binary, least binary"))
     kept = {t: one_of_each([(r.by, r.least) for r in sample.where(F.col("toxic") == t).select("by", "least").collect()]) for t in (0, 1)}
