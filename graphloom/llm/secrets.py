@@ -13,7 +13,9 @@ learn from uses the generated samples alone, and an empty one gives an empty res
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 import string
 from collections.abc import Iterator
@@ -47,6 +49,22 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def base_values(text: str) -> list[str]:
+    """What the patterns take for secrets: of an assignment its right side alone."""
+    return [m.group(2) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12] + [text[b:e] for kind, b, e in base_spans(text) if kind != "assign"]
+
+
+def uncovered(spans: list[tuple[str, int, int]], candidates: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The candidates that lie within none of the spans, which are in order of begin."""
+    begins, ends = [b for _, b, _ in spans], list(itertools.accumulate((e for _, _, e in spans), max))
+    out = []
+    for b, e in candidates:
+        k = bisect.bisect_right(begins, b)
+        if not k or ends[k - 1] < e:
+            out.append((b, e))
+    return out
+
+
 def _pairs(sample: str) -> tuple[np.ndarray, np.ndarray]:
     """Places of each character and of the next, the sample's borders (place 0) among them."""
     x = np.zeros(len(sample) + 2, np.int64)
@@ -92,9 +110,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place = np.insert(_PLACES[buf[offs[lo] : offs[hi]]], offs[lo : hi + 1] - offs[lo], 0)
             total[0] += np.bincount(place[:-1] * _N + place[1:], minlength=_N * _N).reshape(_N, _N)
             for text in batch.column(0)[lo:hi].to_pylist():
-                for kind, begin, end in base_spans(text or ""):
-                    value = re.split(r"[:=\s\"']", text[begin:end])[-1] if kind == "assign" else text[begin:end]
-                    total[1] += count([value])
+                total[1] += count(base_values(text or ""))
                 # what the scan will ask about is no sample of ordinary strings
                 total[0] -= count([m.group() for m in _RUN.finditer(text or "") if _CANDIDATE.search(m.group())])
     total[0, 0, 0] = 0
@@ -136,10 +152,8 @@ def scan(docs: DataFrame, threshold: float = 2.0, whole: float = 32.0) -> DataFr
                 out = []
                 for text in batch.column(1)[lo:hi].to_pylist():
                     base = base_spans(text or "")
-                    more = []
-                    for m in _CANDIDATE.finditer(text or ""):
-                        if not any(b <= m.start() and m.end() <= e for _, b, e in base) and likely(ratio.value, m.group(), threshold, whole):
-                            more.append(("markov", m.start(), m.end()))
+                    runs = uncovered(base, [m.span() for m in _CANDIDATE.finditer(text or "")])
+                    more = [("markov", b, e) for b, e in runs if likely(ratio.value, text[b:e], threshold, whole)]
                     every = sorted([*base, *more], key=lambda x: (x[1], KINDS.index(x[0])))
                     show = [",".join(f"{k}:{b}:{e}" for k, b, e in spans) for spans in (base, every)]
                     out.append((*(sum(k == kind for k, _, _ in base) for kind in KINDS[:3]), hashlib.sha256(show[0].encode()).hexdigest(), show[1], len(more)))
