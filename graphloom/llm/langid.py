@@ -13,6 +13,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -27,8 +28,17 @@ FEATURES = 1 << 14
 _SLICE = 1 << 18
 _LETTER = re.compile(r"[^\W\d_]")
 _CODE = (np.random.default_rng(11).integers(1, 2**62, 3, dtype=np.uint64) << np.uint64(1)) + np.uint64(1)
-#: ASCII other than letters becomes a space, as do Latin-1 signs.
-_KEEP = np.array([chr(i).isalpha() for i in range(256)])
+
+
+@functools.cache
+def _letters() -> np.ndarray:
+    """Which code points are letters; all others become spaces."""
+    return np.array([chr(i).isalpha() for i in range(0x110000)])
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a letter; numbers of any script (2, ½, Ⅷ) are none."""
+    return any(m.group().isalpha() for m in _LETTER.finditer(text or ""))
 
 
 def counts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -42,8 +52,7 @@ def counts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
         sizes = np.array([len(t) for t in texts], np.int64)
         code = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
         row = np.repeat(np.arange(hi - lo), sizes)
-        plain = code < 256
-        code = np.where(plain & ~_KEEP[np.where(plain, code, 0).astype(np.int64)], np.uint64(32), code)
+        code = np.where(_letters()[code.astype(np.int64)], code, np.uint64(32))
         if len(code):  # runs of spaces are one space
             keep = np.ones(len(code), bool)
             keep[1:] = (code[1:] != 32) | (code[:-1] != 32) | (row[1:] != row[:-1])
@@ -173,7 +182,7 @@ def predict(docs: DataFrame, model: dict, parts: int = 4, held: int = 2) -> Data
         langs, weights, bias = m["langs"], m["weights"][:-1].astype(np.float32), m["weights"][-1]
         for batch in batches:
             for lo, hi, begin, at, n in counts(batch.column(1)):
-                named = np.array([bool(langs) and t is not None and _LETTER.search(t) is not None for t in batch.column(1)[lo:hi].to_pylist()])
+                named = np.array([bool(langs) and has_letter(t) for t in batch.column(1)[lo:hi].to_pylist()])
                 pred, score = np.full(hi - lo, "und", object), np.zeros(hi - lo)
                 if langs:
                     s = (_scores(begin, at, weigh(begin, at, n, m["idf"]), weights) + bias) / m["temperature"]
