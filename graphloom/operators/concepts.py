@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import title_case
 from ..params import SETTINGS, STOP_CONCEPTS
+from .contain import containing
 
 
 def clean_names(df: DataFrame, name: str = "name") -> DataFrame:
@@ -15,37 +16,10 @@ def clean_names(df: DataFrame, name: str = "name") -> DataFrame:
     return df.withColumn(name, c).where((F.length(name) >= 3) & (F.size(F.split(F.col(name), " +")) <= 4) & ~F.lower(name).isin(*STOP_CONCEPTS))
 
 
-def _inside(parts: DataFrame, wholes: DataFrame) -> DataFrame:
-    """Rows of parts (low, ...) and wholes (text, ...) where text holds low; both in lower case, low not empty.
-
-    They meet by an equi-join of the part's first three characters with the three-character pieces of the whole (of
-    the whole part where it is shorter), and are then compared.  The pieces are taken from the array of a text's
-    characters, so a long text costs no more than its length.
-    """
-    kept = [c for c in wholes.columns]
-    chars = wholes.withColumn("_c", F.filter(F.split("text", ""), lambda x: x != ""))
-
-    def grams(size: int) -> Column:
-        last = F.size("_c") - size
-        at = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-        return F.array_distinct(F.transform(at, lambda i: F.concat(*[F.get("_c", i + k) for k in range(size)])))
-
-    out = None
-    for size in (3, 1, 2):
-        own = parts.where(F.length("low") >= 3) if size == 3 else parts.where(F.length("low") == size)
-        if size < 3 and own.isEmpty():  # few lists have names this short
-            continue
-        keyed = own.withColumn("_g", F.substring("low", 1, size))
-        met = chars.select(*kept, F.explode(grams(size)).alias("_g")).join(keyed, "_g").drop("_g")
-        found = met.where(F.contains("text", "low"))
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
 def drop_substrings(names: DataFrame, name: str = "name") -> DataFrame:
     """Names that are no proper part of another name, case aside."""
-    low = names.select(F.lower(F.col(name)).alias("low")).distinct().where("low <> ''")
-    inner = _inside(low, low.select(F.col("low").alias("text"))).where("low <> text").select("low").distinct()
+    low = names.select(F.lower(F.col(name)).alias("low")).distinct()
+    inner = containing(low.select("low", F.col("low").alias("text")).toDF("whole", "text"), low, ["whole"]).where("low <> whole").select("low").distinct()
     return names.join(inner, F.lower(F.col(name)) == F.col("low"), "left_anti")
 
 
@@ -76,11 +50,10 @@ def most_common(names: DataFrame, n: int = SETTINGS.max_concepts) -> DataFrame:
 
 
 def mentions(texts: DataFrame, concepts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """id, name for each concept (name) that a text contains, case aside; no pair is formed for a name whose beginning
-    isn't there."""
-    names = concepts.select("name", F.lower("name").alias("low")).distinct().where("low <> ''")
-    lower = texts.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text")).where("text is not null")
-    return _inside(names, lower).select("id", "name")
+    """id, name for each concept (name) that a text contains, case aside."""
+    names = concepts.select("name", F.lower("name").alias("low")).distinct()
+    lower = texts.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text"))
+    return containing(lower, names, ["id"]).join(names, "low").select("id", "name")
 
 
 def query_concepts(queries: DataFrame, concepts: DataFrame, limit: int = SETTINGS.max_query_concepts) -> DataFrame:
@@ -92,18 +65,19 @@ def query_concepts(queries: DataFrame, concepts: DataFrame, limit: int = SETTING
 
 def known_match(texts: DataFrame, concepts: DataFrame) -> DataFrame:
     """text, name: the known concept that a text is, else the first by name that contains it or is contained in it."""
-    names = concepts.select("name").distinct().where("name <> ''")
-    asked = texts.select(F.col("text").alias("said")).distinct().where("said <> ''")
-    forward = _inside(names.select("name", F.lower("name").alias("low")), asked.select("said", F.lower("said").alias("text"))).select("said", "name")
-    backward = _inside(asked.select("said", F.lower("said").alias("low")), names.select("name", F.lower("name").alias("text"))).select("said", "name")
+    names = concepts.select("name", F.lower("name").alias("known")).distinct().where("name <> ''")
+    asked = texts.select(F.col("text").alias("said"), F.lower("text").alias("low")).distinct().where("said <> ''")
+    forward = containing(asked.select("said", F.col("low").alias("text")), names.select(F.col("known").alias("low")), ["said"])
+    forward = forward.join(names, F.col("low") == F.col("known")).select("said", "name")
+    backward = containing(names.select("name", F.col("known").alias("text")), asked, ["name"])
+    backward = backward.join(asked, "low").select("said", "name")
     kind = F.when(F.lower("said") == F.lower("name"), 0).otherwise(1)
     return forward.unionByName(backward).groupBy(F.col("said").alias("text")).agg(F.min_by("name", F.struct(kind, "name")).alias("name"))
 
 
 def highlighted(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """Nodes (name) that one of the labels (label) is or is a part of, case aside."""
-    low = labels.select(F.lower("label").alias("low")).distinct().where("low <> ''")
-    hit = _inside(low, nodes.select("name", F.lower("name").alias("text"))).select("name").distinct()
+    hit = containing(nodes.select("name", F.lower("name").alias("text")), labels.select(F.lower("label").alias("low")), ["name"]).select("name").distinct()
     return nodes.join(hit, "name", "left_semi")
 
 

@@ -53,7 +53,7 @@ def search_terms(texts: DataFrame, top: int = TERMS) -> DataFrame:
 def fulltext(names: DataFrame, queries: DataFrame, limit: int | None = None, fuzzy: bool = True) -> DataFrame:
     """query_id, name, score: concepts (name) that queries (query_id, text) find by their words, best first; the limit is
     for each query."""
-    scores = R.bm25(names.select("name").distinct().withColumn("text", F.col("name")), queries, "name", "text", fuzzy=fuzzy)
+    scores = R.bm25(names.select("name").distinct().withColumn("text", F.col("name")), queries, "name", "text", fuzzy=fuzzy, k=limit)
     if limit is not None:
         scores = R.top_per_query(scores, limit)
     return scores.select("query_id", F.col("id").alias("name"), "score")

@@ -3,23 +3,62 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import SETTINGS
 from ..schema import EDGE_TYPES
+from .tables import passing, reliable
 
 # --------------------------------------------------------------------------- building
 
 
-def related(members: DataFrame, group: str, name: str, threshold: int = SETTINGS.related_threshold) -> DataFrame:
-    """RELATED edges between names that share threshold groups: weight n / 10, 1 at most."""
-    a = members.select(F.col(group).alias("g"), F.col(name).alias("source")).distinct()
-    b = a.withColumnRenamed("source", "target")
-    pairs = a.join(b, "g").where("source < target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
-    return pairs.where(F.col("n") >= threshold).select("source", "target", F.lit("RELATED").alias("type"), F.least(F.col("n") / 10.0, F.lit(1.0)).alias("weight"), F.lit(0.7).alias("confidence"), "n")
+#: Members of a group beyond which it is dealt into tiles.
+LIGHT = 1024
+
+
+def related(members: DataFrame, group: str, name: str, threshold: int = SETTINGS.related_threshold, light: int = LIGHT) -> DataFrame:
+    """RELATED edges between names that share threshold groups: weight n / 10, 1 at most.
+
+    Names in fewer groups than that have none.  The threshold - 1 largest groups form no pairs: two names that share
+    enough groups share another one too, by which they meet, and are then looked up in those.  Of the rest, groups of up
+    to light members pair up in one place; larger ones are cut into blocks of members, and each two blocks of a group
+    are a tile of their own, so no task holds a group.
+    """
+    rows = members.select(F.col(group).alias("g"), F.col(name).alias("name")).where("g is not null and name is not null").distinct()
+    with passing(rows.sparkSession) as keep:
+        rows = reliable(rows)
+        often = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= threshold).select("name")
+        rows = reliable(rows.join(often, "name", "left_semi"))
+        large = rows.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > light)
+        aside = [r.g for r in large.orderBy(F.desc("size"), "g").limit(threshold - 1).collect()] if threshold > 1 else []
+        large = large.where(~F.col("g").isin(aside)) if aside else large
+        large = reliable(large.select("g", F.ceil(F.col("size") / light).cast("int").alias("blocks")))
+        rest = rows.where(~F.col("g").isin(aside)) if aside else rows
+        small = rest.join(large, "g", "left_anti")
+        a, b = small.select("g", F.col("name").alias("source")), small.select("g", F.col("name").alias("target"))
+        pairs = a.join(b, "g").where("source < target").select("source", "target")
+        if not large.isEmpty():
+            pairs = pairs.unionByName(_tiled(rest.join(large, "g")))
+        pairs = pairs.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
+        if aside:
+            pairs = pairs.where(F.col("n") >= threshold - len(aside))
+            in_them = reliable(rows.where(F.col("g").isin(aside)).groupBy("name").agg(F.collect_set("g").alias("gs")))
+            for end in ("source", "target"):
+                pairs = pairs.join(in_them.select(F.col("name").alias(end), F.col("gs").alias(f"of_{end}")), end, "left")
+            more = F.coalesce(F.size(F.array_intersect("of_source", "of_target")), F.lit(0))
+            pairs = pairs.select("source", "target", (F.col("n") + F.when(F.col("of_source").isNull() | F.col("of_target").isNull(), 0).otherwise(more)).alias("n"))
+        return keep(pairs.where(F.col("n") >= threshold).select("source", "target", F.lit("RELATED").alias("type"), F.least(F.col("n") / 10.0, F.lit(1.0)).alias("weight"), F.lit(0.7).alias("confidence"), "n"))
+
+
+def _tiled(rows: DataFrame) -> DataFrame:
+    """source, target of every two members (g, name, blocks) of a group, once: members are in blocks by hash, and two
+    blocks i <= j of a group meet by (g, i, j)."""
+    own = rows.withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
+    a = own.select("g", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), F.col("name").alias("a"))
+    b = own.select("g", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("name").alias("b"))
+    met = a.join(b, ["g", "i", "j"]).where("i < j or a < b")
+    return met.select(F.least("a", "b").alias("source"), F.greatest("a", "b").alias("target"))
 
 
 def covers(mentions: DataFrame, retained: DataFrame) -> DataFrame:
@@ -87,30 +126,76 @@ def with_ids(edges: DataFrame) -> DataFrame:
 
 
 def trails(steps: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """start, node, depth for each trail (no edge twice) of 1..depth steps (at, to, edge_id) from starts (name).
+    """start, node, depth for each depth of 1..depth at which a trail (no edge twice) of steps (at, to, edge_id) from
+    starts (name) reaches the node.
 
-    The number of steps is a small parameter; each is one equi-join in the same plan.
+    A trail remembers only edges that it could come to again within depth, and trails that remember the same are one:
+    where nothing leads back, a front holds each (start, node) once, however many trails there are.
     """
-    front = starts.select(F.col("name").alias("start"), F.col("name").alias("node"), F.array().cast("array<bigint>").alias("path"))
+    if depth <= 1:
+        again = None
+    elif depth > 3:
+        again = steps.select("edge_id")  # a longer way back may lead to any edge
+    else:  # loops, and edges with one straight back
+        back = steps.select(F.col("to").alias("at"), F.col("at").alias("to")).distinct()
+        again = steps.where("at = to").select("edge_id").unionByName(steps.join(back, ["at", "to"], "left_semi").select("edge_id"))
+    if again is not None:
+        steps = steps.join(again.distinct().withColumn("again", F.lit(True)), "edge_id", "left")
+    else:
+        steps = steps.withColumn("again", F.lit(None).cast("boolean"))
+    front = starts.select(F.col("name").alias("start"), F.col("name").alias("node"), F.array().cast("array<bigint>").alias("path")).distinct()
     out = None
     for d in range(1, depth + 1):
-        front = front.join(steps, front["node"] == steps["at"]).where(~F.array_contains("path", F.col("edge_id"))).select("start", F.col("to").alias("node"), F.array_append("path", F.col("edge_id")).alias("path"))
+        met = front.join(steps, front["node"] == steps["at"]).where(~F.array_contains("path", F.col("edge_id")))
+        path = F.when(F.col("again"), F.array_sort(F.array_append("path", F.col("edge_id")))).otherwise(F.col("path"))
+        front = met.select("start", F.col("to").alias("node"), path.alias("path")).distinct()
         part = front.select("start", "node", F.lit(d).alias("depth"))
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.distinct()
 
 
-def neighbors(edges: DataFrame, nodes: DataFrame, starts: DataFrame, hops: int = 1, limit: int = 20, types: tuple[str, ...] | None = None) -> DataFrame:
-    """start, name, importance: distinct nodes within hops edges in either direction, most important first."""
+def reach(steps: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
+    """start, node: the distinct nodes that trails (no edge twice) of 1..hops steps (at, to, edge_id) in both directions
+    reach from starts (name).
+
+    Fronts go out level by level and hold a (start, node) once, with the edge by which its way left the start, and at
+    most one more way that left by another edge.  That is enough: any other node within hops is reached by a shortest
+    way, and the start itself by an edge other than that by which the way left it.
+    """
+    first = starts.select(F.col("name").alias("start")).distinct()
+    met = first.join(steps, first["start"] == steps["at"]).select("start", F.col("to").alias("node"), F.col("edge_id").alias("left"))
+    out = met.where("node = start").select("start", "node")
+    new = met.where("node <> start").groupBy("start", "node").agg(F.slice(F.array_sort(F.collect_set("left")), 1, 2).alias("lefts"))
+    if hops == 1:
+        return out.unionByName(new.select("start", "node")).distinct()
+    with passing(steps.sparkSession) as keep:
+        steps = reliable(steps)
+        seen = front = reliable(new)
+        for _ in range(1, hops):
+            met = front.join(steps, front["node"] == steps["at"]).select("start", F.col("to").alias("node"), "edge_id", F.explode("lefts").alias("left"))
+            out = out.unionByName(met.where("node = start and edge_id <> left").select("start", "node"))
+            new = met.where("node <> start").groupBy("start", "node").agg(F.slice(F.array_sort(F.collect_set("left")), 1, 4).alias("new"))
+            both = seen.join(new, ["start", "node"], "full")
+            known = F.coalesce("lefts", F.array().cast("array<bigint>"))
+            lefts = F.slice(F.array_distinct(F.concat(known, F.coalesce("new", F.array().cast("array<bigint>")))), 1, 2)
+            seen = reliable(both.select("start", "node", lefts.alias("lefts"), F.array_except(lefts, known).alias("fresh")))
+            front = seen.where(F.size("fresh") > 0).select("start", "node", F.col("fresh").alias("lefts"))
+            seen = seen.drop("fresh")
+        return keep(reliable(out.distinct().unionByName(seen.select("start", "node"))))
+
+
+def neighbors(edges: DataFrame, nodes: DataFrame, starts: DataFrame, hops: int = 1, limit: int | None = 20, types: tuple[str, ...] | None = None) -> DataFrame:
+    """start, name, importance, rank: distinct nodes within hops edges in either direction, most important first; all for
+    no limit."""
     kept = edges.where(F.col("type").isin(*types)) if types else edges
-    found = trails(both_ways(kept), starts, hops).select("start", "node").distinct()
-    return top_nodes(found, nodes, limit)
+    return top_nodes(reach(both_ways(kept), starts, hops), nodes, limit)
 
 
-def top_nodes(found: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
+def top_nodes(found: DataFrame, nodes: DataFrame, limit: int | None) -> DataFrame:
     joined = found.join(nodes.select(F.col("name").alias("node"), "importance"), "node")
     order = Window.partitionBy("start").orderBy(F.desc_nulls_first("importance"), "node")
-    return joined.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("start", F.col("node").alias("name"), "importance", "rank")
+    ranked = joined.withColumn("rank", F.row_number().over(order)).select("start", F.col("node").alias("name"), "importance", "rank")
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
 def chain(edges: DataFrame, nodes: DataFrame, starts: DataFrame, depth: int = 3, forward: bool = False) -> DataFrame:
@@ -120,10 +205,91 @@ def chain(edges: DataFrame, nodes: DataFrame, starts: DataFrame, depth: int = 3,
     """
     kept = edges.where("type = 'PREREQ'")
     steps = kept.select((F.col("source") if forward else F.col("target")).alias("at"), (F.col("target") if forward else F.col("source")).alias("to"), "edge_id")
-    found = trails(steps, starts, depth).distinct()
+    found = trails(steps, starts, depth)
     return found.join(nodes.select(F.col("name").alias("node"), F.coalesce("importance", F.lit(0.5)).alias("importance")), "node").select("start", F.col("node").alias("name"), "depth", "importance")
 
 
+# --------------------------------------------------------------------------- order of learning
+
+
+def _spread(label: DataFrame, arcs: DataFrame) -> DataFrame:
+    """node, label (the largest that reaches it along arcs (a, b)), round by round until none changes."""
+    label = reliable(label)
+    while True:
+        got = label.join(arcs, label["node"] == arcs["a"]).groupBy(F.col("b").alias("to")).agg(F.max("label").alias("got"))
+        label = reliable(label.join(got, F.col("node") == F.col("to"), "left").select("node", F.greatest("label", F.coalesce("got", "label")).alias("label"), (F.col("got") > F.col("label")).alias("changed")))
+        if label.where("changed").isEmpty():
+            return label.select("node", "label")
+
+
+def _trimmed(arcs: DataFrame) -> tuple[DataFrame, int]:
+    """Arcs (a, b) on ways that go on at both ends, and their number: without any that no cycle feeds or that feed none."""
+    n, arcs = None, reliable(arcs)
+    while n != (left := arcs.count()):
+        n = left
+        arcs = reliable(arcs.join(arcs.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(arcs.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
+    return arcs, n
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """node, cycle of the ends of edges (source, target): strongly connected components by their smallest names.
+
+    Arcs that lead into no cycle or out of none go first.  On what stays the largest label that reaches each node goes
+    forward, and of each label's nodes those that lead back to its owner are one component; they go, and the rest starts
+    anew.
+    """
+    with passing(edges.sparkSession) as keep:
+        every = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).where("a is not null and b is not null").distinct()
+        every = reliable(every)
+        done, (arcs, n) = None, _trimmed(every.where("a <> b"))
+        while n:
+            color = _spread(arcs.select(F.col("a").alias("node")).union(arcs.select("b")).distinct().select("node", F.col("node").alias("label")), arcs)
+            same = arcs.join(color.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(color.select(F.col("node").alias("b"), F.col("label").alias("y")), "b").where("x = y")
+            # the owner's mark goes backward along arcs of its color
+            back = reliable(same.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            home = _spread(color.select("node", (F.col("node") == F.col("label")).cast("int").alias("label")), back)
+            own = home.where("label = 1").select("node").join(color, "node")
+            out = reliable(own.join(own.groupBy("label").agg(F.min("node").alias("cycle")), "label").select("node", "cycle"))
+            done = out if done is None else done.unionByName(out)
+            gone = out.select("node")
+            arcs, n = _trimmed(arcs.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b"))
+        nodes = every.select(F.col("a").alias("node")).union(every.select("b")).distinct()
+        if done is None:
+            return keep(nodes.select("node", F.col("node").alias("cycle")))
+        return keep(nodes.join(done, "node", "left").select("node", F.coalesce("cycle", "node").alias("cycle")))
+
+
+def layers(edges: DataFrame) -> DataFrame:
+    """node, cycle, layer of the ends of edges (source before target): the number of steps of the longest way to a node's
+    cycle, where a cycle is one step.  Layer 0 has no prerequisites but its own.
+
+    Round n keeps the arcs whose beginning ends a way of n steps; a node's layer is the number of rounds that end in it.
+    """
+    with passing(edges.sparkSession) as keep:
+        found = reliable(cycles(edges))
+        arcs = edges.select("source", "target").join(found.select(F.col("node").alias("source"), F.col("cycle").alias("a")), "source").join(found.select(F.col("node").alias("target"), F.col("cycle").alias("b")), "target")
+        arcs = reliable(arcs.where("a <> b").select("a", "b").distinct())
+        ends = None
+        while not arcs.isEmpty():  # no cycle is left, so ways end
+            own = arcs.select(F.col("b").alias("cycle")).distinct()
+            ends = own if ends is None else ends.unionByName(own)
+            arcs = reliable(arcs.join(arcs.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a", "b"))
+        if ends is None:
+            return keep(found.withColumn("layer", F.lit(0)))
+        depth = ends.groupBy("cycle").agg(F.count(F.lit(1)).cast("int").alias("layer"))
+        return keep(reliable(found.join(depth, "cycle", "left").select("node", "cycle", F.coalesce("layer", F.lit(0)).alias("layer"))))
+
+
+def learning_order(edges: DataFrame, nodes: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame:
+    """start, name, position, layer, cycle, importance: each start's prerequisites (distinct, within depth) in an order in
+    which none comes before its own: by layer, members of a cycle together, then the more important, then by name."""
+    needed = reliable(edges.where("type = 'PREREQ'"))
+    found = chain(needed, nodes, starts, depth).select("start", "name", "importance").distinct()
+    placed = found.join(layers(needed).withColumnRenamed("node", "name"), "name")
+    order = Window.partitionBy("start").orderBy("layer", "cycle", F.desc("importance"), "name")
+    return placed.select("start", "name", F.row_number().over(order).alias("position"), "layer", "cycle", "importance")
+
+
 def prerequisites_first(found: DataFrame) -> DataFrame:
     """Rows of chain() in the order of learning: the deepest first, then the more important, then by name."""
     return found.orderBy("start", F.desc("depth"), F.desc("importance"), "name")
@@ -141,7 +307,7 @@ def paths(edges: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame:
     return out
 
 
-def direct(edges: DataFrame, nodes: DataFrame, starts: DataFrame, kind: str, limit: int = 5) -> DataFrame:
+def direct(edges: DataFrame, nodes: DataFrame, starts: DataFrame, kind: str, limit: int | None = 5) -> DataFrame:
     """Top neighbours by kind: prerequisites, dependents or related."""
     start = starts.select(F.col("name").alias("start"))
     if kind == "related":
@@ -194,30 +360,6 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 100, damping:
     return ranks.join(F.broadcast(top)).select("name", "rank", (F.col("rank") / F.col("top")).alias("importance"))
 
 
-_OWN: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; in local mode one of its own where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if "own" not in _OWN:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        import tempfile
-
-        _OWN["own"] = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-    return _OWN["own"]
-
-
-def reliable(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, read back: lineage ends there, and what a lost executor held is read again."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def important(nodes: DataFrame, above: float = 0.5, limit: int = 20) -> DataFrame:
     return nodes.where(F.col("importance") > above).orderBy(F.desc("importance"), "name").limit(limit)
 

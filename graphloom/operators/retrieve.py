@@ -3,19 +3,16 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.scoring import cosine, rrf_term
 from ..functions.text import tokens
 from ..params import SETTINGS
-from .graph import reliable
+from .fulltext import bm25
+from .vectors import knn_many
 
 
 def ranked(df: DataFrame, order: list, by: list[str] | None = None, name: str = "rank") -> DataFrame:
@@ -41,128 +38,11 @@ def vector_of(vectors: DataFrame, key: int, id_col: str, vector_col: str) -> lis
     return list(vectors.where(F.col(id_col) == key).select(vector_col).first()[0])
 
 
-def knn_many(vectors: DataFrame, queries: DataFrame, k: int | None, id_col: str, vector_col: str, digits: int = 6, least: float | None = None, block: int = 1000, epsilon: float = 0.0) -> DataFrame:
-    """query_id, id, score, rank: the k rows most similar to each of the queries (query_id, vector), or all for None; with
-    least, only those of this score or more.
+def bm25_best_field(docs: DataFrame, queries: DataFrame, id_col: str, fields: dict[str, float], fuzzy: bool = False, k: int | None = None) -> DataFrame:
+    """query_id, id, score: the best of the fields' BM25 scores, each times its boost.
 
-    Queries go to the tasks in blocks of bounded size, a scan of the vectors each; a batch of vectors gives no more than
-    its k best of each query, ties by id, so little is shuffled.
-    """
-    kind = vectors.schema[id_col].dataType.simpleString()
-    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {kind}, score double"
-
-    def scan(asked: list) -> DataFrame:
-        shared = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in asked], object), np.array([r[1] for r in asked], np.float64)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys, q = shared.value
-            lengths = np.sqrt((q * q).sum(1))
-            for batch in batches:
-                rows = np.flatnonzero(batch.column(1).is_valid().to_numpy(zero_copy_only=False))
-                if not len(rows):
-                    continue
-                ids = np.array(batch.column(0).to_pylist(), object)[rows]
-                v = np.array(batch.column(1).take(pa.array(rows)).to_pylist(), np.float64)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    scores = np.round((v @ q.T) / (np.sqrt((v * v).sum(1))[:, None] * lengths[None, :] + epsilon), digits)
-                out: list = [[], [], []]
-                for j, key in enumerate(keys):
-                    own = scores[:, j]
-                    good = np.flatnonzero(np.isfinite(own) & (own >= (-np.inf if least is None else least)))
-                    if k is not None and len(good) > k:
-                        good = good[own[good] >= np.partition(own[good], len(good) - k)[len(good) - k]]
-                        good = np.array(sorted(good, key=lambda i: (-own[i], ids[i]))[:k])
-                    out[0] += [key] * len(good)
-                    out[1] += list(ids[good])
-                    out[2] += own[good].tolist()
-                yield pa.RecordBatch.from_pylist([{"query_id": a, "id": b, "score": c} for a, b, c in zip(*out)], arrow)
-
-        return vectors.select(id_col, vector_col).mapInArrow(run, schema)
-
-    arrow = to_arrow_schema(T._parse_datatype_string(schema))
-    found, asked = None, []
-    for row in queries.select("query_id", "vector").where("vector is not null").toLocalIterator():
-        asked.append(row)
-        if len(asked) == block:
-            found, asked = scan(asked) if found is None else found.unionByName(scan(asked)), []
-    if asked:
-        found = scan(asked) if found is None else found.unionByName(scan(asked))
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], schema)
-    out = ranked(found, [F.desc("score"), F.col("id")], ["query_id"])
-    return out if k is None else out.where(F.col("rank") <= k)
-
-
-def edits_of(length: Column) -> Column:
-    """Edits that a query token of this length allows: 0 to 2 characters: none, 3 to 5: one, more: two."""
-    return F.when(length < 3, 0).when(length < 6, 1).otherwise(2)
-
-
-def _segment(length: Column, i: Column) -> tuple[Column, Column]:
-    """Begin (from 0) and size of segment i of a query token that is cut into one more segment than it allows edits."""
-    parts = edits_of(length) + 1
-    begin = F.floor(length * i / parts).cast("int")
-    return begin, F.floor(length * (i + 1) / parts).cast("int") - begin
-
-
-def fuzzy_terms(vocabulary: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, asked (its token), token (of the vocabulary), edits: terms within the edit distance that the query
-    token's length allows.
-
-    Of one segment more than there are edits one is left whole, moved by no more places than there are edits.  So the
-    terms meet by an equi-join on segments, whose number doesn't depend on the terms' lengths, and are then compared.
-    """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("asked")).where("asked <> ''").withColumn("size", F.length("asked"))
-    cut = asked.select("query_id", "asked", "size", F.explode(F.sequence(F.lit(0), edits_of(F.col("size")))).alias("i"))
-    begin, size = _segment(F.col("size"), F.col("i"))
-    cut = cut.select("query_id", "asked", "size", "i", F.substring("asked", begin + 1, size).alias("part"))
-
-    known = vocabulary.select("token", F.length("token").alias("n"))
-    known = known.select("token", "n", F.explode(F.sequence(F.greatest(F.col("n") - 2, F.lit(1)), F.col("n") + 2)).alias("size"))
-    known = known.where(F.abs(F.col("n") - F.col("size")) <= edits_of(F.col("size")))
-    known = known.select("token", "n", "size", F.explode(F.sequence(F.lit(0), edits_of(F.col("size")))).alias("i"))
-    known = known.select("token", "n", "size", "i", F.explode(F.sequence(-edits_of(F.col("size")), edits_of(F.col("size")))).alias("shift"))
-    begin, size = _segment(F.col("size"), F.col("i"))
-    known = known.withColumn("at", begin + F.col("shift")).where((F.col("at") >= 0) & (F.col("at") + size <= F.col("n")))
-    known = known.select("token", "size", "i", F.substring("token", F.col("at") + 1, size).alias("part")).distinct()
-    near = known.join(cut, ["size", "i", "part"]).select("query_id", "asked", "token").distinct()
-    return near.withColumn("edits", F.levenshtein("asked", "token")).where(F.col("edits") <= edits_of(F.length("asked")))
-
-
-def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, k1: float = SETTINGS.bm25_k1, b: float = SETTINGS.bm25_b, fuzzy: bool = False) -> DataFrame:
-    """query_id, id, score for queries (query_id, text): tokens of each query count once.
-
-    With fuzzy, a query's token also finds the terms within its edit distance, each worth 1 - edits / the shorter
-    length, and counts in a document by the best of them.  Documents are tokenised once, and only postings of the terms
-    asked for leave that pass.
-    """
-    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words"))
-    if fuzzy:
-        words = reliable(words)
-        asked = fuzzy_terms(words.select(F.explode("words").alias("token")).distinct(), queries)
-        asked = reliable(asked.withColumn("boost", 1 - F.col("edits") / F.least(F.length("asked"), F.length("token"))))
-    else:
-        asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).withColumns({"asked": F.col("token"), "boost": F.lit(1.0)})
-    # the empty string is no token: it stands once for each document, so that one pass gives sizes and postings
-    wanted = asked.select("token").distinct().unionByName(words.sparkSession.createDataFrame([("",)], "token string"))
-    terms = words.select("id", F.size("words").alias("dl"), F.explode(F.concat("words", F.array(F.lit("")))).alias("token")).join(wanted, "token", "left_semi")
-    terms = reliable(terms.groupBy("id", "token", "dl").agg(F.count(F.lit(1)).alias("tf")))
-    sizes = terms.where("token = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("average")).first()
-    n, average = sizes.n, sizes.average or 1.0
-    terms = terms.where("token <> ''")
-    frequency = terms.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / average))
-    weighted = terms.join(frequency, "token").select("id", "token", weight.alias("weight"))
-    found = weighted.join(asked, "token").withColumn("weight", F.col("weight") * F.col("boost"))
-    if fuzzy:
-        found = found.groupBy("query_id", "id", "asked").agg(F.max("weight").alias("weight"))
-    return found.groupBy("query_id", "id").agg(F.sum("weight").alias("score"))
-
-
-def bm25_best_field(docs: DataFrame, queries: DataFrame, id_col: str, fields: dict[str, float], fuzzy: bool = False) -> DataFrame:
-    """query_id, id, score: the best of the fields' BM25 scores, each times its boost."""
-    parts = [bm25(docs, queries, id_col, f, fuzzy=fuzzy).select("query_id", "id", (F.col("score") * boost).alias("score")) for f, boost in fields.items()]
+    The first k by the best score are among the first k of the field that gives it, so each field's k are enough."""
+    parts = [bm25(docs, queries, id_col, f, fuzzy, k, boost) for f, boost in fields.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -192,7 +72,7 @@ def rrf(lists: Sequence[DataFrame], k: int = SETTINGS.rrf_k, top_k: int | None =
 def hybrid(vectors: DataFrame, query: Sequence[float], docs: DataFrame, text: DataFrame, k: int, fields: dict[str, float], fuzzy: bool = False) -> DataFrame:
     """RRF of the vector list and the best-field BM25 list: id, rrf_score, rank."""
     near = knn(vectors, query, k, "id", "vector")
-    found = bm25_best_field(docs, text, "id", fields, fuzzy).select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    found = bm25_best_field(docs, text, "id", fields, fuzzy, k).select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
     return rrf([near, ranked(found, [F.desc("score"), F.col("id")])], top_k=k)
 
 
@@ -200,7 +80,7 @@ def hybrid_many(vectors: DataFrame, asked: DataFrame, docs: DataFrame, questions
     """query_id, id, rrf_score, rank: hybrid() for each of the questions (query_id, text) and their vectors (query_id,
     vector)."""
     near = knn_many(vectors, asked, k, "id", "vector").select("query_id", "id", F.col("rank").alias("near"), F.lit(None).cast("int").alias("found"))
-    found = top_per_query(bm25_best_field(docs, questions, "id", fields, fuzzy), k).select("query_id", "id", F.lit(None).cast("int").alias("near"), F.col("rank").alias("found"))
+    found = top_per_query(bm25_best_field(docs, questions, "id", fields, fuzzy, k), k).select("query_id", "id", F.lit(None).cast("int").alias("near"), F.col("rank").alias("found"))
     both = near.unionByName(found).groupBy("query_id", "id").agg(F.min("near").alias("near"), F.min("found").alias("found"))
     score = F.coalesce(rrf_term(F.col("near"), rrf_k), F.lit(0.0)) + F.coalesce(rrf_term(F.col("found"), rrf_k), F.lit(0.0))
     order = [F.desc("rrf_score"), F.asc_nulls_last("near"), F.asc_nulls_last("found"), F.col("id")]
@@ -291,11 +171,6 @@ def standard_hits(hits: DataFrame, mode: str = "hybrid") -> DataFrame:
     return hits.select(*[c.alias(k) for k, c in out.items()], terms.alias("key_terms"), F.col("score").cast("double").alias("score"), F.lit(mode).alias("retrieval_mode"))
 
 
-def hit_key(text: Column, key: Column) -> Column:
-    """The id of a hit, or a hash of the text's first 50 characters where it has none."""
-    return F.coalesce(key.cast("string"), F.xxhash64(F.substring(text, 1, 50)).cast("string"))
-
-
 def search_terms(text: Column) -> Column:
     """Words of more than three characters."""
     return F.filter(F.split(text, r"\s+"), lambda w: F.length(w) > 3)

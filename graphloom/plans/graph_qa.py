@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import asks_to_write, contains_ci, read_only
+from ..functions.text import asks_to_write, contains_ci
 from ..operators import graph as G
+from .sql_guard import check
 
 
 @dataclass(frozen=True)
@@ -26,7 +28,7 @@ def _starts(t: Tables, name: str) -> DataFrame:
 
 
 def prerequisites_of(t: Tables, name: str) -> DataFrame:
-    return G.direct(t.edges, t.nodes, _starts(t, name), "prerequisites", 1000).select("name", "importance")
+    return G.direct(t.edges, t.nodes, _starts(t, name), "prerequisites", None).select("name", "importance")
 
 
 def modules_covering(t: Tables, text: str) -> DataFrame:
@@ -76,13 +78,21 @@ def refused(spark: SparkSession, question: str) -> bool:
 
 
 def execute(spark: SparkSession, sql: str, tables: Tables) -> DataFrame:
-    """A SELECT over the views nodes and edges; anything that writes raises ValueError."""
-    guard = spark.range(1).select(read_only(F.lit(sql)).alias("ok"), F.rlike(F.lit(sql), F.lit(r"(?is)^\s*(select|with)\b")).alias("reads")).first()
-    if not (guard.ok and guard.reads) or re.search(r"(?i)\b(insert|update|alter|truncate)\b", re.sub(r"'[^']*'", "", sql)):
-        raise ValueError("only queries that read are run")
-    tables.nodes.createOrReplaceTempView("nodes")
-    tables.edges.createOrReplaceTempView("edges")
-    return spark.sql(sql)
+    """A SELECT over nodes and edges; ValueError for anything else (see sql_guard).
+
+    The two relations stand under names of their own while the statement is analysed, and the session's views stay as
+    they are."""
+    check(spark, sql, ("nodes", "edges"))
+    own = uuid.uuid4().hex
+    views = {name: f"{name}_{own}" for name in ("nodes", "edges")}
+    tables.nodes.createOrReplaceTempView(views["nodes"])
+    tables.edges.createOrReplaceTempView(views["edges"])
+    try:
+        named = ", ".join(f"{name} AS (SELECT * FROM {view})" for name, view in views.items())
+        return spark.sql(f"WITH {named} SELECT * FROM (\n{sql.strip().rstrip(';')}\n)")
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)
 
 
 def ask(spark: SparkSession, question: str, tables: Tables, to_sql: Callable[[str], str] | None = None, limit: int = 20) -> DataFrame:

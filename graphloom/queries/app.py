@@ -10,7 +10,7 @@ from ..functions import text as X
 from ..operators import chunks as C
 from ..operators import learner as O
 from ..operators import retrieve as R
-from ..operators.graph import reliable
+from ..operators.tables import reliable
 from ..params import Question
 from ..plans import ask as A
 from ..plans import build_kg as B

@@ -81,9 +81,9 @@ def neighbors_khop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.neighbors(edges(spark, sf_dir), nodes(spark, sf_dir), starts(spark, sf_dir), hops=2).withColumn("importance", F.round("importance", 6))
 
 
-@query(f"with {_E}, {_STARTS}, found as (select distinct s.name as start, case when e.source = s.name then e.target else e.source end as node from starts s join edges e on e.type = 'RELATED' and s.name in (e.source, e.target)) {_NEIGHBORS.format(k=1000)}")
+@query(f"with {_E}, {_STARTS}, found as (select distinct s.name as start, case when e.source = s.name then e.target else e.source end as node from starts s join edges e on e.type = 'RELATED' and s.name in (e.source, e.target)) {_NEIGHBORS.replace(' where rank <= {k}', '')}")
 def neighbors_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.neighbors(edges(spark, sf_dir), nodes(spark, sf_dir), starts(spark, sf_dir), limit=1000, types=("RELATED",)).withColumn("importance", F.round("importance", 6))
+    return G.neighbors(edges(spark, sf_dir), nodes(spark, sf_dir), starts(spark, sf_dir), limit=None, types=("RELATED",)).withColumn("importance", F.round("importance", 6))
 
 
 def _chain_sql(depth: int, forward: bool, first: str) -> str:
@@ -102,6 +102,23 @@ def learning_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.chain(edges(spark, sf_dir), nodes(spark, sf_dir), starts(spark, sf_dir)).withColumn("importance", F.round("importance", 6))
 
 
+_LAYERS = f"""closure as (select source as a, target as b from pre union select c.a, p.target from closure c join pre p on p.source = c.b),
+ends as (select source as node from pre union select target from pre),
+own as (select e.node, least(e.node, coalesce(min(c.b) filter (exists (select 1 from closure d where d.a = c.b and d.b = c.a)), e.node)) as cycle from ends e left join closure c on c.a = e.node group by e.node),
+arcs as (select distinct s.cycle as a, t.cycle as b from pre join own s on s.node = source join own t on t.node = target where s.cycle <> t.cycle),
+steps as (select cycle, 0 as n from own union select b, n + 1 from steps join arcs on a = cycle),
+layers as (select own.node, own.cycle, max(n) as layer from own join steps on steps.cycle = own.cycle group by all)"""
+
+
+@query(
+    f"""with recursive {_E}, {_LAYERS}, found as (select distinct start, name, importance from ({_chain_sql(3, False, _TARGETS)}))
+select start, name, row_number() over (partition by start order by layer, cycle, importance desc, name)::integer as position, layer, cycle from found join layers on node = name"""
+)
+def learning_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every concept's prerequisites so that none comes before its own; cycles are one step."""
+    return G.learning_order(edges(spark, sf_dir), nodes(spark, sf_dir), starts(spark, sf_dir)).select("start", "name", "position", "layer", "cycle")
+
+
 @query(_chain_sql(2, False, _TARGETS))
 def prerequisites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.chain(edges(spark, sf_dir), nodes(spark, sf_dir), starts(spark, sf_dir), 2).withColumn("importance", F.round("importance", 6))

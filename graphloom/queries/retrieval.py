@@ -9,6 +9,8 @@ from ..functions.scoring import l2_normalize, norm
 from ..functions.text import numbered_context
 from ..operators import extract as E
 from ..operators import retrieve as R
+from ..operators import vectors as V
+from ..operators.tables import passing, reliable
 from . import query, read, toks
 
 _COS = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::double * z[2]::double)) / (sqrt(list_sum(list_transform({a}, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform({b}, lambda x: x::double * x::double))){e})"
@@ -54,6 +56,35 @@ def vector_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.knn_many(vectors, asked, 3, "vec_id", "embedding").select("query_id", "id", "score", "rank")
 
 
+_FIFTIETH = f"""with q as (select vec_id as query_id, embedding as v from embeddings where vec_id % 50 = 0),
+s as (select query_id, e.vec_id as id, round({_cos("e.embedding", "q.v")}, 6) as score from q, embeddings e)
+select query_id, id, score, rank from (select *, row_number() over (partition by query_id order by score desc, id)::integer as rank from s) where rank <= 10"""
+
+
+def _fiftieth(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return vectors, vectors.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+
+
+@query(_FIFTIETH)
+def vector_index_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth vector against every row of every shard of the index."""
+    vectors, asked = _fiftieth(spark, sf_dir)
+    with passing(spark) as keep:
+        return keep(V.search_index(reliable(V.build_index(vectors, "id", "vector")), asked, 10, exact=True)).select("query_id", "id", "score", "rank")
+
+
+@query(f"select count(*) as n_queries, true as nine_of_ten, count(*) * 10 as n_hits from (select distinct query_id from ({_FIFTIETH}))")
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beam search of the index held against exact search: whether nine of ten of the nearest ten are found."""
+    vectors, asked = _fiftieth(spark, sf_dir)
+    with passing(spark) as keep:
+        index = reliable(V.build_index(vectors, "id", "vector"))
+        found = V.search_index(index, asked, 10)
+        recall = reliable(V.recall(found, V.knn_many(vectors, asked, 10, "id", "vector")))
+        return keep(recall).agg(F.count(F.lit(1)).alias("n_queries"), (F.avg("recall") >= 0.9).alias("nine_of_ten"), F.lit(found.count()).cast("long").alias("n_hits"))
+
+
 def _rrf_sql(lists: list[str], k: int) -> str:
     union = " union all ".join(f"select id, 1.0::double / (60 + rank) as part, {', '.join(('rank' if j == i else 'null::integer') + f' as r{j}' for j in range(len(lists)))} from ({s})" for i, s in enumerate(lists))
     order = ", ".join(f"r{j} nulls last" for j in range(len(lists)))
@@ -115,7 +146,7 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_top_sql(_bm25_sql("text"), 3))
 def bm25_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = R.bm25(read(spark, sf_dir, "documents"), _items(spark, sf_dir), "doc_id", "text")
+    scores = R.bm25(read(spark, sf_dir, "documents"), _items(spark, sf_dir), "doc_id", "text", k=3)
     return R.top_per_query(scores, 3).select("query_id", "id", "score", "rank")
 
 
@@ -131,7 +162,7 @@ def _best_sql() -> str:
 @query(_top_sql(_best_sql(), 3))
 def bm25_multifield(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _items(spark, sf_dir).withColumn("text", F.concat("text", F.lit(" src"), (F.col("query_id") % 20).cast("string")))
-    return R.top_per_query(R.bm25_best_field(read(spark, sf_dir, "documents"), asked, "doc_id", _FIELDS), 3).select("query_id", "id", "score", "rank")
+    return R.top_per_query(R.bm25_best_field(read(spark, sf_dir, "documents"), asked, "doc_id", _FIELDS, k=3), 3).select("query_id", "id", "score", "rank")
 
 
 _ONE = "select item_id as query_id, text from benchmark where item_id = 0"
@@ -173,7 +204,7 @@ def hybrid_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole texts of each item's three best documents, numbered."""
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    hits = R.top_per_query(R.bm25(docs, _items(spark, sf_dir), "id", "text"), 3).join(docs, "id")
+    hits = R.top_per_query(R.bm25(docs, _items(spark, sf_dir), "id", "text", k=3), 3).join(docs, "id")
     rows = F.array_sort(F.collect_list(F.struct("rank", F.coalesce("text", F.lit("")).alias("text"))))
     return hits.groupBy("query_id").agg(numbered_context(F.transform(rows, lambda r: r["text"])).alias("context"))
 
@@ -217,7 +248,7 @@ def bm25_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "")
     asked = _items(spark, sf_dir).withColumn("text", plain(F.replace(F.replace("text", F.lit("th"), F.lit("ht")), F.lit("ion"), F.lit("oin"))))
     docs = read(spark, sf_dir, "documents").withColumn("text", plain(F.col("text")))
-    return R.top_per_query(R.bm25(docs, asked, "doc_id", "text", fuzzy=True), 3).select("query_id", "id", "score", "rank")
+    return R.top_per_query(R.bm25(docs, asked, "doc_id", "text", fuzzy=True, k=3), 3).select("query_id", "id", "score", "rank")
 
 
 @query(
@@ -229,13 +260,13 @@ select id, rank, round(rerank_score, 6) as rerank_score from d order by rerank_s
 def rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _items(spark, sf_dir).where("query_id = 0")
     docs = read(spark, sf_dir, "documents")
-    hits = R.top_per_query(R.bm25(docs, asked, "doc_id", "text"), 20).join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
+    hits = R.top_per_query(R.bm25(docs, asked, "doc_id", "text", k=20), 20).join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
     return R.rerank(hits, asked.first().text, 5).select("id", "rank", F.round("rerank_score", 6).alias("rerank_score"))
 
 
 @query(f"select query_id, round(avg(coalesce(l.quality, 0)), 6) as precision, count(*) as n from ({_top_sql(_bm25_sql('text'), 10)}) s left join labels l on l.doc_id = s.id group by query_id")
 def precision_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = R.top_per_query(R.bm25(read(spark, sf_dir, "documents"), _items(spark, sf_dir), "doc_id", "text"), 10)
+    hits = R.top_per_query(R.bm25(read(spark, sf_dir, "documents"), _items(spark, sf_dir), "doc_id", "text", k=10), 10)
     labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("relevant"))
     judged = hits.join(labels, "id", "left").withColumn("relevant", F.coalesce("relevant", F.lit(0)))
     return R.precision(judged).withColumn("precision", F.round("precision", 6))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.graph import shared_folder
+from ..operators.tables import shared_folder
 from ..params import SETTINGS
 
 _OUT = "student long, concept string, mastery_level double, p_known double, attempts long, correct_attempts long"

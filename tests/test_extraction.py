@@ -2,13 +2,14 @@
 
 import math
 import random
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom import plugins
 from graphloom.functions.text import title_case
-from graphloom.operators import concepts, extract, graph, retrieve
+from graphloom.operators import concepts, contain, extract, fulltext, graph, retrieve, vectors as nearest
 from graphloom.params import Question
 from graphloom.plans import ask, cache, graph_qa, quiz, recommend
 from graphloom.sources import files, services, store
@@ -76,20 +77,32 @@ def test_fuzzy_terms_against_all_pairs(spark):
     limit = lambda w: 0 if len(w) < 3 else 1 if len(w) < 6 else 2
     want = {(a, b, distance(a, b)) for a in asked for b in known if abs(len(a) - len(b)) <= 2 and distance(a, b) <= limit(a)}
     q = spark.createDataFrame([(i, w) for i, w in enumerate(asked)], "query_id int, text string")
-    got = retrieve.fuzzy_terms(spark.createDataFrame([(w,) for w in known], "token string"), q).collect()
+    got = fulltext.fuzzy_terms(spark.createDataFrame([(w,) for w in known], "token string"), q).collect()
     assert {(r.asked, r.token, r.edits) for r in got} == want and len(got) == len(want) > 50
 
 
-def test_knn_many_in_blocks(spark):
+@pytest.mark.parametrize("small", [4096, 30, 0])
+def test_knn_many_by_either_side_and_in_blocks(spark, monkeypatch, small):
+    """Queries broadcast, vectors broadcast (7 queries a vector set of 30), and blocks that all queries visit."""
+    monkeypatch.setattr(nearest, "SMALL", small)
+    monkeypatch.setattr(nearest, "BLOCK", 10)
     rng = random.Random(7)
-    rows = [(i, [rng.gauss(0, 1) for _ in range(5)]) for i in range(60)] + [(60, None)]
+    rows = [(i, [rng.gauss(0, 1) for _ in range(5)]) for i in range(25)] + [(60, None), (61, [0.0] * 5), (62, [1.0, None, 1.0, 1.0, 1.0])]
+    rows += [(70, rows[3][1]), (71, rows[3][1])]  # ties
     vectors = spark.createDataFrame(rows, "id long, vector array<float>").repartition(3)
-    asked = vectors.where("id < 7").withColumnRenamed("id", "query_id")
-    got = {(r.query_id, r["rank"]): r.id for r in retrieve.knn_many(vectors, asked, 4, "id", "vector", block=3).collect()}
-    for i in range(7):
-        one = retrieve.knn(vectors, list(vectors.where(F.col("id") == i).first().vector), 4, "id", "vector").collect()
-        assert [got[i, k] for k in range(1, 5)] == [r.id for r in sorted(one, key=lambda r: r["rank"])]
+    asked = spark.createDataFrame([(f"q{i}", [rng.gauss(0, 1) for _ in range(5)]) for i in range(40)] + [("same", rows[3][1]), ("none", None)], "query_id string, vector array<float>")
+    got = defaultdict(list)
+    for r in retrieve.knn_many(vectors, asked, 4, "id", "vector").collect():
+        got[r.query_id].append((r["rank"], r.id, r.score))
+    for q in asked.collect():
+        if q.vector:
+            one = retrieve.knn(vectors.where("id not in (61, 62)"), list(q.vector), 4, "id", "vector").collect()
+            assert sorted(got[q.query_id]) == [(r["rank"], r.id, pytest.approx(r.score, abs=2e-6)) for r in sorted(one, key=lambda r: r["rank"])]
+    assert [i for _, i, _ in sorted(got["same"])[:3]] == [3, 70, 71] and "none" not in got
     assert retrieve.knn_many(vectors, asked.limit(0), 4, "id", "vector").count() == 0
+    assert retrieve.knn_many(vectors.limit(0), asked, 4, "id", "vector").count() == 0
+    least = retrieve.knn_many(vectors, asked.where("query_id = 'same'"), None, "id", "vector", least=0.999).collect()
+    assert {r.id for r in least} == {3, 70, 71}
 
 
 def test_names_inside_texts(spark):
@@ -99,6 +112,10 @@ def test_names_inside_texts(spark):
     known = spark.createDataFrame([(n,) for n in names], "name string")
     got = {(r.id, r.name) for r in concepts.mentions(spark.createDataFrame(texts, "id int, text string"), known, "id").collect()}
     assert got == {(i, n) for i, t in texts for n in names if t and n.lower() in t.lower()}
+    low = spark.createDataFrame([(n.lower(),) for n in names] + [("",), (None,)], "low string")
+    rows = spark.createDataFrame(texts, "id int, text string").selectExpr("id", "lower(text) as text")
+    parts = {(r.id, r.low) for r in contain.containing(rows, low, ["id"], shard=20).collect()}
+    assert parts == {(i, n.lower()) for i, n in got} and contain.containing(rows, low.limit(0), ["id"]).count() == 0
     said = [t for _, t in texts if t]
     got = {r.text: r.name for r in concepts.known_match(spark.createDataFrame([(t,) for t in said], "text string"), known).collect()}
     want = {t: min((n for n in names if n.lower() in t.lower() or t.lower() in n.lower()), key=lambda n: (n.lower() != t.lower(), n), default=None) for t in said}
