@@ -19,7 +19,8 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column, epsilon: float = 0.0) -> Column:
-    return dot(a, b) / (norm(a) * norm(b) + F.lit(epsilon))
+    """Null where a vector has no length."""
+    return F.try_divide(dot(a, b), norm(a) * norm(b) + F.lit(epsilon))
 
 
 def l2_normalize(a: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import learner as L
 from ..functions import text as X
 from ..operators import chunks as C
+from ..operators import graph as G
 from ..operators import learner as O
 from ..operators import retrieve as R
 from ..operators.tables import reliable
@@ -17,10 +18,9 @@ from ..plans import build_kg as B
 from ..plans import quiz as Z
 from ..plans import recommend as P
 from ..plugins import embed
-from ..sources import services as V
 from ..sources import web as W
 from ..streaming import learners as T
-from . import graphs, query, read, retrieval, text
+from . import graphs, learners, query, read, retrieval, text
 
 
 @query("select time_bucket(interval 1 minute, ts) as window_start, event_type as key, count(*) as n from events group by all")
@@ -59,9 +59,15 @@ def health_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.health(rows, "check_id")
 
 
-@query("select 'us_history' as subject_id, 'US History' as name, 'us_history' as label_prefix, 'textbook_chunks_us_history' as index_name, true as is_default")
+@query(
+    """select s.*, count(d.doc_id) as n_docs from (select 'us_history' as subject_id, 'US History' as name, 'us_history' as label_prefix, 'textbook_chunks_us_history' as index_name, true as is_default) s
+left join (select doc_id, coalesce(case when doc_id % 2 = 0 then source end, 'us_history') as subject_id from documents) d on d.subject_id = s.subject_id group by all"""
+)
 def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.subjects(spark)
+    """The configured subjects, each with the number of documents that are its own (those without a subject go to it)."""
+    docs = G.relabel(read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("subject_id")), "us_history")
+    n = docs.groupBy("subject_id").agg(F.count("doc_id").alias("n_docs"))
+    return A.subjects(spark).join(n, "subject_id", "left").withColumn("n_docs", F.coalesce("n_docs", F.lit(0)))
 
 
 _NEXT = "ranked as (select name, row_number() over (order by n desc, length(name) desc, name) as k from c), e as (select a.name as s, b.name as t from ranked a join ranked b on b.k = a.k + 1), sides as (select s, t from e union all select t, s from e)"
@@ -131,21 +137,10 @@ def answer_correctness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").agg(F.count_if(right).alias("n_correct"), F.count(F.lit(1)).alias("n"))
 
 
-@query("select service, case service when 'neo4j' then 'ok' when 'opensearch' then 'degraded' when 'model' then 'ok' else 'error' end as status from (select unnest(['neo4j', 'opensearch', 'model', 'other']) as service)")
-def service_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probes whose checks stand in for services; latencies are left out."""
-
-    def broken() -> str:
-        raise ConnectionError("refused")
-
-    checks = {"neo4j": lambda: "ok", "opensearch": lambda: V.colour_status("yellow"), "model": lambda: V.model_status(["mistral:7b"], "mistral"), "other": broken}
-    return V.probe(spark, checks).select("service", "status")
-
-
-@query("select user_id as student, event_type as concept, count(*) as attempts, count(*) filter (where value >= 50) as correct_attempts from events group by all")
+@query(f"with recursive {learners._STATE} select student, concept, round(mastery_level, 6) as mastery_level, attempts, correct_attempts from state")
 def stream_mastery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stateful stream over the events table, run to its end; mastery itself is compared in the tests."""
-    return T.run_to_end(spark, sf_dir).select("student", "concept", "attempts", "correct_attempts")
+    """The stateful stream over the events table, run to its end."""
+    return T.run_to_end(spark, sf_dir).select("student", "concept", F.round("mastery_level", 6).alias("mastery_level"), "attempts", "correct_attempts")
 
 
 @query("select * from (select time_bucket(interval 1 minute, ts) as window_start, event_type as key, count(*) as n from events group by 1, 2) where window_start + interval 1 minute <= (select max(ts) from events) - interval 10 minute")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scoring import l2_normalize, norm
 from ..functions.text import numbered_context
+from ..operators import evaluate as EV
 from ..operators import extract as E
 from ..operators import retrieve as R
 from ..operators import vectors as V
+from ..operators.rerank import rerank_model as rerank_pairs
 from ..operators.tables import passing, reliable
 from . import query, read, toks
 
@@ -272,6 +276,59 @@ def precision_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.precision(judged).withColumn("precision", F.round("precision", 6))
 
 
+_PAIRS = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
+
+
+@query(
+    f"""with s as ({_top_sql(_bm25_sql("text"), 20)}),
+w as (select s.query_id, s.id, s.rank as before, {toks("b.text")} as q, {toks("d.text")} as t from s join documents d on d.doc_id = s.id join benchmark b on b.item_id = s.query_id),
+f as (select query_id, id, before, len(list_intersect(list_distinct(q), t)) / greatest(1, len(list_distinct(q)))::double as x, len(list_intersect({_PAIRS.format("q")}, {_PAIRS.format("t")})) / greatest(1, len({_PAIRS.format("q")}))::double as y from w),
+p as (select query_id, id, before, round(1 / (1 + exp(-(2.0::double * x + y))), 6) as rerank_score from f)
+select query_id, id, rank, rerank_score from (select *, row_number() over (partition by query_id order by rerank_score desc, before)::integer as rank from p) where rank <= 5"""
+)
+def rerank_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item's twenty best documents by a model over pairs, in batches, with its default weights."""
+    docs, asked = read(spark, sf_dir, "documents"), _items(spark, sf_dir)
+    hits = R.top_per_query(R.bm25(docs, asked, "doc_id", "text", k=20), 20).select("query_id", "id", "rank")
+    hits = hits.join(docs.select(F.col("doc_id").alias("id"), "text"), "id").join(asked.select("query_id", F.col("text").alias("question")), "query_id")
+    return rerank_pairs(hits, 5, digits=6).select("query_id", "id", "rank", "rerank_score")
+
+
+def _precision_sql(scores: str) -> str:
+    return f"""select query_id, case when sum(r) > 0 then sum(r * p) / sum(r) else 0 end as value from (
+  select query_id, r, avg(r) over (partition by query_id order by rank rows unbounded preceding) as p from (select s.query_id, s.rank, coalesce(l.quality, 0)::double as r from ({_top_sql(scores, 10)}) s left join labels l on l.doc_id = s.id)) group by query_id"""
+
+
+_CUTS = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
+_DRAWN = "list_sum(list_transform(range(1, 9), lambda i: (instr('0123456789abcdef', substr(h, i, 1)) - 1) * pow(16, 8 - i))) / 4294967296.0::double"
+
+
+@query(
+    f"""with a as ({_precision_sql(_bm25_sql("text", queries=_ASKED))}), b as ({_precision_sql(_best_sql())}),
+d as (select a.query_id, a.value as first, b.value as second from a join b on a.query_id = b.query_id),
+h as (select d.*, r, md5(query_id || ':' || r) as h from d, (select unnest(range(0, 201)) as r)),
+u as (select r, first, second, {_DRAWN} as u from h),
+w as (select r, first, second, case when r = 0 then 1 else {" + ".join(f"(u >= {c!r})::integer" for c in _CUTS)} end as w from u),
+m as (select r, sum(w * first) / sum(w) as first, sum(w * second) / sum(w) as second from w group by r having sum(w) > 0),
+v as (select r, 'first' as name, first as value from m union all select r, 'second', second from m union all select r, 'difference', second - first from m)
+select name, round(max(value) filter (r = 0), 6) as mean, round(quantile_cont(value, 0.025) filter (r > 0), 6) as low, round(quantile_cont(value, 0.975) filter (r > 0), 6) as high from v group by name"""
+)
+def precision_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context precision of BM25 over texts and over all fields, and of their difference, with bootstrap intervals."""
+    docs = read(spark, sf_dir, "documents")
+    asked = _items(spark, sf_dir).withColumn("text", F.concat("text", F.lit(" src"), (F.col("query_id") % 20).cast("string")))
+    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("relevant"))
+
+    def judged(scores: DataFrame, name: str) -> DataFrame:
+        hits = R.top_per_query(scores, 10).join(labels, "id", "left")
+        return EV.context_precision(hits).select("query_id", F.col("context_precision").alias(name))
+
+    first = judged(R.bm25(docs, asked, "doc_id", "text", k=10), "first")
+    second = judged(R.bm25_best_field(docs, asked, "doc_id", _FIELDS, k=10), "second")
+    found = EV.bootstrap(first.join(second, "query_id"))
+    return found.select("name", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+
+
 @query(f"with a as ({_knn_sql(0, 20)}), b as ({_knn_sql(1, 20)}) select (select count(*) from (select id from a intersect select id from b)) as both, (select count(*) from (select id from a except select id from b)) as only_first, (select count(*) from (select id from b except select id from a)) as only_second")
 def compare_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap of two result lists."""

@@ -9,6 +9,7 @@ from .. import plugins
 from ..functions import text as X
 from ..operators import concepts as C
 from ..operators import extract as E
+from ..operators.tree import reading_order
 from ..sources import files as S
 from . import low, query, read, toks
 
@@ -36,10 +37,14 @@ def doc_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.document_frequency(mentions).select("name", "doc_frequency", "key_term", F.array_join("source_modules", ",").alias("modules"))
 
 
-@query("select source as module_id, count(*) as n_records, arg_min(left(text, 20), doc_id) as title, array_to_string(list_sort(list_distinct(list(lang))), ',') as sections from documents group by source")
+@query(
+    """select source as module_id, count(*) as n_records, arg_min(text, doc_id) as title, array_to_string(list_sort(list_distinct(list(lang))), ',') as sections,
+arg_min(lang || ',' || source, doc_id) as key_terms, md5(string_agg(text, '|' order by doc_id)) as texts_md5 from documents group by source"""
+)
 def module_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("module_id"), F.substring("text", 1, 20).alias("module_title"), F.col("lang").alias("section"))
-    return C.module_groups(records)
+    """Whole texts of each source, in order of id; the first one stands for its title."""
+    records = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("module_id"), F.col("text").alias("module_title"), F.col("lang").alias("section"), F.array("lang", "source").alias("key_terms"), "text")
+    return C.module_groups(records).select("module_id", "n_records", "title", "sections", F.array_join("key_terms", ",").alias("key_terms"), F.md5(F.array_join("texts", "|")).alias("texts_md5"))
 
 
 @query(f"with c as ({_TOP}) select query_id, name, place from (select b.item_id as query_id, c.name, row_number() over (partition by b.item_id order by length(c.name) desc, c.name)::integer as place from benchmark b join c on contains(lower(b.text), lower(c.name))) where place <= 5")
@@ -97,11 +102,11 @@ _MARKUP = "'---' || chr(10) || 'id: ' || doc_id || chr(10) || '---' || chr(10) |
 
 
 @query(
-    f"""select doc_id, length(t) as n, left(t, 40) as head from (select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_MARKUP}, '^---[\\s\\S]*?---', ''), '<!--[\\s\\S]*?-->', '', 'g'), '</?div[^>]*>', '', 'g'), '!\\[[^\\]]*\\]\\([^)]*\\)', '', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as t from documents)"""
+    f"""select doc_id, length(t) as n, md5(t) as text_md5 from (select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_MARKUP}, '^---[\\s\\S]*?---', ''), '<!--[\\s\\S]*?-->', '', 'g'), '</?div[^>]*>', '', 'g'), '!\\[[^\\]]*\\]\\([^)]*\\)', '', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as t from documents)"""
 )
 def clean_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat(F.lit("---\nid: "), F.col("doc_id").cast("string"), F.lit('\n---\n<div class="x">'), "text", F.lit("</div><!-- "), "lang", F.lit(" -->![img](a/b.png)"))
-    return read(spark, sf_dir, "documents").select("doc_id", X.clean_markdown(raw).alias("t")).select("doc_id", F.length("t").cast("long").alias("n"), F.substring("t", 1, 40).alias("head"))
+    return read(spark, sf_dir, "documents").select("doc_id", X.clean_markdown(raw).alias("t")).select("doc_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("text_md5"))
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,6 +192,22 @@ def leaf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.leaf_pages(used.unionByName(nations)).select("id", "title")
 
 
+_TREE = "select page_id as node, case when page_id >= 5 then page_id // 5 - 1 end as parent, (page_id * 7) % 5 as pos from pages"
+
+
+@query(
+    f"""with recursive n as ({_TREE}), way as (
+  select node as root, node, 0 as depth, lpad(pos::varchar, 6, '0') || lpad(node::varchar, 12, '0') as key, pos::varchar as path from n where parent is null
+  union all select w.root, n.node, w.depth + 1, w.key || lpad(n.pos::varchar, 6, '0') || lpad(n.node::varchar, 12, '0'), w.path || '/' || n.pos from way w join n on n.parent = w.node)
+select root, node, depth, path, row_number() over (partition by root order by key)::integer as place from way where node not in (select parent from n where parent is not null)"""
+)
+def book_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves of trees in which five pages have one parent, in reading order."""
+    page = F.col("page_id")
+    nodes = read(spark, sf_dir, "pages").select(page.alias("node"), F.when(page >= 5, F.floor(page / 5) - 1).alias("parent"), (page * 7 % 5).alias("pos"))
+    return reading_order(nodes)
+
+
 @query("select doc_id, case when length(text) > 200 then left(text, 200) || '...' else text end as preview from documents")
 def answer_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", X.preview(F.col("text")).alias("preview"))

@@ -1,7 +1,8 @@
-"""Streams: mastery per learner and concept as keyed state, request rates with a watermark."""
+"""Streams: mastery per learner as keyed map state with a time to live, request rates with a watermark."""
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterator
 from typing import Any
@@ -9,13 +10,15 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.tables import shared_folder
+from ..operators.tables import delete, passing, reliable, shared_folder
 from ..params import SETTINGS
 
 _OUT = "student long, concept string, mastery_level double, p_known double, attempts long, correct_attempts long"
 _STATE = "p double, attempts long, correct long"
+#: The state store that keeps more than one variable for a key.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def bkt(p: float, correct: bool) -> float:
@@ -25,29 +28,48 @@ def bkt(p: float, correct: bool) -> float:
     return min(0.99, max(0.01, post + (1 - post) * t))
 
 
-def mastery(answers: DataFrame, idle_days: int | None = None) -> DataFrame:
+class Mastery(StatefulProcessor):
+    """A learner's concepts as a map: concept to (p, attempts, correct); an entry that idle_ms passes over goes."""
+
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.concepts = handle.getMapState("concepts", "concept string", _STATE, self.idle_ms)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        answers = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        out = []
+        for concept, own in answers.groupby("concept", sort=True, dropna=False):
+            name = (None if pd.isna(concept) else concept,)
+            p, n, right = self.concepts.getValue(name) if self.concepts.containsKey(name) else (SETTINGS.initial_mastery, 0, 0)
+            for correct in own["correct"]:
+                p, n, right = bkt(p, bool(correct)), n + 1, right + int(correct)
+            self.concepts.updateValue(name, (p, n, right))
+            out.append((key[0], name[0], min(1.0, max(0.1, p)), p, n, right))
+        yield pd.DataFrame(out, columns=["student", "concept", "mastery_level", "p_known", "attempts", "correct_attempts"])
+
+
+def mastery(answers: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """A stream of answers (student, concept, correct, ts, event_id) to a stream of updated states.
 
-    Answers of one micro-batch count in order of time; across batches, in order of arrival.  A learner's state stays,
-    unless idle_days says how long one without answers is kept (for streams that go on: one that ends when it has read
-    what is there would wait for the timeouts); its last update is in the sink.
+    Answers of one micro-batch count in order of time; across batches, in order of arrival.  With idle_ms a concept that
+    a learner hasn't answered about for so long starts anew, and its stream goes on (write_updates, every); without,
+    states stay.  Needs the state store STORE.
     """
+    return answers.groupBy("student").transformWithStateInPandas(Mastery(idle_ms), _OUT, "Update", "ProcessingTime" if idle_ms else "None")
 
-    def update(key: Any, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        p, n, right = state.get if state.exists else (SETTINGS.initial_mastery, 0, 0)
-        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-        for correct in rows["correct"]:
-            p, n, right = bkt(p, bool(correct)), n + 1, right + int(correct)
-        state.update((p, n, right))
-        if idle_days:
-            state.setTimeoutDuration(idle_days * 86_400_000)
-        yield pd.DataFrame({"student": [key[0]], "concept": [key[1]], "mastery_level": [min(1.0, max(0.1, p))], "p_known": [p], "attempts": [n], "correct_attempts": [right]})
 
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_days else GroupStateTimeout.NoTimeout
-    return answers.groupBy("student", "concept").applyInPandasWithState(update, _OUT, _STATE, "update", timeout)
+@contextlib.contextmanager
+def state_store(spark: SparkSession, provider: str = STORE) -> Iterator[None]:
+    """Streams that start inside have this state store; the session's own setting comes back."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, provider)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def rates(events: DataFrame, ts: str, key: str, width: str = "1 minute", late: str = "10 minutes") -> DataFrame:
@@ -55,14 +77,19 @@ def rates(events: DataFrame, ts: str, key: str, width: str = "1 minute", late: s
     return events.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), "key", "n")
 
 
-def write_updates(updates: DataFrame, path: str, checkpoint: str):
+def write_updates(updates: DataFrame, path: str, checkpoint: str, every: str | None = None):
     """Starts a stream of updates into a folder, a subfolder for each micro-batch, so that a batch that runs again
-    replaces what it wrote; returns the query."""
+    replaces what it wrote; returns the query.
+
+    It ends when it has read what is there, or with every (a time) goes on, as states with a time to live need: their
+    stream always has one more batch to look at the clock."""
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return updates.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    when = {"processingTime": every} if every else {"availableNow": True}
+    with state_store(updates.sparkSession):
+        return updates.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**when).start()
 
 
 def write_final(rows: DataFrame, path: str, checkpoint: str):
@@ -71,8 +98,9 @@ def write_final(rows: DataFrame, path: str, checkpoint: str):
 
 
 def latest(updates: DataFrame) -> DataFrame:
-    """The last update of each learner and concept."""
-    return updates.groupBy("student", "concept").agg(*[F.max_by(c, "attempts").alias(c) for c in ("mastery_level", "p_known", "correct_attempts")], F.max("attempts").alias("attempts"))
+    """The last update (column batch: its micro-batch) of each learner and concept."""
+    order = F.struct("batch", "attempts")
+    return updates.groupBy("student", "concept").agg(*[F.max_by(c, order).alias(c) for c in ("mastery_level", "p_known", "correct_attempts", "attempts")])
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,15 +115,24 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 
 def run_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The states when all events are read; the stream's own folder goes."""
     answers = _stream(spark, sf_dir).select(F.col("user_id").alias("student"), F.col("event_type").alias("concept"), (F.col("value") >= 50).alias("correct"), "ts", "event_id")
     own = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    write_updates(mastery(answers), f"{own}/updates", f"{own}/checkpoint").awaitTermination()
-    return latest(spark.read.schema(_OUT).parquet(f"{own}/updates"))
+    try:
+        write_updates(mastery(answers), f"{own}/updates", f"{own}/checkpoint").awaitTermination()
+        with passing(spark) as keep:
+            return keep(reliable(latest(spark.read.schema(f"{_OUT}, batch long").parquet(f"{own}/updates"))))
+    finally:
+        delete(spark, own)
 
 
 def rates_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the windows that the watermark has passed when all events are read."""
     events = _stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     own, found = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", rates(events, "ts", "event_type")
-    write_final(found, f"{own}/rates", f"{own}/checkpoint").awaitTermination()
-    return spark.read.schema(found.schema).parquet(f"{own}/rates")
+    try:
+        write_final(found, f"{own}/rates", f"{own}/checkpoint").awaitTermination()
+        with passing(spark) as keep:
+            return keep(reliable(spark.read.schema(found.schema).parquet(f"{own}/rates")))
+    finally:
+        delete(spark, own)
