@@ -3,6 +3,9 @@
 Each partition joins its edges in a union-find of its own, which leaves stars.  A node that different partitions gave
 different roots links those roots; these links are a smaller graph over roots, solved the same way, until no link is
 left.  Nothing is collected, no group of rows is gathered by component, and a round's tables lie in the shared folder.
+
+Edges may repeat, come in either direction and join a node with itself; nodes without edges have no row; an edge table
+without rows gives none.  Ends are never null.
 """
 
 from __future__ import annotations

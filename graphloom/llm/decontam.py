@@ -322,7 +322,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage:
     """docs without the spans of benchmark windows.
 
     A document of which more than max_coverage of the words are hit goes; the others lose the bytes from the first to
-    the last word of each span.  All columns stay; n_chars is left to the caller.
+    the last word of each span.  All columns stay, whatever their names; n_chars is left to the caller.  Null and empty
+    texts have no words and stay as they are; long texts are searched whole; rows that repeat, or have no doc_id, are
+    cleaned each by themselves; without benchmark items all stay; an empty table stays empty.
     """
     rows, group = _prepared(docs, benchmark, window)
     shared = docs.sparkSession.sparkContext.broadcast(group)

@@ -867,7 +867,9 @@ def _settled(plan: DataFrame, shares: DataFrame, sets: DataFrame, percent: int,
 def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs whose doc_id names their component (one document of each group), all columns as they are.
 
-    Of rows that repeat a doc_id the one whose text has the smallest hash stays; rows without doc_id all stay.
+    Of rows that repeat a doc_id the one whose text has the smallest hash stays; rows without doc_id all stay.  Null,
+    empty and word-less texts link with nothing, so each such doc_id stays; long texts are compared whole; ties of hashes
+    keep one row; columns may have any names; an empty table stays empty.
     """
     text, of, least = free(docs, "_text", "_of", "_least")
     rows = docs.where("doc_id is not null").withColumn(text, F.xxhash64("text"))

@@ -181,8 +181,11 @@ def digest(docs: DataFrame, min_chars: int = 10) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """docs with the kept lines as text; all columns stay as they are, n_chars follows the text."""
+    """docs with the kept lines as text; all other columns stay as they are, whatever their names.
 
+    Null and empty texts stay; a row without doc_id keeps all its lines and takes none from others; rows that repeat a
+    doc_id keep what the smallest doc_id keeps, all of them; long texts are split whole; an empty table stays empty.
+    """
     at, n = docs.columns.index("text"), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -266,6 +266,8 @@ def _fit(docs: DataFrame, labels: DataFrame, toxic_docs: int, other_docs: int, p
                 hashes = []
     if hashes:
         tally.append(np.unique(np.concatenate(hashes), return_counts=True))
+    if not tally:  # no document has a toxic label
+        return none
     keys, which = np.unique(np.concatenate([k for k, _ in tally]), return_inverse=True)
     n1 = np.zeros(len(keys), np.int64)
     np.add.at(n1, which, np.concatenate([c for _, c in tally]))
@@ -369,7 +371,12 @@ class Scorer:
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **limits) -> DataFrame:
-    """docs without the rows that are scored toxic, all columns as they are."""
+    """docs without the rows that are scored toxic, all columns as they are, whatever their names.
+
+    Null and empty texts are scored like any other by the intercept and stay where that is below the threshold; long
+    texts are scored whole; rows without doc_id are scored and teach nothing; repeated rows stay or go together; without
+    labels of toxic rows all stay; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **limits))
     at = docs.columns.index("text")
 
