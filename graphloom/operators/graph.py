@@ -340,24 +340,25 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 100, damping:
     Rounds go on until the ranks change by less than tolerance a node, summed over all, or iterations are reached.
     Lineage is cut in each round.
     """
-    n = nodes.count()
-    kept = edges.where(F.col("type").isin("RELATED", "PREREQ")).groupBy(F.least("source", "target").alias("x"), F.greatest("source", "target").alias("y")).agg(F.max_by("weight", "type").alias("weight"))
-    arcs = kept.select(F.col("x").alias("at"), F.col("y").alias("to"), "weight").unionByName(kept.where("x <> y").select(F.col("y").alias("at"), F.col("x").alias("to"), "weight"))
-    out = arcs.groupBy("at").agg(F.sum("weight").alias("out"))
-    arcs = reliable(arcs.join(out, "at").select("at", "to", (F.col("weight") / F.col("out")).alias("share")))
-    names = reliable(nodes.select("name").join(arcs.select(F.col("at").alias("name"), F.lit(True).alias("linked")).distinct(), "name", "left").select("name", F.col("linked").isNull().alias("dangling")))
-    ranks = names.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    lost = ranks.where("dangling").count() / max(n, 1)
-    for _ in range(iterations):
-        got = arcs.join(ranks, arcs["at"] == ranks["name"]).groupBy(F.col("to").alias("name")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        rank = F.lit((1 - damping) / max(n, 1)) + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(lost / max(n, 1)))
-        ranks = reliable(ranks.withColumnRenamed("rank", "before").join(got, "name", "left").select("name", "dangling", rank.alias("rank"), "before"))
-        seen = ranks.agg(F.sum(F.abs(F.col("rank") - F.col("before"))).alias("change"), F.sum(F.when(F.col("dangling"), F.col("rank"))).alias("lost")).first()
-        ranks, lost = ranks.drop("before"), seen.lost or 0.0
-        if (seen.change or 0.0) < n * tolerance:
-            break
-    top = ranks.agg(F.max("rank").alias("top"))
-    return ranks.join(F.broadcast(top)).select("name", "rank", (F.col("rank") / F.col("top")).alias("importance"))
+    with passing(nodes.sparkSession) as keep:
+        n = nodes.count()
+        kept = edges.where(F.col("type").isin("RELATED", "PREREQ")).groupBy(F.least("source", "target").alias("x"), F.greatest("source", "target").alias("y")).agg(F.max_by("weight", "type").alias("weight"))
+        arcs = kept.select(F.col("x").alias("at"), F.col("y").alias("to"), "weight").unionByName(kept.where("x <> y").select(F.col("y").alias("at"), F.col("x").alias("to"), "weight"))
+        out = arcs.groupBy("at").agg(F.sum("weight").alias("out"))
+        arcs = reliable(arcs.join(out, "at").select("at", "to", (F.col("weight") / F.col("out")).alias("share")))
+        names = reliable(nodes.select("name").join(arcs.select(F.col("at").alias("name"), F.lit(True).alias("linked")).distinct(), "name", "left").select("name", F.col("linked").isNull().alias("dangling")))
+        ranks = names.withColumn("rank", F.lit(1.0 / max(n, 1)))
+        lost = ranks.where("dangling").count() / max(n, 1)
+        for _ in range(iterations):
+            got = arcs.join(ranks, arcs["at"] == ranks["name"]).groupBy(F.col("to").alias("name")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+            rank = F.lit((1 - damping) / max(n, 1)) + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(lost / max(n, 1)))
+            ranks = reliable(ranks.withColumnRenamed("rank", "before").join(got, "name", "left").select("name", "dangling", rank.alias("rank"), "before"))
+            seen = ranks.agg(F.sum(F.abs(F.col("rank") - F.col("before"))).alias("change"), F.sum(F.when(F.col("dangling"), F.col("rank"))).alias("lost")).first()
+            ranks, lost = ranks.drop("before"), seen.lost or 0.0
+            if (seen.change or 0.0) < n * tolerance:
+                break
+        top = ranks.agg(F.max("rank").alias("top"))
+        return keep(ranks.join(F.broadcast(top)).select("name", "rank", (F.col("rank") / F.col("top")).alias("importance")))
 
 
 def important(nodes: DataFrame, above: float = 0.5, limit: int = 20) -> DataFrame:

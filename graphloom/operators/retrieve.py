@@ -171,6 +171,11 @@ def standard_hits(hits: DataFrame, mode: str = "hybrid") -> DataFrame:
     return hits.select(*[c.alias(k) for k, c in out.items()], terms.alias("key_terms"), F.col("score").cast("double").alias("score"), F.lit(mode).alias("retrieval_mode"))
 
 
+def hit_key(text: Column, key: Column) -> Column:
+    """The id of a hit, or a hash of the text's first 50 characters where it has none: what hits are the same by."""
+    return F.coalesce(key.cast("string"), F.md5(F.substring(F.coalesce(text, F.lit("")), 1, 50)))
+
+
 def search_terms(text: Column) -> Column:
     """Words of more than three characters."""
     return F.filter(F.split(text, r"\s+"), lambda w: F.length(w) > 3)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import concepts as C
 from ..operators import graph as G
+from ..operators.tables import passing, reliable
 from ..params import PREREQ_PATTERNS, SETTINGS
 from ..plugins import keywords
 
@@ -63,17 +64,17 @@ def prerequisites(records: DataFrame, concepts: DataFrame) -> DataFrame:
 
 def build(records: DataFrame, threshold: int = SETTINGS.related_threshold, top: int = SETTINGS.max_concepts, iterations: int = 100) -> Graph:
     """The graph of records (id, module_id, text, and key_terms where there are some)."""
-    found = G.reliable(candidates(records))
-    kept = G.reliable(C.most_common(C.drop_substrings(found.select("name").distinct()).join(found, "name").select("name"), top))
-    mentions = found.join(kept.select("name"), "name", "left_semi")
-    nodes = C.document_frequency(mentions)
-    inside = C.mentions(records, kept, "id")
-    related = G.related(inside, "id", "name", threshold).select("source", "target", "type", "weight", "confidence")
-    pre = prerequisites(records, kept).select("source", "target", "type", "weight", "confidence")
-    covers = G.covers(mentions, kept).select("source", "target", "type", F.lit(1.0).alias("weight"), F.lit(0.9).alias("confidence"))
-    edges = G.reliable(related.unionByName(pre).unionByName(covers))
-    ranks = G.pagerank(nodes, edges, iterations)
-    return Graph(records.select("module_id").distinct(), nodes.join(ranks.select("name", "importance"), "name"), edges)
+    with passing(records.sparkSession) as keep:
+        found = reliable(candidates(records))
+        kept = reliable(C.most_common(C.drop_substrings(found.select("name").distinct()).join(found, "name").select("name"), top))
+        nodes = reliable(C.document_frequency(found.join(kept.select("name"), "name", "left_semi")))
+        inside = C.mentions(records, kept, "id")
+        related = G.related(inside, "id", "name", threshold).select("source", "target", "type", "weight", "confidence")
+        pre = prerequisites(records, kept).select("source", "target", "type", "weight", "confidence")
+        covers = G.covers(found.join(kept.select("name"), "name", "left_semi"), kept).select("source", "target", "type", F.lit(1.0).alias("weight"), F.lit(0.9).alias("confidence"))
+        edges = keep(reliable(related.unionByName(pre).unionByName(covers)))
+        ranks = G.pagerank(nodes, edges, iterations)
+        return Graph(records.select("module_id").distinct(), keep(nodes.join(ranks.select("name", "importance"), "name")), edges)
 
 
 def statistics(graph: Graph) -> DataFrame:

@@ -13,9 +13,26 @@ from ..plugins import Embedder, embed
 SCORE_RANGES = {"easy": "0.1 and 0.3", "medium": "0.35 and 0.6", "hard": "0.65 and 0.9"}
 
 
+#: What a question of each level asks of a learner.
+LEVELS = {
+    "easy": "Ask for single facts that the text states outright, in plain words; nothing has to be inferred, and one option is clearly right.",
+    "medium": "Ask for understanding: two facts of the text may have to be put together or applied; the wrong options sound possible.",
+    "hard": "Ask for analysis: several ideas of the text have to be weighed, carried over to a new case or thought further; telling the options apart takes care.",
+}
+#: The form of a reply that operators.learner.parse_quiz reads.
+FORM = """Reply with one JSON object and nothing else:
+{"questions": [{"text": "...", "options": [{"id": "a", "text": "..."}, {"id": "b", "text": "..."}, {"id": "c", "text": "..."}, {"id": "d", "text": "..."}], "correct_option_id": "b", "explanation": "...", "difficulty": "LEVEL", "difficulty_score": 0.5}]}
+Four options each, one of them right; the explanation says why by the text; difficulty_score lies between RANGE."""
+
+
 def user_prompt(n: int, context: Column, difficulty: Column) -> Column:
-    level = F.upper(difficulty)
-    return F.concat(F.lit(f"Write {n} "), level, F.lit(" multiple-choice questions on the text below; ask for what a learner of that level has to understand.\n\n"), context, F.lit("\n\nKeep every question "), level, F.lit(" and answer in JSON only."))
+    """The prompt for n questions of a level about a context: what the level asks for, the text, the form of the reply."""
+    out = F.lit(None).cast("string")
+    for level, wants in LEVELS.items():
+        head = f"Write {n} {level.upper()} multiple-choice questions on the text below, from the text alone.\n{wants}\n\nTEXT:\n"
+        tail = "\n\n" + FORM.replace("LEVEL", level).replace("RANGE", SCORE_RANGES[level])
+        out = F.when(difficulty == level, F.concat(F.lit(head), context, F.lit(tail))).otherwise(out)
+    return out
 
 
 def score_range(difficulty: Column) -> Column:

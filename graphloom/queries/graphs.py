@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import concepts as C
 from ..operators import graph as G
+from ..operators.tables import reliable
 from ..plans import graph_qa as QA
 from . import query, read
 
@@ -229,7 +230,7 @@ select name, round(rank / max(rank) over (), 6) as importance from walk where i
 @query(_PAGERANK)
 def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rounds until the ranks stay, as the SQL has them."""
-    return G.pagerank(nodes(spark, sf_dir), G.reliable(edges(spark, sf_dir))).select("name", F.round("importance", 6).alias("importance"))
+    return G.pagerank(nodes(spark, sf_dir), reliable(edges(spark, sf_dir))).select("name", F.round("importance", 6).alias("importance"))
 
 
 @query(f"with {_E}, mine as (select name from nodes where importance > 0.5), kept as (select type from edges where source in (select name from mine)) select lower(t.type) || '_relationships' as name, count(k.type) as n from (select unnest(['PREREQ', 'RELATED', 'COVERS', 'PART_OF', 'MENTIONS', 'NEXT', 'FIRST_CHUNK']) as type) t left join kept k on k.type = t.type group by t.type union all select 'concepts', (select count(*) from mine)")

@@ -337,6 +337,14 @@ def compare_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both"), F.count_if(F.col("b").isNull()).alias("only_first"), F.count_if(F.col("a").isNull()).alias("only_second"))
 
 
+@query("select key, count(*) as n, min(doc_id) as first_doc from (select doc_id, coalesce(case when doc_id % 3 > 0 then doc_id::varchar end, md5(left(coalesce(text, ''), 50))) as key from documents) group by key")
+def hit_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as hits, every third without an id: those that begin alike are one."""
+    docs = read(spark, sf_dir, "documents")
+    keyed = docs.select("doc_id", R.hit_key(F.col("text"), F.when(F.col("doc_id") % 3 > 0, F.col("doc_id"))).alias("key"))
+    return keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
+
+
 @query("select count(*) as doc_count, true as exists, count(embedding) as embedded, count(*) - count(embedding) as missing from embeddings")
 def collection_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.collection_info(read(spark, sf_dir, "embeddings"), "embedding")

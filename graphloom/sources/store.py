@@ -40,12 +40,36 @@ def index(df: DataFrame, table: str, key: str, order: list) -> int:
     return df.sparkSession.table(table).count()
 
 
+def recover(spark: SparkSession, table: str) -> None:
+    """Finishes a change of a table that was interrupted: a staged table is in the catalog only once all of it is written,
+    so it holds the rows that the table is to have."""
+    stage = f"{table}__staged"
+    if exists(spark, stage):
+        _write(spark, spark.table(stage), table, _partition(spark, stage))
+        spark.sql(f"DROP TABLE {stage}")
+
+
+def replace(spark: SparkSession, table: str, rows: DataFrame) -> None:
+    """Gives the table these rows, which may come from it: they are staged first, and until the stage is dropped the new
+    rows are there whole, whenever it stops."""
+    stage = f"{table}__staged"
+    _write(spark, rows, stage, _partition(spark, table))
+    recover(spark, table)
+
+
+def _partition(spark: SparkSession, table: str) -> list[str]:
+    return [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
+
+
+def _write(spark: SparkSession, rows: DataFrame, table: str, partition: list[str]) -> None:
+    out = rows.write.mode("overwrite").format("parquet")
+    (out.partitionBy(*partition) if partition else out).saveAsTable(table)
+
+
 def merge(spark: SparkSession, table: str, new: DataFrame, key: list[str]) -> None:
-    """Replaces the rows that new has keys of, through a staging table."""
-    stage = f"{table}__new"
-    upsert(spark.table(table), new, key).write.mode("overwrite").format("parquet").saveAsTable(stage)
-    spark.table(stage).write.mode("overwrite").format("parquet").saveAsTable(table)
-    spark.sql(f"DROP TABLE {stage}")
+    """Replaces the rows that new has keys of."""
+    recover(spark, table)
+    replace(spark, table, upsert(spark.table(table), new, key))
 
 
 def reindex(spark: SparkSession, source: str, target: str, **constants: str) -> bool:
@@ -60,16 +84,12 @@ def reindex(spark: SparkSession, source: str, target: str, **constants: str) ->
 
 def clear(spark: SparkSession, table: str, subject: str | None = None) -> None:
     """Deletes all rows, or those of one subject (a partition)."""
+    recover(spark, table)
     if subject is None:
         kept = spark.table(table).limit(0)
     else:
         kept = spark.table(table).where(F.col("subject_id") != subject)
-    stage = f"{table}__kept"
-    partition = [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
-    kept.write.mode("overwrite").format("parquet").saveAsTable(stage)
-    out = spark.table(stage).write.mode("overwrite").format("parquet")
-    (out.partitionBy(*partition) if partition else out).saveAsTable(table)
-    spark.sql(f"DROP TABLE {stage}")
+    replace(spark, table, kept)
 
 
 def names(spark: SparkSession, prefix: str = "") -> list[str]:

@@ -1,5 +1,6 @@
 """Keywords, tags, strategies, fuzzy and vector search, answers, caches and questions about the graph."""
 
+import json
 import math
 import random
 from collections import defaultdict
@@ -145,6 +146,10 @@ def test_answers_use_the_whole_path(spark, shelf):
 
     plain = ask.answers(asked, shelf, names, Question("any", use_window_retrieval=False, top_k=1), generator=Loud(), attribution="me").collect()
     assert {(r.query_id, r.id) for r in plain} == {(1, "a0"), (2, "b0")}
+    # asked about one subject, the other's chunks aren't there
+    of = shelf.withColumn("subject_id", F.col("module_id"))
+    own = ask.answers(asked, of, names, Question("any", subject="b", use_window_retrieval=False, top_k=5), generator=Loud(), attribution="me").collect()
+    assert {r.id for r in own} == {"b0", "b1"}
     one = next(r for r in plain if r.query_id == 1)
     assert one.preview == "the sun is a star" and "[1] THE SUN IS A STAR" in one.reply and "ME" in one.reply and "WHAT IS THE SUN" in one.reply
     wide = ask.answers(asked, shelf, names, Question("any", window_size=1, top_k=1, use_kg_expansion=False)).collect()
@@ -248,6 +253,10 @@ def test_recommendations_with_readings(spark, shelf):
     vectors = plugins.embed(docs, "text").select("id", F.col("embedding").alias("vector"))
     levels = spark.createDataFrame([(7, "sun", 0.9), (7, "flour", 0.1)], "student int, concept string, mastery_level double")
     found = {r.concept: r for r in quiz.prompts(levels, quiz.contexts(levels, docs, vectors)).collect()}
+    for r in found.values():  # the level's instructions, and a form of reply that is JSON with the fields that are read
+        assert quiz.LEVELS[r.difficulty] in r.prompt and r.prompt.count(f"between {r.score_range}") == 1
+        form = json.loads(r.prompt[r.prompt.index('{"questions"') : r.prompt.rindex("}") + 1])["questions"][0]
+        assert len(form["options"]) == 4 and set(form) == {"text", "options", "correct_option_id", "explanation", "difficulty", "difficulty_score"} and form["difficulty"] == r.difficulty
     assert "the sun is a star" in found["sun"].prompt and found["sun"].difficulty == "hard" and "bread needs flour" in found["flour"].prompt and "EASY" in found["flour"].prompt
 
 

@@ -81,3 +81,21 @@ def test_first_chunk_ids_are_numeric_order(spark):
     c = spark.createDataFrame(rows, "chunk_id string, module_id string, chunk_index int, text string")
     linked = {r.chunk_id: r.next_chunk_id for r in chunks.link(c).collect()}
     assert linked == {"m_0": "m_2", "m_2": "m_10", "m_10": None}
+
+
+def test_an_interrupted_change_is_finished(spark):
+    rows = spark.createDataFrame([(1, "a", "s"), (2, "b", "t")], "id int, text string, subject_id string")
+    name = "gl_test_change"
+    for t in (name, f"{name}__staged"):
+        spark.sql(f"DROP TABLE IF EXISTS {t}")
+    store.create(rows, f"{name}__staged", partition="subject_id")  # a change that stopped before the table was whole
+    store.create(rows.limit(0), name, partition="subject_id")
+    try:
+        new = spark.createDataFrame([(2, "B", "t"), (3, "c", "t")], "id int, text string, subject_id string")
+        store.merge(spark, name, new, ["id"])
+        assert sorted((r.id, r.text) for r in spark.table(name).collect()) == [(1, "a"), (2, "B"), (3, "c")]
+        assert [c.name for c in spark.catalog.listColumns(name) if c.isPartition] == ["subject_id"]
+        store.clear(spark, name, "t")
+        assert [r.id for r in spark.table(name).collect()] == [1] and not store.exists(spark, f"{name}__staged")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
