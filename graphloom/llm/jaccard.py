@@ -238,7 +238,7 @@ _PAIRS = "a long,b long,shared long,least_a long,most_a long,least_b long,most_b
 
 
 #: Families that share a key up to which each pair is a candidate of its own.
-HOT = 2048
+HOT = 256
 #: Pairs that a task holds before it hands them on; later sums put equal ones together.
 HELD = 2_000_000
 #: Shared keys of two families that are candidates without a count: more than any bound asks for.
