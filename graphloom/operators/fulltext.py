@@ -7,7 +7,8 @@ most; once the rest can bring no new document among the k best, only documents t
 block by block where the block's maximum lets them.  A shard gives k rows a query, so no other pair of query and
 document leaves a task.
 
-Null and empty texts are documents without tokens; rows that repeat an id add up; queries without tokens find nothing.
+Null and empty texts are documents without tokens; rows that repeat an id add up; rows without id count among the
+documents and are never found; queries without tokens find nothing.
 """
 
 from __future__ import annotations
@@ -51,28 +52,29 @@ class TextIndex(NamedTuple):
 
 def build_text_index(docs: DataFrame, id_col: str, text_col: str, asked: DataFrame | None = None, k1: float = SETTINGS.bm25_k1, b: float = SETTINGS.bm25_b, shard_docs: int = 65536) -> TextIndex:
     """The index of docs; with asked (token), of those tokens alone.  Texts are tokenised once, in place."""
-    words = tokens(F.col(text_col))
-    size = F.size("words").alias("dl")
-    kept = F.col("words")
-    few = [r.token for r in asked.select("token").distinct().limit(FEW + 1).collect()] if asked is not None else []
-    if asked is not None and len(few) <= FEW:
-        kept = F.filter("words", lambda w: w.isin(*few)) if few else F.array().cast("array<string>")
-    rows = spread(docs.select(F.col(id_col), F.col(text_col))).select(F.col(id_col).alias("id"), words.alias("words"))
-    rows = reliable(rows.select("id", size, kept.alias("words")))
-    sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("average")).first()
-    n, average = sizes.n, sizes.average or 1.0
-    shard = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // shard_docs)))).cast("int")
-    terms = rows.select(shard.alias("shard"), "id", "dl", F.explode("words").alias("token"))
-    if len(few) > FEW:
-        terms = terms.join(asked.select("token").distinct(), "token", "left_semi")
-    terms = terms.groupBy("shard", "token", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    impact = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / average))
-    lists = terms.groupBy("shard", "token").agg(F.array_sort(F.collect_list(F.struct("id", impact.alias("impact")))).alias("p"))
-    impacts = F.col("p.impact")
-    starts = F.sequence(F.lit(1), F.size("p"), F.lit(BLOCK))
-    tops = F.transform(starts, lambda i: F.array_max(F.slice(impacts, i, F.lit(BLOCK))))
-    postings = lists.select("shard", "token", F.size("p").alias("n"), F.col("p.id").alias("ids"), impacts.alias("impacts"), tops.alias("tops"), F.array_max(impacts).alias("top"))
-    return TextIndex(reliable(postings), n, average)
+    with passing(docs.sparkSession) as keep:
+        words = tokens(F.col(text_col))
+        size = F.size("words").alias("dl")
+        kept = F.col("words")
+        few = [r.token for r in asked.select("token").distinct().limit(FEW + 1).collect()] if asked is not None else []
+        if asked is not None and len(few) <= FEW:
+            kept = F.filter("words", lambda w: w.isin(*few)) if few else F.array().cast("array<string>")
+        rows = spread(docs.select(F.col(id_col), F.col(text_col))).select(F.col(id_col).alias("id"), words.alias("words"))
+        rows = reliable(rows.select("id", size, kept.alias("words")))
+        sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("average")).first()
+        n, average = sizes.n, sizes.average or 1.0
+        shard = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // shard_docs)))).cast("int")
+        terms = rows.where("id is not null").select(shard.alias("shard"), "id", "dl", F.explode("words").alias("token"))
+        if len(few) > FEW:
+            terms = terms.join(asked.select("token").distinct(), "token", "left_semi")
+        terms = terms.groupBy("shard", "token", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+        impact = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / average))
+        lists = terms.groupBy("shard", "token").agg(F.array_sort(F.collect_list(F.struct("id", impact.alias("impact")))).alias("p"))
+        impacts = F.col("p.impact")
+        starts = F.sequence(F.lit(1), F.size("p"), F.lit(BLOCK))
+        tops = F.transform(starts, lambda i: F.array_max(F.slice(impacts, i, F.lit(BLOCK))))
+        postings = lists.select("shard", "token", F.size("p").alias("n"), F.col("p.id").alias("ids"), impacts.alias("impacts"), tops.alias("tops"), F.array_max(impacts).alias("top"))
+        return TextIndex(keep(reliable(postings)), n, average)
 
 
 # --------------------------------------------------------------------------- terms

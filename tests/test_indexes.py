@@ -62,13 +62,13 @@ def test_links_are_spaced_and_capped():
 def plain_bm25(docs, queries, digits=6):
     words = [(d, re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) for d, t in docs]
     n, average = len(words), sum(len(w) for _, w in words) / len(words)
-    df = Counter(t for _, w in words for t in set(w))
+    df = Counter(t for d, w in words if d is not None for t in set(w))
     out = {}
     for q, text in queries:
         scores = defaultdict(float)
         for t in dict.fromkeys(re.findall(r"\w+", (text or "").lower())):
             for d, w in words:
-                if tf := w.count(t):
+                if d is not None and (tf := w.count(t)):
                     scores[d] += math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / average))
         out[q] = {d: round(s, digits) for d, s in scores.items()}
     return out
@@ -80,7 +80,7 @@ def corpus():
     vocabulary = [f"w{i}" for i in range(120)]
     weights = [1 / (i + 1) for i in range(120)]
     docs = [(f"d{i:04}", " ".join(rng.choices(vocabulary, weights, k=rng.randrange(1, 40)))) for i in range(900)]
-    docs += [("x0", None), ("x1", ""), ("x2", "W1 w1,w1;W2"), ("x3", docs[7][1]), ("x4", docs[7][1])]
+    docs += [("x0", None), ("x1", ""), ("x2", "W1 w1,w1;W2"), ("x3", docs[7][1]), ("x4", docs[7][1]), (None, "w1 w2 w3")]
     queries = [(i, " ".join(rng.sample(vocabulary, rng.randrange(1, 9)))) for i in range(40)] + [(90, "nothing here"), (91, ""), (92, None), (93, "w1 w1 W1 w2")]
     return docs, queries
 
