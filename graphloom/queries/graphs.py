@@ -32,19 +32,27 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("g"), "name", F.col("l_linenumber").alias("n"))
 
 
+def _prerequisites(rows: DataFrame) -> DataFrame:
+    following = rows.select(F.col("name").alias("source"), F.lead("name").over(Window.partitionBy("g").orderBy("n", "name")).alias("target")).where("target is not null and source <> target")
+    return following.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("source", "target", F.lit("PREREQ").alias("type"), F.lit(0.8).alias("weight"))
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = items(spark, sf_dir)
     rel = G.related(rows, "g", "name", 2).select("source", "target", "type", "weight")
-    following = rows.select(F.col("name").alias("source"), F.lead("name").over(Window.partitionBy("g").orderBy("n", "name")).alias("target")).where("target is not null and source <> target")
-    pre = following.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("source", "target", F.lit("PREREQ").alias("type"), F.lit(0.8).alias("weight"))
-    return G.with_ids(rel.unionByName(pre))
+    return G.with_ids(rel.unionByName(_prerequisites(rows)))
+
+
+def needed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The PREREQ edges alone, for what asks for no others."""
+    return G.with_ids(_prerequisites(items(spark, sf_dir)))
 
 
 _STARTS = "starts as (select distinct target as name from pre)"
 
 
 def starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges(spark, sf_dir).where("type = 'PREREQ'").select(F.col("target").alias("name")).distinct()
+    return needed(spark, sf_dir).select(F.col("target").alias("name")).distinct()
 
 
 @query(f"with {_E} select source, target, n, round(weight, 6) as weight, 0.7::double as confidence from rel")
@@ -100,7 +108,7 @@ _TARGETS, _SOURCES = "select distinct target as name from pre", "select distinct
 
 @query(_chain_sql(3, False, _TARGETS))
 def learning_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.chain(edges(spark, sf_dir), nodes(spark, sf_dir), starts(spark, sf_dir)).withColumn("importance", F.round("importance", 6))
+    return G.chain(needed(spark, sf_dir), nodes(spark, sf_dir), starts(spark, sf_dir)).withColumn("importance", F.round("importance", 6))
 
 
 _LAYERS = f"""closure as (select source as a, target as b from pre union select c.a, p.target from closure c join pre p on p.source = c.b),
@@ -117,12 +125,12 @@ select start, name, row_number() over (partition by start order by layer, cycle,
 )
 def learning_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every concept's prerequisites so that none comes before its own; cycles are one step."""
-    return G.learning_order(edges(spark, sf_dir), nodes(spark, sf_dir), starts(spark, sf_dir)).select("start", "name", "position", "layer", "cycle")
+    return G.learning_order(needed(spark, sf_dir), nodes(spark, sf_dir), starts(spark, sf_dir)).select("start", "name", "position", "layer", "cycle")
 
 
 @query(_chain_sql(2, False, _TARGETS))
 def prerequisites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.chain(edges(spark, sf_dir), nodes(spark, sf_dir), starts(spark, sf_dir), 2).withColumn("importance", F.round("importance", 6))
+    return G.chain(needed(spark, sf_dir), nodes(spark, sf_dir), starts(spark, sf_dir), 2).withColumn("importance", F.round("importance", 6))
 
 
 @query(_chain_sql(2, True, _SOURCES))
@@ -134,7 +142,7 @@ def dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select start, count(*) + 1 as total_concepts, max(depth) as deepest from ({_chain_sql(3, False, _TARGETS)}) group by start")
 def path_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = G.chain(edges(spark, sf_dir), nodes(spark, sf_dir), starts(spark, sf_dir))
+    rows = G.chain(needed(spark, sf_dir), nodes(spark, sf_dir), starts(spark, sf_dir))
     return rows.groupBy("start").agg((F.count(F.lit(1)) + 1).alias("total_concepts"), F.max("depth").alias("deepest"))
 
 
@@ -145,7 +153,7 @@ walk as (select name as start, name as node, 0 as depth, []::varchar[] as path,
 select start, node, names from walk where depth > 0"""
 )
 def path_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.paths(edges(spark, sf_dir).where("type = 'PREREQ'"), starts(spark, sf_dir))
+    return G.paths(needed(spark, sf_dir), starts(spark, sf_dir))
 
 
 def _direct_sql(kind: str) -> str:
