@@ -38,7 +38,7 @@ def readings(concepts: DataFrame, docs: DataFrame, top: int = 2, vectors: DataFr
     """query_id, id, score, rank, preview: the best texts for each concept (query_id, text); by words, or by words and
     vectors where the texts' vectors (id, vector) are given."""
     if vectors is None:
-        hits = R.top_per_query(R.bm25(docs, concepts, "id", "text"), top)
+        hits = R.top_per_query(R.bm25(docs, concepts, "id", "text", k=top), top)
     else:
         asked = embed(concepts, "text", embedder).select("query_id", F.col("embedding").alias("vector"))
         hits = R.hybrid_many(vectors, asked, docs, concepts, top, {"text": 3.0}).withColumnRenamed("rrf_score", "score")
