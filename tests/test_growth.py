@@ -5,6 +5,7 @@ import time
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from graphloom import plugins
 from graphloom.functions.text import tokens
 from graphloom.operators import fulltext, tables
 from graphloom.plans import recommend
@@ -44,3 +45,9 @@ def test_a_fuzzy_index_holds_terms_near_the_queries_alone(spark):
     assert {r.token for r in index.postings.collect()} == {"widget", "wigdet", "widgets", "gadget", "bolt", "blot"} and index.n == 3
     found = fulltext.fuzzy_terms(spark.createDataFrame([("widgets",)], "token string"), asked).collect()
     assert sorted((r.query_id, r.asked, r.token, r.edits) for r in found) == [(1, "widget", "widgets", 1), (2, "widget", "widgets", 1)]
+
+
+def test_keywords_of_one_file_are_many_tasks(spark):
+    docs = spark.range(8).coalesce(1).select("id", F.lit("Red widgets turn. Blue bolts hold red widgets.").alias("text"))
+    found = plugins.keywords(docs, "id", "text", 3)
+    assert found.rdd.getNumPartitions() >= 4 and found.count() == 24
