@@ -13,33 +13,59 @@ from .tables import passing, reliable
 # --------------------------------------------------------------------------- building
 
 
-#: Members of a group beyond which it is dealt into tiles.
+#: Rows of a group beyond which it is dealt into tiles.
 LIGHT = 1024
 
 
+def numbered(names: DataFrame, name: str = "name") -> DataFrame:
+    """name, id: the distinct names as a table, numbered in their order.  What joins, sorts and counts many rows does so by
+    eight bytes, and comes to the same order."""
+    return reliable(names.select(F.col(name).alias("name")).where("name is not null").distinct().orderBy("name").withColumn("id", F.monotonically_increasing_id()))
+
+
+def named(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """Edges whose ends are ids of numbered(), by name."""
+    for end in ("source", "target"):
+        edges = edges.join(known.select(F.col("id").alias(end), F.col("name").alias(f"{end}_name")), end)
+    rest = [c for c in edges.columns if c not in ("source", "target", "source_name", "target_name")]
+    return edges.select(F.col("source_name").alias("source"), F.col("target_name").alias("target"), *rest)
+
+
 def related(members: DataFrame, group: str, name: str, threshold: int = SETTINGS.related_threshold, light: int = LIGHT) -> DataFrame:
     """RELATED edges between names that share threshold groups: weight n / 10, 1 at most.
 
-    Names in fewer groups than that have none.  The threshold - 1 largest groups form no pairs: two names that share
-    enough groups share another one too, by which they meet, and are then looked up in those.  Of the rest, groups of up
-    to light members pair up in one place; larger ones are cut into blocks of members, and each two blocks of a group
-    are a tile of their own, so no task holds a group.
+    Names are numbered first, so pairs are two numbers; whole numbers stay as they are, and their members are read more
+    than once.  Names in fewer groups than the threshold have no edges and go first where they are a quarter of the rows.
+    The threshold - 1 largest groups form no pairs: two names that share enough groups share another one too, by which
+    they meet, and are then looked up in those.  Of the rest, groups of up to light rows are dealt once by group and pair
+    up in place; larger ones are cut into blocks of members, and each two blocks of a group are a tile of their own, so no
+    task holds a group.
     """
-    rows = members.select(F.col(group).alias("g"), F.col(name).alias("name")).where("g is not null and name is not null").distinct()
+    rows = members.select(F.col(group).alias("g"), F.col(name).alias("name")).where("g is not null and name is not null")
     with passing(rows.sparkSession) as keep:
-        rows = reliable(rows)
-        often = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= threshold).select("name")
-        rows = reliable(rows.join(often, "name", "left_semi"))
-        large = rows.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > light)
+        known = None
+        if dict(rows.dtypes)["name"] not in ("int", "bigint"):
+            rows = reliable(rows.distinct())
+            often = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= threshold)
+            known = numbered(often)
+            rows = reliable(rows.join(known, "name").select("g", F.col("id").alias("name")))
+        elif threshold > 1:
+            often = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+            share = often.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") < threshold, F.col("n"))).alias("rare")).first()
+            if 4 * (share.rare or 0) > (share.n or 0):
+                rows = reliable(rows.join(often.where(F.col("n") >= threshold).select("name"), "name", "left_semi"))
+        large = reliable(rows.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > light))
         aside = [r.g for r in large.orderBy(F.desc("size"), "g").limit(threshold - 1).collect()] if threshold > 1 else []
-        large = large.where(~F.col("g").isin(aside)) if aside else large
-        large = reliable(large.select("g", F.ceil(F.col("size") / light).cast("int").alias("blocks")))
-        rest = rows.where(~F.col("g").isin(aside)) if aside else rows
-        small = rest.join(large, "g", "left_anti")
+        rest = rows
+        if aside:
+            large, rest = large.where(~F.col("g").isin(aside)), rows.where(~F.col("g").isin(aside))
+        large = large.select("g", F.ceil(F.col("size") / light).cast("int").alias("blocks"))
+        any_large = not large.isEmpty()
+        small = (rest.join(large, "g", "left_anti") if any_large else rest).repartition("g").dropDuplicates(["g", "name"])
         a, b = small.select("g", F.col("name").alias("source")), small.select("g", F.col("name").alias("target"))
         pairs = a.join(b, "g").where("source < target").select("source", "target")
-        if not large.isEmpty():
-            pairs = pairs.unionByName(_tiled(rest.join(large, "g")))
+        if any_large:
+            pairs = pairs.unionByName(_tiled(rest.distinct().join(large, "g")))
         pairs = pairs.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
         if aside:
             pairs = pairs.where(F.col("n") >= threshold - len(aside))
@@ -48,7 +74,10 @@ def related(members: DataFrame, group: str, name: str, threshold: int = SETTINGS
                 pairs = pairs.join(in_them.select(F.col("name").alias(end), F.col("gs").alias(f"of_{end}")), end, "left")
             more = F.coalesce(F.size(F.array_intersect("of_source", "of_target")), F.lit(0))
             pairs = pairs.select("source", "target", (F.col("n") + F.when(F.col("of_source").isNull() | F.col("of_target").isNull(), 0).otherwise(more)).alias("n"))
-        return keep(pairs.where(F.col("n") >= threshold).select("source", "target", F.lit("RELATED").alias("type"), F.least(F.col("n") / 10.0, F.lit(1.0)).alias("weight"), F.lit(0.7).alias("confidence"), "n"))
+        pairs = pairs.where(F.col("n") >= threshold)
+        if known is not None:
+            pairs = named(reliable(pairs), known)
+        return keep(reliable(pairs.select("source", "target", F.lit("RELATED").alias("type"), F.least(F.col("n") / 10.0, F.lit(1.0)).alias("weight"), F.lit(0.7).alias("confidence"), "n")))
 
 
 def _tiled(rows: DataFrame) -> DataFrame:

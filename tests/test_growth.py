@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from graphloom import plugins
 from graphloom.functions.text import tokens
-from graphloom.operators import fulltext, tables
+from graphloom.operators import fulltext, graph, tables
 from graphloom.plans import recommend
-from graphloom.queries import text
+from graphloom.queries import graphs, text
 
 
 def test_one_long_text_is_tokenised_in_one_pass(spark):
@@ -51,3 +51,20 @@ def test_keywords_of_one_file_are_many_tasks(spark):
     docs = spark.range(8).coalesce(1).select("id", F.lit("Red widgets turn. Blue bolts hold red widgets.").alias("text"))
     found = plugins.keywords(docs, "id", "text", 3)
     assert found.rdd.getNumPartitions() >= 4 and found.count() == 24
+
+
+def test_edges_are_made_once_and_by_number(spark, small):
+    for made in (graphs.edges(spark, small), graphs.needed(spark, small)):
+        files = made.inputFiles()
+        assert files and not any("lineitem" in f or "part.parquet" in f for f in files)  # each reader made them again
+    own = graphs.numbered(spark, small)
+    assert dict(own.edges.dtypes)["source"] == dict(own.items.dtypes)["name"] == "bigint"
+    names = [r.name for r in own.names.orderBy("id").collect()]
+    assert names == sorted(names)
+
+
+def test_related_numbers_are_the_related_names(spark):
+    rows = spark.range(400).select((F.col("id") % 37).alias("g"), (F.col("id") * F.col("id") % 23).alias("i"))
+    rows = rows.unionByName(rows.limit(50)).withColumn("name", F.format_string("n%03d", "i"))  # members come again
+    by_name, by_number = (sorted((r.source, r.target, r.n) for r in graph.related(rows, "g", c, 3, 8).collect()) for c in ("name", "i"))
+    assert by_name and by_name == [(f"n{a:03}", f"n{b:03}", n) for a, b, n in by_number]
