@@ -11,7 +11,7 @@ from ..operators import chunks as C
 from ..operators import graph as G
 from ..operators import learner as O
 from ..operators import retrieve as R
-from ..operators.tables import reliable
+from ..operators.tables import passing, reliable
 from ..params import Question
 from ..plans import ask as A
 from ..plans import build_kg as B
@@ -208,15 +208,18 @@ select s.quiz, s.side, count(*) as n, round(sum(k.importance), 4) as importance,
 from sides s join k on k.start = s.concept and k.side = s.side left join known m on m.student = s.student and m.name = k.name where k.rank <= 5 group by s.quiz, s.side"""
 )
 def recommendation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as quizzes of their customers, who master the parts that they have ordered by the largest quantity."""
+    """Orders as quizzes of their customers, who master the parts that they have ordered by the largest quantity; parts go
+    by number, of which the result holds none."""
     orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("g"), F.col("o_custkey").alias("quiz"))
-    results = orders.join(graphs.items(spark, sf_dir), "g").select("quiz", F.col("quiz").alias("student"), F.col("name").alias("concept"), (F.col("n") >= 4).alias("correct"), (F.col("g") * 10 + F.col("n")).alias("place"))
-    parts = read(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("concept"))
-    bought = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("g"), "l_partkey", "l_quantity").join(orders, "g").join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    state = bought.groupBy(F.col("quiz").alias("student"), "concept").agg((F.max("l_quantity") / 50.0).cast("double").alias("mastery_level"))
-    found = P.blocks(results, graphs.edges(spark, sf_dir), graphs.nodes(spark, sf_dir), state)
-    total = F.round(F.sum("mastery_level"), 3).alias("total_mastery")
-    return found.groupBy("quiz", "side").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("importance"), 4).alias("importance"), F.round(F.min("mastery_level"), 3).alias("least_mastery"), total)
+    with passing(spark) as keep:
+        own = graphs.numbered(spark, sf_dir)
+        results = orders.join(own.items, "g").select("quiz", F.col("quiz").alias("student"), F.col("name").alias("concept"), (F.col("n") >= 4).alias("correct"), (F.col("g") * 10 + F.col("n")).alias("place"))
+        parts = read(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("name")).join(own.names, "name").select("p_partkey", F.col("id").alias("concept"))
+        bought = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("g"), "l_partkey", "l_quantity").join(orders, "g").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        state = bought.groupBy(F.col("quiz").alias("student"), "concept").agg((F.max("l_quantity") / 50.0).cast("double").alias("mastery_level"))
+        found = P.blocks(results, own.edges, own.nodes, state)
+        total = F.round(F.sum("mastery_level"), 3).alias("total_mastery")
+        return keep(found.groupBy("quiz", "side").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("importance"), 4).alias("importance"), F.round(F.min("mastery_level"), 3).alias("least_mastery"), total))
 
 
 @query("select p_partkey, 25 + 45 * (p_size / 50.0::double) as node_size, case when p_size >= 35 then 'green' when p_size >= 20 then 'yellow' else 'red' end as band from part")

@@ -9,7 +9,7 @@ from graphloom import plugins
 from graphloom.functions.text import tokens
 from graphloom.operators import fulltext, graph, tables
 from graphloom.plans import recommend
-from graphloom.queries import graphs, text
+from graphloom.queries import app, graphs, text
 
 
 def test_one_long_text_is_tokenised_in_one_pass(spark):
@@ -68,3 +68,12 @@ def test_related_numbers_are_the_related_names(spark):
     rows = rows.unionByName(rows.limit(50)).withColumn("name", F.format_string("n%03d", "i"))  # members come again
     by_name, by_number = (sorted((r.source, r.target, r.n) for r in graph.related(rows, "g", c, 3, 8).collect()) for c in ("name", "i"))
     assert by_name and by_name == [(f"n{a:03}", f"n{b:03}", n) for a, b, n in by_number]
+
+
+def test_recommendation_blocks_go_by_number(spark, small, monkeypatch):
+    seen = []
+    own = app.P.blocks
+    monkeypatch.setattr(app.P, "blocks", lambda *a: seen.append([dict(df.dtypes) for df in a]) or own(*a))
+    app.recommendation_blocks(spark, small)
+    results, edges, nodes, state = seen[0]
+    assert results["concept"] == edges["source"] == nodes["name"] == state["concept"] == "bigint"  # names were shuffled
