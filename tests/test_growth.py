@@ -1,5 +1,6 @@
 """Steps whose cost must not grow faster than the tables."""
 
+import random
 import time
 
 import pyarrow as pa
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom import plugins
 from graphloom.functions.text import tokens
-from graphloom.operators import fulltext, graph, tables
+from graphloom.operators import concepts, fulltext, graph, tables
 from graphloom.plans import recommend
 from graphloom.queries import app, graphs, text
 
@@ -77,3 +78,15 @@ def test_recommendation_blocks_go_by_number(spark, small, monkeypatch):
     app.recommendation_blocks(spark, small)
     results, edges, nodes, state = seen[0]
     assert results["concept"] == edges["source"] == nodes["name"] == state["concept"] == "bigint"  # names were shuffled
+
+
+def test_names_inside_names_are_sorted_not_scanned(spark, monkeypatch):
+    monkeypatch.setattr(concepts, "containing", None)  # one scan of all names for each shard of them
+    rng = random.Random(7)
+    names = ["", "a", "Ab", "ABC", "xabcx", "ba\U0001f600ba\U0001f600", "A\U0001f600BA", "same name", "Same Name", "same name too"]
+    names += ["".join(rng.choice("abC ") for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+    names = sorted({n.strip() for n in names})
+    lows = {n.lower() for n in names}
+    want = [n for n in names if not n or not any(n.lower() in low and n.lower() != low for low in lows)]
+    got = concepts.drop_substrings(spark.createDataFrame([(n,) for n in names], "name string").repartition(3)).collect()
+    assert sorted(r.name for r in got) == want
