@@ -279,9 +279,9 @@ def search_text(index: TextIndex, queries: DataFrame, k: int | None, fuzzy: bool
     return met.mapInArrow(_search(to_arrow_schema(schema), k, None if k is None else digits), schema)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, fuzzy: bool = False, k: int | None = None, boost: float = 1.0) -> DataFrame:
-    """query_id, id, score: search_text() over an index made for these queries; its rows are k for each query and shard, of
-    which the caller takes the first k."""
+def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, fuzzy: bool = False, k: int | None = None, boost: float = 1.0, index: TextIndex | None = None) -> DataFrame:
+    """query_id, id, score: search_text() over an index made for these queries, or over the given one; its rows are k for
+    each query and shard, of which the caller takes the first k."""
     asked = None if fuzzy else asked_tokens(queries).select(F.col("asked").alias("token"))
     with passing(docs.sparkSession) as keep:
-        return keep(search_text(build_text_index(docs, id_col, text_col, asked, queries if fuzzy else None), queries, k, fuzzy, boost))
+        return keep(search_text(index or build_text_index(docs, id_col, text_col, asked, queries if fuzzy else None), queries, k, fuzzy, boost))

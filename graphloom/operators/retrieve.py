@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scoring import cosine, rrf_term
 from ..functions.text import tokens
 from ..params import SETTINGS
-from .fulltext import bm25
+from .fulltext import TextIndex, bm25
 from .vectors import knn_many
 
 
@@ -38,11 +38,11 @@ def vector_of(vectors: DataFrame, key: int, id_col: str, vector_col: str) -> lis
     return list(vectors.where(F.col(id_col) == key).select(vector_col).first()[0])
 
 
-def bm25_best_field(docs: DataFrame, queries: DataFrame, id_col: str, fields: dict[str, float], fuzzy: bool = False, k: int | None = None) -> DataFrame:
-    """query_id, id, score: the best of the fields' BM25 scores, each times its boost.
+def bm25_best_field(docs: DataFrame, queries: DataFrame, id_col: str, fields: dict[str, float], fuzzy: bool = False, k: int | None = None, indexes: dict[str, TextIndex] | None = None) -> DataFrame:
+    """query_id, id, score: the best of the fields' BM25 scores, each times its boost; a field's index may be given.
 
     The first k by the best score are among the first k of the field that gives it, so each field's k are enough."""
-    parts = [bm25(docs, queries, id_col, f, fuzzy, k, boost) for f, boost in fields.items()]
+    parts = [bm25(docs, queries, id_col, f, fuzzy, k, boost, (indexes or {}).get(f)) for f, boost in fields.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -11,6 +11,7 @@ from ..functions.scoring import l2_normalize, norm
 from ..functions.text import numbered_context
 from ..operators import evaluate as EV
 from ..operators import extract as E
+from ..operators import fulltext
 from ..operators import retrieve as R
 from ..operators import vectors as V
 from ..operators.rerank import rerank_model as rerank_pairs
@@ -323,10 +324,12 @@ def precision_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
         hits = R.top_per_query(scores, 10).join(labels, "id", "left")
         return EV.context_precision(hits).select("query_id", F.col("context_precision").alias(name))
 
-    first = judged(R.bm25(docs, asked, "doc_id", "text", k=10), "first")
-    second = judged(R.bm25_best_field(docs, asked, "doc_id", _FIELDS, k=10), "second")
-    found = EV.bootstrap(first.join(second, "query_id"))
-    return found.select("name", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+    with passing(spark) as keep:
+        index = fulltext.build_text_index(docs, "doc_id", "text", fulltext.asked_tokens(asked).select(F.col("asked").alias("token")))
+        first = judged(R.bm25(docs, asked, "doc_id", "text", k=10, index=index), "first")
+        second = judged(R.bm25_best_field(docs, asked, "doc_id", _FIELDS, k=10, indexes={"text": index}), "second")
+        found = EV.bootstrap(reliable(first.join(second, "query_id")))
+        return keep(found.select("name", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")]))
 
 
 @query(f"with a as ({_knn_sql(0, 20)}), b as ({_knn_sql(1, 20)}) select (select count(*) from (select id from a intersect select id from b)) as both, (select count(*) from (select id from a except select id from b)) as only_first, (select count(*) from (select id from b except select id from a)) as only_second")

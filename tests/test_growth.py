@@ -10,7 +10,7 @@ from graphloom import plugins
 from graphloom.functions.text import tokens
 from graphloom.operators import concepts, fulltext, graph, tables
 from graphloom.plans import recommend
-from graphloom.queries import app, graphs, text
+from graphloom.queries import app, graphs, retrieval, text
 
 
 def test_one_long_text_is_tokenised_in_one_pass(spark):
@@ -90,3 +90,11 @@ def test_names_inside_names_are_sorted_not_scanned(spark, monkeypatch):
     want = [n for n in names if not n or not any(n.lower() in low and n.lower() != low for low in lows)]
     got = concepts.drop_substrings(spark.createDataFrame([(n,) for n in names], "name string").repartition(3)).collect()
     assert sorted(r.name for r in got) == want
+
+
+def test_texts_are_indexed_once_for_two_rankings(spark, small, monkeypatch):
+    made = []
+    own = fulltext.build_text_index
+    monkeypatch.setattr(fulltext, "build_text_index", lambda *a, **k: made.append(a[2]) or own(*a, **k))
+    assert retrieval.precision_intervals(spark, small).count() == 3
+    assert sorted(made) == ["lang", "source", "text"]
