@@ -4,11 +4,13 @@ Documents become sets of hashed word shingles.  Equal sets are one class; classe
 percent / 100 must end up together:
 
 1. families: classes that share a band of minimum hashes (a guess, which only decides what is compared where);
-2. candidates across families, exactly: sets of that similarity share one of their n - ceil(n * percent / 100) + 1
-   first elements in any common order.  The order puts frequent shingles last, by a count sketch over all documents
-   of fixed size, so that a passage in every third document is nobody's key.  Postings travel as one row for each
-   batch and hash range, and a family counts once in a batch; a pair of families whose shared keys are too few for
-   any two of their documents is dropped (bound in _pair_bound);
+2. candidates across families, exactly: sets of that similarity share SHARED of their n - ceil(n * percent / 100) +
+   SHARED first elements in any common order (small sets all that they need).  The order puts frequent shingles last,
+   by a count sketch over all documents of fixed size, so that a passage in every third document is nobody's key.
+   Postings travel as one row for each batch and hash range, and a family counts once in a batch; a pair of families
+   whose shared keys are too few for any two of their documents is dropped (bound in _pair_bound).  Keys of more than
+   HOT families give no pairs: they are added to the pairs of other keys as if all were shared, and join the families
+   that have enough of them for a pair without any other key (_proposed);
 3. blocks: families joined by those pairs.  In a block every pair is settled by a signature tree: nodes hold the OR of
    their documents' bitmaps and the range of their sizes, and a traversal of node pairs drops those whose largest
    possible overlap is too small and those that are linked already; what is left is compared exactly;
@@ -40,9 +42,9 @@ from pyspark.sql import functions as F
 from .common import SPACE, cut, fanout, free, mix, need, pack, pack_sorted, scratch, shingles, slices, table, text_bytes, tidy, unpack, unpack_sorted, words
 from .components import Forest, components
 
-_BANDS, _ROWS = 8, 3
+_BANDS, _ROWS = 4, 6
 _ODD = np.random.default_rng(7).integers(1, 2**63, _BANDS * _ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_CELLS, _BLOCKS = 1 << 20, 64
+_CELLS, _BLOCKS = 1 << 22, 64
 _FILTER_BITS = 1 << 24
 LEAF, FAN = 8, 8
 
@@ -86,7 +88,7 @@ def _profile(width: int):
                 some = np.flatnonzero(n)
                 bands = np.zeros((hi - lo, _BANDS), np.uint64)
                 if len(some):
-                    counts += np.bincount(_cells(flat), minlength=_CELLS).astype(np.uint32)
+                    np.add.at(counts, _cells(flat), np.uint32(1))
                     for k in range(_BANDS * _ROWS):
                         least = np.minimum.reduceat(flat * _ODD[k], to[:-1][some])
                         bands[some, k // _ROWS] = mix(bands[some, k // _ROWS] + least + np.uint64(k + 1))
@@ -158,6 +160,15 @@ def _needed(n: np.ndarray, percent: int) -> np.ndarray:
     return (n * percent + 99) // 100
 
 
+#: Keys that linked sets share at least; the smallest sets all that they need.
+SHARED = 8
+
+
+def _asked(n: np.ndarray, percent: int) -> np.ndarray:
+    """Least number of keys that a set of n shares with any set that it links with and that is no smaller."""
+    return np.minimum(_needed(n, percent), SHARED)
+
+
 def _least(percent: int) -> int:
     """Size of the smallest set that can link with another set."""
     return 1 if percent <= 50 else 2
@@ -167,13 +178,13 @@ def _prefixes(counts, width: int, percent: int):
     """doc_id, mark1, n, keys: the first elements of each set, rarest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = np.log2(np.maximum(np.frombuffer(counts.value, np.uint32), 1)).astype(np.uint64) << np.uint64(58)
+        order = np.frombuffer(counts.value, np.uint8).astype(np.uint64) << np.uint64(58)
         for batch in batches:
             for lo, hi, flat, to in _sets(batch.column(1), width):
                 n = np.diff(to)
                 mark1, _ = _marks(flat, to)
                 rank = order[_cells(flat)] | (flat >> np.uint64(6))
-                size = n - _needed(n, percent) + 1
+                size = n - _needed(n, percent) + _asked(n, percent)
                 wide = np.flatnonzero(n >= _least(percent))
                 keys = []
                 for i in wide:
@@ -234,15 +245,13 @@ def _postings(parts: int):
     return run
 
 
-_PAIRS = "a long,b long,shared long,least_a long,most_a long,least_b long,most_b long"
+_PAIRS = "a long,b long,shared long,least_a long,most_a long,least_b long,most_b long,run long"
 
 
 #: Families that share a key up to which each pair is a candidate of its own.
-HOT = 256
+HOT = 64
 #: Pairs that a task holds before it hands them on; later sums put equal ones together.
 HELD = 2_000_000
-#: Shared keys of two families that are candidates without a count: more than any bound asks for.
-SURE = 1 << 40
 
 
 def hot_chain(least: np.ndarray, most: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -261,8 +270,8 @@ def hot_chain(least: np.ndarray, most: np.ndarray, percent: int) -> tuple[np.nda
 def _pairs(percent: int, hot: int):
     """Pairs of families that share keys in a bucket, with the number of those keys.
 
-    Of a key with many families not all pairs come, but a chain through those of fitting sizes: its families then lie in
-    one block, whose signature trees settle them, and the rows for a key are no more than its families.
+    Of a key with many families not all pairs come, but a chain through those of fitting sizes, without a number and
+    under the name of the run (null for others): the rows for a key are no more than its families.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,19 +313,28 @@ def _pairs(percent: int, hot: int):
             return np.stack((rows[0, head], rows[1, head], np.add.reduceat(rows[2], head), *(f.reduceat(rows[k], head) for k, f in ((3, np.minimum), (4, np.maximum), (5, np.minimum), (6, np.maximum)))))
 
         def rows_of(rows: np.ndarray) -> pa.RecordBatch:
-            return table(_PAIRS, **{x.split()[0]: rows[k] for k, x in enumerate(_PAIRS.split(","))})
+            """Rows of pairs, which have no run, or of chains."""
+            return table(_PAIRS, **{"run": pa.nulls(rows.shape[1], pa.int64())} | {x.split()[0]: c for x, c in zip(_PAIRS.split(","), rows)})
+
+        large = size > max(hot, 1)
+        for b, s in zip(begin[large], size[large]):
+            i, j = hot_chain(least[b : b + s], most[b : b + s], percent)
+            run = np.cumsum(np.append(0, i[1:] != j[:-1])[: len(i)]).astype(np.uint64)  # goes on where the last pair ended
+            i, j = np.minimum(i, j) + b, np.maximum(i, j) + b
+            held.append(np.stack((family[i], family[j], np.zeros(len(i), np.int64), least[i], most[i], least[j], most[j], mix(mix(keys[b : b + 1]) + run).view(np.int64))))
+            room += len(i)
+            if room > limit:
+                yield rows_of(np.concatenate(held, 1))
+                held, room = [], 0
+        if held:
+            yield rows_of(np.concatenate(held, 1))
+            held, room = [], 0
 
         def found() -> Iterator[np.ndarray]:
             """Columns of pairs: of keys with few families by size, all that fit."""
             for s in np.unique(size):
                 at = begin[size == s]
-                if s < 2:
-                    continue
-                if s > hot:
-                    for b in at:
-                        i, j = hot_chain(least[b : b + s], most[b : b + s], percent)
-                        i, j = np.minimum(i, j) + b, np.maximum(i, j) + b
-                        yield np.stack((family[i], family[j], np.full(len(i), SURE), least[i], most[i], least[j], most[j]))
+                if s < 2 or s > hot:
                     continue
                 x, y = np.triu_indices(int(s), 1)
                 for lo in range(0, len(at), max(1, (1 << 18) // len(x))):
@@ -344,12 +362,38 @@ def _pair_bound(percent: int):
     """Least number of shared keys of two linked sets with these ranges of sizes.
 
     With sizes x <= y and an order's last key t among the keys of one of them, all shared elements up to t are shared
-    keys, and beyond t that set has needed(n) - 1 elements at most.  So shared >= overlap - (needed(y) - 1) with
-    overlap >= p / (100 + p) (x + y) and needed(y) <= p y / 100 + 1, which falls in y and grows in x.
+    keys, and beyond t that set has needed(n) - asked(n) elements at most.  So shared >= overlap - needed(y) + asked(y)
+    with overlap >= p / (100 + p) (x + y) and needed(y) <= p y / 100 + 1, which falls in y and grows in x, as asked does;
+    and overlap >= needed(y), so it is asked(x) at least.
     """
     p = F.lit(percent / 100)
     x, y = F.least("least_a", "least_b"), F.least(F.greatest("most_a", "most_b"), F.floor(F.least("most_a", "most_b") / p) + 1)
-    return F.greatest(F.lit(1), F.ceil(p / (1 + p) * (x + y) - p * y - F.lit(1e-6)))
+    return F.greatest(F.lit(1), F.ceil(p / (1 + p) * (x + y) - p * y - F.lit(1e-6))) + _asked_of(x, percent) - 1
+
+
+def _asked_of(n, percent: int):
+    """_asked() of a column."""
+    return F.least(F.lit(SHARED), F.ceil(n * percent / 100))
+
+
+def _proposed(shared: DataFrame, percent: int) -> DataFrame:
+    """a, b: what of the rows of _pairs puts families into one block.
+
+    The keys of many families that two families share are no more than those that either has.  So a pair of other keys
+    stays if it reaches its bound with these, and a pair that shares nothing else is of two families that have as many
+    as any pair of theirs needs: those are linked with the name of each of their runs.
+    """
+    sums = (F.sum("shared").alias("shared"), *(f(c).alias(c) for c, f in (("least_a", F.min), ("most_a", F.max), ("least_b", F.min), ("most_b", F.max))))
+    close = shared.where("run is null").groupBy("a", "b").agg(*sums)
+    ends = F.explode(F.array(F.struct(F.col("a").alias("family"), F.col("least_a").alias("n")), F.struct(F.col("b").alias("family"), F.col("least_b").alias("n")))).alias("end")
+    runs = cut(shared.where("run is not null").select("run", ends).groupBy("end.family", "run").agg(F.min("end.n").alias("n")))
+    often = cut(runs.groupBy("family").agg(F.count(F.lit(1)).alias("hot"), F.min("n").alias("n")))
+    for end in ("a", "b"):
+        close = close.join(often.select(F.col("family").alias(end), F.col("hot").alias(f"hot_{end}")), end, "left")
+    hot = F.least(*(F.coalesce(f"hot_{end}", F.lit(0)) for end in ("a", "b")))
+    close = close.where(F.col("shared") + hot >= _pair_bound(percent)).select("a", "b")
+    able = often.where(F.col("hot") >= _asked_of(F.ceil(F.col("n") * percent / 100), percent)).select("family")
+    return close.unionByName(runs.join(able, "family", "left_semi").select(F.col("family").alias("a"), F.col("run").alias("b")))
 
 
 # --------------------------------------------------------------------------- signature trees
@@ -737,9 +781,9 @@ def _join(docs: DataFrame, width: int, percent: int, block_rows: int, id_col: st
     profile = keep(cut(texts.mapInArrow(tidy(_profile(width)), _PROFILE.replace(",", ", "))))
     rows = profile.where("part is null").select("doc_id", "n", "mark1", "mark2", "bands")
     sketch = profile.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(tidy(_add_counts), "part int, counts binary").collect()
-    total = np.zeros((_BLOCKS, _CELLS // _BLOCKS), np.uint32)  # of fixed size
+    total = np.zeros((_BLOCKS, _CELLS // _BLOCKS), np.uint8)  # of fixed size: thirds of an octave
     for part, blob in sketch:
-        total[part] = unpack(blob, np.uint32)
+        total[part] = np.minimum(3 * np.log2(np.maximum(unpack(blob, np.uint32), 1)), 63)
     counts = spark.sparkContext.broadcast(total.tobytes())
 
     classes = cut(rows.where("n > 0 and doc_id is not null").groupBy("mark1", "mark2", "n").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("weight")))
@@ -754,9 +798,7 @@ def _join(docs: DataFrame, width: int, percent: int, block_rows: int, id_col: st
     prefixes = texts.where("doc_id is not null").mapInArrow(tidy(_prefixes(counts, width, percent)), "doc_id long, mark1 long, n long, keys binary")
     keyed = prefixes.drop("n").join(members, (prefixes["doc_id"] == members["node"]) & (prefixes["mark1"] == members["mark1"])).select("family", "n", "keys")
     shared = keyed.mapInArrow(tidy(_postings(parts)), _POSTINGS.replace(",", ", ")).groupBy("bucket").applyInArrow(tidy(_pairs(percent, HOT)), _PAIRS.replace(",", ", "))
-    close = shared.groupBy("a", "b").agg(F.sum("shared").alias("shared"), *(f(c).alias(c) for c, f in (("least_a", F.min), ("most_a", F.max), ("least_b", F.min), ("most_b", F.max))))
-    close = close.where(F.col("shared") >= _pair_bound(percent)).select("a", "b")
-    blocks = components(cut(links.unionByName(close)))  # a family's name is a node
+    blocks = components(cut(links.unionByName(_proposed(cut(shared), percent))))  # a family's name is a node
 
     plan = cut(nodes.select("node", "mark1", "n", "weight").join(blocks, "node").select("node", "mark1", "n", "weight", F.col("component").alias("block")))
     room = F.greatest(F.lit(block_rows), F.least(F.lit(4096), F.ceil(F.col("rows") / (4 * parts))))

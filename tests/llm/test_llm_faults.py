@@ -62,6 +62,19 @@ def test_jaccard_where_every_key_is_hot(spark, monkeypatch, hot):
     assert got == {d: sorted(v, key=repr) for d, v in want.items()}
 
 
+def test_short_texts_of_common_lines_are_no_block(spark, monkeypatch):
+    """Half of each text is one of a few lines: none links, and few may be compared."""
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    lines = [" ".join(word() for _ in range(10)) for _ in range(20)]
+    rows = [(i, " ".join([word(), word(), word(), word(), word(), word(), lines[i % 20]])) for i in range(600)]
+    seen = []
+    own = jaccard._linking
+    monkeypatch.setattr(jaccard, "_linking", lambda plan, *a: seen.append(plan.count()) or own(plan, *a))
+    assert {(r.doc_id, r.n_shingles) for r in jaccard.join(docs(spark, rows)).where("doc_id = component_id").collect()} == {(i, 12) for i in range(600)}
+    assert seen[0] < 60
+
+
 # --------------------------------------------------------------------------- 2
 
 
